@@ -1,0 +1,44 @@
+"""Connected components of a link table, by alternating large and small stars (Kiveris et al., 2014)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lanternfish.llm.store import forget, written
+
+
+def _star(links: DataFrame, large: bool) -> DataFrame:
+    """One star step over (a, b), a > b. Minima are summed per task before they shuffle, and the join
+    that follows has a plain exchange on either side, which AQE can split where a hub is hot."""
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else links
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")) if large else both.groupBy("a").agg(F.min("b").alias("m"))
+    joined = both.join(least.withColumnRenamed("a", "c"), F.col("a") == F.col("c"))
+    if large:  # neighbours above a point to the least one around
+        return joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    # a itself and its other neighbours below it point to the least of them
+    return joined.select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b")
+
+
+def components(links: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
+    """(a, b): every node of ``links`` (two columns of one integer type) but the least of its component, with that least node.
+
+    Each round is written to the shared folder. Links between a node and itself say nothing. Raises
+    if it has not settled after ``rounds`` (the count of rounds grows with the log of the size).
+    """
+    x, y = (F.col(c) for c in links.columns)
+    now = written(links.where(x != y).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct(), name)
+    sign = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    last = sign(now)
+    if not last[0]:
+        return now
+    for _ in range(rounds):
+        mid = written(_star(now, True).distinct(), name)
+        nxt = written(_star(mid, False).distinct(), name)
+        forget(now)
+        forget(mid)
+        now, seen = nxt, sign(nxt)
+        if seen == last:
+            return now
+        last = seen
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
