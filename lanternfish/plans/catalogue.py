@@ -1,2 +1,468 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""One query for each operator family, over the tables of a folder, and the SQL of the same rows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lanternfish.functions import text as T
+from lanternfish.functions import vector as V
+from lanternfish.operators import diagnostics, geometry, graph, ingest, knn, metrics, quantize, retrieve, selection
+from lanternfish.plans.oracles import ORACLE_SQL
+from lanternfish.sources import index as I
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+#: No two vectors of these tables are as close as 0.95, so twins are sought from here on.
+TWIN = 0.35
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def caption_index(spark: SparkSession, folder: str) -> DataFrame:
+    """Captions are first sentences of documents, dealt to images by id; images of labels 7 to 9 are augmented
+    and have one row, whose two numbers are the same."""
+    e, d = table(spark, folder, "embeddings"), table(spark, folder, "documents")
+    n = e.count()
+    caption = F.trim(F.substring(F.split_part(F.split_part("text", F.lit("\n"), F.lit(1)), F.lit(". "), F.lit(1)), 1, 200))
+    rows = d.select("doc_id", caption.alias("document"), F.pmod("doc_id", F.lit(n)).alias("vec_id")).join(e, "vec_id")
+    w = Window.partitionBy("vec_id").orderBy("doc_id")
+    rows = rows.withColumn("rn", F.row_number().over(w)).where("label < 7 or rn = 1")
+    ann = F.when(F.col("label") >= 7, F.col("vec_id")).otherwise(1000000 + F.col("doc_id"))
+    return rows.select(I.compose_id(F.col("vec_id"), ann).alias("id"), F.col("vec_id").alias("image_id"), ann.alias("ann_id"), (F.col("label") >= 7).alias("is_augmented"), "document", "embedding")
+
+
+def asked(spark: SparkSession, folder: str) -> DataFrame:
+    """The query set of every search: images whose id is divisible by 50, against all rows."""
+    return table(spark, folder, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "label")
+
+
+def pool(spark: SparkSession, folder: str, k: int = 5) -> DataFrame:
+    return retrieve.pool_of(asked(spark, folder), caption_index(spark, folder), k, exclude_self=True)
+
+
+def r(c, n: int = 6):
+    return F.round(c, n)
+
+
+@query
+def index_stats(spark, folder):
+    return I.stats(caption_index(spark, folder), "captions")
+
+
+@query
+def index_ids(spark, folder):
+    i = caption_index(spark, folder)
+    return i.select("id", I.image_of(F.col("id")).alias("image_id"), I.is_augmented(F.col("id")).alias("is_augmented"), (I.compose_id(F.col("image_id"), F.col("ann_id")) == F.col("id")).alias("composed"))
+
+
+@query
+def subset_counts(spark, folder):
+    tagged = caption_index(spark, folder).withColumn("subset", I.subset(F.col("ann_id")))
+    return tagged.groupBy("is_augmented", "subset").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("image_id").alias("images"))
+
+
+@query
+def captions_by_image(spark, folder):
+    all_ = F.array_sort(F.collect_list(F.struct("ann_id", "document")))
+    return caption_index(spark, folder).groupBy("image_id").agg(F.array_join(F.transform(all_, lambda x: x["document"]), " | ").alias("captions"))
+
+
+@query
+def holdout_index(spark, folder):
+    return I.hold_out(caption_index(spark, folder), asked(spark, folder).select(F.col("query_id").alias("image_id"))).select("id", "image_id", "ann_id", "document")
+
+
+@query
+def holdout_counts(spark, folder):
+    before = caption_index(spark, folder).agg(F.count(F.lit(1)).alias("before"))
+    after = holdout_index(spark, folder).agg(F.count(F.lit(1)).alias("after"))
+    return before.join(F.broadcast(after)).withColumn("deleted", F.col("before") - F.col("after"))
+
+
+@query
+def vector_norms(spark, folder):
+    return table(spark, folder, "embeddings").select("vec_id", r(V.norm(F.col("embedding"))).alias("norm"), r(V.normalise(F.col("embedding"))[0]).alias("dim0"))
+
+
+@query
+def pair_scores(spark, folder):
+    e = table(spark, folder, "embeddings")
+    a, b = e.select("vec_id", F.col("embedding").alias("a")), e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b"))
+    scored = a.join(b, "vec_id").withColumn("cosine", V.dot(F.col("a"), F.col("b")))
+    return scored.select("vec_id", r("cosine").alias("cosine"), r(V.squared_l2(F.col("cosine"))).alias("squared_l2"), r(V.clip_score(F.col("cosine"), F.lit("x"))).alias("clip_score"))
+
+
+def _found(df):
+    return df.select("query_id", "rank", "id", r("distance").alias("distance"))
+
+
+@query
+def knn_top10_sibling_excluded(spark, folder):
+    return _found(knn.nearest_captions(asked(spark, folder), caption_index(spark, folder), 10, exclude_self=True))
+
+
+@query
+def knn_top1(spark, folder):
+    return _found(knn.nearest_captions(asked(spark, folder), caption_index(spark, folder), 1))
+
+
+@query
+def knn_id_excluded(spark, folder):
+    """Only the query's first row is left out, so its siblings come first, at distance 0."""
+    i = caption_index(spark, folder)
+    own = i.groupBy(F.col("image_id").alias("query_id")).agg(F.min("ann_id").alias("own"))
+    found = knn.nearest_captions(asked(spark, folder), i, 6).join(own, "query_id", "left").where("not (image_id = query_id and ann_id = own)")
+    w = Window.partitionBy("query_id").orderBy("rank")
+    return _found(found.withColumn("rank", F.row_number().over(w)).where("rank <= 5"))
+
+
+@query
+def confidence_flag(spark, folder):
+    top = selection.select_top1(pool(spark, folder, 1))
+    return top.select("query_id", V.is_uncertain(F.col("distance"), 1.25).alias("uncertain"), (F.col("caption") == "").alias("empty"))
+
+
+@query
+def select_top1(spark, folder):
+    return selection.select_top1(pool(spark, folder, 1)).select("query_id", "caption", r("distance").alias("distance"))
+
+
+@query
+def medoid_caption(spark, folder):
+    return selection.select_medoid(pool(spark, folder)).select("query_id", "caption", r("distance").alias("distance"), r("mean_similarity").alias("mean_similarity"))
+
+
+@query
+def match_distance(spark, folder):
+    p = pool(spark, folder)
+    return selection.match_distance(p, selection.select_medoid(p)).select("query_id", "caption", r("distance").alias("distance"))
+
+
+@query
+def aggregate_captions(spark, folder):
+    return selection.choose(pool(spark, folder, 3), "aggregated").select("query_id", "caption")
+
+
+@query
+def aggregate_documents(spark, folder):
+    """Sentence-wise aggregation of the whole texts of all documents, one block each."""
+    d = table(spark, folder, "documents").select(F.col("doc_id").alias("query_id"), F.lit(1).alias("pos"), F.col("text").alias("document"))
+    return selection.aggregate_captions(d)
+
+
+def variants(spark, folder):
+    """The image itself and, for its crops, the three vectors that follow."""
+    q, e = asked(spark, folder).select("query_id"), table(spark, folder, "embeddings")
+    rows = q.withColumn("variant_no", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("vec_id", F.col("query_id") + F.col("variant_no"))
+    return rows.join(e, "vec_id").select("query_id", "variant_no", "embedding")
+
+
+@query
+def advanced_retrieve(spark, folder):
+    got = retrieve.advanced(variants(spark, folder), caption_index(spark, folder))
+    return got.select("query_id", "caption", r("distance").alias("distance"), "variants")
+
+
+def augmented(spark, folder):
+    return knn.images_of(caption_index(spark, folder).where("is_augmented"))
+
+
+@query
+def near_dup_pairs(spark, folder):
+    return knn.similar_pairs(augmented(spark, folder), TWIN).select("a", "b", r("cosine").alias("cosine"))
+
+
+@query
+def max_sim_partner(spark, folder):
+    return graph.best_partner(knn.similar_pairs(augmented(spark, folder), TWIN)).select("image_id", "partner", r("cosine").alias("cosine"))
+
+
+@query
+def near_dup_clusters(spark, folder):
+    return graph.clusters(knn.similar_pairs(augmented(spark, folder), TWIN))
+
+
+@query
+def cluster_stats(spark, folder):
+    sizes = graph.cluster_sizes(near_dup_clusters(spark, folder))
+    return sizes.agg(F.count(F.lit(1)).alias("clusters"), F.coalesce(F.sum("size"), F.lit(0)).alias("members"), F.max("size").alias("largest"))
+
+
+@query
+def shift_summary(spark, folder):
+    """Nearest distance of four cells: base images, augmented images before, after, and after without twins."""
+    i, e = caption_index(spark, folder), table(spark, folder, "embeddings")
+    sample = i.where("image_id % 50 = 0").select("image_id", "is_augmented").distinct()
+    base, aug = sample.where("not is_augmented"), sample.where("is_augmented")
+    members = near_dup_clusters(spark, folder)
+    twins = graph.twins(aug, members).select("image_id").unionByName(aug.select("image_id")).distinct()
+    vectors = e.select(F.col("vec_id").alias("image_id"), "embedding")
+    held_base = I.hold_out(i.where("not is_augmented"), base)
+    after = I.hold_out(i, sample)
+    cells = {"base": (base, held_base), "before": (aug, held_base), "after": (aug, after), "after_without_twins": (aug, I.hold_out(after, twins))}
+    out = None
+    for name, (who, where) in cells.items():
+        q = vectors.join(who.select("image_id"), "image_id").withColumnRenamed("image_id", "query_id")
+        part = knn.nearest_captions(q, where, 1).withColumn("cell", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    got = diagnostics.summary(out, ["cell"], "distance")
+    return got.select("cell", *[r(c).alias(c) for c in ("mean", "median", "least", "most")], "n")
+
+
+@query
+def recall_unheld(spark, folder):
+    q = asked(spark, folder)
+    hits = diagnostics.first_hits(knn.nearest_captions(q, caption_index(spark, folder), 10))
+    return diagnostics.recall_at(hits, q, (1, 5, 10))
+
+
+@query
+def recall_heldout(spark, folder):
+    q, i = asked(spark, folder), caption_index(spark, folder)
+    held = I.hold_out(i, q.select(F.col("query_id").alias("image_id")))
+    return diagnostics.recall_at(diagnostics.first_hits(knn.nearest_captions(q, held, 10)), q, (1, 5, 10))
+
+
+@query
+def first_hit_rank(spark, folder):
+    return diagnostics.first_hits(knn.nearest_captions(asked(spark, folder), caption_index(spark, folder), 10))
+
+
+def _images(spark, folder):
+    return table(spark, folder, "embeddings").select(F.col("vec_id").alias("image_id"), "embedding")
+
+
+def _ranked(df):
+    return df.select("query_id", F.col("image_id").alias("id"), "rank")
+
+
+@query
+def int8_overlap(spark, folder):
+    q, i = asked(spark, folder), _images(spark, folder)
+    plain = _ranked(knn.top_images(q, i, 10, True))
+    coarse = _ranked(knn.top_images(quantize.int8_round_trip(q), quantize.int8_round_trip(i), 10, True, unit=False))
+    return quantize.overlap(plain, coarse, 10).select("queries", "shared", r("overlap").alias("overlap"), "flips", r("flip_rate").alias("flip_rate"))
+
+
+@query
+def int8_vectors(spark, folder):
+    coded = quantize.int8_round_trip(_images(spark, folder))
+    return coded.select("image_id", r("scale").alias("scale"), F.array_join(F.transform("codes", lambda x: x.cast("string")), " ").alias("codes"))
+
+
+@query
+def fp16_overlap(spark, folder):
+    q, i = asked(spark, folder), _images(spark, folder)
+    plain = _ranked(knn.top_images(q, i, 10, True))
+    half = _ranked(knn.top_images(quantize.fp16_round_trip(q), quantize.fp16_round_trip(i), 10, True, unit=False))
+    return quantize.overlap(plain, half, 10)
+
+
+@query
+def memory_table(spark, folder):
+    return quantize.memory_table(_images(spark, folder))
+
+
+def _scored(spark, folder):
+    i = caption_index(spark, folder)
+    cand = selection.select_medoid(pool(spark, folder)).select(F.col("query_id").alias("item"), F.col("caption").alias("candidate"))
+    return cand, i.select(F.col("image_id").alias("item"), F.col("document").alias("reference"))
+
+
+@query
+def bleu4(spark, folder):
+    return metrics.bleu(*_scored(spark, folder)).select(r("bleu").alias("bleu"), "n")
+
+
+@query
+def bleu1(spark, folder):
+    return metrics.bleu(*_scored(spark, folder), most=1).select(r("bleu").alias("bleu"), "n")
+
+
+@query
+def cider(spark, folder):
+    return metrics.cider(*_scored(spark, folder)).select("item", r("cider").alias("cider"))
+
+
+@query
+def rouge_l(spark, folder):
+    return metrics.rouge_l(*_scored(spark, folder)).select("item", r("rouge_l").alias("rouge_l"))
+
+
+@query
+def meteor_exact(spark, folder):
+    return metrics.meteor_exact(*_scored(spark, folder)).select("item", r("meteor_exact").alias("meteor_exact"))
+
+
+@query
+def metric_delta(spark, folder):
+    """CIDEr of the medoid against that of the nearest caption."""
+    cand, refs = _scored(spark, folder)
+    near = selection.select_top1(pool(spark, folder, 1)).select(F.col("query_id").alias("item"), F.col("caption").alias("candidate"))
+    mean = lambda c, name: metrics.cider(c, refs).agg(F.avg("cider").alias(name))
+    both = mean(cand, "medoid").join(F.broadcast(mean(near, "top1")))
+    return both.select(r("medoid").alias("medoid"), r("top1").alias("top1"), r(F.col("medoid") - F.col("top1")).alias("delta"))
+
+
+@query
+def clip_score(spark, folder):
+    top = knn.nearest_captions(asked(spark, folder), caption_index(spark, folder), 1, True)
+    return top.select("query_id", r(V.clip_score(1.0 - F.col("distance") / 2, F.col("document"))).alias("clip_score"))
+
+
+@query
+def generic_floor(spark, folder):
+    return asked(spark, folder).select("query_id", F.lit(retrieve.FLOOR).alias("caption"), r(V.clip_score(V.dot(V.normalise(F.col("embedding")), V.normalise(F.col("embedding"))), F.lit(retrieve.FLOOR))).alias("ceiling"))
+
+
+@query
+def latency_percentiles(spark, folder):
+    return diagnostics.percentiles(table(spark, folder, "events"), "event_type", "value")
+
+
+@query
+def stage_latency(spark, folder):
+    got = diagnostics.summary(table(spark, folder, "events"), ["event_type"], "value")
+    return got.select("event_type", r("mean", 2).alias("mean_ms"), r("median", 2).alias("p50_ms"), F.col("n").alias("calls"))
+
+
+def _titles(spark, folder):
+    return table(spark, folder, "pages").select("page_id", "html", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+
+
+@query
+def clean_description(spark, folder):
+    return _titles(spark, folder).select("page_id", T.clean_description(F.col("html")).alias("description"), T.clean_description(F.col("title")).alias("title_description"))
+
+
+@query
+def blocklist_filter(spark, folder):
+    d = table(spark, folder, "documents").select("doc_id", T.is_blocked(F.col("text")).alias("text_blocked"), T.is_blocked(F.concat(F.lit("Flag of "), "lang")).alias("title_blocked"))
+    return d
+
+
+@query
+def fallback_caption(spark, folder):
+    rows = _titles(spark, folder).select("page_id", F.col("title").alias("html"), F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("phrase"))
+    return ingest.captioned(rows).select("page_id", "caption")
+
+
+@query
+def prompts(spark, folder):
+    d = table(spark, folder, "documents").withColumn("prompt", T.prompt(F.col("text")))
+    return d.select("doc_id", "prompt", T.without_prompt(F.concat(F.translate("prompt", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.lit("  a street ")), F.col("prompt")).alias("stripped"))
+
+
+def _shards(spark, folder, by):
+    return caption_index(spark, folder).select((F.col(by) % 3).cast("int").alias("file_no"), "image_id", "ann_id", F.col("document").alias("caption"))
+
+
+@query
+def merge_annotations(spark, folder):
+    rows = _shards(spark, folder, "image_id")
+    return ingest.merge([rows.where(F.col("file_no") == i).drop("file_no") for i in range(3)])
+
+
+@query
+def merge_collisions(spark, folder):
+    return ingest.collisions(_shards(spark, folder, "ann_id"))
+
+
+@query
+def label_template_join(spark, folder):
+    templates = spark.range(10).select(F.col("id").cast("int").alias("label"), F.concat(F.lit("a photo of kind "), F.col("id").cast("string")).alias("caption"))
+    rows = ingest.numbered(table(spark, folder, "embeddings").select("vec_id", "label"), ["vec_id"], 90_000_000)
+    return ingest.with_templates(rows, templates).select("vec_id", "image_id", F.col("image_id").alias("ann_id"), "caption")
+
+
+def _boxes(spark, folder):
+    e = table(spark, folder, "embeddings").select(F.col("vec_id").alias("image_id"), (F.col("label") + 1).alias("label_id"))
+    rows = e.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(6))))
+    h = lambda a, m: F.pmod(F.col("image_id") * a + F.col("n") * 97, F.lit(m)).cast("int")
+    boxed = rows.withColumn("x0", h(37, 300)).withColumn("y0", h(53, 200)).withColumn("score", h(71, 100) / 100.0)
+    return boxed.withColumn("x1", F.col("x0") + h(11, 90) + 5).withColumn("y1", F.col("y0") + h(17, 80) + 5).withColumn("width", F.lit(320)).withColumn("height", F.lit(240))
+
+
+@query
+def crop_boxes(spark, folder):
+    return geometry.crop_boxes(_boxes(spark, folder)).select("image_id", "n", "x0", "y0", "x1", "y1")
+
+
+@query
+def top_detections(spark, folder):
+    return geometry.top_detections(_boxes(spark, folder)).select("image_id", "place", "label_id", "x0", "y0", "x1", "y1")
+
+
+@query
+def mask_bbox(spark, folder):
+    pixels = table(spark, folder, "lineitem").select((F.col("l_orderkey") % 50).alias("image_id"), (F.col("l_linenumber") - 1).alias("seg_id"), (F.col("l_partkey") % 640).alias("x"), (F.col("l_suppkey") % 480).alias("y"))
+    return geometry.mask_boxes(pixels)
+
+
+@query
+def top_segments(spark, folder):
+    return geometry.top_segments(mask_bbox(spark, folder)).select("image_id", "seg_id", "area", "place")
+
+
+@query
+def random_crops(spark, folder):
+    return geometry.random_boxes(_images(spark, folder).select("image_id", F.lit(640).alias("width"), F.lit(480).alias("height")))
+
+
+def _runs(spark, folder):
+    p = pool(spark, folder)
+    made = lambda df, name: df.select(F.lit(name).alias("config"), F.col("query_id").alias("image_id"), "caption", r("distance").alias("score"))
+    return made(selection.select_top1(p), "top1__none").unionByName(made(selection.select_medoid(p), "medoid__none"))
+
+
+@query
+def gallery_entries(spark, folder):
+    refs = caption_index(spark, folder).select("image_id", "ann_id", F.col("document").alias("caption"))
+    got = ingest.gallery(_runs(spark, folder), refs)
+    return got.select("image_id", F.coalesce(F.array_join("references", " | "), F.lit("")).alias("refs"), F.element_at("configs", "medoid__none")["caption"].alias("medoid"), F.element_at("configs", "top1__none")["caption"].alias("top1"))
+
+
+@query
+def ablation_table(spark, folder):
+    p, v = pool(spark, folder), retrieve.variant_pool(variants(spark, folder), caption_index(spark, folder))
+    out = None
+    for crops, candidates in (("none", p), ("both", v)):
+        for mode in ("top1", "medoid"):
+            part = selection.choose(candidates, mode).withColumn("crops", F.lit(crops))
+            out = part if out is None else out.unionByName(part)
+    return out.groupBy("mode", "crops").agg(F.count(F.lit(1)).alias("n"), r(F.avg("distance")).alias("mean_distance"), r(F.avg(F.char_length("caption"))).alias("mean_chars"))
+
+
+@query
+def stride_sample(spark, folder):
+    return diagnostics.stride_sample(_images(spark, folder).select("image_id"), "image_id", 50)
+
+
+@query
+def hash_sample(spark, folder):
+    return diagnostics.hash_sample(_images(spark, folder).select("image_id"), "image_id", 50)
+
+
+@query
+def tie_census(spark, folder):
+    found = knn.nearest_captions(asked(spark, folder), caption_index(spark, folder), 2, True)
+    two = found.groupBy("query_id").agg(r(F.max("distance") - F.min("distance"), 9).alias("gap"), F.count(F.lit(1)).alias("n"))
+    return two.agg(F.count_if((F.col("n") == 2) & (F.col("gap") == 0)).alias("ties"), F.count(F.lit(1)).alias("queries"))
+
+
+@query
+def k_dependence(spark, folder):
+    """Queries whose first row is another if three are asked for: none."""
+    q, i = asked(spark, folder), caption_index(spark, folder)
+    one, three = (knn.nearest_captions(q, i, k, True).where("rank = 1").select("query_id", F.col("id").alias(f"k{k}")) for k in (1, 3))
+    return one.join(three, "query_id").where(~F.col("k1").eqNullSafe(F.col("k3")))
