@@ -18,7 +18,10 @@ def ngrams(words: Column, n: int) -> Column:
 
 def _counted(df: DataFrame, keys: list[str], most: int) -> DataFrame:
     """(keys, n, gram, c) for every length up to ``most``, in one pass."""
-    grams = F.flatten(F.array(*[F.transform(ngrams(F.col("words"), n), lambda g, n=n: F.struct(F.lit(n).alias("n"), g.alias("gram"))) for n in range(1, most + 1)]))
+    def named(n: int) -> Column:
+        return F.transform(ngrams(F.col("words"), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram")))
+
+    grams = F.flatten(F.array(*[named(n) for n in range(1, most + 1)]))
     return df.select(*keys, F.explode(grams).alias("g")).groupBy(*keys, "g.n", "g.gram").agg(F.count(F.lit(1)).alias("c"))
 
 
