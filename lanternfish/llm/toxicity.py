@@ -147,13 +147,14 @@ class Tagger:
 
 
 def doc_features(p: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """What marginals say of a text: expected toxic words, their greatest and second marginals, their rate."""
+    """What marginals say of a text: words tagged toxic, weighted by their marginals, the greatest and the
+    second marginal, and the rate. Words below one half don't add up, or long clean texts would seem toxic."""
     out = np.zeros((len(size), 5))
     out[:, 0] = 1
     full = np.flatnonzero(size)
     if len(full):
         start = (np.cumsum(size) - size)[full]
-        total = np.add.reduceat(p, start)
+        total = np.add.reduceat(np.where(p >= 0.5, p, 0.0), start)
         top = np.maximum.reduceat(p, start)
         owner = np.repeat(np.arange(len(full)), size[full])
         at = np.flatnonzero(p == top[owner])
