@@ -171,7 +171,8 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
     inputs = list(columns)
     names = ["__id", "__y", *inputs]
-    model = rows.select(*names).unionByName(pool.select(*names)).repartition(1).mapInArrow(train, "model binary").first()[0]
+    made = rows.select(*names).unionByName(pool.select(*names)).repartition(1).mapInArrow(train, "model binary").first()
+    model = made[0] if made else fit([], [], np.zeros(0, dtype=np.int64), [], [], prior)  # neither labels nor pool, no task
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = pickle.loads(model)

@@ -278,7 +278,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         model = fit([t for *_, t in got], np.array([y for _, y, _ in got], dtype=np.int64), prior)
         yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
 
-    return rows.select("__id", "__y", F.col(text_col).alias("__text")).repartition(1).mapInArrow(run, "model binary").first()[0]
+    made = rows.select("__id", "__y", F.col(text_col).alias("__text")).repartition(1).mapInArrow(run, "model binary").first()
+    return made[0] if made else fit([], np.zeros(0, dtype=np.int64), prior)  # no labelled row, no task
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic",
