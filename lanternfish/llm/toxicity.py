@@ -25,6 +25,8 @@ SHARE, ODDS = 0.02, 3.0
 PREFIXES = (3, 4, 5, 6, 7)
 #: Words whose summed weights a worker remembers; then it starts anew. Speed only.
 REMEMBERED = 300_000
+#: Bytes of text that are tagged at once, in whole texts: the arrays of a chain take some 100 times as much. Memory only.
+BLOCK_BYTES = 1 << 20
 THRESHOLD = 0.7
 
 
@@ -246,6 +248,21 @@ def fit(texts: list[bytes], toxic: np.ndarray, prior: float, epochs: int = 40) -
     return pickle.dumps(model)
 
 
+def text_blocks(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of the batches with their texts (column ``at``; null as empty), of ``BLOCK_BYTES`` or one text."""
+    for whole in batches:
+        lo, held, texts = 0, 0, []
+        for hi, t in enumerate(whole.column(at).cast(pa.large_binary())):
+            raw = t.as_buffer().to_pybytes() if t.is_valid else b""
+            if texts and held + len(raw) > BLOCK_BYTES:
+                yield whole.slice(lo, hi - lo), texts
+                lo, held, texts = hi, 0, []
+            texts.append(raw)
+            held += len(raw)
+        if texts:
+            yield whole.slice(lo), texts
+
+
 def held_out(id_: Column) -> Column:
     """Rows that nothing is learnt from: crc32 of the id as text, modulo 3, is 1. A null id is not held out."""
     return F.coalesce(F.crc32(id_.cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -296,24 +313,21 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = pickle.loads(model)
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 2048):
-                batch = whole.slice(lo, 2048)
-                texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(2).cast(pa.large_binary())]
-                score, p, size = tagger.score(texts)
-                spans: list[list[dict]] = [[] for _ in texts]
-                start = np.cumsum(size) - size
-                for d in np.unique(np.searchsorted(start, np.flatnonzero(p >= 0.5), "right") - 1) if len(p) else ():
-                    while not size[d]:
-                        d -= 1
-                    own = p[start[d] : start[d] + size[d]]
-                    for m, q in zip(WORD.finditer(texts[d].decode()), own.tolist()):
-                        if q >= 0.5:
-                            spans[d].append({"start": m.start(), "end": m.end(), "p": q})
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0), batch.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32)),
-                    pa.array([len(s) for s in spans], pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())])))],
-                    names=[id_col, "held_out", "score", "predicted", "n_toxic", "spans"])
+        for batch, texts in text_blocks(batches, 2):
+            score, p, size = tagger.score(texts)
+            spans: list[list[dict]] = [[] for _ in texts]
+            start = np.cumsum(size) - size
+            for d in np.unique(np.searchsorted(start, np.flatnonzero(p >= 0.5), "right") - 1) if len(p) else ():
+                while not size[d]:
+                    d -= 1
+                own = p[start[d] : start[d] + size[d]]
+                for m, q in zip(WORD.finditer(texts[d].decode()), own.tolist()):
+                    if q >= 0.5:
+                        spans[d].append({"start": m.start(), "end": m.end(), "p": q})
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), batch.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32)),
+                pa.array([len(s) for s in spans], pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())])))],
+                names=[id_col, "held_out", "score", "predicted", "n_toxic", "spans"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("__text")).mapInArrow(
@@ -328,10 +342,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = pickle.loads(model)
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 2048):
-                batch = whole.slice(lo, 2048)
-                texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(at).cast(pa.large_binary())]
-                yield batch.filter(pa.array(tagger.score(texts)[0] < threshold))
+        for batch, texts in text_blocks(batches, at):
+            yield batch.filter(pa.array(tagger.score(texts)[0] < threshold))
 
     return docs.mapInArrow(run, docs.schema)
