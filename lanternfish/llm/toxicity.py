@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 import pickle
 import re
-from collections import Counter
 from collections.abc import Iterator
 from itertools import islice
 
@@ -14,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lanternfish.llm.batches import text_blocks
 from lanternfish.llm.decontaminate import words_of
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
@@ -27,6 +27,8 @@ PREFIXES = (3, 4, 5, 6, 7)
 REMEMBERED = 300_000
 #: Bytes of text that are tagged at once, in whole texts: the arrays of a chain take some 100 times as much. Memory only.
 BLOCK_BYTES = 1 << 20
+#: Words, in whole texts, whose chains are run at once while the field is fitted. Memory only.
+FIT_WORDS = 1 << 17
 THRESHOLD = 0.7
 
 
@@ -120,9 +122,9 @@ class Tagger:
         """(number of each word, whether a text starts there, words of each text)."""
         if len(self.number) > REMEMBERED:
             self.number, self.summed = _Numbers(), np.zeros((3, 0))
-        words = [words_of(t) for t in texts]
-        size = np.array([len(w) for w in words], dtype=np.int64)
-        ids = np.concatenate([np.fromiter(map(self.number.__getitem__, w), dtype=np.int64, count=len(w)) for w in words]) if words else np.zeros(0, dtype=np.int64)
+        parts = [np.fromiter(map(self.number.__getitem__, words_of(t)), dtype=np.int64) for t in texts]
+        size = np.array([len(x) for x in parts], dtype=np.int64)
+        ids = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
         first = np.zeros(len(ids), dtype=bool)
         first[(np.cumsum(size) - size)[size > 0]] = True
         return ids, first, size
@@ -185,15 +187,28 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30,
     return w
 
 
-def token_lexicon(docs: list[set[str]], toxic: np.ndarray) -> set[str]:
-    """Features that label words of toxic rows: common among these rows, rare among others."""
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    for f, y in zip(docs, toxic):
-        seen[int(y)].update(f)
-    n1, n0 = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
-    odds = {f: math.log((k + 0.5) / (n1 + 1)) - math.log((seen[0][f] + 0.5) / (n0 + 1)) for f, k in seen[1].items() if k >= 2}
-    found = {f for f, o in odds.items() if o >= ODDS and seen[1][f] >= SHARE * n1}
-    return found or set(sorted(odds, key=lambda f: (-odds[f] * math.log1p(seen[1][f]), f))[:10])
+def token_lexicon(seen: np.ndarray, names: list[str], n: tuple[int, int]) -> np.ndarray:
+    """Which features label words of toxic rows: common among these rows, rare among others. ``seen``:
+    the rows of either class that have each feature; ``n``: the rows of either class."""
+    n0, n1 = max(1, n[0]), max(1, n[1])
+    odds = np.log((seen[1] + 0.5) / (n1 + 1)) - np.log((seen[0] + 0.5) / (n0 + 1))
+    found = (seen[1] >= 2) & (odds >= ODDS) & (seen[1] >= SHARE * n1)
+    if not found.any():
+        best = sorted(np.flatnonzero(seen[1] >= 2), key=lambda i: (-odds[i] * math.log1p(seen[1][i]), names[i]))
+        found[best[:10]] = True
+    return found
+
+
+def whole_runs(size: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """(first text, text after the last) of consecutive texts of ``most`` words together, or of one text."""
+    lo, held = 0, 0
+    for i, n in enumerate(size.tolist()):
+        if i > lo and held + n > most:
+            yield lo, i
+            lo, held = i, 0
+        held += n
+    if lo < len(size):
+        yield lo, len(size)
 
 
 def fit(texts: list[bytes], toxic: np.ndarray, prior: float, epochs: int = 40) -> bytes:
@@ -207,33 +222,44 @@ def fit(texts: list[bytes], toxic: np.ndarray, prior: float, epochs: int = 40) -
         return pickle.dumps(Tagger([], np.zeros((3, 1)), -5.0, np.zeros((2, 2)), np.array([math.log(max(prior, 1e-3) / max(1 - prior, 1e-3)), 0, 0, 0, 0])))
     tagger = Tagger([], np.zeros((3, 1)), -3.0, np.zeros((2, 2)), np.zeros(5))
     ids, first, size = tagger.lay_out(texts)
+    number = _Numbers()  # features, as they are met in the words
+    of_word = [np.fromiter(map(number.__getitem__, features(w)), dtype=np.int64) for w in tagger.number]
+    known, seen = list(number), np.zeros((2, len(number)), dtype=np.int64)
+    for y, x in zip(toxic, np.split(ids, np.cumsum(size)[:-1])):
+        if len(x):
+            seen[y, np.unique(np.concatenate([of_word[i] for i in np.unique(x)]))] += 1
+    lexicon = token_lexicon(seen, known, (len(toxic) - int(toxic.sum()), int(toxic.sum())))
+    names = sorted(f for f, k in zip(known, seen.sum(axis=0).tolist()) if k >= 3)
+    n, m = len(names) + 1, len(of_word)
+    marked = np.array([lexicon[x].any() for x in of_word], dtype=np.float64)
     words = list(tagger.number)
-    of_word = [features(w) for w in words]
-    own = np.split(ids, np.cumsum(size)[:-1])
-    sets = [{f for i in np.unique(x) for f in of_word[i]} for x in own]
-    lexicon = token_lexicon(sets, toxic)
-    df = Counter(f for x in sets for f in x)
-    names = sorted(f for f, k in df.items() if k >= 3)
-    n, m = len(names) + 1, len(words)
+    del of_word, number, known
     tagger = Tagger(names, np.zeros((3, n)), -3.0, np.zeros((2, 2)), np.zeros(5))
     rows = tagger.rows_of(words)
-    marked = np.array([not lexicon.isdisjoint(f) for f in of_word], dtype=np.float64)
     gold = marked[ids] * np.repeat(toxic, size)
-    inner = ~first[1:]
-    same = gold[:-1].astype(int) * 2 + gold[1:].astype(int)
-    gold_pairs = np.bincount(same[inner], minlength=4).reshape(2, 2)
+    same = gold[:-1].astype(np.int8) * 2 + gold[1:].astype(np.int8)
+    gold_pairs = np.bincount(same[~first[1:]], minlength=4).reshape(2, 2)
     theta, m1, m2 = np.concatenate([tagger.weight.ravel(), [tagger.bias], tagger.trans.ravel()]), 0.0, 0.0
+    ends = np.r_[0, np.cumsum(size)]
+    runs = [slice(ends[lo], ends[hi]) for lo, hi in whole_runs(size, FIT_WORDS) if ends[lo] < ends[hi]]
     per = max(1.0, gold.sum())
     for epoch in range(1, epochs + 1):
-        emit = tagger.emissions(ids, first, tagger.weight[:, rows].sum(axis=2))
-        alpha, beta, p = forward_backward(emit, first, tagger.trans)
-        off = gold - p
-        by_word = (np.bincount(ids, off, m), np.bincount(ids[:-1], np.where(inner, off[1:], 0), m), np.bincount(ids[1:], np.where(inner, off[:-1], 0), m))
+        summed, t = tagger.weight[:, rows].sum(axis=2), np.exp(tagger.trans)
+        by_word, pairs, bias = np.zeros((3, m)), np.zeros((2, 2)), 0.0
+        for run in runs:
+            w, start = ids[run], first[run]
+            emit, inner = tagger.emissions(w, start, summed), ~start[1:]
+            alpha, beta, p = forward_backward(emit, start, tagger.trans)
+            off = gold[run] - p
+            by_word[0] += np.bincount(w, off, m)
+            by_word[1] += np.bincount(w[:-1], np.where(inner, off[1:], 0), m)
+            by_word[2] += np.bincount(w[1:], np.where(inner, off[:-1], 0), m)
+            e = np.exp(np.clip(emit, -30, 30))[1:]
+            pair = np.stack([alpha[:-1, i] * t[i, j] * (e if j else 1.0) * beta[1:, j] for i in (0, 1) for j in (0, 1)])
+            pairs += (pair / pair.sum(axis=0))[:, inner].sum(axis=1).reshape(2, 2)
+            bias += off.sum()
         grad = np.stack([np.bincount(rows.ravel(), np.repeat(x, rows.shape[1]), n) for x in by_word])
-        t, e = np.exp(tagger.trans), np.exp(np.clip(emit, -30, 30))[1:]
-        pair = np.stack([alpha[:-1, i] * t[i, j] * (e if j else 1.0) * beta[1:, j] for i in (0, 1) for j in (0, 1)])
-        pair = (pair / pair.sum(axis=0))[:, inner].sum(axis=1).reshape(2, 2)
-        g = np.concatenate([grad.ravel(), [off.sum()], (gold_pairs - pair).ravel()]) / per - 1e-4 * theta
+        g = np.concatenate([grad.ravel(), [bias], (gold_pairs - pairs).ravel()]) / per - 1e-4 * theta
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
         theta = theta + 0.2 / math.sqrt(1 + epoch / 20) * (m1 / (1 - 0.9**epoch)) / (np.sqrt(m2 / (1 - 0.99**epoch)) + 1e-6)
         tagger.weight, tagger.bias, tagger.trans = theta[: 3 * n].reshape(3, n), float(theta[3 * n]), theta[3 * n + 1 :].reshape(2, 2)
@@ -242,27 +268,12 @@ def fit(texts: list[bytes], toxic: np.ndarray, prior: float, epochs: int = 40) -
     weight = np.where(toxic == 1, prior / share, (1 - prior) / (1 - share))
     strong = np.flatnonzero(np.abs(tagger.weight[:, 1:]).max(axis=0) > 0.3) + 1
     model = Tagger([names[i - 1] for i in strong], tagger.weight[:, np.r_[0, strong]], tagger.bias, tagger.trans, tagger.doc)
-    p, size = model.marginals(texts)
-    model.doc = logistic(doc_features(p, size), toxic.astype(float), 0.1, weight=weight)
+    x = np.concatenate([doc_features(*model.marginals(texts[lo:hi])) for lo, hi in whole_runs(size, FIT_WORDS)])
+    model.doc = logistic(x, toxic.astype(float), 0.1, weight=weight)
     model.number, model.summed = _Numbers(), np.zeros((3, 0))
     return pickle.dumps(model)
 
 
-def text_blocks(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches with their texts (column ``at``; null as empty), of ``BLOCK_BYTES`` or one text."""
-    for whole in batches:
-        lo, held, texts = 0, 0, []
-        for hi, t in enumerate(whole.column(at).cast(pa.large_binary())):
-            raw = t.as_buffer().to_pybytes() if t.is_valid else b""
-            if texts and held + len(raw) > BLOCK_BYTES:
-                yield whole.slice(lo, hi - lo), texts
-                lo, held, texts = hi, 0, []
-            texts.append(raw)
-            held += len(raw)
-        if texts:
-            yield whole.slice(lo), texts
-
-
 def held_out(id_: Column) -> Column:
     """Rows that nothing is learnt from: crc32 of the id as text, modulo 3, is 1. A null id is not held out."""
     return F.coalesce(F.crc32(id_.cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -313,7 +324,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = pickle.loads(model)
-        for batch, texts in text_blocks(batches, 2):
+        for batch, texts in text_blocks(batches, 2, BLOCK_BYTES):
             score, p, size = tagger.score(texts)
             spans: list[list[dict]] = [[] for _ in texts]
             start = np.cumsum(size) - size
@@ -342,7 +353,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = pickle.loads(model)
-        for batch, texts in text_blocks(batches, at):
+        for batch, texts in text_blocks(batches, at, BLOCK_BYTES):
             yield batch.filter(pa.array(tagger.score(texts)[0] < threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -305,3 +305,32 @@ def test_pipeline(spark):
 
 def test_shared_folder_is_the_sessions(spark):
     assert store.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+def test_text_blocks_hold_every_row_once():
+    import pyarrow as pa
+
+    from lanternfish.llm.batches import text_blocks
+
+    texts = ["", None, "ab", "c" * 50, "d", "é" * 4, None, "ef"]
+    batches = [pa.RecordBatch.from_pydict({"t": pa.array(texts, pa.string()), "n": list(range(8))}), pa.RecordBatch.from_pydict({"t": pa.array([], pa.string()), "n": pa.array([], pa.int64())})]
+    for most in (1, 4, 10, 1000):
+        got = list(text_blocks(iter(batches), 0, most))
+        assert [n for b, _ in got for n in b.column(1).to_pylist()] == list(range(8))
+        assert [t for _, x in got for t in x] == [(t or "").encode() for t in texts]
+        assert all(len(x) == b.num_rows and (len(x) == 1 or sum(map(len, x)) <= most) for b, x in got)
+
+
+def test_fit_does_not_depend_on_its_runs(monkeypatch):
+    import pickle
+
+    import numpy as np
+
+    texts = [f"word{i % 7} calm day vile{i % 2} end{i}".encode() if i % 3 == 0 else f"word{i % 5} calm day mild end{i}".encode() for i in range(60)] + [b""]
+    toxic = np.array([int(i % 3 == 0) for i in range(60)] + [0])
+    one = pickle.loads(toxicity.fit(texts, toxic, 0.3, epochs=5))
+    monkeypatch.setattr(toxicity, "FIT_WORDS", 7)
+    many = pickle.loads(toxicity.fit(texts, toxic, 0.3, epochs=5))
+    assert one.index == many.index and np.allclose(one.weight, many.weight) and np.allclose(one.doc, many.doc)
+    assert np.allclose(one.score(texts)[0], many.score(texts)[0])
+    assert len(pickle.loads(toxicity.fit([b"", b" . "], np.array([0, 1]), 0.5)).score([b"", b"x y"])[0]) == 2
