@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lanternfish.llm.batches import text_blocks
+
 #: UTF-8 bytes of a word stay (0-9, a-z and all beyond ASCII), A-Z become a-z, the rest becomes a space.
 WORD_BYTES = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
@@ -18,6 +20,8 @@ WORD_BYTES = bytes(
 WINDOW = 10
 #: Words of test items that a task holds at once; a larger benchmark is searched block by block.
 BLOCK_WORDS = 1_000_000
+#: Bytes of documents, in whole texts, that make one shard with its suffix array.
+SHARD_BYTES = 4 << 20
 RESULT = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, longest_match bigint, matches array<struct<item_id:string,item_word:bigint,doc_word:bigint,words:bigint>>"
 
 
@@ -174,8 +178,8 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
                   item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(id, n_words, n_hit, n_items, items_sha256, contaminated, longest_match, matches) of each document.
 
-    A window is ``window`` consecutive words of an item, or all of a shorter one. Every batch of
-    documents is a shard with a suffix array over its runs of test words (no other suffix can match);
+    A window is ``window`` consecutive words of an item, or all of a shorter one. Some megabytes of
+    documents are a shard with a suffix array over its runs of test words (no other suffix can match);
     every test suffix is searched there. ``matches`` has the longest verbatim matches with their places
     in words, ``items_sha256`` the ids of matched items, sorted as strings and joined by commas. Test
     items are broadcast in blocks of at most ``block_words`` words, so a task holds one block at a time.
@@ -187,8 +191,7 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     held = [context.broadcast(b) for b in _blocks(bench, item_col, item_text_col, window, block_words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(1).cast(pa.large_binary())]
+        for batch, texts in text_blocks(batches, 1, SHARD_BYTES):
 
             def each():
                 for b in held:
