@@ -46,3 +46,37 @@ def recall_at(ranks: DataFrame, queries: DataFrame, ks: tuple[int, ...]) -> Data
 def first_hits(found: DataFrame) -> DataFrame:
     """(query_id, first_hit): the least rank of a row of the query's own image."""
     return found.where("image_id = query_id").groupBy("query_id").agg(F.min("rank").alias("first_hit"))
+
+
+def order_mismatches(a: DataFrame, a_order: list[str], b: DataFrame, b_order: list[str], key: str = "id") -> DataFrame:
+    """One row (rows_a, rows_b, mismatches): places at which two fetches, each in its own order, have another ``key``."""
+    from lanternfish.operators.ingest import numbered
+
+    x, y = (numbered(df, order, 0, "__at").select("__at", F.col(key).alias(name)) for df, order, name in ((a, a_order, "x"), (b, b_order, "y")))
+    met = x.withColumn("in_a", F.lit(1)).join(y.withColumn("in_b", F.lit(1)), "__at", "full")
+    return met.agg(F.count("in_a").alias("rows_a"), F.count("in_b").alias("rows_b"), F.count_if(~F.col("x").eqNullSafe(F.col("y"))).alias("mismatches"))
+
+
+def random_vectors(ids: DataFrame, dims: int, seed: int = 43) -> DataFrame:
+    """(query_id, embedding) for each of ``ids`` (query_id): vectors of no meaning, to see what chance would find.
+
+    Each value is the sum of four uniform numbers, the digits of one MD5, less their mean: nearly Gaussian,
+    and the same on any cluster.
+    """
+    def value(i: Column) -> Column:
+        h = F.md5(F.concat_ws("-", F.col("query_id").cast("string"), i.cast("string"), F.lit(str(seed))))
+        parts = [F.conv(F.substring(h, 1 + 8 * k, 8), 16, 10).cast("double") for k in range(4)]
+        return (parts[0] + parts[1] + parts[2] + parts[3]) / 4294967296.0 - 2.0
+
+    return ids.select("query_id", F.transform(F.sequence(F.lit(1), F.lit(dims)), value).alias("embedding"))
+
+
+def chance_floor(index: DataFrame, most: int) -> DataFrame:
+    """One row (floor): the recall at ``most`` of a search that draws rows by lot."""
+    return index.agg(F.try_divide(F.lit(float(most)), F.count(F.lit(1))).alias("floor"))
+
+
+def disagreement(a: DataFrame, b: DataFrame, value: str, tolerance: float = 1e-6) -> DataFrame:
+    """One row (a, b, agree): whether the means of ``value`` of two runs that should be equal are within ``tolerance``."""
+    one = a.agg(F.avg(value).alias("a")).join(F.broadcast(b.agg(F.avg(value).alias("b"))))
+    return one.withColumn("agree", F.coalesce(F.abs(F.col("a") - F.col("b")) <= tolerance, F.lit(False)))

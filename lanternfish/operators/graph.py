@@ -2,25 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder and read again, so that rounds don't pile up a lineage."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:  # local runs and tests, where there is one machine
-        import tempfile
-
-        folder = f"file://{tempfile.mkdtemp(prefix='lanternfish-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-        spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from lanternfish.sources.scratch import forget, written
 
 
 def clusters(pairs: DataFrame, rounds: int = 50) -> DataFrame:
@@ -29,17 +14,19 @@ def clusters(pairs: DataFrame, rounds: int = 50) -> DataFrame:
     Each round takes the least label of the neighbours and then the label of that label, so that rounds
     grow with the log of a chain's length. Raises if ``rounds`` don't settle it.
     """
-    both = _cut(pairs.select("a", "b").union(pairs.select("b", "a")).where("a <> b").distinct())
-    now = _cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    both = written(pairs.select("a", "b").union(pairs.select("b", "a")).where("a <> b").distinct(), "graph-links")
+    last = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")), "graph-labels")
     for _ in range(rounds):
+        now = last.select("a", "label")
         heard = both.join(now.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("label").alias("heard"))
         met = now.join(heard, "a", "left").select("a", F.least("label", F.coalesce("heard", "label")).alias("label"), F.col("label").alias("old"))
         jump = met.select(F.col("a").alias("label"), F.col("label").alias("next"))
-        new = _cut(met.join(jump, "label", "left").select("a", F.least("label", F.coalesce("next", "label")).alias("label"), "old"))
-        changed = new.where("label <> old").isEmpty()
-        now = new.select("a", "label")
-        if changed:
-            return now.select(F.col("a").alias("image_id"), F.col("label").alias("cluster"))
+        new = written(met.join(jump, "label", "left").select("a", F.least("label", F.coalesce("next", "label")).alias("label"), "old"), "graph-labels")
+        forget(last)
+        last = new
+        if new.where("label <> old").isEmpty():
+            forget(both)
+            return new.select(F.col("a").alias("image_id"), F.col("label").alias("cluster"))
     raise RuntimeError(f"clusters did not settle in {rounds} rounds")
 
 
@@ -58,3 +45,18 @@ def twins(sample: DataFrame, members: DataFrame) -> DataFrame:
     """Images that share a cluster with one of ``sample`` (image_id), the sample's own included."""
     hit = members.join(sample.select("image_id"), "image_id", "left_semi").select("cluster").distinct()
     return members.join(hit, "cluster", "left_semi").select("image_id")
+
+
+def audit(pairs: DataFrame, members: DataFrame, sample: DataFrame, near_exact: float = 0.9999) -> DataFrame:
+    """One row (near_duplicates, near_exact, clusters, members, largest, sampled, flagged, flagged_pct): images with a
+    partner, those whose best one is closer than ``near_exact``, the ten largest clusters' sizes, and how many of
+    ``sample`` (image_id) have a partner."""
+    best = best_partner(pairs)
+    counts = best.agg(F.count(F.lit(1)).alias("near_duplicates"), F.count_if(F.col("cosine") > near_exact).alias("near_exact"))
+    sizes = cluster_sizes(members)
+    total = sizes.agg(F.count(F.lit(1)).alias("clusters"), F.coalesce(F.sum("size"), F.lit(0)).alias("members"))
+    top = sizes.orderBy(F.desc("size"), "cluster").limit(10).agg(F.array_join(F.transform(F.sort_array(F.collect_list("size"), False), lambda x: x.cast("string")), " ").alias("largest"))
+    asked = sample.select("image_id").distinct().join(best.select("image_id", F.lit(True).alias("hit")), "image_id", "left")
+    flagged = asked.agg(F.count(F.lit(1)).alias("sampled"), F.count("hit").alias("flagged"))
+    one = counts.join(F.broadcast(total)).join(F.broadcast(top)).join(F.broadcast(flagged))  # one row each
+    return one.withColumn("flagged_pct", F.try_divide(F.col("flagged") * 100.0, "sampled"))

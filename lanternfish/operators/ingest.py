@@ -81,3 +81,9 @@ def gallery(runs: DataFrame, references: DataFrame, shown: int = 3) -> DataFrame
     refs = references.groupBy("image_id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("ann_id", "caption"))), lambda x: x["caption"]), 1, shown).alias("references"))
     made = runs.groupBy("image_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("config", F.struct("caption", "score"))))).alias("configs"))
     return made.join(refs, "image_id", "left")
+
+
+def chosen_entry(entries: DataFrame, mode: str = "medoid", crops: str = "segmentation") -> DataFrame:
+    """(image_id, references, caption, score) of one configuration of a gallery; null where it has none."""
+    got = F.try_element_at("configs", F.lit(f"{mode}__{crops}"))
+    return entries.select("image_id", "references", got["caption"].alias("caption"), got["score"].alias("score"))

@@ -137,3 +137,19 @@ def rouge_l(candidates: DataFrame, references: DataFrame) -> DataFrame:
 
 def meteor_exact(candidates: DataFrame, references: DataFrame) -> DataFrame:
     return _scored(candidates, references, "meteor_exact", meteor_exact_of)
+
+
+def compared(before: DataFrame, after: DataFrame, references: DataFrame, score=cider, name: str = "cider") -> DataFrame:
+    """(item, before, after) of the items that have both candidates and a reference; frequencies are those of these items."""
+    items = before.select("item").intersect(after.select("item"))
+    kept = [score(c.join(items, "item", "left_semi"), references).select("item", F.col(name).alias(side)) for c, side in ((before, "before"), (after, "after"))]
+    return kept[0].join(kept[1], "item")
+
+
+def table(scores: dict[str, DataFrame]) -> DataFrame:
+    """(metric, mean, n) of per-item scores, a row a metric: the last column of each is its score."""
+    out = None
+    for name, df in scores.items():
+        part = df.agg(F.lit(name).alias("metric"), F.avg(df.columns[-1]).alias("mean"), F.count(F.lit(1)).alias("n"))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -56,3 +56,23 @@ def generate(retrieved: DataFrame, backend: str = "retrieval", model: Callable |
 
     asked = retrieved.withColumn("prompt", prompt(F.col("caption")))
     return asked.withColumn("generated_caption", without_prompt(model("caption", "prompt"), F.col("prompt"))).drop("prompt")
+
+
+#: Kinds of variants that each configuration of an ablation asks with, beside the original.
+CROPS = {"none": (), "segmentation": ("segment",), "object-detection": ("object",), "both": ("segment", "object"), "random": ("random",)}
+
+
+def ablation(pool: DataFrame, crops: tuple[str, ...] = tuple(CROPS), modes: tuple[str, ...] = selection.MODES) -> DataFrame:
+    """(query_id, crops, mode, caption, distance) of every configuration, from one pool whose candidates have the
+    ``kind`` of their variant. Each configuration's part of the pool is a query of its own, so one plan chooses for all."""
+    if unknown := [c for c in crops if c not in CROPS]:
+        raise ValueError(f"unknown crops {unknown}")
+    table = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(c).alias("crops"), F.array(*map(F.lit, ("original", *CROPS[c]))).alias("kinds")) for n, c in enumerate(crops)])
+    dealt = pool.withColumn("c", F.explode(table)).where(F.array_contains("c.kinds", F.col("kind")))
+    dealt = dealt.withColumn("query_id", F.col("query_id") * len(crops) + F.col("c.n")).drop("c", "kind")
+    out = None
+    for mode in modes:
+        part = selection.choose(dealt, mode).select("query_id", "caption", F.col("distance").cast("double").alias("distance"), F.lit(mode).alias("mode"))
+        out = part if out is None else out.unionByName(part)
+    name = F.element_at(F.array(*map(F.lit, crops)), F.pmod("query_id", F.lit(len(crops))).cast("int") + 1)
+    return out.select(F.floor(F.col("query_id") / len(crops)).cast("bigint").alias("query_id"), name.alias("crops"), "mode", "caption", "distance")

@@ -12,6 +12,7 @@ from lanternfish.functions import vector as V
 from lanternfish.operators import diagnostics, geometry, graph, ingest, knn, metrics, quantize, retrieve, selection
 from lanternfish.plans.oracles import ORACLE_SQL
 from lanternfish.sources import index as I
+from lanternfish.sources.scratch import written
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -466,3 +467,109 @@ def k_dependence(spark, folder):
     q, i = asked(spark, folder), caption_index(spark, folder)
     one, three = (knn.nearest_captions(q, i, k, True).where("rank = 1").select("query_id", F.col("id").alias(f"k{k}")) for k in (1, 3))
     return one.join(three, "query_id").where(~F.col("k1").eqNullSafe(F.col("k3")))
+
+
+@query
+def near_dup_audit(spark, folder):
+    pairs = written(knn.similar_pairs(augmented(spark, folder), TWIN), "pairs")
+    sample = caption_index(spark, folder).where("image_id % 50 = 0 and is_augmented").select("image_id")
+    got = graph.audit(pairs, graph.clusters(pairs), sample, near_exact=0.40)
+    return got.withColumn("flagged_pct", r("flagged_pct"))
+
+
+@query
+def shift_percent(spark, folder):
+    """By how much each cell's mean nearest distance is above that of base images."""
+    cells = shift_summary(spark, folder).groupBy().pivot("cell", ["base", "before", "after", "after_without_twins"]).agg(F.first("mean"))
+    return cells.select(*[r(diagnostics.percent_shift(F.col(c), F.col("base")), 3).alias(c) for c in ("before", "after", "after_without_twins")])
+
+
+@query
+def recall_random(spark, folder):
+    q = asked(spark, folder)
+    found = knn.nearest_captions(diagnostics.random_vectors(q.select("query_id"), 64), caption_index(spark, folder), 10)
+    return diagnostics.recall_at(diagnostics.first_hits(found), q, (1, 5, 10))
+
+
+@query
+def chance_floor(spark, folder):
+    return diagnostics.chance_floor(caption_index(spark, folder), 10).select(r("floor").alias("floor"))
+
+
+@query
+def order_mismatches(spark, folder):
+    """Rows fetched by id as text and by numbers: how many come in another place."""
+    i = caption_index(spark, folder)
+    return diagnostics.order_mismatches(i, ["id"], i, ["image_id", "ann_id"])
+
+
+@query
+def raw_candidates(spark, folder):
+    return pool(spark, folder).select("query_id", "rank", "document", r("distance").alias("distance"))
+
+
+@query
+def reference_pairs(spark, folder):
+    """The first five scored images with their candidate and references: a report of that length."""
+    cand, refs = _scored(spark, folder)
+    got = cand.join(refs, "item").groupBy("item", "candidate").agg(F.array_join(F.array_sort(F.collect_list("reference")), " | ").alias("references"))
+    return got.orderBy("item").limit(5)
+
+
+@query
+def top1_verbatim(spark, folder):
+    """The nearest caption as a baseline; it must score as the top1 mode does."""
+    refs = _scored(spark, folder)[1]
+    near = selection.select_top1(pool(spark, folder, 1)).select(F.col("query_id").alias("item"), F.col("caption").alias("candidate"))
+    plain = pool(spark, folder, 1).select(F.col("query_id").alias("item"), F.col("document").alias("candidate"))
+    got = diagnostics.disagreement(metrics.cider(near, refs), metrics.cider(plain, refs), "cider")
+    return got.select(r("a").alias("a"), r("b").alias("b"), "agree")
+
+
+@query
+def hand_label_scores(spark, folder):
+    """Augmented images against their own caption: found among base images, and in the whole index without their own row."""
+    i, q = caption_index(spark, folder), asked(spark, folder)
+    mine = i.where("is_augmented").select(F.col("image_id").alias("query_id"))
+    who = q.join(mine, "query_id", "left_semi")
+    top = lambda where, exclude: knn.nearest_captions(who, where, 1, exclude).select(F.col("query_id").alias("item"), F.col("document").alias("candidate"))
+    labels = i.where("is_augmented").select(F.col("image_id").alias("item"), F.col("document").alias("reference"))
+    got = metrics.compared(top(i.where("not is_augmented"), False), top(i, True), labels)
+    return got.select("item", r("before").alias("before"), r("after").alias("after"))
+
+
+@query
+def quantized_downstream(spark, folder):
+    """What vectors of half precision do to the nearest caption: flips, and the corpus BLEU of either."""
+    q, i = asked(spark, folder), caption_index(spark, folder)
+    refs = i.select(F.col("image_id").alias("item"), F.col("document").alias("reference"))
+    halves = quantize.fp16_round_trip(_images(spark, folder).join(i.select("image_id"), "image_id", "left_semi"))
+    plain = knn.nearest_captions(q, i, 1, True)
+    half = knn.nearest_captions(quantize.fp16_round_trip(q), i, 1, True, halves)
+    said = lambda df: df.select(F.col("query_id").alias("item"), F.col("document").alias("candidate"))
+    flips = quantize.overlap(plain.select("query_id", "id", "rank"), half.select("query_id", "id", "rank"), 1).select("queries", "flips", "flip_rate")
+    a, b = (metrics.bleu(said(df), refs, 1).select(F.col("bleu").alias(n)) for df, n in ((plain, "float32"), (half, "float16")))
+    return flips.join(F.broadcast(a)).join(F.broadcast(b)).withColumn("delta", F.col("float16") - F.col("float32"))
+
+
+@query
+def metric_table(spark, folder):
+    """Means of the per-image scores of the medoid caption."""
+    cand, refs = _scored(spark, folder)
+    return metrics.table({"cider": metrics.cider(cand, refs), "rouge_l": metrics.rouge_l(cand, refs), "meteor_exact": metrics.meteor_exact(cand, refs)})
+
+
+@query
+def gallery_lookup(spark, folder):
+    refs = caption_index(spark, folder).select("image_id", "ann_id", F.col("document").alias("caption"))
+    got = ingest.chosen_entry(ingest.gallery(_runs(spark, folder), refs), "medoid", "none")
+    return got.select("image_id", "caption", "score")
+
+
+@query
+def ablation_grid(spark, folder):
+    """Every crop configuration and selection mode at once: variants 1 and 2 stand for segments, 3 for an object, the last two for random crops."""
+    kinds = F.expr("case variant_no when 0 then array('original') when 1 then array('segment') when 2 then array('segment', 'random') else array('object', 'random') end")
+    p = retrieve.variant_pool(variants(spark, folder), caption_index(spark, folder)).withColumn("kind", F.explode(kinds))
+    got = retrieve.ablation(p)
+    return got.groupBy("crops", "mode").agg(F.count(F.lit(1)).alias("n"), r(F.avg("distance")).alias("mean_distance"), r(F.avg(F.char_length("caption"))).alias("mean_chars"))

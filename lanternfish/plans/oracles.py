@@ -196,3 +196,33 @@ select mode, case when query_id % 2 = 0 then 'none' else 'both' end as crops, co
     "tie_census": f"with {INDEX}, {found(2, OTHERS)}, t as (select query_id, round(max(distance) - min(distance), 9) as gap, count(*) as n from found group by 1) select count(*) filter (where n = 2 and gap = 0) as ties, count(*) as queries from t",
     "k_dependence": "select 0::bigint as query_id, '' as k1, '' as k3 where false",
 }
+
+#: Crop configurations of the grid: number, name, variants.
+GRID = "grid as (select * from (values (0, 'none', [0]), (1, 'segmentation', [0, 1, 2]), (2, 'object-detection', [0, 3]), (3, 'both', [0, 1, 2, 3]), (4, 'random', [0, 2, 3])) as t(c, crops, vs))"
+RANDOM = """hashed as (select query_id, i, md5(concat_ws('-', query_id::varchar, i::varchar, '43')) as h from q cross join (select unnest(range(1, 65)) as i)),
+rq as (select query_id, list((('0x' || h[1:8])::bigint::double + ('0x' || h[9:16])::bigint::double + ('0x' || h[17:24])::bigint::double + ('0x' || h[25:32])::bigint::double) / 4294967296.0 - 2.0 order by i) as v from hashed group by query_id)"""
+
+ORACLE_SQL |= {
+    "near_dup_audit": f"""with recursive {INDEX}, {AUG}, {CLUSTERS}, best as (select a, max(cosine) as cosine from both_ways group by a),
+sizes as (select cluster, count(*) as size from clusters group by 1 having count(*) > 1), smp as (select distinct image_id from caption_index where image_id % 50 = 0 and is_augmented),
+f as (select count(*) as sampled, count(a) as flagged from smp left join best on a = image_id)
+select (select count(*) from best) as near_duplicates, (select count(*) from best where cosine > 0.40) as near_exact, (select count(*) from sizes) as clusters, (select coalesce(sum(size), 0)::bigint from sizes) as members,
+  (select coalesce(string_agg(size::varchar, ' ' order by size desc), '') from (select size from sizes order by size desc, cluster limit 10)) as largest, sampled, flagged, round(flagged * 100.0 / nullif(sampled, 0), 6)::double as flagged_pct from f""",
+    "shift_percent": f"""with cells as ({ORACLE_SQL['shift_summary']}), b as (select mean as base from cells where cell = 'base')
+select """ + ", ".join(f"round((max(mean) filter (where cell = '{c}') / max(base) - 1) * 100, 3) as {c}" for c in ("before", "after", "after_without_twins")) + " from cells cross join b",
+    "recall_random": f"with {INDEX}, {RANDOM}, {found(10, 'true', 'found', 'caption_index', 'rq')}, h as (select query_id, min(rank) as f from found where image_id = query_id group by 1), k as (select unnest([1, 5, 10]) as k) select k, count(*) filter (where f <= k) as hits, avg((coalesce(f, 99) <= k)::int::double) as recall from q left join h using (query_id) cross join k group by k",
+    "chance_floor": f"with {INDEX} select round(10.0::double / count(*), 6) as floor from caption_index",
+    "order_mismatches": f"with {INDEX}, x as (select id, row_number() over (order by id) as at_id, row_number() over (order by image_id, ann_id) as at_no from caption_index) select count(*) as rows_a, count(*) as rows_b, count(*) filter (where at_id <> at_no) as mismatches from x",
+    "raw_candidates": f"{POOL} select query_id, rank, document, round(distance, 6) as distance from pool",
+    "reference_pairs": f"{POOL}, {MEDOID} select query_id as item, caption as candidate, string_agg(c.document, ' | ' order by c.document) as references from medoid m join caption_index c on c.image_id = m.query_id group by 1, 2 order by 1 limit 5",
+    "top1_verbatim": f"{POOL}, {TOP1}, {cider('top1', 't')}, z as (select round(avg(cider), 6) as a from t_item) select a, a as b, a is not null as agree from z",
+    "hand_label_scores": f"""with {INDEX}, base as (select * from caption_index where not is_augmented), qa as (select * from q where query_id in (select image_id from caption_index where is_augmented)),
+{found(1, 'true', 'f1', 'base', 'qa')}, {found(1, OTHERS, 'f2', 'caption_index', 'qa')},
+bt as (select query_id, document as caption from f1 where query_id in (select query_id from f2)), af as (select query_id, document as caption from f2 where query_id in (select query_id from f1)),
+{cider('bt', 'x')}, {cider('af', 'y')} select item, round(x_item.cider, 6) as before, round(y_item.cider, 6) as after from x_item join y_item using (item)""",
+    "gallery_lookup": f"{POOL}, {MEDOID} select query_id as image_id, caption, round(distance, 6) as score from medoid",
+    "ablation_grid": f"""with {INDEX}, {VARIANTS}, {GRID}, pool as (select query_id * 5 + c as query_id, variant_no, rank, document, distance from vpool join grid on list_contains(vs, variant_no)), {MEDOID}, {TOP1},
+flat as (select query_id, variant_no * 1000 + rank as pos, document from pool), whole as (with {aggregated('flat')}),
+u as (select 'medoid' as mode, query_id, caption, distance from medoid union all select 'top1', query_id, caption, distance from top1 union all select 'aggregated', query_id, caption, null from whole)
+select mode, crops, count(*) as n, round(avg(distance), 6) as mean_distance, round(avg(length(caption)), 6) as mean_chars from u join grid on c = query_id % 5 group by 1, 2""",
+}

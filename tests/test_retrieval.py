@@ -1,8 +1,10 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lanternfish.functions import text as T
 from lanternfish.operators import diagnostics, geometry, graph, ingest, knn, metrics, quantize, retrieve, selection
+from lanternfish.plans import catalogue
 from lanternfish.sources import index as I
 
 INDEX = "id string, image_id bigint, ann_id bigint, embedding array<float>, document string"
@@ -160,3 +162,68 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema(q.schema).parquet(src)
     caption_stream(stream, small_index(spark), f"file://{tmp_path}/out", f"file://{tmp_path}/cp", "top1").awaitTermination(120)
     assert spark.read.parquet(f"file://{tmp_path}/out").first().caption == "a cat sits on a mat."
+
+
+def test_audit(spark):
+    pairs = spark.createDataFrame([(1, 2, 1.0), (2, 3, 0.96), (7, 8, 0.97)], "a long, b long, cosine double")
+    members = graph.clusters(pairs)
+    got = graph.audit(pairs, members, spark.createDataFrame([(1,), (9,)], "image_id long")).first().asDict()
+    assert got == {"near_duplicates": 5, "near_exact": 2, "clusters": 2, "members": 5, "largest": "3 2", "sampled": 2, "flagged": 1, "flagged_pct": 50.0}
+    none = pairs.limit(0)
+    got = graph.audit(none, graph.clusters(none), spark.createDataFrame([], "image_id long")).first().asDict()
+    assert got == {"near_duplicates": 0, "near_exact": 0, "clusters": 0, "members": 0, "largest": "", "sampled": 0, "flagged": 0, "flagged_pct": None}
+
+
+def test_order_mismatches(spark):
+    a = spark.createDataFrame([("a", 3), ("b", 2), ("c", 1)], "id string, n int")
+    assert tuple(diagnostics.order_mismatches(a, ["id"], a, ["n"]).first()) == (3, 3, 2)
+    assert tuple(diagnostics.order_mismatches(a, ["id"], a, ["id"]).first()) == (3, 3, 0)
+    assert tuple(diagnostics.order_mismatches(a, ["id"], a.where("n > 1"), ["id"]).first()) == (3, 2, 1)
+
+
+def test_ablation(spark):
+    rows = [(5, 0, 1, "near", 0.1, "original"), (5, 1, 1, "nearest", 0.0, "segment"), (5, 2, 1, "far", 0.9, "object")]
+    pool = spark.createDataFrame(rows, "query_id long, variant_no int, rank int, document string, distance double, kind string")
+    got = {(r.crops, r.mode): r.caption for r in retrieve.ablation(pool).collect()}
+    assert len(got) == 15 and got["none", "top1"] == got["random", "top1"] == "near"
+    assert got["segmentation", "top1"] == got["both", "top1"] == "nearest" and got["object-detection", "top1"] == "near"
+    assert got["both", "aggregated"] == "near. nearest."
+    with pytest.raises(ValueError):
+        retrieve.ablation(pool, crops=("all",))
+
+
+def test_gallery_entry(spark):
+    runs = spark.createDataFrame([("medoid__none", 1, "x", 0.5), ("top1__none", 1, "y", 0.25)], "config string, image_id long, caption string, score double")
+    made = ingest.gallery(runs, spark.createDataFrame([(1, 2, "ref")], "image_id long, ann_id long, caption string"))
+    assert ingest.chosen_entry(made, "top1", "none").select("caption", "score").first()[:] == ("y", 0.25)
+    assert ingest.chosen_entry(made).select("caption", "score").first()[:] == (None, None)
+
+
+def test_quantized_downstream(spark):
+    """Against numpy on the smallest tables."""
+    folder = "/root/testdata/sf0.001"
+    rows = catalogue.caption_index(spark, folder).collect()
+    vector = {r.image_id: np.array(r.embedding, dtype=np.float64) for r in rows}
+    first = {m: min((r.ann_id, r.id) for r in rows if r.image_id == m)[1] for m in vector}
+    unit = {m: v / np.linalg.norm(v) for m, v in vector.items()}
+    half = {m: v.astype(np.float32).astype(np.float16).astype(np.float64) for m, v in unit.items()}
+    half = {m: v / np.linalg.norm(v) for m, v in half.items()}
+    asked = {r.query_id: np.array(r.embedding, dtype=np.float64) for r in catalogue.asked(spark, folder).collect()}
+
+    def top(q, v, table):
+        return first[min((m for m in table if m != q), key=lambda m: (-float(v @ table[m]), m))]
+
+    flips = 0
+    for q, v in asked.items():
+        v = v / np.linalg.norm(v)
+        h = v.astype(np.float32).astype(np.float16).astype(np.float64)
+        flips += top(q, v, unit) != top(q, h / np.linalg.norm(h), half)
+    got = catalogue.QUERIES["quantized_downstream"](spark, folder).first()
+    assert (got.queries, got.flips) == (len(asked), flips) and got.delta == got.float16 - got.float32
+
+
+def test_metric_table(spark):
+    folder = "/root/testdata/sf0.001"
+    for row in catalogue.QUERIES["metric_table"](spark, folder).collect():
+        each = [r[row.metric] for r in catalogue.QUERIES[row.metric](spark, folder).collect()]
+        assert row.n == len(each) and row["mean"] == pytest.approx(sum(each) / len(each), abs=1e-6)
