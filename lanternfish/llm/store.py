@@ -2,56 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CHECKPOINT = "spark.checkpoint.dir"
+from lanternfish.sources.scratch import CHECKPOINT, delete_path, forget, new_path, shared_dir, written
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (local tests: one
-    machine, one JVM) a temporary folder is made, set for this session and removed at exit.
-    """
-    path = spark.conf.get(CHECKPOINT, None) or spark.sparkContext.getConf().get(CHECKPOINT)
-    if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='lanternfish-')}"
-        spark.conf.set(CHECKPOINT, path)
-        spark.sparkContext.setCheckpointDir(path)
-        atexit.register(shutil.rmtree, path.removeprefix("file://"), True)
-    return path.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder as Parquet and read again: lineage ends at files that
-    outlive any executor, and what follows does not compute ``df`` twice."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._shared_path = path
-    return out
-
-
-def forget(df: DataFrame) -> None:
-    """Delete what :func:`written` wrote; only for tables that no later result reads."""
-    delete_path(df.sparkSession, df._shared_path)
+__all__ = ["CHECKPOINT", "apart", "delete_path", "forget", "join_hot", "new_path", "replace_columns", "shared_dir", "written"]
 
 
 def join_hot(rows: DataFrame, facts: DataFrame, key: str, spread: Column, salts: int = 16, how: str = "left") -> DataFrame:
@@ -65,12 +23,10 @@ def join_hot(rows: DataFrame, facts: DataFrame, key: str, spread: Column, salts:
     return left.join(right, [key, "__salt"], how).drop("__salt")
 
 
-def free_name(taken: Sequence[str], name: str) -> str:
-    """``name``, lengthened until no column has it (Spark compares names without case)."""
-    low = {c.lower() for c in taken}
-    while name.lower() in low:
-        name = f"_{name}"
-    return name
+def apart(columns: Sequence[str]) -> tuple[list[Column], list[Column]]:
+    """(``columns`` under names that no operator uses, and those names turned back into ``columns``)."""
+    quoted = [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+    return [c.alias(f"__c{i}") for i, c in enumerate(quoted)], [F.col(f"__c{i}").alias(c) for i, c in enumerate(columns)]
 
 
 def replace_columns(df: DataFrame, names: Sequence[str]) -> list[str]:
