@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanternfish.llm.store import written
+from lanternfish.llm.store import apart, written
 
 BLOCK_BITS, BLOCKS, PROBES = 15, 2048, 3
 
@@ -58,6 +58,7 @@ def drop_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """``rows`` without those whose ``key`` is in ``ids``: an anti-join that shuffles only rows which a
     Bloom filter of ``ids`` may hold; the rest pass straight through. Rows with a null key stay."""
     ids = ids.select(F.col(key).alias("__id")).where("__id is not null").distinct()
-    looked = probe(rows, F.xxhash64(F.col(key)), bloom_of(ids.select(F.xxhash64("__id").alias("__h"))))
-    maybe = looked.where("__maybe").join(ids, F.col(key) == F.col("__id"), "left_anti")
-    return looked.where("not __maybe").select(*rows.columns).unionByName(maybe.select(*rows.columns))
+    held, back = apart(rows.columns)
+    looked = probe(rows.select(F.col(key).alias("__key"), *held), F.xxhash64("__key"), bloom_of(ids.select(F.xxhash64("__id").alias("__h"))))
+    maybe = looked.where("__maybe").join(ids, F.col("__key") == F.col("__id"), "left_anti")
+    return looked.where("not __maybe").select(*back).unionByName(maybe.select(*back))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -174,6 +174,20 @@ def _blocks(bench: DataFrame, id_col: str, text_col: str, window: int, block_wor
         yield TestBlock(held, window)
 
 
+def _sent(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str, window: int, block_words: int) -> Callable[[], Iterator[TestBlock]]:
+    """A function for tasks that yields the test items' blocks, which are broadcast one by one."""
+    context = docs.sparkSession.sparkContext
+    held = [context.broadcast(b) for b in _blocks(bench, id_col, text_col, window, block_words)]
+
+    def each() -> Iterator[TestBlock]:
+        for b in held:
+            yield b.value
+            if len(held) > 1:
+                b._value = None  # the next use reads it from the executor's disk
+
+    return each
+
+
 def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
                   item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(id, n_words, n_hit, n_items, items_sha256, contaminated, longest_match, matches) of each document.
@@ -187,18 +201,10 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     A null or wordless text has no words and no hits; a null item id is an empty string; items that
     share an id count once; an empty benchmark leaves every document clean.
     """
-    context = docs.sparkSession.sparkContext
-    held = [context.broadcast(b) for b in _blocks(bench, item_col, item_text_col, window, block_words)]
+    each = _sent(docs, bench, item_col, item_text_col, window, block_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_blocks(batches, 1, SHARD_BYTES):
-
-            def each():
-                for b in held:
-                    yield b.value
-                    if len(held) > 1:
-                        b._value = None  # the next use reads it from the executor's disk
-
             rows = scan_shard(texts, each())
             columns = list(zip(*rows)) or [()] * 7
             match = pa.list_(pa.struct([("item_id", pa.string()), ("item_word", pa.int64()), ("doc_word", pa.int64()), ("words", pa.int64())]))
@@ -208,3 +214,16 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col), F.col(text_col).alias("__text")).mapInArrow(run, f"`{id_col}` {kind}, {RESULT}")
+
+
+def drop_contaminated(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+                      window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Rows of ``docs`` whose text holds no window of a test item; every column passes through the one scan, so
+    rows that repeat an id, or have none, are judged by their own text."""
+    each, at = _sent(docs, bench, item_col, item_text_col, window, block_words), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in text_blocks(batches, at, SHARD_BYTES):
+            yield batch.filter(pa.array([not row[4] for row in scan_shard(texts, each())], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanternfish.llm.bloom import bloom_of, probe, repeated_hashes
-from lanternfish.llm.store import join_hot, replace_columns, written
+from lanternfish.llm.store import apart, join_hot, replace_columns, written
 
 RESULT = ("keep_id", "group_size", "kept", "text_sha256")
 
@@ -19,17 +19,9 @@ def normalised(text: Column) -> Column:
     return out
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = True) -> DataFrame:
-    """Every row of ``docs`` with keep_id, group_size, kept and text_sha256.
-
-    Rows are equal when their texts are, white space aside. Of equal rows the one with the most code
-    points in the original text stays, then the one with the smallest id (a null id is smallest).
-
-    A null text is an empty one; empty texts are equal to each other. Rows that repeat an id, text and
-    length share one verdict: all are kept or none. Columns called like a result are replaced by it. An
-    empty table gives an empty result. ``carry=False`` returns the id and the results only, from a
-    narrow table, so that texts are read once.
-    """
+def _judged(docs: DataFrame, id_col: str, text_col: str, carried: list[str] | None) -> DataFrame:
+    """(``carried`` columns of each row as ``apart`` names them, __id, keep_id, group_size, kept, __key). Without
+    ``carried`` columns the results come from the narrow table, so that texts are read once."""
     narrow = [F.col(id_col).alias("__id"), F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("__chars"),
               F.unhex(F.sha2(normalised(F.col(text_col)).cast("binary"), 256)).alias("__key")]
     counted = written(docs.select(*narrow), "dedup-keys")
@@ -41,15 +33,34 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     groups = written(groups.where("__size > 1"), "dedup-groups")
 
-    kept_columns = replace_columns(docs, RESULT) if carry else [id_col]
-    rows = docs.select(*[docs[c] for c in kept_columns], *narrow) if carry else counted.select(F.col("__id").alias(id_col), "*")
+    held = [] if carried is None else apart(carried)[0]
+    rows = counted if carried is None else docs.select(*held, *narrow)
+    kept_columns = [*(f"__c{i}" for i in range(len(held))), "__id"]
     looked = probe(rows, hashed, bloom)
     one = looked.where("not __maybe").select(
-        *kept_columns, F.col("__id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"),
-        F.lower(F.hex("__key")).alias("text_sha256"))
+        *kept_columns, F.col("__id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "__key")
     many = join_hot(looked.where("__maybe"), groups, "__key", F.col("__id")).select(
         *kept_columns, F.when(F.col("__best").isNull(), F.col("__id")).otherwise(F.col("__best.i")).alias("keep_id"),
         F.coalesce("__size", F.lit(1)).cast("long").alias("group_size"),
-        (F.col("__best").isNull() | (F.col("__id").eqNullSafe(F.col("__best.i")) & (F.col("__chars") == -F.col("__best.c")))).alias("kept"),
-        F.lower(F.hex("__key")).alias("text_sha256"))
+        (F.col("__best").isNull() | (F.col("__id").eqNullSafe(F.col("__best.i")) & (F.col("__chars") == -F.col("__best.c")))).alias("kept"), "__key")
     return one.unionByName(many)
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = True) -> DataFrame:
+    """Every row of ``docs`` with keep_id, group_size, kept and text_sha256.
+
+    Rows are equal when their texts are, white space aside. Of equal rows the one with the most code
+    points in the original text stays, then the one with the smallest id (a null id is smallest).
+
+    A null text is an empty one; empty texts are equal to each other. Rows that repeat an id, text and
+    length share one verdict: all are kept or none. Columns called like a result are replaced by it. An
+    empty table gives an empty result. ``carry=False`` returns the id and the results only.
+    """
+    carried = replace_columns(docs, RESULT) if carry else None
+    front = apart(carried)[1] if carry else [F.col("__id").alias(id_col)]
+    return _judged(docs, id_col, text_col, carried).select(*front, "keep_id", "group_size", "kept", F.lower(F.hex("__key")).alias("text_sha256"))
+
+
+def keep_best(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns, whatever these are called."""
+    return _judged(docs, id_col, text_col, docs.columns).where("kept").select(*apart(docs.columns)[1])

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lanternfish.llm.bloom import drop_ids
 from lanternfish.llm.components import components
-from lanternfish.llm.store import join_hot, replace_columns, written
+from lanternfish.llm.store import join_hot, written
 
 RESULT = ("fingerprint", "component_id")
 SEED, MOST = 42, 2
