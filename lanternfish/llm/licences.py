@@ -1,11 +1,16 @@
-"""Licence scan: winnowed fingerprints of templates pick candidates, banded alignment confirms them."""
+"""Licence scan: winnowed fingerprints of templates pick candidates, banded alignment confirms them.
+
+Whole licences of over LONG words are found by the chain of runs of GRAM words that occur once in them, so that
+edited lines, which move what follows by more than the band, don't end them."""
 
 from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import repeat
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -16,23 +21,53 @@ from lanternfish.llm.decontaminate import words_of
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 GRAM, WINDOW, BAND, COVERAGE = 3, 3, 6, 0.8
+#: Templates of up to so many words are notices: a span must hold all their numbers, which tell versions apart.
+NOTICE, LONG = 100, 400
+
+MIT_GRANT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'
+BSD_FIRST = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+BSD_SECOND = "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+BSD_THIRD = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+BSD_END = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+
+
+def gnu_notice(what: str, licence: str, version: str) -> str:
+    return f"This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {licence} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version."
+
+
+#: The adjectives that a Creative Commons licence's letters stand for.
+CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives",
+      "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
 
-# Notices and licence texts as their public sources give them.
+# Notices and licence texts as their public sources give them. Parts of a text are templates of
+# their own, for texts that hold no more than the part.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
-    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("MIT", MIT_GRANT + " IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("MIT", MIT_GRANT),
+    *[(f"GPL-{v}.0", f"This work is licensed under the GNU General Public License, version {v}.") for v in "123"],
+    *[(f"LGPL-{v}", f"This work is licensed under the GNU Lesser General Public License, version {v.removesuffix('.0')}.") for v in ("2.1", "3.0")],
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    *[(f"GPL-{v}.0-or-later", gnu_notice("program", "General Public License", v)) for v in "123"],
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."),
+    ("LGPL-2.0-or-later", gnu_notice("library", "Library General Public License", "2")),
+    *[(f"LGPL-{v}-or-later", gnu_notice("library", "Lesser General Public License", v.removesuffix(".0"))) for v in ("2.1", "3.0")],
+    ("AGPL-3.0-or-later", gnu_notice("program", "Affero General Public License", "3")),
+    *[(f"CC-{k}-{v}", f"Licensed under CC {k} {v}.") for k in CC for v in ("4.0", "3.0", "2.5", "2.0", "1.0")],
+    *[(f"CC-{k}-{v}", f"This work is licensed under a Creative Commons {words} {v} {port} License.") for k, words in CC.items()
+      for v, port in (("4.0", "International"), ("3.0", "Unported"), ("2.5", "Generic"), ("2.0", "Generic"), ("1.0", "Generic"))],
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("BSD-2-Clause OR BSD-3-Clause", BSD_FIRST),
+    ("BSD-2-Clause", f"{BSD_FIRST} {BSD_SECOND} {BSD_END}"),
+    ("BSD-3-Clause", f"{BSD_FIRST} {BSD_SECOND} {BSD_THIRD} {BSD_END}"),
+    ("BSD-2-Clause", f"{BSD_FIRST.replace('met: ', 'met: 1. ')} 2. {BSD_SECOND} {BSD_END}"),
+    ("BSD-3-Clause", f"{BSD_FIRST.replace('met: ', 'met: 1. ')} 2. {BSD_SECOND} 3. {BSD_THIRD} {BSD_END}"),
+    ("ISC", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    *[(f.stem, f.read_text("utf-8")) for f in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))],
 ]
 
 
@@ -67,37 +102,94 @@ class Index:
         words = [words_of(t.encode()) for _, t in templates]
         self.vocab: dict[bytes, int] = {}
         self.ids = [np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in ws], dtype=np.int64) for ws in words]
-        self.at: dict[int, list[tuple[int, int]]] = {}
+        self.sizes = np.array([len(ids) for ids in self.ids], dtype=np.int64)
+        self.numbers = [{i for w, i in zip(ws, ids.tolist()) if w.isdigit()} if len(ws) <= NOTICE else set() for ws, ids in zip(words, self.ids)]
+        at: dict[int, list[tuple[int, int]]] = {}
+        self.long: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for k, ids in enumerate(self.ids):
             h = gram_hashes(ids)
+            if len(ids) > LONG:
+                keys, first, n = np.unique(h, return_index=True, return_counts=True)
+                self.long[k] = keys[n == 1], first[n == 1]
+                continue
             for i in winnow(h):
-                self.at.setdefault(int(h[i]), []).append((k, int(i)))
-        self.keys = np.array(sorted(self.at), dtype=np.uint64)
+                at.setdefault(int(h[i]), []).append((k, int(i)))
+        self.keys = np.array(sorted(at), dtype=np.uint64)
+        self.first = np.cumsum([0, *(len(at[h]) for h in self.keys.tolist())])
+        self.at = np.array([x for h in self.keys.tolist() for x in at[h]], dtype=np.int64).reshape(-1, 2)
 
     def candidates(self, ids: np.ndarray) -> list[tuple[int, int]]:
-        """(template, place in the text where the template would start), one for each BAND of diagonals that meet."""
+        """(template, place in the text where the template would start), one for a few diagonals that meet.
+        Places around which the text has too few words of any template are none."""
         h = gram_hashes(ids)
-        known = np.flatnonzero(h != np.uint64(2**64 - 1))
-        if not len(known):
+        known = h != np.uint64(2**64 - 1)
+        if not known.any():
             return []
-        some = np.zeros(len(h), dtype=bool)  # windows that can't hold a known gram are passed over
-        for k in range(WINDOW):
-            some[np.clip(known + k, 0, len(h) - 1)] = some[np.clip(known - k, 0, len(h) - 1)] = True
-        runs = np.flatnonzero(np.diff(np.r_[0, some, 0]))
-        picked = np.concatenate([winnow(h[a:b]) + a for a, b in runs.reshape(-1, 2)])
-        picked = picked[np.isin(h[picked], self.keys)]
+        w = min(WINDOW, len(h))
+        some = np.flatnonzero(np.lib.stride_tricks.sliding_window_view(known, w).any(axis=1))  # other windows are passed over
+        views = np.lib.stride_tricks.sliding_window_view(h, w)[some]
+        picked = np.unique(some + w - 1 - views[:, ::-1].argmin(axis=1))
+        key = np.searchsorted(self.keys, h[picked])
+        ok = self.keys[np.minimum(key, len(self.keys) - 1)] == h[picked]
+        picked, key = picked[ok], key[ok]
+        n = self.first[key + 1] - self.first[key]
+        k, i = self.at[np.arange(n.sum()) + np.repeat(self.first[key] - np.cumsum(n) + n, n)].T
+        start, size = np.repeat(picked, n) - i, self.sizes[k]
+        words = np.r_[0, np.cumsum(ids > 0)]
+        ok = words[np.clip(start + size + BAND, 0, len(ids))] - words[np.clip(start - BAND, 0, len(ids))] >= COVERAGE * size - 1e-6
         seen: dict[tuple[int, int], None] = {}
-        for p in picked.tolist():
-            for k, i in self.at[int(h[p])]:
-                if not any((k, p - i + d) in seen for d in range(-BAND // 2, BAND // 2 + 1)):
-                    seen[(k, p - i)] = None
+        for k, p, n in zip(k[ok].tolist(), start[ok].tolist(), size[ok].tolist()):
+            reach = min(BAND // 2, n - 1)
+            if not any((k, p + d) in seen for d in range(-reach, reach + 1)):
+                seen[(k, p)] = None
         return list(seen)
 
+    def confirmed(self, k: int, ids: np.ndarray, start: int) -> tuple[int, int, float] | None:
+        """The alignment of template ``k`` at ``start``, if it covers enough of the template and holds a notice's numbers.
+        What can't do so, by the words and numbers in the band, is not aligned."""
+        template, n = self.ids[k], len(self.ids[k])
+        lo, hi = max(0, start - BAND), max(0, start + n + BAND)
+        if not self.numbers[k] <= set(ids[lo:hi].tolist() if self.numbers[k] else ()):
+            return None
+        if start >= 0 and np.array_equal(ids[start : start + n], template):
+            return start, start + n, 1.0
+        near = np.zeros(n + 2 * BAND, dtype=np.int64)
+        near[lo - start + BAND :][: len(ids[lo:hi])] = ids[lo:hi]
+        band = np.lib.stride_tricks.sliding_window_view(near, 2 * BAND + 1)
+        if np.count_nonzero((band == template[:, None]).any(axis=1)) / n < COVERAGE:
+            return None
+        s = align(template, ids, start)
+        return s if s and s[2] >= COVERAGE and self.numbers[k] <= set(ids[s[0] : s[1]].tolist()) else None
+
+    def wholes(self, ids: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
+        """Spans of the long templates: of the runs of words that a template has once, the longest chain in the
+        order of both, among those that put the template's start within about a tenth of its length."""
+        if np.count_nonzero(ids) < COVERAGE * LONG:
+            return
+        h = gram_hashes(ids)
+        for k, (keys, at) in self.long.items():
+            template, n = self.ids[k], len(self.ids[k])
+            key = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            p = np.flatnonzero(keys[key] == h)
+            i = at[key[p]]
+            start = (p - i) // (n // 10)
+            left = np.ones(len(p), dtype=bool)
+            while left.sum() >= n // 20:
+                values, counts = np.unique(start[left], return_counts=True)
+                near = left & (abs(start - values[counts.argmax()]) <= 1)
+                left &= ~near
+                if near.sum() < n // 20:
+                    break
+                a, b, hits = chained(template, ids, i[near], p[near])
+                if hits / n >= COVERAGE:
+                    yield k, a, b, hits / n
+
     def spans(self, ids: np.ndarray) -> list[tuple[str, int, int, float]]:
-        """(licence, first word, end word, matched share of the template); of overlapping spans the best, then the longest."""
-        found = []
+        """(licence, first word, end word, matched share of the template); of overlapping spans the one of the most
+        matched words, then of the greatest share."""
+        found = list(self.wholes(ids))
         for k, start in self.candidates(ids):
-            if (s := align(self.ids[k], ids, start)) and s[2] >= COVERAGE:
+            if s := self.confirmed(k, ids, start):
                 found.append((k, *s))
         kept: list[tuple[int, int, int, float]] = []
         for f in sorted(found, key=lambda f: (-round(f[3] * len(self.ids[f[0]])), -f[3], f[1], f[0])):
@@ -106,6 +198,36 @@ class Index:
         return sorted((self.names[k], a, b, c) for k, a, b, c in kept)
 
 
+def chained(template: np.ndarray, text: np.ndarray, at: np.ndarray, places: np.ndarray) -> tuple[int, int, int]:
+    """(first word, end word, matched words) of the longest chain of the grams ``at`` of the template, met at the
+    ascending ``places`` of the text. Around each gram words match on as long as they are equal."""
+    tails: list[int] = []
+    last, before = [], []
+    for j, i in enumerate(at.tolist()):
+        c = bisect_left(tails, i)
+        before.append(last[c - 1] if c else -1)
+        tails[c : c + 1], last[c : c + 1] = [i], [j]
+    chain, j = [], last[-1]
+    while j >= 0:
+        chain.append(j)
+        j = before[j]
+    i_end = p_end = hits = 0
+    first = -1
+    for j in reversed(chain):
+        i, p = int(at[j]), int(places[j])
+        if i < i_end or p < p_end:  # inside what matched already, or met on another diagonal
+            if p - i != p_end - i_end:
+                continue
+            i, p = i_end, p_end
+        while i > i_end and p > p_end and template[i - 1] == text[p - 1]:
+            i, p = i - 1, p - 1
+        first = p if first < 0 else first
+        while i < len(template) and p < len(text) and template[i] == text[p]:
+            i, p, hits = i + 1, p + 1, hits + 1
+        i_end, p_end = i, p
+    return first, p_end, hits
+
+
 def align(template: np.ndarray, text: np.ndarray, start: int) -> tuple[int, int, float] | None:
     """Banded alignment around the diagonal at ``start``: matched words count 1, each word passed over on
     either side costs a quarter. (first word, end word, matched share of the template), or None."""
