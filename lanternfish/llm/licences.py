@@ -186,15 +186,24 @@ class Index:
 
     def spans(self, ids: np.ndarray) -> list[tuple[str, int, int, float]]:
         """(licence, first word, end word, matched share of the template); of overlapping spans the one of the most
-        matched words, then of the greatest share."""
-        found = list(self.wholes(ids))
-        for k, start in self.candidates(ids):
-            if s := self.confirmed(k, ids, start):
-                found.append((k, *s))
+        matched words, then of the greatest share. A candidate that found a span which another took, or one that
+        overlaps it, is aligned again to the words that are left."""
         kept: list[tuple[int, int, int, float]] = []
-        for f in sorted(found, key=lambda f: (-round(f[3] * len(self.ids[f[0]])), -f[3], f[1], f[0])):
-            if all(f[2] <= g[1] or f[1] >= g[2] for g in kept):
-                kept.append(f)
+        found = [(k, *s, None) for k, *s in self.wholes(ids)]
+        left, ids = self.candidates(ids), ids.copy()
+        while True:
+            found += [(k, *s, start) for k, start in left if (s := self.confirmed(k, ids, start))]
+            before, left = len(kept), []
+            for k, a, b, c, start in sorted(found, key=lambda f: (-round(f[3] * len(self.ids[f[0]])), -f[3], f[1], f[0])):
+                if all(b <= g[1] or a >= g[2] for g in kept):
+                    kept.append((k, a, b, c))
+                elif start is not None:
+                    left.append((k, start))
+            if len(kept) == before or not left:
+                break
+            found = []
+            for _, a, b, _ in kept[before:]:
+                ids[a:b] = 0
         return sorted((self.names[k], a, b, c) for k, a, b, c in kept)
 
 
@@ -230,12 +239,13 @@ def chained(template: np.ndarray, text: np.ndarray, at: np.ndarray, places: np.n
 
 def align(template: np.ndarray, text: np.ndarray, start: int) -> tuple[int, int, float] | None:
     """Banded alignment around the diagonal at ``start``: matched words count 1, each word passed over on
-    either side costs a quarter. (first word, end word, matched share of the template), or None."""
+    either side costs a quarter; of equal scores the one that ends nearest to the diagonal wins.
+    (first word, end word, matched share of the template), or None."""
     n, m = len(template), 2 * BAND + 1
     least = -1e9
     score = np.zeros(m)
     hits, begin = np.zeros(m), np.full(m, -1)
-    best, out = 0.0, None
+    best, off, out = 0.0, 0, None
     for i in range(n):
         new, new_hits, new_begin = np.full(m, least), np.zeros(m), np.full(m, -1)
         for d in range(m):
@@ -249,8 +259,8 @@ def align(template: np.ndarray, text: np.ndarray, start: int) -> tuple[int, int,
             if d and new[d - 1] > 0:  # a word of the text has none
                 options.append((new[d - 1] - 0.25, new_hits[d - 1], new_begin[d - 1]))
             new[d], new_hits[d], new_begin[d] = max(options)
-            if new[d] > best:
-                best, out = new[d], (int(new_begin[d]), j + 1, float(new_hits[d]) / n)
+            if new[d] > best or new[d] == best and abs(d - BAND) < off:
+                best, off, out = new[d], abs(d - BAND), (int(new_begin[d]), j + 1, float(new_hits[d]) / n)
         score, hits, begin = new, new_hits, new_begin
     return out
 

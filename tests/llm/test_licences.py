@@ -46,3 +46,18 @@ def test_versions_are_told_apart():
 
 def test_parts_of_texts_are_found():
     assert names(licences.MIT_GRANT) == ["MIT"] and names(licences.BSD_FIRST) == ["BSD-2-Clause OR BSD-3-Clause"]
+
+
+@pytest.mark.parametrize("notice", ["Released under the MIT License.", "Licensed under CC BY 4.0.", "Licensed under CC BY-NC 4.0."])
+@pytest.mark.parametrize("between", ["\n", " and ", "\nsome more words\n"])
+def test_repeated_short_notices(notice, between):
+    for n in (1, 2, 3, 10):
+        found = spans(between.join([notice] * n))
+        step, size = len(words_of((notice + between).encode())), len(words_of(notice.encode()))
+        assert [(a, b, c) for _, a, b, c in found] == [(i * step, i * step + size, 1.0) for i in range(n)]
+
+
+def test_edited_copies_of_a_short_notice():
+    whole, edited = "Licensed under CC BY 4.0.", "Licenced under CC BY 4.0."
+    for said in ([edited] * 4, [whole, edited], [edited, whole, edited], [whole, edited, whole, edited, edited]):
+        assert [round(c, 3) for *_, c in spans("\n".join(said))] == [1.0 if s == whole else 0.833 for s in said]
