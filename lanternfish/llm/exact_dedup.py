@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanternfish.llm.bloom import bloom_of, probe, repeated_hashes
-from lanternfish.llm.store import apart, join_hot, replace_columns, written
+from lanternfish.llm.store import apart, join_hot, one_of_each, replace_columns, written
 
 RESULT = ("keep_id", "group_size", "kept", "text_sha256")
 
@@ -62,5 +62,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_best(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns, whatever these are called."""
-    return _judged(docs, id_col, text_col, docs.columns).where("kept").select(*apart(docs.columns)[1])
+    """One row of each group of equal rows, with all its columns, whatever these are called: of the rows that
+    :func:`exact_dedup` keeps, and if several repeat id and length, one of these."""
+    kept = _judged(docs, id_col, text_col, docs.columns).where("kept").withColumn("__alone", F.col("group_size") == 1)
+    columns = [f"__c{i}" for i in range(len(docs.columns))]
+    one = one_of_each(kept.where("not __alone").select("__key", *columns), "__key")
+    return kept.where("__alone").select(*columns).unionByName(one.select(*columns)).select(*apart(docs.columns)[1])

@@ -15,9 +15,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanternfish.llm.bloom import drop_ids
+from lanternfish.llm.bloom import bloom_of, probe, repeated_hashes
 from lanternfish.llm.components import components
-from lanternfish.llm.store import join_hot, written
+from lanternfish.llm.store import apart, join_hot, one_of_each, written
 
 RESULT = ("fingerprint", "component_id")
 SEED, MOST = 42, 2
@@ -206,6 +206,19 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """``docs`` with one row of each near-duplicate component: that of the smallest id. Rows of null id stay."""
-    found = written(near_dedup(docs, id_col, text_col, words), "simhash-verdicts")
-    return drop_ids(docs, found.where(F.col(id_col) != F.col("component_id")), id_col)
+    """``docs`` with one row of each near-duplicate component: that of the smallest id, a null id being smallest.
+
+    Rows are told apart by id and text, so each is judged by its own text where ids repeat; of rows that
+    repeat both, one stays. Only rows of lost or repeated keys shuffle.
+    """
+    held, back = apart(docs.columns)
+    number, text = F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    key = F.unhex(F.sha2(F.concat(F.sha2(text.cast("binary"), 256), F.coalesce(F.concat(F.lit("="), number.cast("string")), F.lit(""))).cast("binary"), 256))
+    rows = docs.select(F.struct(number.alias("id"), key.alias("key")).alias("__row"), text.alias("__text"))
+    found = written(near_dedup(rows, "__row", "__text", words).select("__row", (F.col("__row") != F.col("component_id")).alias("lost")), "simhash-verdicts")
+    hashed = found.select(F.col("__row.key").alias("__key"), F.xxhash64("__row.key").alias("__h"), "lost")
+    lost = hashed.where("lost")
+    bloom = bloom_of(lost.select("__h").unionByName(repeated_hashes(hashed.where("not lost").select("__h"))))
+    looked = probe(docs.select(key.alias("__key"), *held), F.xxhash64("__key"), bloom)
+    one = one_of_each(looked.where("__maybe").drop("__maybe"), "__key").join(lost.select("__key").distinct(), "__key", "left_anti")
+    return looked.where("not __maybe").select(*back).unionByName(one.select(*back))

@@ -6,10 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType, VariantType
 
 from lanternfish.sources.scratch import CHECKPOINT, delete_path, forget, new_path, shared_dir, written
 
-__all__ = ["CHECKPOINT", "apart", "delete_path", "forget", "join_hot", "new_path", "replace_columns", "shared_dir", "written"]
+__all__ = ["CHECKPOINT", "apart", "delete_path", "forget", "join_hot", "new_path", "one_of_each", "replace_columns", "shared_dir", "written"]
 
 
 def join_hot(rows: DataFrame, facts: DataFrame, key: str, spread: Column, salts: int = 16, how: str = "left") -> DataFrame:
@@ -29,6 +30,15 @@ def apart(columns: Sequence[str]) -> tuple[list[Column], list[Column]]:
     return [c.alias(f"__c{i}") for i, c in enumerate(quoted)], [F.col(f"__c{i}").alias(c) for i, c in enumerate(columns)]
 
 
+def one_of_each(rows: DataFrame, key: str) -> DataFrame:
+    """One row of each value of ``key``, whichever partitions they lie in: that of the least hash of its plain columns.
+    Each task keeps one row a key before the shuffle."""
+    others = [c for c in rows.columns if c != key]
+    plain = [F.col(c) for c in others if isinstance(rows.schema[c].dataType, AtomicType) and not isinstance(rows.schema[c].dataType, VariantType)]
+    least = F.min_by(F.struct(*others), F.xxhash64(*plain)).alias("__row")
+    return rows.groupBy(key).agg(least).select(*[F.col(f"__row.{c}").alias(c) if c != key else F.col(c) for c in rows.columns])
+
+
 def replace_columns(df: DataFrame, names: Sequence[str]) -> list[str]:
     """Columns of ``df`` that keep their place beside results called ``names``: on a clash the result wins."""
     low = {c.lower() for c in names}
