@@ -47,11 +47,9 @@ class Vocabulary:
         #: Merges never reach over a boundary: before a run of spaces, between a letter and what is none,
         #: around a digit, a tab or a line end. That holds if no piece has a boundary inside.
         self.units = FINE if all(len(FINE.findall(p)) == 1 for p in self.merged) else WHOLE
-        #: ids of a unit, joined by spaces, learnt in this and in the generation before; and the texts
-        #: of those units that don't decode to themselves
-        self.known: dict[str, str] = {}
-        self.older: dict[str, str] = {}
-        self.odd: dict[str, str] = {}
+        #: ids of a unit, joined by spaces, and their decoding, learnt in this and in the generation before
+        self.known: dict[str, tuple[str, str]] = {}
+        self.older: dict[str, tuple[str, str]] = {}
 
     def merge(self, unit: str) -> list[int]:
         """Ids of ``unit``: of all adjacent pairs of symbols that make a piece, the best score merges first,
@@ -133,10 +131,9 @@ class Vocabulary:
         return self.units.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
     def learn(self, units: set[str]) -> None:
-        """Encode units not yet known, and hold them against the library in one call."""
+        """Encode and decode units not yet known, and hold both against the library in one call each."""
         if len(self.known) > REMEMBERED:
             self.older, self.known = self.known, {}
-            self.odd = {u: t for u, t in self.odd.items() if u in self.older}
         missing = units - self.known.keys()
         self.known.update((u, self.older[u]) for u in missing & self.older.keys())
         new = list(missing - self.older.keys())
@@ -146,28 +143,33 @@ class Vocabulary:
         lead = len(self.library.encode("\n"))
         if wrong := [(u, a, b) for u, a, b in zip(new, ids, theirs) if a != b and a != b[lead * (u[0] != SPACE) :] and u != SPACE]:
             raise ValueError(f"the library encodes {wrong[0][0]!r} as {wrong[0][2]}, not {wrong[0][1]}")
-        self.known.update(zip(new, [" ".join(map(str, own)) for own in ids]))
-        self.odd.update((u, t) for u, t in zip(new, map(self.decode, ids)) if t != u.replace(SPACE, " "))
+        back = list(map(self.decode, ids))
+        # the library passes over a space that comes first; a line end before the ids keeps it
+        end = self.library.encode("\n")
+        theirs, first = self.library.decode([end + own for own in ids]) if ids else [], self.library.decode(end)
+        if wrong := [(u, a, b) for u, a, b in zip(new, back, theirs) if first + a != b]:
+            raise ValueError(f"the library decodes the ids of {wrong[0][0]!r} as {wrong[0][2]!r}, not {wrong[0][1]!r}")
+        self.known.update(zip(new, zip([" ".join(map(str, own)) for own in ids], back)))
 
     def encode(self, text: str) -> list[int]:
         """All ids, the end id included, by the agenda only."""
         return [i for u in self.split(text) for i in self.merge(u)] + [self.end]
 
     def digest_all(self, texts: list[str], check_chars: int = 100_000) -> list[tuple[int, str, str]]:
-        """(n_tokens, ids_sha256, decoded_sha256) of each text. Units are looked up, new ones learnt first;
-        the first text of up to ``check_chars`` is also held against the library as a whole."""
+        """(n_tokens, ids_sha256, decoded_sha256) of each text. Units and their decodings are looked up, new ones
+        learnt first; the first text that is no more than ``check_chars`` long, and each that is longer, are also
+        held against the library as a whole."""
         rows, checked = [], False
         for lo in range(0, len(texts), 256):
             split = [self.split(t) for t in texts[lo : lo + 256]]
             self.learn(set().union(*split))
-            known, odd = self.known, self.odd
+            known = self.known
             for text, units in zip(texts[lo : lo + 256], split):
-                ids = " ".join([*map(known.__getitem__, units), str(self.end)])
-                back = text.replace(SPACE, " ")
-                if odd and not odd.keys().isdisjoint(units):
-                    back = "".join([odd.get(u) or u.replace(SPACE, " ") for u in units]).removeprefix(" ")
-                if not checked and 0 < len(text) <= check_chars:
-                    checked = True
+                learnt = [known[u] for u in units]
+                ids = " ".join([*[i for i, _ in learnt], str(self.end)])
+                back = "".join([t for _, t in learnt]).removeprefix(" ")
+                if text and (not checked or len(text) > check_chars):
+                    checked |= len(text) <= check_chars
                     lib = self.library.encode(text, add_eos=True)
                     if " ".join(map(str, lib)) != ids or self.library.decode(lib) != back:
                         raise ValueError("the library encodes or decodes a text in another way")
