@@ -1,6 +1,6 @@
-"""Two-pass Bloom filtering with DataFrame functions only.
+"""An exact count of hashes and a Bloom filter of those that repeat, with DataFrame functions only.
 
-Pass one counts 64-bit hashes (eight bytes a row cross the network, summed per task first) and sets
+Pass one is no filter: it counts 64-bit hashes (eight bytes a row cross the network, summed per task first) and sets
 bits for the hashes seen twice or more in a blocked Bloom filter: ``BLOCKS`` blocks of 32,768 bits,
 three bits a hash, all in one block. Pass two looks each row's bits up. The filter is at most
 ``BLOCKS`` * 4 KB = 8 MB whatever the input, so it is safe to broadcast; when it fills up, more rows

@@ -1,4 +1,4 @@
-"""Exact deduplication: two Bloom passes pick possibly repeated hashes, and only those rows shuffle."""
+"""Exact deduplication: hashes of all rows are counted, a Bloom filter holds those that repeat, and only its hits shuffle as rows."""
 
 from __future__ import annotations
 
