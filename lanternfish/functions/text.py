@@ -6,8 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Phrases that mark what is no photograph.
-NOT_PHOTOS = ["coat of arms", "seal of", "flag of", "logo", "emblem", "map of", "locator map", "banner", "icon", "insignia", "symbol of", "diagram", "chart", "poster", "stamp"]
-BLOCKED = r"(?i)\b(" + "|".join(NOT_PHOTOS) + r")\b"
+NOT_PHOTOS = ["coat of arms", "seal of", "flag of", "logo", "emblem", "map of", "diagram", "icon", "symbol", "chart", "graph", "route map", "locator map", "banner", "screenshot"]
+#: A phrase as whole words, in any case; letters and digits of every script count as parts of words.
+BLOCKED = r"(?iu)(?<![\p{L}\p{N}_])(?:" + "|".join(NOT_PHOTOS) + r")(?![\p{L}\p{N}_])"
 EMPTY_MESSAGE = "No caption was found. Is the index built?"
 
 

@@ -2,21 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lanternfish.operators.ingest import numbered
+
+
+def at_places(rows: DataFrame, by: list[str], value: str, places: list[tuple[str, Column]]) -> DataFrame:
+    """(by, name, value): of the sorted values of each group those at ``places``, pairs of a name and a place
+    that starts at 0 and may use ``n``, the group's size. Nulls are left out. Groups are sorted in ranges
+    that may end inside a group, so that a group of any size is no one task's."""
+    known = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("__v"))
+    placed = numbered(known, [*by, "__v"], 0, "__at")
+    groups = placed.groupBy(*by).agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("n"))
+    asked = groups.select(*by, "__first", F.explode(F.array(*[F.struct(F.lit(name).alias("name"), at.cast("long").alias("at")) for name, at in places])).alias("__p"))
+    wanted = asked.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(by)], F.col("__p.name").alias("name"), (F.col("__first") + F.col("__p.at")).alias("__at"))
+    got = wanted.join(placed.select("__at", "__v"), "__at")
+    return got.select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(by)], "name", F.col("__v").alias(value))
+
 
 def summary(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """(mean, median, least, most, n) of ``value``; the median interpolates."""
-    return rows.groupBy(*by).agg(F.avg(value).alias("mean"), F.median(value).alias("median"), F.min(value).alias("least"), F.max(value).alias("most"), F.count(value).alias("n"))
+    whole = rows.groupBy(*by).agg(F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"), F.count(value).alias("n"))
+    middle = at_places(rows, by, value, [("low", F.floor((F.col("n") - 1) / 2)), ("high", F.floor(F.col("n") / 2))]).groupBy(*by).agg(F.avg(value).alias("median"))
+    same = [F.col(f"w.`{c}`").eqNullSafe(F.col(f"m.`{c}`")) for c in by]
+    met = whole.alias("w").join(middle.alias("m"), same, "left") if by else whole.alias("w").join(F.broadcast(middle).alias("m"))  # one row each
+    return met.select(*[F.col(f"w.`{c}`") for c in by], "mean", "median", "least", "most", "n")
 
 
 def percentiles(rows: DataFrame, by: str, value: str, shares: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
     """(by, p, latency): of n sorted values the one at min(int(n * p), n - 1)."""
-    w = Window.partitionBy(by)
-    placed = rows.where(F.col(value).isNotNull()).select(by, value, (F.row_number().over(w.orderBy(value)) - 1).alias("i"), F.count(F.lit(1)).over(w).alias("n"))
-    asked = placed.withColumn("p", F.explode(F.array(*map(F.lit, shares))))
-    return asked.where(F.col("i") == F.least(F.floor(F.col("n") * F.col("p")), F.col("n") - 1)).select(by, "p", F.col(value).alias("latency"))
+    got = at_places(rows, [by], value, [(str(p), F.least(F.floor(F.col("n") * p), F.col("n") - 1)) for p in shares])
+    return got.select(by, F.col("name").cast("double").alias("p"), F.col(value).alias("latency"))
 
 
 def hash_sample(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
@@ -26,10 +43,9 @@ def hash_sample(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 
 def stride_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
     """Every (N / n)th row by ``key``, at most ``n``."""
-    from lanternfish.operators.ingest import numbered
-
-    step = max(1, rows.count() // n)
-    return numbered(rows, [key], 0, "__at").where(F.col("__at") % step == 0).orderBy("__at").limit(n).drop("__at")
+    placed = numbered(rows, [key], 0, "__at")
+    step = max(1, placed.count() // n)
+    return placed.where(F.col("__at") % step == 0).orderBy("__at").limit(n).drop("__at")
 
 
 def percent_shift(a: Column, b: Column) -> Column:
@@ -43,6 +59,11 @@ def recall_at(ranks: DataFrame, queries: DataFrame, ks: tuple[int, ...]) -> Data
     return rows.groupBy("k").agg(F.count_if(hit).alias("hits"), F.avg(hit.cast("double")).alias("recall"))
 
 
+def median_first_hit(ranks: DataFrame) -> DataFrame:
+    """One row (found, median): of the queries whose own image was found, how many and the median rank of its first row."""
+    return summary(ranks, [], "first_hit").select(F.col("n").alias("found"), "median")
+
+
 def first_hits(found: DataFrame) -> DataFrame:
     """(query_id, first_hit): the least rank of a row of the query's own image."""
     return found.where("image_id = query_id").groupBy("query_id").agg(F.min("rank").alias("first_hit"))
@@ -50,8 +71,6 @@ def first_hits(found: DataFrame) -> DataFrame:
 
 def order_mismatches(a: DataFrame, a_order: list[str], b: DataFrame, b_order: list[str], key: str = "id") -> DataFrame:
     """One row (rows_a, rows_b, mismatches): places at which two fetches, each in its own order, have another ``key``."""
-    from lanternfish.operators.ingest import numbered
-
     x, y = (numbered(df, order, 0, "__at").select("__at", F.col(key).alias(name)) for df, order, name in ((a, a_order, "x"), (b, b_order, "y")))
     met = x.withColumn("in_a", F.lit(1)).join(y.withColumn("in_b", F.lit(1)), "__at", "full")
     return met.agg(F.count("in_a").alias("rows_a"), F.count("in_b").alias("rows_b"), F.count_if(~F.col("x").eqNullSafe(F.col("y"))).alias("mismatches"))

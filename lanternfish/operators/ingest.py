@@ -6,8 +6,10 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType, VariantType
 
 from lanternfish.functions import text as T
+from lanternfish.sources.scratch import written
 
 
 def collisions(shards: DataFrame) -> DataFrame:
@@ -25,13 +27,24 @@ def merge(files: list[DataFrame]) -> DataFrame:
 
 
 def numbered(rows: DataFrame, order: list[str], offset: int, name: str = "image_id") -> DataFrame:
-    """``rows`` with consecutive numbers from ``offset`` in the given order, without one task for all: ranges
-    are sorted apart, counted, and each starts where those before it end."""
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
-    place = dealt.withColumn("__pos", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
-    sizes = place.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    starts = sizes.withColumn("__start", F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)))  # a row a partition
-    return place.join(F.broadcast(starts), "__part").withColumn(name, F.lit(offset) + F.coalesce("__start", F.lit(0)) + F.col("__pos") - 1).drop("__part", "__pos", "__n", "__start")
+    """``rows`` with consecutive numbers from ``offset`` in the given order, without one task for all.
+
+    Rows are dealt out in ranges and sorted once, and written with their place: the range and the row in it.
+    Both the ranges' sizes and the numbers come from that one table, so they agree however ranges were
+    sampled or coalesced. Rows of equal ``order`` go by a hash of their plain columns, which also splits a
+    value that many rows share; rows that are equal in all of these are one range.
+    """
+    plain = [F.col(f"`{f.name}`") for f in rows.schema if isinstance(f.dataType, AtomicType) and not isinstance(f.dataType, VariantType)]
+    by = [*map(F.col, order), F.xxhash64(*plain) if plain else F.lit(0)]
+    sorted_ = rows.repartitionByRange(*by).sortWithinPartitions(*by)
+    # the number of the task in the high bits, that of the row in the 33 low ones
+    placed = written(sorted_.withColumn("__place", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("__place", 33)
+    sizes = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))  # a row a task
+    number = F.lit(offset) + F.col("__start") + F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn("__part", part).join(F.broadcast(starts), "__part").withColumn(name, number).drop("__part", "__place", "__start")
 
 
 def with_templates(rows: DataFrame, templates: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Exact nearest neighbours: blocks of queries against one scan each, and ranking with a unique last key."""
+"""Exact nearest neighbours and similar pairs, in blocks, and rankings with a unique last key."""
 
 from __future__ import annotations
 
@@ -9,9 +9,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors that are broadcast at once; more are asked in further scans.
-BLOCK = 4096
+from lanternfish.operators.graph import spanning
+from lanternfish.operators.skew import join_hot
+from lanternfish.sources.scratch import new_path, written
+
+#: Query vectors that are multiplied at once, and bytes of query vectors that one scan of the images answers.
+BLOCK, ROUND_BYTES = 4096, 32 << 20
+#: Images of a block of the similarity join, and images that are multiplied at once. Memory only.
+SIDE, STEP = 8192, 1024
 TINY = 1e-8
+#: Cosines are compared to so many decimals: the last bits depend on the order of summation.
+PLACES = 9
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -25,80 +33,216 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _blocks(queries: DataFrame, size: int, unit: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    ready = _unit if unit else lambda m: m
-    ids, rows = [], []
-    for q, v in queries.select("query_id", "embedding").toLocalIterator():
-        ids.append(q)
-        rows.append(v)
-        if len(ids) == size:
-            yield np.array(ids, dtype=np.int64), ready(np.array(rows, dtype=np.float64))
-            ids, rows = [], []
-    if ids:
-        yield np.array(ids, dtype=np.int64), ready(np.array(rows, dtype=np.float64))
+def _rounded(s: np.ndarray) -> np.ndarray:
+    return np.round(s, PLACES) + 0.0
+
+
+class _Best:
+    """The ``k`` best images of each of ``n`` queries so far, of equal cosines the least ids."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.ids, self.cosine = k, np.zeros((n, k), dtype=np.int64), np.full((n, k), -np.inf)
+
+    def offer(self, lo: int, s: np.ndarray, at: np.ndarray, own: np.ndarray | None) -> None:
+        """Products ``s`` of the queries from ``lo`` on with the images ``at``; ``own`` are ids that queries leave out."""
+        k, hi = self.k, lo + len(s)
+        floor, most = self.cosine[lo:hi, -1], k + (own is not None)
+        if s.shape[1] > most and not np.isfinite(floor).all():
+            floor = np.maximum(floor, np.partition(s, -most, axis=1)[:, -most])
+        x, y = np.nonzero(s >= floor[:, None] - 10.0**-PLACES)
+        if own is not None:
+            other = own[x] != at[y]
+            x, y = x[other], y[other]
+        if not len(x):
+            return
+        rows = np.unique(x)
+        q = np.r_[np.repeat(rows, k), x]
+        ids = np.r_[self.ids[lo + rows].ravel(), at[y]]
+        v = np.r_[self.cosine[lo + rows].ravel(), _rounded(s[x, y])]
+        order = np.lexsort((ids, -v, q))
+        first = np.searchsorted(q[order], rows)
+        keep = order[first[:, None] + np.arange(k)[None, :]]
+        self.ids[lo + rows], self.cosine[lo + rows] = ids[keep], v[keep]
 
 
-def top_images(queries: DataFrame, images: DataFrame, k: int, exclude_self: bool = False, block: int = BLOCK, unit: bool = True) -> DataFrame:
-    """(query_id, image_id, cosine, rank): the ``k`` images of greatest cosine for each query vector, of equals the least id.
+def _rounds(queries: DataFrame, keys: list[str], most: int) -> Iterator[tuple[list[tuple], np.ndarray]]:
+    """(keys, vectors) of ``most`` bytes of vectors at a time."""
+    held, vectors = [], []
+    for *key, v in queries.select(*keys, "embedding").toLocalIterator():
+        held.append(tuple(key))
+        vectors.append(np.array(v, dtype=np.float64))
+        if len(held) * vectors[-1].nbytes >= most:
+            yield held, np.array(vectors)
+            held, vectors = [], []
+    if held:
+        yield held, np.array(vectors)
 
-    ``queries`` (query_id, embedding) are normalised and broadcast ``block`` at a time; each task keeps the
-    best ``k`` of its part of ``images`` (image_id, embedding) for each, so k rows a query and task shuffle.
-    ``exclude_self`` leaves out the image whose id is the query's;
-    ``unit=False`` ranks by plain products. Null vectors match nothing.
+
+def top_images(queries: DataFrame, images: DataFrame, k: int, exclude_self: bool = False, block: int = BLOCK, unit: bool = True,
+               keys: tuple[str, ...] = ("query_id",), round_bytes: int = ROUND_BYTES) -> DataFrame:
+    """(keys, image_id, cosine, rank): the ``k`` images of greatest cosine for each query vector, of equals the least id.
+
+    ``queries`` (keys, embedding; keys are integers, the first one the query's id) are normalised and broadcast
+    ``round_bytes`` at a time, which is a bound whatever their number; one scan of ``images`` (image_id,
+    embedding) answers a round, a block at a time. Each task keeps the best ``k`` of its part for each query,
+    so k rows a query and task shuffle. If there are several rounds, each is written to the shared folder.
+    ``exclude_self`` leaves out the image whose id is the query's; ``unit=False`` ranks by plain products.
+    Null vectors match nothing. Cosines are rounded to nine decimals.
     """
     spark = images.sparkSession
-    schema = "query_id bigint, image_id bigint, cosine double"
-    parts = []
-    for ids, q in _blocks(queries.where("embedding is not null"), block, unit):
-        sent = spark.sparkContext.broadcast((ids, q))
+    schema = ", ".join(f"`{c}` {queries.schema[c].dataType.simpleString()}" for c in keys) + ", image_id bigint, cosine double"
+    names = [*keys, "image_id", "cosine"]
+    known = images.where("embedding is not null").select("image_id", "embedding")
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+    def asked(ids: list[tuple], q: np.ndarray) -> DataFrame:
+        sent = spark.sparkContext.broadcast((ids, _unit(q) if unit else q))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q = sent.value
-            best_i, best_s = np.zeros((len(ids), 0), dtype=np.int64), np.zeros((len(ids), 0))
+            own = np.array([i[0] for i in ids], dtype=np.int64) if exclude_self else None
+            best = _Best(len(ids), k)
             for batch in batches:
-                for lo in range(0, batch.num_rows, 2048):
-                    part = batch.slice(lo, 2048)
-                    at = part.column(0).to_numpy()
-                    m = _matrix(part.column(1))
-                    s = q @ (_unit(m) if unit else m).T
-                    if exclude_self:
-                        s[ids[:, None] == at[None, :]] = -np.inf
-                    i, s = np.concatenate([best_i, np.broadcast_to(at, s.shape)], axis=1), np.concatenate([best_s, s], axis=1)
-                    order = np.lexsort((i, -s), axis=1)[:, :k]
-                    best_i, best_s = np.take_along_axis(i, order, 1), np.take_along_axis(s, order, 1)
-            ok = np.isfinite(best_s)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, ok.sum(axis=1))), pa.array(best_i[ok]), pa.array(best_s[ok])], names=["query_id", "image_id", "cosine"])
-
-        parts.append(images.where("embedding is not null").select("image_id", "embedding").mapInArrow(run, schema))
-    if not parts:
-        return spark.createDataFrame([], schema + ", rank int")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "image_id")
+                for lo in range(0, batch.num_rows, STEP):
+                    part = batch.slice(lo, STEP)
+                    at, m = part.column(0).to_numpy(), _matrix(part.column(1))
+                    m = (_unit(m) if unit else m).T
+                    for first in range(0, len(ids), block):
+                        best.offer(first, q[first : first + block] @ m, at, None if own is None else own[first : first + block])
+            ok = np.isfinite(best.cosine)
+            which = np.repeat(np.arange(len(ids)), ok.sum(axis=1))
+            out = [pa.array([ids[i][c] for i in which.tolist()], kinds[c]) for c in range(len(keys))]
+            yield pa.RecordBatch.from_arrays([*out, pa.array(best.ids[ok]), pa.array(best.cosine[ok])], names=names)
+
+        return known.mapInArrow(run, schema)
+
+    kinds = [pa.int32() if queries.schema[c].dataType.simpleString() == "int" else pa.int64() for c in keys]
+    found, path = spark.createDataFrame([], schema), None
+    for n, (ids, q) in enumerate(_rounds(queries.where("embedding is not null"), list(keys), round_bytes)):
+        part = asked(ids, q)
+        if n == 0 and len(ids) * q.shape[1] * 8 < round_bytes:
+            found = part  # one round: nothing has to be written
+            break
+        path = path or new_path(spark, "nearest")
+        part.write.mode("append").parquet(path)
+    if path:
+        found = spark.read.schema(schema).parquet(path)
+    w = Window.partitionBy(*keys).orderBy(F.desc("cosine"), "image_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def similar_pairs(images: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """(a, b, cosine), a < b, of all pairs of at least ``threshold``: blocks of rows against one scan each; only such pairs come out."""
-    spark = images.sparkSession
-    schema = "a bigint, b bigint, cosine double"
-    out = spark.createDataFrame([], schema)
-    for ids, q in _blocks(images.select(F.col("image_id").alias("query_id"), "embedding").where("embedding is not null"), block):
-        sent = spark.sparkContext.broadcast((ids, q))
+def classes(images: DataFrame) -> DataFrame:
+    """(image_id, least): the least id of the images with an equal vector, of images that have one and are not alone with it."""
+    # 128 bits: two hashes with different seeds
+    known = images.where("embedding is not null").select("image_id", F.struct(F.xxhash64("embedding").alias("h"), F.xxhash64(F.lit(7), "embedding").alias("i")).alias("vector"))
+    least = known.groupBy("vector").agg(F.min("image_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("vector", "least")
+    return join_hot(known, least, "vector", F.col("image_id"), how="inner").select("image_id", "least")
+
+
+def _cells(images: DataFrame, blocks: int) -> DataFrame:
+    """(cell, high, image_id, embedding) sorted by cell, the lower block of a cell first. Images are dealt over
+    ``blocks`` by a hash; each goes to the cells of its block with every block, itself included."""
+    block, last = F.pmod(F.xxhash64("image_id"), F.lit(blocks)), F.lit(blocks - 1).cast("long")
+    dealt = images.withColumn("__block", block).withColumn("__other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    cell = F.least("__block", "__other") * blocks + F.greatest("__block", "__other")
+    rows = dealt.select(cell.alias("cell"), (F.col("__block") > F.col("__other")).alias("high"), "image_id", "embedding")
+    return rows.repartition("cell").sortWithinPartitions("cell", "high")
+
+
+def _met(batches: Iterator[pa.RecordBatch], blocks: int, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, cosine), a < b, of the pairs of each cell's two blocks; the lower block is held, the other streams."""
+    cell, ids, held = None, [], []
+
+    def pairs(at: np.ndarray, m: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        low, q = np.concatenate(ids), np.concatenate(held)
+        for lo in range(0, len(at), STEP):
+            s = _rounded(q @ m[lo : lo + STEP].T)
+            x, y = np.nonzero(s >= threshold)
+            a, b, v = low[x], at[lo : lo + STEP][y], s[x, y]
+            keep = a < b if cell // blocks == cell % blocks else a != b
+            if keep.any():
+                yield np.minimum(a, b)[keep], np.maximum(a, b)[keep], v[keep]
+
+    def closed() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        if ids and cell // blocks == cell % blocks:  # a block with itself has no upper one
+            yield from pairs(np.concatenate(ids), np.concatenate(held))
+
+    for batch in batches:
+        cells, high, at = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        m = _unit(_matrix(batch.column(3)))
+        cut = np.flatnonzero(np.r_[True, (cells[1:] != cells[:-1]) | (high[1:] != high[:-1])]) if len(cells) else []
+        for lo, hi in zip(cut, [*cut[1:], len(cells)]):
+            if cells[lo] != cell:
+                yield from closed()
+                cell, ids, held = cells[lo], [], []
+            if not high[lo]:
+                ids.append(at[lo:hi])
+                held.append(m[lo:hi])
+            elif ids:
+                yield from pairs(at[lo:hi], m[lo:hi])
+    yield from closed()
+
+
+def _all(a: np.ndarray, b: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return a, b, v
+
+
+def _linking(a: np.ndarray, b: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links that join what the pairs join, one an image at most."""
+    nodes, at = np.unique(np.r_[a, b], return_inverse=True)
+    x, y = spanning(at[: len(a)], at[len(a) :], len(nodes))
+    return nodes[y], nodes[x], np.ones(len(x))
+
+
+def _nearest(a: np.ndarray, b: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each image its nearest partner, of equals the least id."""
+    a, b, v = np.r_[a, b], np.r_[b, a], np.r_[v, v]
+    order = np.lexsort((b, -v, a))
+    first = order[np.r_[True, a[order][1:] != a[order][:-1]]] if len(a) else order
+    return a[first], b[first], v[first]
+
+
+def _joined(images: DataFrame, threshold: float, side: int, shape) -> tuple[DataFrame, DataFrame]:
+    """((a, b, cosine) of what ``shape`` makes of the pairs of different vectors, (a, b, cosine) of the least
+    image with a vector and each other that has it too)."""
+    known = images.where("embedding is not null").select("image_id", "embedding")
+    copies = written(classes(known).where("image_id <> least"), "copies")
+    alone = written(known.join(copies, "image_id", "left_anti"), "vectors")
+    blocks = max(1, -(-alone.count() // side))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in _met(batches, blocks, threshold):
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, shape(*found))), names=["a", "b", "cosine"])
+
+    some = F.exists("embedding", lambda x: x != 0) & F.lit(threshold <= 1)  # the zero vector is like nothing
+    equal = copies.join(known.where(some).select("image_id"), "image_id", "left_semi").select(F.col("least").alias("a"), F.col("image_id").alias("b"), F.lit(1.0).alias("cosine"))
+    return _cells(alone, blocks).mapInArrow(run, "a bigint, b bigint, cosine double"), equal
+
+
+def similar_pairs(images: DataFrame, threshold: float, side: int = SIDE) -> DataFrame:
+    """(a, b, cosine), a < b, of all pairs of different vectors of at least ``threshold``, and of each image with a
+    vector that another has with the least id that has it.
+
+    Equal vectors count once, by their least id, so that copies are not all paired; :func:`classes` has their
+    members. The rest is exact: blocks of some ``side`` images meet in cells, a task holds one block and streams
+    the other, and nothing passes through the driver. The cost is the square of the different vectors.
+    """
+    pairs, equal = _joined(images, threshold, side, _all)
+    return pairs.unionByName(equal)
+
+
+def similar_links(images: DataFrame, threshold: float, side: int = SIDE) -> DataFrame:
+    """(a, b): links that join what :func:`similar_pairs` joins; of pairs among many near copies only a tree is made."""
+    links, equal = _joined(images, threshold, side, _linking)
+    return links.unionByName(equal).select("a", "b")
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, q = sent.value
-            for batch in batches:
-                for lo in range(0, batch.num_rows, 2048):
-                    part = batch.slice(lo, 2048)
-                    at = part.column(0).to_numpy()
-                    s = q @ _unit(_matrix(part.column(1))).T
-                    x, y = np.nonzero((s >= threshold) & (ids[:, None] < at[None, :]))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(at[y]), pa.array(s[x, y])], names=["a", "b", "cosine"])
 
-        out = out.unionByName(images.where("embedding is not null").select("image_id", "embedding").mapInArrow(run, schema))
-    return out
+def best_partners(images: DataFrame, threshold: float, side: int = SIDE) -> DataFrame:
+    """(image_id, partner, cosine): for each image with another of at least ``threshold`` the nearest, of equals the least id."""
+    nearest, equal = _joined(images, threshold, side, _nearest)
+    copies = equal.unionByName(equal.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
+    # what is nearest to the least image with a vector is as near to the others, but these have each other
+    best = nearest.unionByName(copies).groupBy("a").agg(F.max(F.struct("cosine", (-F.col("b")).alias("p"))).alias("m"))
+    return best.select(F.col("a").alias("image_id"), (-F.col("m.p")).alias("partner"), F.col("m.cosine").alias("cosine"))
 
 
 def images_of(index: DataFrame) -> DataFrame:
@@ -106,14 +250,18 @@ def images_of(index: DataFrame) -> DataFrame:
     return index.groupBy("image_id").agg(F.first("embedding", ignorenulls=True).alias("embedding"))
 
 
-def nearest_captions(queries: DataFrame, index: DataFrame, k: int, exclude_self: bool = False, images: DataFrame | None = None) -> DataFrame:
-    """(query_id, rank, id, image_id, ann_id, document, distance): the ``k`` nearest rows of ``index``.
+def nearest_captions(queries: DataFrame, index: DataFrame, k: int, exclude_self: bool = False, images: DataFrame | None = None,
+                     keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """(keys, rank, id, image_id, ann_id, document, distance): the ``k`` nearest rows of ``index``.
 
-    Images are searched and captions joined afterwards: ``k`` images have ``k`` rows or more. Ties go by
-    image_id and ann_id. ``exclude_self`` leaves out every row of the query's own image.
+    Images are searched and captions joined afterwards: ``k`` images have ``k`` rows or more, and of each image
+    only the first ``k`` rows can be among them. Ties go by image_id and ann_id. ``exclude_self`` leaves out
+    every row of the query's own image.
     """
-    found = top_images(queries, images if images is not None else images_of(index), k, exclude_self)
-    rows = found.drop("rank").join(index.select("id", "image_id", "ann_id", "document"), "image_id")
-    w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "image_id", "ann_id")
+    found = top_images(queries, images if images is not None else images_of(index), k, exclude_self, keys=keys)
+    first = Window.partitionBy("image_id").orderBy("ann_id")
+    captions = index.select("id", "image_id", "ann_id", "document").withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= k).drop("__n")
+    w = Window.partitionBy(*keys).orderBy(F.desc("cosine"), "image_id", "ann_id")
+    rows = found.drop("rank").join(captions, "image_id")
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(
-        "query_id", "rank", "id", "image_id", "ann_id", "document", (2.0 * (1.0 - F.col("cosine"))).alias("distance"))
+        *keys, "rank", "id", "image_id", "ann_id", "document", (2.0 * (1.0 - F.col("cosine"))).alias("distance"))

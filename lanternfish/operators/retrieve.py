@@ -28,12 +28,9 @@ def basic(queries: DataFrame, index: DataFrame, mode: str = "medoid", top_k: int
     return selection.choose(pool_of(queries, index, 1 if mode == "top1" else top_k, exclude_self), mode)
 
 
-def variant_pool(variants: DataFrame, index: DataFrame, k: int = PER_VARIANT) -> DataFrame:
-    """Candidates of (query_id, variant_no, embedding): every variant is asked in the same scan."""
-    # one number for each (query, variant); variants of a query are few, so they fit the low digits
-    asked = variants.select((F.col("query_id") * 1000 + F.col("variant_no")).alias("query_id"), "embedding")
-    found = knn.nearest_captions(asked, index, k)
-    return found.withColumn("variant_no", F.pmod(F.col("query_id"), F.lit(1000)).cast("int")).withColumn("query_id", F.floor(F.col("query_id") / 1000).cast("bigint"))
+def variant_pool(variants: DataFrame, index: DataFrame, k: int = PER_VARIANT, exclude_self: bool = False, images: DataFrame | None = None) -> DataFrame:
+    """Candidates of (query_id, variant_no, embedding): every variant of every query is asked in the same scan."""
+    return knn.nearest_captions(variants, index, k, exclude_self, images, keys=("query_id", "variant_no"))
 
 
 def advanced(variants: DataFrame, index: DataFrame, mode: str = "medoid") -> DataFrame:
@@ -64,15 +61,14 @@ CROPS = {"none": (), "segmentation": ("segment",), "object-detection": ("object"
 
 def ablation(pool: DataFrame, crops: tuple[str, ...] = tuple(CROPS), modes: tuple[str, ...] = selection.MODES) -> DataFrame:
     """(query_id, crops, mode, caption, distance) of every configuration, from one pool whose candidates have the
-    ``kind`` of their variant. Each configuration's part of the pool is a query of its own, so one plan chooses for all."""
+    ``kind`` of their variant. A query of a configuration is a query of its own, so one plan chooses for all."""
     if unknown := [c for c in crops if c not in CROPS]:
         raise ValueError(f"unknown crops {unknown}")
-    table = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(c).alias("crops"), F.array(*map(F.lit, ("original", *CROPS[c]))).alias("kinds")) for n, c in enumerate(crops)])
+    table = F.array(*[F.struct(F.lit(c).alias("crops"), F.array(*map(F.lit, ("original", *CROPS[c]))).alias("kinds")) for c in crops])
     dealt = pool.withColumn("c", F.explode(table)).where(F.array_contains("c.kinds", F.col("kind")))
-    dealt = dealt.withColumn("query_id", F.col("query_id") * len(crops) + F.col("c.n")).drop("c", "kind")
+    dealt = dealt.withColumn("query_id", F.struct("query_id", F.col("c.crops").alias("crops"))).drop("c", "kind")
     out = None
     for mode in modes:
-        part = selection.choose(dealt, mode).select("query_id", "caption", F.col("distance").cast("double").alias("distance"), F.lit(mode).alias("mode"))
+        part = selection.choose(dealt, mode).select("query_id.query_id", "query_id.crops", F.lit(mode).alias("mode"), "caption", F.col("distance").cast("double").alias("distance"))
         out = part if out is None else out.unionByName(part)
-    name = F.element_at(F.array(*map(F.lit, crops)), F.pmod("query_id", F.lit(len(crops))).cast("int") + 1)
-    return out.select(F.floor(F.col("query_id") / len(crops)).cast("bigint").alias("query_id"), name.alias("crops"), "mode", "caption", "distance")
+    return out

@@ -185,12 +185,12 @@ def near_dup_pairs(spark, folder):
 
 @query
 def max_sim_partner(spark, folder):
-    return graph.best_partner(knn.similar_pairs(augmented(spark, folder), TWIN)).select("image_id", "partner", r("cosine").alias("cosine"))
+    return knn.best_partners(augmented(spark, folder), TWIN).select("image_id", "partner", r("cosine").alias("cosine"))
 
 
 @query
 def near_dup_clusters(spark, folder):
-    return graph.clusters(knn.similar_pairs(augmented(spark, folder), TWIN))
+    return graph.clusters(knn.similar_links(augmented(spark, folder), TWIN))
 
 
 @query
@@ -202,21 +202,21 @@ def cluster_stats(spark, folder):
 @query
 def shift_summary(spark, folder):
     """Nearest distance of four cells: base images, augmented images before, after, and after without twins."""
-    i, e = caption_index(spark, folder), table(spark, folder, "embeddings")
-    sample = i.where("image_id % 50 = 0").select("image_id", "is_augmented").distinct()
+    i = written(caption_index(spark, folder), "index")
+    vectors = written(i.groupBy("image_id").agg(F.first("embedding").alias("embedding"), F.first("is_augmented").alias("is_augmented")), "vectors")
+    sample = vectors.where("image_id % 50 = 0").select("image_id", "is_augmented")
     base, aug = sample.where("not is_augmented"), sample.where("is_augmented")
-    members = near_dup_clusters(spark, folder)
-    twins = graph.twins(aug, members).select("image_id").unionByName(aug.select("image_id")).distinct()
-    vectors = e.select(F.col("vec_id").alias("image_id"), "embedding")
-    held_base = I.hold_out(i.where("not is_augmented"), base)
-    after = I.hold_out(i, sample)
+    members = graph.clusters(knn.similar_links(vectors.where("is_augmented"), TWIN))
+    twins = graph.twins(aug, members).unionByName(aug.select("image_id")).distinct()
+    held_base = I.hold_out(vectors.where("not is_augmented"), base)
+    after = I.hold_out(vectors, sample)
     cells = {"base": (base, held_base), "before": (aug, held_base), "after": (aug, after), "after_without_twins": (aug, I.hold_out(after, twins))}
     out = None
     for name, (who, where) in cells.items():
-        q = vectors.join(who.select("image_id"), "image_id").withColumnRenamed("image_id", "query_id")
-        part = knn.nearest_captions(q, where, 1).withColumn("cell", F.lit(name))
+        q = vectors.join(who.select("image_id"), "image_id", "left_semi").select(F.col("image_id").alias("query_id"), "embedding")
+        part = knn.top_images(q, where, 1).select(F.lit(name).alias("cell"), (2.0 * (1.0 - F.col("cosine"))).alias("distance"))
         out = part if out is None else out.unionByName(part)
-    got = diagnostics.summary(out, ["cell"], "distance")
+    got = diagnostics.summary(written(out, "distances"), ["cell"], "distance")
     return got.select("cell", *[r(c).alias(c) for c in ("mean", "median", "least", "most")], "n")
 
 
@@ -471,9 +471,10 @@ def k_dependence(spark, folder):
 
 @query
 def near_dup_audit(spark, folder):
-    pairs = written(knn.similar_pairs(augmented(spark, folder), TWIN), "pairs")
-    sample = caption_index(spark, folder).where("image_id % 50 = 0 and is_augmented").select("image_id")
-    got = graph.audit(pairs, graph.clusters(pairs), sample, near_exact=0.40)
+    i = caption_index(spark, folder)
+    vectors = written(augmented(spark, folder), "augmented")
+    sample = i.where("image_id % 50 = 0 and is_augmented").select("image_id")
+    got = graph.audit(written(knn.best_partners(vectors, TWIN), "partners"), graph.clusters(knn.similar_links(vectors, TWIN)), sample, near_exact=0.40)
     return got.withColumn("flagged_pct", r("flagged_pct"))
 
 

@@ -11,7 +11,7 @@ q as (select vec_id as query_id, embedding::double[] as v from embeddings where
 
 
 def found(k: int, on: str = "true", name: str = "found", src: str = "caption_index", q: str = "q") -> str:
-    return f"""{name}_s as (select q.query_id, i.image_id, list_cosine_similarity(q.v, i.v) as cosine
+    return f"""{name}_s as (select q.query_id, i.image_id, round(list_cosine_similarity(q.v, i.v), 9) as cosine
   from {q} q join (select image_id, any_value(embedding)::double[] as v from {src} group by image_id) i on {on}),
 {name} as (select * from (select s.query_id, c.id, c.image_id, c.ann_id, c.document, 2 * (1 - cosine) as distance,
   row_number() over (partition by s.query_id order by cosine desc, c.image_id, c.ann_id) as rank from {name}_s s join {src} c using (image_id)) where rank <= {k})"""
@@ -52,7 +52,7 @@ from (select distinct query_id from {src}) a left join joined using (query_id)""
 
 
 AUG = """aug as (select image_id, any_value(embedding)::double[] as v from caption_index where is_augmented group by image_id),
-pairs as (select a.image_id as a, b.image_id as b, list_cosine_similarity(a.v, b.v) as cosine from aug a join aug b on a.image_id < b.image_id where list_cosine_similarity(a.v, b.v) >= 0.35)"""
+pairs as (select a.image_id as a, b.image_id as b, round(list_cosine_similarity(a.v, b.v), 9) as cosine from aug a join aug b on a.image_id < b.image_id where round(list_cosine_similarity(a.v, b.v), 9) >= 0.35)"""
 BOTH = "both_ways as (select a, b, cosine from pairs union all select b, a, cosine from pairs)"
 CLUSTERS = f"""{BOTH},
 reach(a, b) as (select a, a from both_ways union select r.a, e.b from reach r join both_ways e on e.a = r.b),
@@ -101,7 +101,7 @@ qn as (select image_id as query_id, v from un where image_id % 50 = 0)"""
 
 
 def ranked(name: str, q: str, i: str) -> str:
-    return f"{name} as (select * from (select query_id, image_id as id, row_number() over (partition by query_id order by list_dot_product({q}.v, {i}.v) desc, image_id) as rank from {q} join {i} on query_id <> image_id) where rank <= 10)"
+    return f"{name} as (select * from (select query_id, image_id as id, row_number() over (partition by query_id order by round(list_dot_product({q}.v, {i}.v), 9) desc, image_id) as rank from {q} join {i} on query_id <> image_id) where rank <= 10)"
 
 
 def coded(name: str, src: str, key: str) -> str:
@@ -119,8 +119,9 @@ def described(c: str) -> str:
 
 
 TITLES = "titles as (select page_id, html, regexp_extract(html, '<title>([^<]*)</title>', 1) as title from pages)"
-WORDS = "coat of arms|seal of|flag of|logo|emblem|map of|locator map|banner|icon|insignia|symbol of|diagram|chart|poster|stamp"
-BLOCKED = f"(?i)\\b({WORDS})\\b"
+# Phrases that mark what is no photograph, spelt out here so that the SQL stands alone.
+WORDS = "coat of arms|seal of|flag of|logo|emblem|map of|diagram|icon|symbol|chart|graph|route map|locator map|banner|screenshot"
+BLOCKED = f"(?i)(^|[^\\p{{L}}\\p{{N}}_])({WORDS})($|[^\\p{{L}}\\p{{N}}_])"
 BOXES = """boxes as (select vec_id as image_id, label + 1 as label_id, n, (vec_id * 37 + n * 97) % 300 as x0, (vec_id * 53 + n * 97) % 200 as y0, ((vec_id * 71 + n * 97) % 100) / 100.0::double as score,
   (vec_id * 37 + n * 97) % 300 + (vec_id * 11 + n * 97) % 90 + 5 as x1, (vec_id * 53 + n * 97) % 200 + (vec_id * 17 + n * 97) % 80 + 5 as y1 from embeddings cross join (select unnest(range(1, 7)) as n)),
 crops as (select *, greatest(0, x0 - 10) as a0, greatest(0, y0 - 10) as b0, least(320, x1 + 10) as a1, least(240, y1 + 10) as b1 from boxes)"""
