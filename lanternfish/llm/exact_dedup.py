@@ -1,11 +1,11 @@
-"""Exact deduplication: hashes of all rows are counted, a Bloom filter holds those that repeat, and only its hits shuffle as rows."""
+"""Exact deduplication: a first Bloom pass finds words with a bit set twice, a second one the rows that set them; only those rows shuffle."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanternfish.llm.bloom import bloom_of, probe, repeated_hashes
+from lanternfish.llm.bloom import bitmap_of, probe, repeated_words, words_for
 from lanternfish.llm.store import apart, join_hot, one_of_each, replace_columns, written
 
 RESULT = ("keep_id", "group_size", "kept", "text_sha256")
@@ -26,9 +26,10 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, carried: list[str] | No
               F.unhex(F.sha2(normalised(F.col(text_col)).cast("binary"), 256)).alias("__key")]
     counted = written(docs.select(*narrow), "dedup-keys")
     hashed = F.xxhash64("__key")
-    bloom = bloom_of(repeated_hashes(counted.select(hashed.alias("__h"))))
+    words = words_for(counted.count())
+    bitmap = bitmap_of(repeated_words(counted.select(hashed.alias("__h")), words))
 
-    groups = probe(counted, hashed, bloom).where("__maybe").groupBy("__key").agg(
+    groups = probe(counted, hashed, bitmap, words).where("__maybe").groupBy("__key").agg(
         F.count(F.lit(1)).alias("__size"), F.min(F.struct((-F.col("__chars")).alias("c"), F.col("__id").alias("i"))).alias("__best")
     )
     groups = written(groups.where("__size > 1"), "dedup-groups")
@@ -36,7 +37,7 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, carried: list[str] | No
     held = [] if carried is None else apart(carried)[0]
     rows = counted if carried is None else docs.select(*held, *narrow)
     kept_columns = [*(f"__c{i}" for i in range(len(held))), "__id"]
-    looked = probe(rows, hashed, bloom)
+    looked = probe(rows, hashed, bitmap, words)
     one = looked.where("not __maybe").select(
         *kept_columns, F.col("__id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "__key")
     many = join_hot(looked.where("__maybe"), groups, "__key", F.col("__id")).select(

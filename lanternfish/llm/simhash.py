@@ -2,8 +2,10 @@
 
 A 64-bit fingerprint is a ring of five segments. If two fingerprints differ in at most two bits, some
 segment starts a chain of consecutive segments whose differences, summed over the first l segments,
-never exceed l * 2 / 5. In whole bits the budgets are 0, 0, 1, 1, 2. So two neighbouring segments are
-equal, which is an equi-key, and the longer chains prune what shares the key before the full check.
+never exceed l * 2 / 5. In whole bits the budgets are 0, 0, 1, 1, 2. So the first two segments of the chain
+are equal, and as the third and the fourth differ in one bit together, one of these is equal too: that
+makes two equi-keys a start, of 38 or 39 bits. What shares a key has its chains of three, four and five
+segments checked, the last of which is the full Hamming check.
 """
 
 from __future__ import annotations
@@ -15,18 +17,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanternfish.llm.bloom import bloom_of, probe, repeated_hashes
-from lanternfish.llm.components import components
+from lanternfish.llm.bloom import bitmap_of, probe, repeated_words, words_for, words_of
 from lanternfish.llm.store import apart, join_hot, one_of_each, written
+from lanternfish.operators.graph import components, spanning
 
 RESULT = ("fingerprint", "component_id")
 SEED, MOST = 42, 2
 WIDTHS = (13, 13, 13, 13, 12)
 STARTS = (0, 13, 26, 39, 52)
-#: Distinct fingerprints that share a key and are held in a task at once; beyond, links go by neighbours.
-HELD = 65_536
-#: Up to so many, all pairs of a key are put to the chain filter; beyond, flipped neighbours find them.
-PAIRED = 128
+#: Fingerprints of a key that a task pairs at once; a key of more is dealt out in blocks of so many, each of
+#: which meets each in a cell of its own. Memory and balance only: every pair of a key meets the same filter.
+SIDE, STEP = 8192, 1024
 
 
 def fingerprint(text: bytes, words: int = 3) -> int:
@@ -68,119 +69,111 @@ def _mask(first: int, count: int) -> int:
     return out
 
 
-def chain_key(fp: Column, start: int) -> Column:
-    """The start and the bits of its two segments, as one long."""
-    m = _mask(start, 2)
-    width = WIDTHS[start] + WIDTHS[(start + 1) % 5]
-    turned = fp if start == 0 else F.shiftleft(fp, STARTS[start]).bitwiseOR(F.shiftrightunsigned(fp, 64 - STARTS[start]))
-    assert bin(m).count("1") == width
-    return F.shiftrightunsigned(turned, 64 - width) * 8 + start
-
-
-def _spanning(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (i, root) that join what the links (a, b) among 0..n-1 join; at most n - 1 of them."""
-    label = np.arange(n)
-    while len(a):
-        least = np.minimum(label[a], label[b])
-        before = label.copy()
-        np.minimum.at(label, label[a], least)
-        np.minimum.at(label, label[b], least)
-        label = label[label]
-        if np.array_equal(before, label) and np.array_equal(label[a], label[b]):
-            break
-    i = np.flatnonzero(label != np.arange(n))
-    return i, label[i]
-
-
-def by_flips(fp: np.ndarray, mask: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join all of ``fp`` (distinct, equal outside ``mask``) at distance 1 or 2: both ends of
-    such a pair are within one flip of a common value, and two ends of one value within two flips."""
-    flips = np.array([0] + [1 << k for k in range(64) if mask >> k & 1], dtype=np.uint64)
-    near = (fp[:, None] ^ flips[None, :]).ravel()
-    order = np.argsort(near, kind="stable")
-    same = near[order][1:] == near[order][:-1]
-    owner = order // len(flips)
-    return owner[1:][same], owner[:-1][same]
-
-
-def link_chunk(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of linked rows, enough to span each linked set; rows sorted by key, whole keys only."""
-    n = len(key)
-    masks = {l: np.array([_mask(s, l) for s in range(5)], dtype=np.uint64) for l in (3, 4)}
-    at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if n else np.array([], dtype=int)
-    size = np.diff(np.r_[at, n])
-    own = np.repeat(size, size)
-    a, b = [], []
-    for d in range(1, min(PAIRED, int(size.max(initial=1)))):
-        i = np.flatnonzero((key[d:] == key[:-d]) & (own[d:] <= PAIRED)) if d < n else np.array([], dtype=int)
-        if not len(i):
-            break
-        x, s = fp[i] ^ fp[i + d], (key[i] & 7).astype(int)
-        ok = np.bitwise_count(x & masks[3][s]) <= 1  # the chain of three segments
-        ok &= np.bitwise_count(x & masks[4][s]) <= 1  # of four
-        ok &= np.bitwise_count(x) <= MOST  # and the whole ring
-        a.append(i[ok])
-        b.append(i[ok] + d)
-    for k in np.flatnonzero(size > PAIRED):
-        lo, hi = at[k], at[k] + size[k]
-        x, y = by_flips(fp[lo:hi], _mask((int(key[lo]) & 7) + 2, 3))
-        a.append(x + lo)
-        b.append(y + lo)
-    return _spanning(np.concatenate(a), np.concatenate(b), n) if a else (np.array([], dtype=int), np.array([], dtype=int))
+def chain_keys(fp: Column) -> Column:
+    """The ten equi-keys: for each start the bits of its first two segments and of the third or the fourth, and
+    which of the ten it is in the low four bits."""
+    keys = []
+    for start in range(5):
+        w = [WIDTHS[(start + i) % 5] for i in range(5)]
+        turned = fp if start == 0 else F.shiftleft(fp, STARTS[start]).bitwiseOR(F.shiftrightunsigned(fp, 64 - STARTS[start]))
+        third = F.shiftrightunsigned(turned, 64 - w[0] - w[1] - w[2])
+        fourth = F.shiftrightunsigned(turned, 64 - w[0] - w[1] - w[2] - w[3]).bitwiseAND(F.lit((1 << w[3]) - 1))
+        keys += [F.shiftleft(third, 4).bitwiseOR(F.lit(start)), F.shiftleft(F.shiftleft(F.shiftrightunsigned(turned, 64 - w[0] - w[1]), w[3]).bitwiseOR(fourth), 4).bitwiseOR(F.lit(8 + start))]
+    return F.array(*keys)
 
 
-def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b) links of fingerprints from rows sorted by key. A key of over HELD rows is not held: its
-    fingerprints are handed on, each with a null ``b``, for :func:`_by_neighbours`."""
-    key, fp, spilling = np.array([], dtype=np.int64), np.array([], dtype=np.int64), None
+_CHAINS = {n: np.array([_mask(s, n) for s in range(5)], dtype=np.uint64) for n in (3, 4)}
 
-    def out(a, b) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    def linked(key, fp):
-        a, b = link_chunk(key, fp.view(np.uint64))
-        return out(fp[a], fp[b])
+def chained(x: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Whether the differing bits ``x`` keep within the budgets of the chains from ``start``."""
+    ok = np.bitwise_count(x & _CHAINS[3][start]) <= 1  # three segments
+    ok &= np.bitwise_count(x & _CHAINS[4][start]) <= 1  # four
+    return ok & (np.bitwise_count(x) <= MOST)  # and the whole ring
 
+
+def link_chunk(cell: np.ndarray, fp: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of linked rows, enough to span each linked set; rows sorted by cell, whole cells only. All pairs of
+    a cell are put to the chain filter, those of like distance in the order at once."""
+    n = len(cell)
+    if n < 2:
+        return np.array([], dtype=int), np.array([], dtype=int)
+    at = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+    after = np.repeat(np.r_[at[1:], n], np.diff(np.r_[at, n])) - np.arange(n)  # rows of the cell from here on
+    a, b = [], []
+    i, d = np.arange(n), 1
+    while len(i := i[after[i] > d]):
+        ok = i[chained(fp[i] ^ fp[i + d], start[i])]
+        if len(ok):
+            a.append(ok)
+            b.append(ok + d)
+        d += 1
+    return spanning(np.concatenate(a), np.concatenate(b), n) if a else (np.array([], dtype=int), np.array([], dtype=int))
+
+
+def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) links of (cell, high, start, fp), sorted by cell and high. Whole cells are paired within themselves,
+    many at once; a cell of two blocks pairs each row of the lower one with each of the higher one. Cells are
+    numbered by hashes: where two share a number, more pairs are put to the filter, and none is lost."""
+    def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+
+    def within(c: np.ndarray, s: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
+        a, b = link_chunk(c, f, s)
+        if len(a):
+            yield out(f[a], f[b])
+
+    def between(low: np.ndarray, start: np.ndarray, high: np.ndarray) -> Iterator[pa.RecordBatch]:
+        a, b = [], []
+        for lo in range(0, len(high), STEP):
+            x, y = np.nonzero(chained(low[:, None] ^ high[None, lo : lo + STEP], start[:, None]))
+            a.append(x)
+            b.append(y + lo + len(low))
+        both = np.r_[low, high]
+        x, y = spanning(np.concatenate(a), np.concatenate(b), len(both))
+        if len(x):
+            yield out(both[x], both[y])
+
+    def done(c: np.ndarray, h: np.ndarray, s: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
+        own = h == 0
+        yield from within(c[own], s[own], f[own])
+        for cell in np.unique(c[h == 2]):
+            low, high = (c == cell) & (h == 1), (c == cell) & (h == 2)
+            if low.any():
+                yield from between(f[low], s[low], f[high])
+
+    held = [np.array([], dtype=t) for t in (np.int64, np.int8, np.int8, np.uint64)]
     for batch in batches:
-        key, fp = np.r_[key, batch.column(0).to_numpy()], np.r_[fp, batch.column(1).to_numpy()]
-        if not len(key):
-            continue
-        if spilling is not None:
-            n = np.searchsorted(key, spilling, "right")
-            yield out(fp[:n], pa.nulls(n, pa.int64()))
-            key, fp = key[n:], fp[n:]
-            if not len(key):
-                continue
-            spilling = None
-        cut = int(np.searchsorted(key, key[-1], "left"))
-        if cut:
-            yield linked(key[:cut], fp[:cut])
-        key, fp = key[cut:], fp[cut:]
-        if len(key) > HELD:
-            spilling = key[0]
-            yield out(fp, pa.nulls(len(fp), pa.int64()))
-            key, fp = key[:0], fp[:0]
-    if len(key):
-        yield linked(key, fp)
-
-
-def _by_neighbours(fps: DataFrame) -> DataFrame:
-    """Links (a, b) that join all of ``fps`` (a) within two bits, 65 rows each however many share a key."""
-    f = F.col("a")
-    near = fps.distinct().select("a", F.explode(F.array(f, *[f.bitwiseXOR(F.lit(m - (1 << 64) if m >> 63 else m)) for m in (1 << k for k in range(64))])).alias("near"))
-    met = near.groupBy("near").agg(F.collect_list("a").alias("all")).where("size(all) > 1")  # at most 65
-    return met.select(F.array_min("all").alias("b"), F.explode("all").alias("a")).where("a <> b").select("a", "b").distinct()
-
-
-def near_links(fps: DataFrame) -> DataFrame:
+        new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+        held = [np.concatenate([old, x.astype(old.dtype) if i < 3 else x.view(np.uint64)]) for i, (old, x) in enumerate(zip(held, new))]
+        if len(held[0]):
+            cut = int(np.searchsorted(held[0], held[0][-1], "left"))  # the last cell may go on
+            yield from done(*(x[:cut] for x in held))
+            held = [x[cut:] for x in held]
+    yield from done(*held)
+
+
+def _cells(fps: DataFrame, side: int) -> DataFrame:
+    """(cell, high, start, fp) of every key of the distinct fingerprints ``fp``: a cell a key, and for a key of more
+    than ``side`` fingerprints a cell for each two of its blocks."""
+    keys = fps.select(F.explode(chain_keys(F.col("fp"))).alias("key"), "fp")
+    hot = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > side), "simhash-hot")
+    start = F.col("key").bitwiseAND(F.lit(7)).cast("tinyint").alias("start")
+    plain = [F.xxhash64("key").alias("cell"), F.lit(0).cast("tinyint").alias("high"), start, "fp"]
+    if hot.isEmpty():
+        return keys.select(*plain)
+    known = join_hot(keys, hot.select("key", F.ceil(F.col("n") / side).alias("blocks")), "key", F.col("fp"))
+    blocks = known.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    side_of = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    split = blocks.select(F.xxhash64("key", low, high).alias("cell"), side_of.cast("tinyint").alias("high"), start, "fp")
+    return known.where("blocks is null").select(*plain).unionByName(split)
+
+
+def near_links(fps: DataFrame, side: int = SIDE) -> DataFrame:
     """Links (a, b) between the distinct fingerprints ``fp`` that span every set linked by two bits or fewer."""
-    f = F.col("fp")
-    keys = fps.select(F.explode(F.array(*[chain_key(f, s) for s in range(5)])).alias("key"), f)
-    dealt = keys.repartition("key").sortWithinPartitions("key", "fp")
-    found = written(dealt.mapInArrow(_link, "a bigint, b bigint"), "simhash-links")
-    handed = found.where("b is null").select("a")
-    links = found.where("b is not null")
-    return links if handed.isEmpty() else links.unionByName(_by_neighbours(handed))
+    dealt = _cells(fps, side).repartition("cell").sortWithinPartitions("cell", "high", "start", "fp")
+    return dealt.mapInArrow(_link, "a bigint, b bigint")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
@@ -197,7 +190,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     linked = roots.unionByName(roots.select(F.col("b").alias("a"), "b").distinct())
     members = written(linked.join(fps, F.col("a") == F.col("fp")).select("fp", "b", "first"), "simhash-members")
     least = members.groupBy("b").agg(F.min("first").alias("least"))
-    known = members.join(least, "b").select("fp", "least")
+    known = join_hot(members, least, "b", F.col("fp"), how="inner").select("fp", "least")
     alike = fps.where("size > 1").join(known.select("fp"), "fp", "left_anti").select("fp", F.col("first").alias("least"))
     facts = known.unionByName(alike).withColumnRenamed("fp", "__fp")
     out = join_hot(hashed, facts.withColumn("__known", F.lit(True)), "__fp", F.col("__id"))
@@ -218,7 +211,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = written(near_dedup(rows, "__row", "__text", words).select("__row", (F.col("__row") != F.col("component_id")).alias("lost")), "simhash-verdicts")
     hashed = found.select(F.col("__row.key").alias("__key"), F.xxhash64("__row.key").alias("__h"), "lost")
     lost = hashed.where("lost")
-    bloom = bloom_of(lost.select("__h").unionByName(repeated_hashes(hashed.where("not lost").select("__h"))))
-    looked = probe(docs.select(key.alias("__key"), *held), F.xxhash64("__key"), bloom)
+    words = words_for(found.count())
+    bitmap = bitmap_of(words_of(lost.select("__h"), words).unionByName(repeated_words(hashed.where("not lost").select("__h"), words)))
+    looked = probe(docs.select(key.alias("__key"), *held), F.xxhash64("__key"), bitmap, words)
     one = one_of_each(looked.where("__maybe").drop("__maybe"), "__key").join(lost.select("__key").distinct(), "__key", "left_anti")
     return looked.where("not __maybe").select(*back).unionByName(one.select(*back))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanternfish.llm.bloom import bloom_of, probe, repeated_hashes
+from lanternfish.llm.bloom import bitmap_of, probe, repeated_words, words_for
 from lanternfish.llm.store import join_hot, new_path, written
 
 # Header lines of the ARC format, by version, and the WARC record shape.
@@ -168,10 +168,11 @@ def pages_to_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     ready = pages.select(F.col(id_col).alias("__id"), F.coalesce(F.col(url_col), F.lit("")).alias("__url"), payload.alias("__payload"),
                          F.unhex(F.sha1(payload)).alias("__key"), F.octet_length(payload).alias("__n"))
     narrow = written(ready.where(F.col("__n") >= smallest).select("__key", "__id", "__url"), "warc-keys")
-    bloom = bloom_of(repeated_hashes(narrow.select(F.xxhash64("__key").alias("__h"))))
-    best = probe(narrow, F.xxhash64("__key"), bloom).where("__maybe").groupBy("__key").agg(
+    words = words_for(narrow.count())
+    bitmap = bitmap_of(repeated_words(narrow.select(F.xxhash64("__key").alias("__h")), words))
+    best = probe(narrow, F.xxhash64("__key"), bitmap, words).where("__maybe").groupBy("__key").agg(
         F.count(F.lit(1)).alias("__size"), F.max(F.struct(F.col("__id").alias("id"), F.col("__url").alias("url"))).alias("__best"))
-    looked = probe(ready, F.xxhash64("__key"), bloom)
+    looked = probe(ready, F.xxhash64("__key"), bitmap, words)
     alone = looked.where("not __maybe").select("__id", "__url", "__payload", F.lit(None).cast("string").alias("__to_url"), F.lit(None).cast("string").alias("__to_id"), F.lit(False).alias("__revisit"))
     again = (F.col("__size") > 1) & (F.col("__n") >= smallest) & ~F.struct(F.col("__id").alias("id"), F.col("__url").alias("url")).eqNullSafe(F.col("__best"))
     met = join_hot(looked.where("__maybe"), best.where("__size > 1"), "__key", F.col("__id")).select(

@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lanternfish.llm import bloom, chat, components, decontaminate, exact_dedup, licences, queries, quality, secrets, sentencepiece_bpe, simhash, store, toxicity, warc
+from lanternfish.llm import bloom, chat, decontaminate, exact_dedup, licences, queries, quality, secrets, sentencepiece_bpe, simhash, store, toxicity, warc
+from lanternfish.operators import graph
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -51,7 +52,7 @@ def test_components(spark):
     for a, b in links:
         a, b = sorted((find(a), find(b)))
         parent[b] = a
-    got = dict(map(tuple, components.components(spark.createDataFrame(links, "x bigint, y bigint")).collect()))
+    got = dict(map(tuple, graph.components(spark.createDataFrame(links, "x bigint, y bigint")).collect()))
     assert all(got.get(n, n) == find(n) for a, b in links for n in (a, b))
 
 
@@ -67,39 +68,84 @@ def brute_components(fps):
     return label
 
 
-@pytest.mark.parametrize("held,paired", [(65_536, 128), (65_536, 2), (8, 2)])
-def test_simhash_links(spark, monkeypatch, held, paired):
-    monkeypatch.setattr(simhash, "HELD", held)
-    monkeypatch.setattr(simhash, "PAIRED", paired)
-    rng = np.random.default_rng(5)
-    base = [int(x) for x in rng.integers(0, 2**63, 6, dtype=np.int64)]
+def near_fps(seed, count):
+    """Fingerprints within a few bits of six values."""
+    rng = np.random.default_rng(seed)
     found = set()
-    for b in base:
-        for _ in range(30):
+    for b in (int(x) for x in rng.integers(0, 2**63, 6, dtype=np.int64)):
+        for _ in range(count):
             x = b
             for k in rng.integers(0, 64, rng.integers(0, 4)):
                 x ^= 1 << int(k)
             found.add(x & (2**64 - 1))
-    fps = dict(enumerate(sorted(found)))
-    signed = lambda x: x - 2**64 if x >> 63 else x
-    # the same limits on the workers: link in this process, as one task would
-    import pyarrow as pa
-    keyed = sorted((k, signed(x)) for x in fps.values() for k in [((int(format(x, "064b")[s:] + format(x, "064b")[:s], 2) >> (64 - w)) << 3) | n for n, (s, w) in enumerate(zip(simhash.STARTS, (26, 26, 26, 25, 25)))])
-    check = spark.createDataFrame([(signed(x),) for x in fps.values()], "fp bigint").select(F.explode(F.array(*[simhash.chain_key(F.col("fp"), s) for s in range(5)])), "fp")
-    assert sorted(map(tuple, check.collect())) == keyed
-    batches = [pa.RecordBatch.from_arrays([pa.array([k for k, _ in keyed[i : i + 7]]), pa.array([f for _, f in keyed[i : i + 7]])], names=["key", "fp"]) for i in range(0, len(keyed), 7)]
-    out = [(a, b) for r in simhash._link(iter(batches)) for a, b in zip(*(c.to_pylist() for c in r.columns))]
-    links = [(a, b) for a, b in out if b is not None]
-    handed = {a for a, b in out if b is None}
-    if handed:
-        links += [tuple(r)[:2] for r in simhash._by_neighbours(spark.createDataFrame([(h,) for h in handed], "a bigint")).select("a", "b").collect()]
+    return dict(enumerate(sorted(found)))
+
+
+def signed(x):
+    return x - 2**64 if x >> 63 else x
+
+
+def test_chain_keys(spark):
+    """Every pair within two bits shares a key, and a key is what its two halves say."""
+    rng = np.random.default_rng(9)
+    base = [int(x) for x in rng.integers(0, 2**63, 20, dtype=np.int64)]
+    fps = [b ^ (1 << i) ^ (1 << j) for b in base for i, j in [(0, 63), (12, 13), (25, 26), (5, 5), *rng.integers(0, 64, (20, 2)).tolist()]] + base
+    got = {r[0]: set(r[1]) for r in spark.createDataFrame([(signed(x),) for x in set(fps)], "fp bigint").select("fp", simhash.chain_keys(F.col("fp"))).collect()}
+    assert all(len(k) == 10 for k in got.values())
+    near = [(a, b) for a in set(fps) for b in set(fps) if a < b and (a ^ b).bit_count() <= 2]
+    assert len(near) > 300 and all(got[signed(a)] & got[signed(b)] for a, b in near)
+    x = base[0]
+    bits = format(x, "064b")
+    for s in range(5):
+        ring = bits[simhash.STARTS[s] :] + bits[: simhash.STARTS[s]]
+        w = [simhash.WIDTHS[(s + i) % 5] for i in range(4)]
+        cut = np.cumsum([0, *w])
+        third, fourth = ring[: cut[3]], ring[: cut[2]] + ring[cut[3] : cut[4]]
+        assert {(int(third, 2) << 4) | s, (int(fourth, 2) << 4) | 8 | s} <= got[signed(x)]
+
+
+@pytest.mark.parametrize("side", [2, 7, 8192])
+def test_simhash_links(spark, side):
+    """Against all pairs, whole keys in a cell and keys dealt out in blocks."""
+    fps = near_fps(5, 30)
+    links = simhash.near_links(spark.createDataFrame([(signed(x),) for x in fps.values()], "fp bigint").repartition(3), side).collect()
     number = {signed(x): i for i, x in fps.items()}
     label = {i: i for i in fps}
     for a, b in links:
         a, b = label[number[a]], label[number[b]]
         label = {k: min(a, b) if v in (a, b) else v for k, v in label.items()}
     assert label == brute_components(fps)
-    assert bool(handed) == (held == 8)
+
+
+def test_simhash_batches_do_not_matter():
+    import pyarrow as pa
+
+    fps = near_fps(11, 200)
+    f = np.array(sorted(fps.values()), dtype=np.uint64)
+    cells = np.repeat(np.arange(3), -(-len(f) // 3))[: len(f)]
+    rows = sorted(zip(cells.tolist(), f.tolist()))
+    out = []
+    for size in (1, 10, 10_000):
+        batches = [pa.RecordBatch.from_pydict({"cell": pa.array([c for c, _ in rows[i : i + size]]), "high": pa.array([0] * len(rows[i : i + size]), pa.int8()), "start": pa.array([0] * len(rows[i : i + size]), pa.int8()), "fp": pa.array([signed(x) for _, x in rows[i : i + size]])}) for i in range(0, len(rows), size)]
+        links = {(a, b) for r in simhash._link(iter(batches)) for a, b in zip(*(c.to_pylist() for c in r.columns))}
+        label = {signed(x): signed(x) for _, x in rows}
+        for a, b in links:
+            x, y = label[a], label[b]
+            label = {k: min(x, y) if v in (x, y) else v for k, v in label.items()}
+        out.append(label)
+    assert out[0] == out[1] == out[2]
+
+
+def test_bloom_passes(spark):
+    """No repeated hash is missed, most others drop out, a full filter flags all, and a hot hash is one of them."""
+    values = [*range(3000), *range(0, 3000, 100), *[7] * 2000, None, None]
+    hashes = spark.createDataFrame([(v,) for v in values], "v bigint").select(F.xxhash64("v").alias("h"), F.col("v")).where("v is not null").repartition(5)
+    for words, most in ((bloom.words_for(5000), 200), (1, 3000), (64, 3000)):
+        bitmap = bloom.bitmap_of(bloom.repeated_words(hashes.select("h"), words))
+        flagged = {r.v for r in bloom.probe(hashes, F.col("h"), bitmap, words).where("__maybe").select("v").distinct().collect()}
+        assert set(range(0, 3000, 100)) | {7} <= flagged and len(flagged) <= most
+    assert bloom.words_for(0) == bloom.LEAST_WORDS and bloom.words_for(10**12) == bloom.MOST_WORDS
+    assert 4 * 10**6 <= bloom.words_for(10**6) < 8 * 10**6
 
 
 def test_near_dedup(spark):
