@@ -6,18 +6,27 @@ import hashlib
 import heapq
 import math
 import re
+from array import array
 from collections.abc import Iterator
+from itertools import islice
 from operator import add
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lanternfish.llm.batches import text_blocks
+
 SPACE = "▁"
 FINE = re.compile(f"[\\n\\t\\d]|{SPACE}*[^\\W\\d_²³¹¼½¾]+|{SPACE}*(?:[^\\w{SPACE}\\n\\t]|[_²³¹¼½¾])+|{SPACE}+")
 WHOLE = re.compile("(?s).+")
-#: Encoded units of a generation that a worker remembers, and one generation more. Speed only.
-REMEMBERED = 400_000
+#: Bytes of the units of a generation that a worker remembers with their encodings, and one generation more; longer
+#: units than these characters are encoded each time they are met. Speed and memory only.
+REMEMBERED_BYTES, LONGEST = 64 << 20, 64
+#: Bytes of text, in whole texts, whose units are held at once. Memory only.
+SLICE_BYTES = 1 << 20
+#: One text of so many is held against the library as a whole, beside every unit of every text; 1 holds all.
+CHECK_EVERY, CHECK_CHARS = 8, 100_000
 #: Up to so many characters a list serves as agenda.
 SHORT = 48
 RESULT = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
@@ -50,6 +59,10 @@ class Vocabulary:
         #: ids of a unit, joined by spaces, and their decoding, learnt in this and in the generation before
         self.known: dict[str, tuple[str, str]] = {}
         self.older: dict[str, tuple[str, str]] = {}
+        self.held = 0  # bytes of the first of these
+        #: places of the costs in their order; pieces of one cost have one place
+        self.place = {c: i for i, c in enumerate(sorted(set(self.cost.values())))}
+        self.texts = 0  # texts met so far
 
     def merge(self, unit: str) -> list[int]:
         """Ids of ``unit``: of all adjacent pairs of symbols that make a piece, the best score merges first,
@@ -83,26 +96,32 @@ class Vocabulary:
         return symbols
 
     def _merge_long(self, symbols: list[str]) -> list[str]:
+        """The agenda holds numbers, the place of a pair's cost and then that of its left symbol, 8 bytes and an
+        integer each, so a unit of millions of characters fits."""
         n = len(symbols)
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        agenda: list[tuple[float, int, int, str]] = []
-
-        def propose(left: int, right: int) -> None:
-            if left >= 0 and right >= 0 and (cost := self.cost.get(both := symbols[left] + symbols[right])) is not None:
-                heapq.heappush(agenda, (cost, left, right, both))
-
-        for i in range(n - 1):
-            propose(i, i + 1)
+        before, after = array("q", range(-1, n - 1)), array("q", [*range(1, n), -1])
+        get, place = self.cost.get, self.place
+        agenda = [place[c] << 40 | i for i, c in enumerate(map(get, map(add, symbols, islice(symbols, 1, None)))) if c is not None]
+        heapq.heapify(agenda)
         while agenda:
-            _, left, right, both = heapq.heappop(agenda)
-            if not symbols[left] or not symbols[right] or after[left] != right or symbols[left] + symbols[right] != both:
+            best = heapq.heappop(agenda)
+            left = best & (1 << 40) - 1
+            right = after[left]
+            if right < 0 or not symbols[left]:
+                continue
+            here = symbols[left] + symbols[right]
+            cost = get(here)
+            if cost is None or place[cost] != best >> 40:  # its symbols have changed
                 continue
-            symbols[left], symbols[right] = both, ""
-            after[left] = after[right]
-            if after[right] >= 0:
-                before[after[right]] = left
-            propose(before[left], left)
-            propose(left, after[left])
+            symbols[left], symbols[right] = here, ""
+            after[left] = far = after[right]
+            if far >= 0:
+                before[far] = left
+                if (c := get(here + symbols[far])) is not None:
+                    heapq.heappush(agenda, place[c] << 40 | left)
+            near = before[left]
+            if near >= 0 and (c := get(symbols[near] + here)) is not None:
+                heapq.heappush(agenda, place[c] << 40 | near)
         return [s for s in symbols if s]
 
     def decode(self, ids: list[int]) -> str:
@@ -130,13 +149,14 @@ class Vocabulary:
     def split(self, text: str) -> list[str]:
         return self.units.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
-    def learn(self, units: set[str]) -> None:
-        """Encode and decode units not yet known, and hold both against the library in one call each."""
-        if len(self.known) > REMEMBERED:
-            self.older, self.known = self.known, {}
+    def learn(self, units: set[str]) -> dict[str, tuple[str, str]]:
+        """Encode and decode units not yet known, and hold both against the library in one call each. Returns
+        what is not remembered, as it is too long."""
+        if self.held > REMEMBERED_BYTES:
+            self.older, self.known, self.held = self.known, {}, 0
         missing = units - self.known.keys()
-        self.known.update((u, self.older[u]) for u in missing & self.older.keys())
-        new = list(missing - self.older.keys())
+        again = {u: self.older[u] for u in missing & self.older.keys()}
+        new = list(missing - again.keys())
         ids = [self.merge(u) for u in new]
         # a space comes first by itself; what has none follows a line end, which never merges
         theirs = self.library.encode([u[1:] if u[0] == SPACE else "\n" + u for u in new], num_threads=1)
@@ -149,31 +169,34 @@ class Vocabulary:
         theirs, first = self.library.decode([end + own for own in ids]) if ids else [], self.library.decode(end)
         if wrong := [(u, a, b) for u, a, b in zip(new, back, theirs) if first + a != b]:
             raise ValueError(f"the library decodes the ids of {wrong[0][0]!r} as {wrong[0][2]!r}, not {wrong[0][1]!r}")
-        self.known.update(zip(new, zip([" ".join(map(str, own)) for own in ids], back)))
+        learnt = dict(zip(new, zip([" ".join(map(str, own)) for own in ids], back)))
+        long = {u: learnt.pop(u) for u in new if len(u) > LONGEST}
+        for made in (again, learnt):
+            self.known.update(made)
+            self.held += sum(300 + 4 * len(u) + len(i) + 4 * len(t) for u, (i, t) in made.items())
+        return long
 
     def encode(self, text: str) -> list[int]:
         """All ids, the end id included, by the agenda only."""
         return [i for u in self.split(text) for i in self.merge(u)] + [self.end]
 
-    def digest_all(self, texts: list[str], check_chars: int = 100_000) -> list[tuple[int, str, str]]:
-        """(n_tokens, ids_sha256, decoded_sha256) of each text. Units and their decodings are looked up, new ones
-        learnt first; the first text that is no more than ``check_chars`` long, and each that is longer, are also
-        held against the library as a whole."""
-        rows, checked = [], False
-        for lo in range(0, len(texts), 256):
-            split = [self.split(t) for t in texts[lo : lo + 256]]
-            self.learn(set().union(*split))
-            known = self.known
-            for text, units in zip(texts[lo : lo + 256], split):
-                learnt = [known[u] for u in units]
-                ids = " ".join([*[i for i, _ in learnt], str(self.end)])
-                back = "".join([t for _, t in learnt]).removeprefix(" ")
-                if text and (not checked or len(text) > check_chars):
-                    checked |= len(text) <= check_chars
-                    lib = self.library.encode(text, add_eos=True)
-                    if " ".join(map(str, lib)) != ids or self.library.decode(lib) != back:
-                        raise ValueError("the library encodes or decodes a text in another way")
-                rows.append((ids.count(" ") + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
+    def digest_all(self, texts: list[str], check_every: int = CHECK_EVERY, check_chars: int = CHECK_CHARS) -> list[tuple[int, str, str]]:
+        """(n_tokens, ids_sha256, decoded_sha256) of each text. Units and their decodings are looked up, new ones are
+        learnt first, which holds each against the library. The first of ``check_every`` texts that a worker
+        meets, and each of more than ``check_chars`` characters, is also held against the library as a whole."""
+        split = list(map(self.split, texts))
+        long = self.learn(set().union(*split))
+        known, rows = self.known, []
+        for text, units in zip(texts, split):
+            learnt = [known.get(u) or long[u] for u in units] if long else [known[u] for u in units]
+            ids = " ".join([*[i for i, _ in learnt], str(self.end)])
+            back = "".join([t for _, t in learnt]).removeprefix(" ")
+            if text and (self.texts % check_every == 0 or len(text) > check_chars):
+                lib = self.library.encode(text, add_eos=True)
+                if " ".join(map(str, lib)) != ids or self.library.decode(lib) != back:
+                    raise ValueError("the library encodes or decodes a text in another way")
+            self.texts += bool(text)
+            rows.append((ids.count(" ") + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
         return rows
 
 
@@ -193,19 +216,22 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
-def token_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", check_every: int = CHECK_EVERY) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of each row: ids with an end id, joined by spaces.
 
-    The model's file is read on the driver and travels with the task. A null text is an empty one, which
-    has the end id only. Repeated rows give equal results; an empty table gives an empty result.
+    The model's file is read on the driver and travels with the task. Every unit of every text is held against
+    the sentencepiece library, and one whole text of ``check_every``; a difference is an error. A null text is
+    an empty one, which has the end id only. Repeated rows give equal results, and so do ties, as there are none:
+    equal scores merge from the left. Very long texts are one agenda a unit; texts are held a megabyte, or one text,
+    at a time. Columns other than the two are not read, whatever they are called. An empty table gives an
+    empty result.
     """
     model = read_model(model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(model)
-        for batch in batches:
-            rows = vocab.digest_all([t or "" for t in batch.column(1).to_pylist()])
-            columns = list(zip(*rows)) or [(), (), ()]
+        for batch, texts in text_blocks(batches, 1, SLICE_BYTES):
+            columns = list(zip(*vocab.digest_all([t.decode() for t in texts], check_every))) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.string())))],
                                              names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -214,17 +240,15 @@ def token_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
 
 
 def token_ids(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>, decoded) of each row, for use beside :func:`token_digests`."""
+    """(id, ids array<int>, decoded) of each row, for use beside :func:`token_digests`; its cases are the same."""
     model = read_model(model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(model)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                ids = [vocab.encode(t or "") for t in part.column(1).to_pylist()]
-                back = [b[1:] if b[:1] == " " else b for b in map(vocab.decode, ids)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.string())], names=[id_col, "ids", "decoded"])
+        for batch, texts in text_blocks(batches, 1, SLICE_BYTES):
+            ids = [vocab.encode(t.decode()) for t in texts]
+            back = [b[1:] if b[:1] == " " else b for b in map(vocab.decode, ids)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.string())], names=[id_col, "ids", "decoded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col), F.col(text_col).alias("__text")).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded string")
