@@ -22,7 +22,7 @@ FINE = re.compile(f"[\\n\\t\\d]|{SPACE}*[^\\W\\d_²³¹¼½¾]+|{SPACE}*(?:[^\\w
 WHOLE = re.compile("(?s).+")
 #: Bytes of the units of a generation that a worker remembers with their encodings, and one generation more; longer
 #: units than these characters are encoded each time they are met. Speed and memory only.
-REMEMBERED_BYTES, LONGEST = 64 << 20, 64
+REMEMBERED_BYTES, LONGEST = 160 << 20, 64
 #: Bytes of text, in whole texts, whose units are held at once. Memory only.
 SLICE_BYTES = 1 << 20
 #: One text of so many is held against the library as a whole, beside every unit of every text; 1 holds all.
@@ -158,17 +158,9 @@ class Vocabulary:
         again = {u: self.older[u] for u in missing & self.older.keys()}
         new = list(missing - again.keys())
         ids = [self.merge(u) for u in new]
-        # a space comes first by itself; what has none follows a line end, which never merges
-        theirs = self.library.encode([u[1:] if u[0] == SPACE else "\n" + u for u in new], num_threads=1)
-        lead = len(self.library.encode("\n"))
-        if wrong := [(u, a, b) for u, a, b in zip(new, ids, theirs) if a != b and a != b[lead * (u[0] != SPACE) :] and u != SPACE]:
-            raise ValueError(f"the library encodes {wrong[0][0]!r} as {wrong[0][2]}, not {wrong[0][1]}")
         back = list(map(self.decode, ids))
-        # the library passes over a space that comes first; a line end before the ids keeps it
-        end = self.library.encode("\n")
-        theirs, first = self.library.decode([end + own for own in ids]) if ids else [], self.library.decode(end)
-        if wrong := [(u, a, b) for u, a, b in zip(new, back, theirs) if first + a != b]:
-            raise ValueError(f"the library decodes the ids of {wrong[0][0]!r} as {wrong[0][2]!r}, not {wrong[0][1]!r}")
+        if new and not self._agrees(new, ids, back):
+            self._blame(new, ids, back)
         learnt = dict(zip(new, zip([" ".join(map(str, own)) for own in ids], back)))
         long = {u: learnt.pop(u) for u in new if len(u) > LONGEST}
         for made in (again, learnt):
@@ -176,6 +168,33 @@ class Vocabulary:
             self.held += sum(300 + 4 * len(u) + len(i) + 4 * len(t) for u, (i, t) in made.items())
         return long
 
+    def _agrees(self, units: list[str], ids: list[list[int]], back: list[str]) -> bool:
+        """Whether the library encodes the units as ``ids`` and decodes these as ``back``: all in one text, each after a
+        line end, which never merges with anything if units end there."""
+        if self.units is WHOLE:
+            return False
+        first, two = self.library.encode("\n"), self.library.encode("\n\n")
+        end, want = two[len(first) :], list(first)
+        for own in ids:
+            want += own
+            want += end
+        text = "\n" + "\n".join(units).replace(SPACE, " ") + "\n"
+        return self.library.encode(text) == want and self.library.decode(want) == "\n" + "\n".join(back) + "\n"
+
+    def _blame(self, units: list[str], ids: list[list[int]], back: list[str]) -> None:
+        """Raise for the first unit that the library encodes or decodes otherwise, if there is one."""
+        # a space comes first by itself; what has none follows a line end
+        theirs = self.library.encode([u[1:] if u[0] == SPACE else "\n" + u for u in units], num_threads=1)
+        end = self.library.encode("\n")
+        if wrong := [(u, a, b) for u, a, b in zip(units, ids, theirs) if a != b and a != b[len(end) * (u[0] != SPACE) :] and u != SPACE]:
+            raise ValueError(f"the library encodes {wrong[0][0]!r} as {wrong[0][2]}, not {wrong[0][1]}")
+        # the library passes over a space that comes first; a line end before the ids keeps it
+        theirs, first = self.library.decode([end + own for own in ids]), self.library.decode(end)
+        if wrong := [(u, a, b) for u, a, b in zip(units, back, theirs) if first + a != b]:
+            raise ValueError(f"the library decodes the ids of {wrong[0][0]!r} as {wrong[0][2]!r}, not {wrong[0][1]!r}")
+        if self.units is not WHOLE:
+            raise ValueError("the library encodes or decodes units in another way where they follow each other")
+
     def encode(self, text: str) -> list[int]:
         """All ids, the end id included, by the agenda only."""
         return [i for u in self.split(text) for i in self.merge(u)] + [self.end]
