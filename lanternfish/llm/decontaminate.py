@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanternfish.llm.batches import text_blocks
+from lanternfish.llm.store import place_of
 
 #: UTF-8 bytes of a word stay (0-9, a-z and all beyond ASCII), A-Z become a-z, the rest becomes a space.
 WORD_BYTES = bytes(
@@ -220,7 +221,7 @@ def drop_contaminated(docs: DataFrame, bench: DataFrame, text_col: str = "text",
                       window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Rows of ``docs`` whose text holds no window of a test item; every column passes through the one scan, so
     rows that repeat an id, or have none, are judged by their own text."""
-    each, at = _sent(docs, bench, item_col, item_text_col, window, block_words), docs.columns.index(text_col)
+    each, at = _sent(docs, bench, item_col, item_text_col, window, block_words), place_of(docs, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_blocks(batches, at, SHARD_BYTES):

@@ -4,20 +4,31 @@ from __future__ import annotations
 
 import math
 import pickle
+import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lanternfish.llm.batches import text_blocks
 from lanternfish.llm.decontaminate import words_of
-from lanternfish.llm.toxicity import fit_rows, held_out, logistic
-
-#: Labelled rows of each class, and unlabelled rows, that the views are fitted on at most.
-FIT_ROWS, POOL_ROWS = 1500, 3000
-ROUNDS, TAUGHT = 3, 0.1
+from lanternfish.llm.samples import FIT_BYTES, first_ids, held_out, labelled, whole_rows
+from lanternfish.llm.store import written
+from lanternfish.llm.toxicity import logistic
+
+#: Labelled rows of each class that the views are fitted on at most.
+FIT_ROWS = 1500
+#: Rounds, and the rows of each class that a view teaches the other in a round, as a share of the labelled rows that
+#: it learnt from, drawn of all rows that it is surer of than SURE.
+ROUNDS, TAUGHT, SURE = 3, 0.1, 0.9
+#: Three or more of one mark in a row, as in rules and shouting.
+RUNS = re.compile(rb"([^\w\s\x80-\xff])\1\1")
+#: Bytes of text that are scored at once, in whole texts. Memory only.
+BLOCK_BYTES = 1 << 20
 SYMBOLS = b"#$%&*|<>{}[]()_=+@~^\\/"
 DIGITS = [bytes([c]) for c in b"0123456789"]
 
@@ -39,7 +50,7 @@ class TextView:
         parts = text.split()
         bad = sum(map(text.count, (SYMBOLS[i : i + 1] for i in range(len(SYMBOLS)))))
         get = self.words.get
-        return [sum([get(w, 0.0) for w in words]) / n, bad / size, text.count(b"###") + text.count(b"$$$") + text.count(b"%%%") + text.count(b"***") + text.count(b"&&&") and 1.0,
+        return [sum([get(w, 0.0) for w in words]) / n, bad / size, float(RUNS.search(text) is not None),
                 len(set(words)) / n, sum(map(len, words)) / n, len(parts) / n, text.count(b".") / n, text.count(b",") / n, sum(map(text.count, DIGITS)) / size]
 
     def fit(self, texts: list[bytes], y: np.ndarray) -> None:
@@ -102,39 +113,54 @@ class Scorer:
         return sigmoid(self.joint[0] + self.joint[1] * a + self.joint[2] * b), sigmoid(a), sigmoid(b)
 
 
-def fit(texts: list[bytes], pages: list[tuple], y: np.ndarray, pool_texts: list[bytes], pool_pages: list[tuple], prior: float, rounds: int = ROUNDS) -> bytes:
-    """A pickled :class:`Scorer`. Every other labelled row teaches, the rest calibrates."""
-    if len(y) < 8 or len(set(y.tolist())) < 2 or len(set(y[::2].tolist())) < 2 or len(set(y[1::2].tolist())) < 2:
-        text, page, base = TextView(), PageView(), math.log(max(prior, 1e-3) / max(1 - prior, 1e-3))
-        text.mean = text.sd = np.ones(9)
-        text.w = np.zeros(10)
-        page.mean = page.sd = np.ones(7)
-        page.w = np.zeros(8)
-        return pickle.dumps(Scorer(text, page, [np.array([0.0, 0.0])] * 2, np.array([base, 0.0, 0.0])))
-    teach, hold = np.arange(0, len(y), 2), np.arange(1, len(y), 2)
-    sets = [[(int(i), int(y[i])) for i in teach] for _ in range(2)]  # (row, label) of the text view, of the metadata view
-    all_texts, all_pages, n = texts + pool_texts, pages + pool_pages, len(y)
-    free = set(range(n, len(all_texts)))
-    views = (TextView(), PageView())
-    for turn in range(rounds + 1):
-        for view, rows, own in zip(views, (all_texts, all_pages), sets):
-            view.fit([rows[i] for i, _ in own], np.array([l for _, l in own], dtype=float))
-        if turn == rounds or not free:
-            break
-        order = sorted(free)
-        for k, (view, rows) in enumerate(zip(views, (all_texts, all_pages))):
-            p = sigmoid(view.logits([rows[i] for i in order]))
-            most = max(1, int(TAUGHT * len(pool_texts) / 2))
-            by = np.argsort(p, kind="stable")
-            sure = [(order[i], 0) for i in by[:most] if p[i] < 0.1] + [(order[i], 1) for i in by[::-1][:most] if p[i] > 0.9]
-            sets[1 - k] += sure  # what one view is sure of, the other learns
-            free -= {i for i, _ in sure}
-    share = y[hold].mean()
-    weight = np.where(y[hold] == 1, prior / share, (1 - prior) / (1 - share))
-    z = [view.logits([rows[i] for i in hold]) for view, rows in zip(views, (texts, pages))]
-    platt = [logistic(np.c_[np.ones(len(hold)), x], y[hold].astype(float), 0.01, weight=weight) for x in z]
-    both = np.c_[np.ones(len(hold)), platt[0][0] + platt[0][1] * z[0], platt[1][0] + platt[1][1] * z[1]]
-    return pickle.dumps(Scorer(*views, platt, logistic(both, y[hold].astype(float), 0.1, weight=weight)))
+def by_id(rows: list[dict]) -> list[dict]:
+    """Rows in an order that depends on them only."""
+    return sorted(rows, key=lambda r: (str(r["__id"])[::-1], r["__text"] or b""))
+
+
+def halves(known: list[dict]) -> tuple[list[dict], list[dict]]:
+    """Of the labelled rows those that teach, and those that calibrate."""
+    rows = by_id(known)
+    return rows[::2], rows[1::2]
+
+
+def teach(known: list[dict], taught: list[dict]) -> tuple[TextView, PageView] | None:
+    """Both views, each fitted on the labelled rows that teach and on what the other has taught it (``__text_y``,
+    ``__page_y``); None if a half of the labelled rows lacks a class."""
+    first, second = halves(known)
+    if len(known) < 8 or any(len({r["__y"] for r in half}) < 2 for half in (first, second)):
+        return None
+    text, page = TextView(), PageView()
+    for view, ready, y in ((text, _text, "__text_y"), (page, _page, "__page_y")):
+        more = [r for r in by_id(taught) if r[y] is not None]
+        view.fit([ready(r) for r in first + more], np.array([r["__y"] for r in first] + [r[y] for r in more], dtype=float))
+    return text, page
+
+
+def prior_only(prior: float) -> Scorer:
+    """Scores every text with ``prior``."""
+    text, page, base = TextView(), PageView(), math.log(max(prior, 1e-3) / max(1 - prior, 1e-3))
+    text.mean = text.sd = np.ones(9)
+    text.w = np.zeros(10)
+    page.mean = page.sd = np.ones(7)
+    page.w = np.zeros(8)
+    return Scorer(text, page, [np.array([0.0, 0.0])] * 2, np.array([base, 0.0, 0.0]))
+
+
+def combined(views: tuple[TextView, PageView], known: list[dict], prior: float) -> Scorer:
+    """The views calibrated and combined on the labelled rows that they were not taught."""
+    _, hold = halves(known)
+    y = np.array([r["__y"] for r in hold], dtype=float)
+    share = y.mean()
+    weight = np.where(y == 1, prior / share, (1 - prior) / (1 - share))
+    z = [view.logits([ready(r) for r in hold]) for view, ready in zip(views, (_text, _page))]
+    platt = [logistic(np.c_[np.ones(len(y)), x], y, 0.01, weight=weight) for x in z]
+    both = np.c_[np.ones(len(y)), platt[0][0] + platt[0][1] * z[0], platt[1][0] + platt[1][1] * z[1]]
+    return Scorer(*views, platt, logistic(both, y, 0.1, weight=weight))
+
+
+def _text(row: dict) -> bytes:
+    return row["__text"] or b""
 
 
 def _page(row: dict) -> tuple:
@@ -143,47 +169,89 @@ def _page(row: dict) -> tuple:
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", lang_col: str = "lang",
-            source_col: str = "source", chars_col: str = "n_chars", fit_most: int = FIT_ROWS, pool_most: int = POOL_ROWS, threshold: float = 0.5) -> DataFrame:
+            source_col: str = "source", chars_col: str = "n_chars", fit_most: int = FIT_ROWS, bytes_most: int = FIT_BYTES, rounds: int = ROUNDS, taught: float = TAUGHT, threshold: float = 0.5) -> DataFrame:
     """(id, held_out, score, predicted, text_score, page_score) of each row.
 
     The text view sees words and characters, the metadata view language, source, length and line layout.
-    Each is fitted on a bounded sample of labelled rows (held-out ids left out); over ``ROUNDS`` rounds
-    each adds labels it is sure of, of a bounded pool of unlabelled rows, to what the other learns. Both
-    are calibrated on labelled rows they did not learn from, and combined. Null texts are empty, null
-    metadata is a value of its own; without labels of both classes every score is the labels' mean.
+    Each is fitted on a bounded sample of labelled rows (held-out ids left out): of the labelled ids that
+    ``docs`` has, ``fit_most`` of each class, a row each, and ``bytes_most`` of text a class. In each of ``rounds``
+    both views score all rows without a label that may be learnt from; of all that one is sure of, ``taught`` times
+    the labelled rows that teach, of each class, the first by a hash, are added to what the other learns. Both are calibrated on labelled
+    rows they did not learn from, and combined.
+
+    Null texts are empty, null metadata is a value of its own; very long texts are features as any other. Rows that
+    repeat each other get equal scores, and an id that repeats teaches once. Columns other than those named
+    are not read, whatever they are called. Ties in what is taught go by id. Without labels of both classes every
+    score is the labels' mean; an empty table gives an empty result.
     """
     columns = {"__text": F.col(text_col).cast("binary"), "__lang": F.col(lang_col), "__source": F.col(source_col), "__chars": F.col(chars_col).cast("double")}
-    ready = docs.select(F.col(id_col), *[c.alias(k) for k, c in columns.items()])
-    rows, counts = fit_rows(ready, labels, label, id_col, "__text", list(columns), fit_most)
-    n = {r["__y"]: r["n"] for r in counts.collect()}
-    prior = n.get(1, 0) / max(1, sum(n.values()))
-    # a bounded pool: the smallest hashes of ids that may be learnt from
-    ids = ready.where(F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(id_col).alias("__id")).distinct()
-    ids = ids.join(labels.select(F.col(id_col).alias("__id")), "__id", "left_anti").orderBy(F.xxhash64("__id"), "__id").limit(pool_most)
-    pool = ready.withColumnRenamed(id_col, "__id").join(F.broadcast(ids), "__id").withColumn("__y", F.lit(-1))  # at most pool_most ids
-
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (str(r["__id"])[::-1], r["__text"] or b""))
-        known, free = [r for r in got if r["__y"] >= 0], [r for r in got if r["__y"] < 0]
-        model = fit([r["__text"] or b"" for r in known], list(map(_page, known)), np.array([r["__y"] for r in known], dtype=np.int64),
-                    [r["__text"] or b"" for r in free], list(map(_page, free)), prior)
-        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
-
     inputs = list(columns)
-    names = ["__id", "__y", *inputs]
-    made = rows.select(*names).unionByName(pool.select(*names)).repartition(1).mapInArrow(train, "model binary").first()
-    model = made[0] if made else fit([], [], np.zeros(0, dtype=np.int64), [], [], prior)  # neither labels nor pool, no task
+    ready = docs.select(F.col(id_col).alias("__id"), *[c.alias(k) for k, c in columns.items()])
+    known = labelled(docs, labels, label, id_col)
+    n = {r["__y"]: r["n"] for r in known.groupBy("__y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    prior = n.get(1, 0) / max(1, sum(n.values()))
+    picked = first_ids(known.where("__y = 0"), fit_most).unionByName(first_ids(known.where("__y = 1"), fit_most))
+    none = F.lit(None).cast("int")
+    rows = whole_rows(ready, picked, "__id", inputs, "__text", F.col("__y"), bytes_most).withColumn("__text_y", none).withColumn("__page_y", none)
+    free = ready.where(F.col("__id").isNotNull() & ~held_out(F.col("__id"))).join(labels.select(F.col(id_col).alias("__id")).distinct(), "__id", "left_anti")
+
+    def in_one_task(more: list[DataFrame], made) -> bytes:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            got = [r for b in batches for r in b.to_pylist()]
+            model = made([r for r in got if r["__y"] is not None], [r for r in got if r["__y"] is None])
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+        whole = rows
+        for t in more:
+            whole = whole.unionByName(t)
+        got = whole.repartition(1).mapInArrow(run, "model binary").first()
+        return got[0] if got else pickle.dumps(None)
+
+    more: list[DataFrame] = []  # what each round has taught
+    views = in_one_task(more, teach)
+    fits = pickle.loads(views) is not None
+    most = max(1, int(taught * rows.count() / 2))
+    for turn in range(rounds if fits else 0):
+        sure = written(_sure(free, inputs, views), "sure")
+        for t in more:
+            sure = sure.join(F.broadcast(t.select("__id")), "__id", "left_anti")  # at most ``most`` ids a class, view and round
+        drawn = None
+        for view, other in (("text", "page"), ("page", "text")):
+            for y in (0, 1):
+                part = first_ids(sure.where(F.col(f"{view}_says") == y).select("__id").distinct(), most, 1 + turn)
+                part = part.select("__id", F.lit(y).alias(f"__{other}_y"), none.alias(f"__{view}_y"))
+                drawn = part if drawn is None else drawn.unionByName(part)
+        each = drawn.groupBy("__id").agg(F.max("__text_y").alias("__text_y"), F.max("__page_y").alias("__page_y"))
+        new = whole_rows(ready, each, "__id", inputs, "__text", F.coalesce("__text_y", "__page_y"), bytes_most)
+        more.append(written(new.withColumn("__y", none), "taught"))
+        views = in_one_task(more, teach)
+
+    model = in_one_task(more, lambda known, more: combined(teach(known, more), known, prior)) if fits else pickle.dumps(prior_only(prior))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = pickle.loads(model)
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 1024):
-                batch = whole.slice(lo, 1024)
-                got = batch.select(inputs).to_pylist()
-                s, a, b = scorer.score([r["__text"] or b"" for r in got], list(map(_page, got)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array(a), pa.array(b)],
-                                                 names=[id_col, "held_out", "score", "predicted", "text_score", "page_score"])
+        for batch, texts in text_blocks(batches, 2, BLOCK_BYTES):
+            s, a, b = scorer.score(texts, list(map(_page, batch.select(inputs).to_pylist())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array(a), pa.array(b)],
+                                             names=[id_col, "held_out", "score", "predicted", "text_score", "page_score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return ready.select(F.col(id_col), held_out(F.col(id_col)).alias("held_out"), *columns).mapInArrow(
+    return ready.select(F.col("__id").alias(id_col), held_out(F.col("__id")).alias("held_out"), *inputs).mapInArrow(
         run, f"`{id_col}` {kind}, held_out boolean, score double, predicted int, text_score double, page_score double")
+
+
+def _sure(free: DataFrame, inputs: list[str], views: bytes) -> DataFrame:
+    """(__id, text_says, page_says) of the rows whose label a view is sure of; null where it is not."""
+    def says(z: np.ndarray) -> pa.Array:
+        p = sigmoid(z)
+        return pa.array((p > 0.5).astype(np.int32), mask=np.maximum(p, 1 - p) <= SURE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text, page = pickle.loads(views)
+        for batch, texts in text_blocks(batches, 1, BLOCK_BYTES):
+            a, b = says(text.logits(texts)), says(page.logits(list(map(_page, batch.select(inputs).to_pylist()))))
+            out = pa.RecordBatch.from_arrays([batch.column(0), a, b], names=["__id", "text_says", "page_says"])
+            yield out.filter(pc.or_(a.is_valid(), b.is_valid()))
+
+    kind = free.schema["__id"].dataType.simpleString()
+    return free.select("__id", *inputs).mapInArrow(run, f"__id {kind}, text_says int, page_says int")

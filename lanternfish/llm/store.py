@@ -11,7 +11,7 @@ from pyspark.sql.types import AtomicType, VariantType
 from lanternfish.operators.skew import join_hot
 from lanternfish.sources.scratch import CHECKPOINT, delete_path, forget, new_path, shared_dir, written
 
-__all__ = ["CHECKPOINT", "apart", "delete_path", "forget", "join_hot", "new_path", "one_of_each", "replace_columns", "shared_dir", "written"]
+__all__ = ["CHECKPOINT", "apart", "delete_path", "forget", "join_hot", "new_path", "one_of_each", "place_of", "replace_columns", "shared_dir", "written"]
 
 
 def apart(columns: Sequence[str]) -> tuple[list[Column], list[Column]]:
@@ -33,3 +33,12 @@ def replace_columns(df: DataFrame, names: Sequence[str]) -> list[str]:
     """Columns of ``df`` that keep their place beside results called ``names``: on a clash the result wins."""
     low = {c.lower() for c in names}
     return [c for c in df.columns if c.lower() not in low]
+
+
+def place_of(df: DataFrame, name: str) -> int:
+    """The place of the column that Spark finds under ``name``, in any case."""
+    exact = [i for i, c in enumerate(df.columns) if c == name]
+    found = exact or [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
+    if len(found) != 1:
+        raise ValueError(f"{len(found)} columns are called {name!r}")
+    return found[0]

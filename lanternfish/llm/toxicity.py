@@ -10,11 +10,13 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanternfish.llm.batches import text_blocks
 from lanternfish.llm.decontaminate import words_of
+from lanternfish.llm.samples import FIT_BYTES, first_ids, held_out, labelled, whole_rows
+from lanternfish.llm.store import place_of
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 #: Labelled rows of each class that the model is fitted on at most; the bound of the sample.
@@ -274,53 +276,37 @@ def fit(texts: list[bytes], toxic: np.ndarray, prior: float, epochs: int = 40) -
     return pickle.dumps(model)
 
 
-def held_out(id_: Column) -> Column:
-    """Rows that nothing is learnt from: crc32 of the id as text, modulo 3, is 1. A null id is not held out."""
-    return F.coalesce(F.crc32(id_.cast("string").cast("binary")) % 3 == 1, F.lit(False))
-
-
-def fit_rows(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, columns: list[str], most: int) -> tuple[DataFrame, DataFrame]:
-    """(at most ``most`` labelled rows of each class that may be learnt from, with ``columns``; counts of the classes).
-
-    The sample is the first by the hash of the id. Repeated labels of an id: 1 if any is.
-    """
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(id_col)))
-    known = known.groupBy(F.col(id_col).alias("__id")).agg(F.max((F.col(label) == 1).cast("int")).alias("__y"))
-    counts = known.groupBy("__y").agg(F.count(F.lit(1)).alias("n"))
-    picked = None
-    for y in (0, 1):
-        part = known.where(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(most)
-        picked = part if picked is None else picked.unionByName(part)
-    rows = docs.select(F.col(id_col).alias("__id"), *[F.col(c) for c in columns]).join(F.broadcast(picked), "__id")  # at most 2 * most ids
-    return rows, counts
-
-
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", most: int = FIT_ROWS) -> bytes:
-    """The model, fitted in one task on the bounded sample; only the model comes to the driver."""
-    rows, counts = fit_rows(docs, labels, label, id_col, text_col, [text_col], most)
-    n = {r["__y"]: r["n"] for r in counts.collect()}
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", most: int = FIT_ROWS, bytes_most: int = FIT_BYTES) -> bytes:
+    """The model, fitted in one task on the bounded sample: of the labelled ids that ``docs`` has, ``most`` of each
+    class at most, a row each, and ``bytes_most`` of text of each class at most. Only the model comes to the driver."""
+    known = labelled(docs, labels, label, id_col)
+    n = {r["__y"]: r["n"] for r in known.groupBy("__y").agg(F.count(F.lit(1)).alias("n")).collect()}
     prior = n.get(1, 0) / max(1, sum(n.values()))
+    picked = first_ids(known.where("__y = 0"), most).unionByName(first_ids(known.where("__y = 1"), most))
+    rows = whole_rows(docs.select(id_col, F.col(text_col).alias("__text")), picked, id_col, ["__text"], "__text", F.col("__y"), bytes_most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = sorted((r["__id"], r["__y"], (r["__text"] or "").encode()) for b in batches for r in b.to_pylist())
         model = fit([t for *_, t in got], np.array([y for _, y, _ in got], dtype=np.int64), prior)
         yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
 
-    made = rows.select("__id", "__y", F.col(text_col).alias("__text")).repartition(1).mapInArrow(run, "model binary").first()
+    made = rows.select("__id", "__y", "__text").repartition(1).mapInArrow(run, "model binary").first()
     return made[0] if made else fit([], np.zeros(0, dtype=np.int64), prior)  # no labelled row, no task
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic",
-             most: int = FIT_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+             most: int = FIT_ROWS, bytes_most: int = FIT_BYTES, threshold: float = THRESHOLD) -> DataFrame:
     """(id, held_out, score, predicted, n_toxic, spans) of each row.
 
     Only texts are inputs of a score. Words of toxic rows that mark such rows are the labelled words; the
-    field is fitted on at most ``most`` rows of each class, held-out ids left out. A score is a logistic
-    of the words' forward-backward marginals; ``spans`` are the words whose marginal is 0.5 or more, as
-    start and end in code points. A null or wordless text has no words and gets the score of none.
-    Repeated rows get equal results; without labels of both classes every score is the labels' mean.
+    field is fitted on at most ``most`` rows and ``bytes_most`` bytes of each class, held-out ids left out. A
+    score is a logistic of the words' forward-backward marginals; ``spans`` are the words whose marginal is 0.5
+    or more, as start and end in code points. A null or wordless text has no words and gets the score of none.
+    A very long text is one chain, scanned in blocks. Repeated rows get equal results; of labelled rows that
+    repeat an id one is learnt from. Columns other than the two are not read, whatever they are called. Without
+    labels of both classes every score is the labels' mean; an empty table gives an empty result.
     """
-    model = learn(docs, labels, id_col, text_col, label, most)
+    model = learn(docs, labels, id_col, text_col, label, most, bytes_most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = pickle.loads(model)
@@ -346,10 +332,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic",
-               most: int = FIT_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+               most: int = FIT_ROWS, bytes_most: int = FIT_BYTES, threshold: float = THRESHOLD) -> DataFrame:
     """Rows of ``docs`` whose score is below ``threshold``; every column passes through the one scan."""
-    model = learn(docs, labels, id_col, text_col, label, most)
-    at = docs.columns.index(text_col)
+    model = learn(docs, labels, id_col, text_col, label, most, bytes_most)
+    at = place_of(docs, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = pickle.loads(model)
