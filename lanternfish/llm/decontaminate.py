@@ -51,24 +51,30 @@ class TestBlock:
         padded = np.array(tokens + [0] * window, dtype=np.int64)
         self.windows = padded[self.starts[:, None] + np.arange(window)] if len(starts) else np.zeros((0, window), dtype=np.int64)
         self.inside = np.arange(window)[None, :] < self.lengths[:, None]
-        self.shortest = int(self.lengths.min(initial=window))
         self.deepest = max((len(w) for _, w in items), default=1)
 
 
 def suffix_array(tokens: np.ndarray, depth: int) -> np.ndarray:
-    """Starts of all suffixes of ``tokens``, sorted by their first ``depth`` tokens or more, by prefix doubling."""
-    rank, k, n = tokens.astype(np.int64), 1, len(tokens)
-    order = np.argsort(rank, kind="stable")
-    while k < depth and n:
-        second = np.zeros(n, dtype=np.int64)
-        second[: n - k] = rank[k:] + 1
-        key = rank * (max(int(rank.max()), int(second.max())) + 2) + second
-        order = np.argsort(key, kind="stable")
-        new = np.cumsum(np.r_[0, np.diff(key[order]) != 0])
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = new
-        if new[-1] == n - 1:
+    """Starts of all suffixes of ``tokens``, sorted by their first ``depth`` tokens or more, by prefix doubling. A round
+    sorts only the suffixes that still tie, each group in its own places."""
+    n, k = len(tokens), 1
+    order = np.argsort(tokens, kind="stable")
+    key, rank, tied = tokens[order], np.empty(n, dtype=np.int64), np.arange(n)
+    while n:
+        new = np.r_[True, key[1:] != key[:-1]]
+        first = np.flatnonzero(new)
+        size = np.diff(np.r_[first, len(key)])
+        rank[order[tied]] = np.repeat(tied[first], size)
+        tied = tied[np.repeat(size > 1, size)]
+        if not len(tied) or k >= depth:
             break
+        at = order[tied]
+        after = np.full(len(at), -1, dtype=np.int64)  # a suffix that has ended comes first
+        inside = at + k < n
+        after[inside] = rank[at[inside] + k]
+        key = rank[at] * (n + 1) + after + 1
+        by = np.argsort(key, kind="stable")
+        order[tied], key = at[by], key[by]
         k *= 2
     return order
 
@@ -93,30 +99,24 @@ def _bounds(tokens: np.ndarray, order: np.ndarray, windows: np.ndarray, inside:
 
 
 def search_shard(tokens: np.ndarray, block: TestBlock) -> tuple[np.ndarray, np.ndarray]:
-    """(position in ``tokens``, index of the test window) of every verbatim occurrence. 0 is no test word."""
+    """(position in ``tokens``, index of the test window) of every verbatim occurrence. 0 is no test word.
+
+    All of the shard is in the suffix array; a word that is no test word is like no other. Test suffixes that hold
+    a word which the shard lacks have no place in it; each of the others is sought."""
     none = np.array([], dtype=np.int64)
-    if not len(block.starts) or not len(tokens):
-        return none, none
-    edge = np.flatnonzero(np.diff(np.r_[0, tokens > 0, 0].astype(np.int8)))
-    begin, end = edge[::2], edge[1::2]
-    long_enough = end - begin >= block.shortest  # other runs of test words hold no window
-    begin, size = begin[long_enough], (end - begin)[long_enough]
-    if not len(begin):
-        return none, none
-    total = int((size + 1).sum())  # each run and the word after it, which is none of the test's
-    place = np.repeat(begin - np.r_[0, np.cumsum(size + 1)[:-1]], size + 1) + np.arange(total)
-    text = np.r_[tokens, 0][place].astype(np.int64)
     present = np.zeros(len(block.vocab) + 1, dtype=bool)
-    present[text] = True
+    present[tokens] = True
+    present[0] = False
     asked = np.flatnonzero((present[block.windows] | ~block.inside).all(axis=1))
     if not len(asked):
         return none, none
+    text = np.where(tokens > 0, tokens, len(block.vocab) + 1 + np.arange(len(tokens)))
     order = suffix_array(text, block.deepest)
     lo, hi = _bounds(text, order, block.windows[asked], block.inside[asked])
     n = hi - lo
     which = np.repeat(asked, n)
     at = order[np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(int(n.sum()))] if n.sum() else none
-    return place[at], which
+    return at, which
 
 
 def longest_matches(at: np.ndarray, which: np.ndarray, block: TestBlock) -> tuple[np.ndarray, ...]:
@@ -193,14 +193,16 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
                   item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(id, n_words, n_hit, n_items, items_sha256, contaminated, longest_match, matches) of each document.
 
-    A window is ``window`` consecutive words of an item, or all of a shorter one. Some megabytes of
-    documents are a shard with a suffix array over its runs of test words (no other suffix can match);
-    every test suffix is searched there. ``matches`` has the longest verbatim matches with their places
+    A window is ``window`` consecutive words of an item, or all of a shorter one. Some megabytes of whole
+    documents, or one longer document, are a shard with a suffix array over all its words; every test suffix that
+    can be in it is searched there, by binary search for its first window, and matches go on as far as they can. ``matches`` has the longest verbatim matches with their places
     in words, ``items_sha256`` the ids of matched items, sorted as strings and joined by commas. Test
     items are broadcast in blocks of at most ``block_words`` words, so a task holds one block at a time.
 
     A null or wordless text has no words and no hits; a null item id is an empty string; items that
-    share an id count once; an empty benchmark leaves every document clean.
+    share an id count once; an empty benchmark leaves every document clean; an empty table gives an empty
+    result. Repeated rows give equal results, and ties in ``matches`` go by place. Other columns are not read, whatever
+    they are called.
     """
     each = _sent(docs, bench, item_col, item_text_col, window, block_words)
 

@@ -272,8 +272,10 @@ def licence_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(id, n_spans, licences, coverage, spans) of each row: spans as licence:start:end:coverage in code
     points, licences distinct and sorted, coverage the greatest.
 
-    Texts are cut to words in lower case. A null or wordless text has no spans and coverage 0; repeated
-    rows get equal results; templates of fewer than GRAM words match nothing.
+    Texts are cut to words in lower case. A null or wordless text has no spans and coverage 0; very long texts
+    are searched whole, one at a time; repeated rows get equal results; of overlapping spans that tie in words
+    and share the first stays, then the one of the earlier template. Templates of fewer than GRAM words match nothing.
+    Columns other than the two are not read, whatever they are called; an empty table gives an empty result.
     """
     key = zlib.crc32(repr(templates).encode())
 

@@ -23,7 +23,10 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
-    return decontaminate.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark")).drop("matches")
+    """With ``matches`` as item:word of the item:word of the document:words, in the order of item and place."""
+    found = decontaminate.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    said = F.transform("matches", lambda m: F.concat_ws(":", m["item_id"], m["item_word"].cast("string"), m["doc_word"].cast("string"), m["words"].cast("string")))
+    return found.withColumn("matches", F.array_join(said, ","))
 
 
 def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
@@ -47,7 +50,10 @@ def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
-    return toxicity.toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels")).drop("spans")
+    """With ``spans`` as start:end of each toxic word, in code points."""
+    found = toxicity.toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+    said = F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))
+    return found.withColumn("spans", F.array_join(said, ","))
 
 
 def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
@@ -68,6 +74,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
+#: Base32 of the eight numbers of 20 bits in ``v``.
+BASE32 = "array_to_string(list_transform(range(0, 32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v[j // 4 + 1] >> (15 - 5 * (j % 4))) & 31)::int + 1, 1)), '')"
+
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": f"""
 with d as (select doc_id, {WORDS} as w from documents),
@@ -79,12 +88,18 @@ dw as (select doc_id, i, n, array_to_string(list_slice(w, i, i + n - 1), ' ') as
   from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from d cross join lens where len(w) >= n)),
 hits as (select doc_id, dw.i as p, bw.i as q, dw.n, item_id from dw join bw using (n, g)),
 covered as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(p, p + n)) as p from hits) group by doc_id),
-runs as (select doc_id, item_id, p - q as diagonal, n, p - row_number() over (partition by doc_id, item_id, p - q, n order by p) as run from (select distinct * from hits)),
-longest as (select doc_id, max(words) as longest_match from (select doc_id, count(*) + max(n) - 1 as words from runs group by doc_id, item_id, diagonal, n, run) group by doc_id),
+runs as (select doc_id, item_id, p, q, p - q as diagonal, n, p - row_number() over (partition by doc_id, item_id, p - q, n order by p) as run from (select distinct * from hits)),
+found as (select doc_id, cast(item_id as varchar) as item, min(q) - 1 as item_word, min(p) - 1 as doc_word, count(*) + max(n) - 1 as words from runs group by doc_id, item_id, diagonal, n, run),
+longest as (select doc_id, max(words) as longest_match, string_agg(concat_ws(':', item, item_word, doc_word, words), ',' order by item, doc_word, item_word) as matches from found group by doc_id),
 items as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, cast(item_id as varchar) as item from hits) group by doc_id)
 select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256,
-  coalesce(n_hit, 0) > 0 as contaminated, coalesce(longest_match, 0)::bigint as longest_match
+  coalesce(n_hit, 0) > 0 as contaminated, coalesce(longest_match, 0)::bigint as longest_match, coalesce(matches, '') as matches
 from d left join covered using (doc_id) left join items using (doc_id) left join longest using (doc_id)""",
+    "op2_warc": f"""
+with p as (select page_id, octet_length(encode(coalesce(html, ''))) as n, sha1(coalesce(html, '')) as h, max(page_id) over (partition by coalesce(html, '')) as best from pages),
+d as (select h, {BASE32} as digest from (select distinct h, list_transform(range(0, 8), lambda i: ('0x' || h[5 * i + 1 : 5 * i + 5])::bigint) as v from p))
+select page_id, n::bigint as payload_bytes, digest as payload_digest, case when page_id = best then 'response' else 'revisit' end as record_type, case when page_id <> best then best end as refers_to
+from p join d using (h)""",
     "op5_exact_dedup": """
 with k as (select doc_id, length(coalesce(text, '')) as chars, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')) as h from documents)
 select doc_id, first_value(doc_id) over w as keep_id, count(*) over (partition by h) as group_size,
@@ -104,6 +119,24 @@ t as (select conv_id, n_common, part, coalesce(array_to_string(list_transform(tu
 select conv_id, n_common::bigint as n_common, max(body) filter (where part = 'prompt') as prompt, max(body) filter (where part = 'chosen') as chosen, max(mask) filter (where part = 'chosen') as chosen_mask,
   max(body) filter (where part = 'rejected') as rejected, max(mask) filter (where part = 'rejected') as rejected_mask
 from t group by conv_id, n_common""",
-    "op8_secrets": None,
 }
-ORACLE_SQL = {k: v for k, v in ORACLE_SQL.items() if v}
+
+
+def _pieces(kind: str, pattern: str, check: str) -> str:
+    """Spans of the leftmost matches of ``pattern`` that pass ``check`` of (match ``m``), from the pieces between them."""
+    return f"""{kind}_m as (select doc_id, t, regexp_extract_all(t, '{pattern}') as found, regexp_split_to_array(t, '{pattern}') as rest from texts),
+{kind}_s as (select doc_id, i, found[i] as m, list_sum(list_transform(rest[1:i], lambda x: length(x)))::bigint + coalesce(list_sum(list_transform(found[1:i-1], lambda x: length(x))), 0)::bigint as a
+  from (select doc_id, found, rest, unnest(range(1, len(found) + 1)) as i from {kind}_m)),
+{kind}_k as (select doc_id, '{kind}' as kind, a, a + length(m) as b from {kind}_s where {check})"""
+
+
+#: DuckDB SQL of the base columns of op8; the spans of the kinds with a checksum (CRC-32, Luhn and mod 97) are beyond
+#: it, and the query has them all in one column, so this serves a test and is no oracle of the whole query.
+ASSIGN = "(?i:password|passwd|secret|token|api_?key)[\"'']?\\x20*[:=]\\x20*[\"'']?[A-Za-z0-9+/_.=-]+"
+OP8_BASE = f"""with texts as (select doc_id, coalesce(text, '') as t from documents),
+{_pieces("assign", ASSIGN, "length(regexp_extract(m, '^(?i:password|passwd|secret|token|api_?key)[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)$', 1)) >= 8")},
+{_pieces("access", "AKIA[A-Z0-9]+", "length(m) >= 16")},
+{_pieces("hex", "[0-9a-f]+", "length(m) >= 32")},
+k as (select *, 1 as place from assign_k union all select *, 2 from access_k union all select *, 3 from hex_k)
+select d.doc_id, count(*) filter (where kind = 'assign') as n_assign, count(*) filter (where kind = 'access') as n_access, count(*) filter (where kind = 'hex') as n_hex,
+  sha256(coalesce(string_agg(kind || ':' || a || ':' || b, ',' order by a, place), '')) as base_sha256 from documents d left join k using (doc_id) group by d.doc_id"""

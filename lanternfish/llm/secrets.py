@@ -20,7 +20,14 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 GITHUB = re.compile(r"gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 NPM = re.compile(r"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 CARD = re.compile(r"card[^0-9\n]{0,24}([0-9](?:[ -]?[0-9]){12,18})(?![0-9])", re.I | re.A)
-IBAN = re.compile(r"iban[^A-Za-z0-9\n]{0,8}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])", re.I | re.A)
+# The countries of each length of an IBAN.
+IBAN_COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+#: A number has the length of its country's, in capitals, perhaps in groups; what follows it is no part of it.
+IBAN = re.compile(r"(?i:iban)[^A-Za-z0-9\n]{0,8}(" + "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_COUNTRIES.items()) + ")(?![A-Za-z0-9])", re.A)
 KEYWORDS = {
     "password": "assign", "passwd": "assign", "secret": "assign", "token": "assign", "apikey": "assign", "api_key": "assign",
     "akia": "access", "ghp_": "github", "gho_": "github", "ghu_": "github", "ghs_": "github", "ghr_": "github",
@@ -58,7 +65,7 @@ def luhn(digits: str) -> bool:
 
 
 def mod97(iban: str) -> bool:
-    s = iban.replace(" ", "").upper()
+    s = iban.replace(" ", "")
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
@@ -103,8 +110,10 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, n_assign, n_access, n_hex, base_sha256, spans) of each row.
 
     ``spans`` are kind:start:end in code points, end exclusive, by start and then kind; ``base_sha256``
-    is the hash of those of the first three kinds. A null text is an empty one and has no spans;
-    repeated rows give equal results; an empty table gives an empty result.
+    is the hash of those of the first three kinds. Of matches of a kind that overlap the leftmost is taken; spans
+    of one start come in the order of kinds. A null text is an empty one and has no spans; very long texts
+    are scanned whole, one at a time. Repeated rows give equal results; columns other than the two are not
+    read, whatever they are called; an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

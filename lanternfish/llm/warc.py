@@ -9,9 +9,10 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lanternfish.llm.batches import text_blocks
 from lanternfish.llm.bloom import bitmap_of, probe, repeated_words, words_for
 from lanternfish.llm.store import join_hot, new_path, written
 
@@ -22,6 +23,10 @@ VERSION, END = b"WARC/1.1\r\n", b"\r\n\r\n"
 DATE = "20240101000000"
 PAGE = "WARC-X-Page-Id"
 SMALLEST = 0
+#: Payloads of up to so many bytes, and how many of them an archive holds at most: 64 MB, or one longer payload.
+SIZES = ((1 << 16, 1000), (1 << 22, 16), (1 << 62, 1))
+#: Bytes of payloads, in whole pages, that are converted at once. Memory only.
+BLOCK_BYTES = 8 << 20
 
 
 def digest(payload: bytes) -> str:
@@ -46,7 +51,7 @@ def read_arc(data: bytes) -> Iterator[dict]:
     version, which fixes the header lines' fields; each block has the declared length, whatever is in it.
     Line feeds between records are passed over; URLs may hold spaces, so fields count from the right."""
     data = gunzip(data)
-    at, version = 0, 1
+    at, version, first = 0, 1, True
     while at < len(data):
         if data[at : at + 1] in (b"\n", b"\r"):
             at += 1
@@ -55,7 +60,8 @@ def read_arc(data: bytes) -> Iterator[dict]:
         if end < 0:
             raise ValueError(f"a header line without an end at byte {at}")
         line = data[at:end].decode("utf-8", "surrogateescape").rstrip("\r")
-        if line.startswith("filedesc://"):
+        opening, first = first and line.startswith("filedesc://"), False
+        if opening:  # a later record may have such a URL
             length = int(line.rsplit(" ", 1)[1])
             version = int(data[end + 1 : end + 1 + length].split(b" ", 1)[0])
             if version not in ARC_FIELDS:
@@ -155,49 +161,75 @@ def convert_arc(data: bytes) -> Iterator[bytes]:
         yield to_warc(record)
 
 
-def pages_to_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", smallest: int = SMALLEST, records_per_file: int = 1000) -> None:
+def archived(records: DataFrame, path: str, per_file: int) -> None:
+    """Write ``records`` (value: bytes of a WARC record) as gzipped archives of ``per_file`` records at most. Spark's
+    text writer commits the files, so a task that is lost or runs twice leaves one copy. It puts bytes as they
+    are, and the two line ends that close a record part the rows."""
+    out = records.select(F.col("value").cast("string")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip")
+    out.option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", per_file).mode("append").text(path)
+
+
+def convert_archives(spark: SparkSession, arc_path: str, path: str, per_file: int = 1000) -> None:
+    """Write the records of the ARC archives under ``arc_path``, gzipped or not, as WARC archives under ``path``.
+    An archive is read as one value, so it has two gigabytes at most; its records leave it one by one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0):
+                for record in convert_arc(data.as_buffer().to_pybytes()):
+                    yield pa.RecordBatch.from_arrays([pa.array([record], pa.binary())], names=["value"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(arc_path).select("content")
+    archived(files.mapInArrow(run, "value binary"), path, per_file)
+
+
+def pages_to_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", smallest: int = SMALLEST, sizes: tuple = SIZES) -> None:
     """Write each page as a record of gzipped WARC archives under ``path``.
 
     Pages come as ARC archives, versions 1 and 2 in turn, one for each batch, and are converted. Of pages
     whose payloads are equal and have at least ``smallest`` bytes, that of the largest id is a response
     and the others revisit it. Two Bloom passes pick payloads that may repeat; other pages don't shuffle.
-    A null html is an empty payload, a null url an empty one; null ids are smallest, and their records
-    have none. Spark's text writer commits the files, so a task that is lost or runs twice leaves one copy.
+    Archives hold as many records as ``sizes`` says for payloads of their size, so that very long pages don't make
+    large archives. A null html is an empty payload, a null url an empty one; null ids are smallest, and their
+    records have none; of ties in id the greatest url is the response. Rows that repeat id, url and html are
+    responses together. Other columns are not read, whatever they are called; an empty table gives no archive.
     """
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     ready = pages.select(F.col(id_col).alias("__id"), F.coalesce(F.col(url_col), F.lit("")).alias("__url"), payload.alias("__payload"),
                          F.unhex(F.sha1(payload)).alias("__key"), F.octet_length(payload).alias("__n"))
-    narrow = written(ready.where(F.col("__n") >= smallest).select("__key", "__id", "__url"), "warc-keys")
-    words = words_for(narrow.count())
-    bitmap = bitmap_of(repeated_words(narrow.select(F.xxhash64("__key").alias("__h")), words))
-    best = probe(narrow, F.xxhash64("__key"), bitmap, words).where("__maybe").groupBy("__key").agg(
-        F.count(F.lit(1)).alias("__size"), F.max(F.struct(F.col("__id").alias("id"), F.col("__url").alias("url"))).alias("__best"))
+    narrow = written(ready.select("__key", "__id", "__url", "__n"), "warc-keys")
+    large = narrow.where(F.col("__n") >= smallest)
+    words = words_for(large.count())
+    bitmap = bitmap_of(repeated_words(large.select(F.xxhash64("__key").alias("__h")), words))
+    best = written(probe(large, F.xxhash64("__key"), bitmap, words).where("__maybe").groupBy("__key").agg(
+        F.count(F.lit(1)).alias("__size"), F.max(F.struct(F.col("__id").alias("id"), F.col("__url").alias("url"))).alias("__best")).where("__size > 1"), "warc-copies")
     looked = probe(ready, F.xxhash64("__key"), bitmap, words)
-    alone = looked.where("not __maybe").select("__id", "__url", "__payload", F.lit(None).cast("string").alias("__to_url"), F.lit(None).cast("string").alias("__to_id"), F.lit(False).alias("__revisit"))
+    none = F.lit(None).cast("string")
+    alone = looked.where("not __maybe").select("__id", "__url", "__payload", "__n", none.alias("__to_url"), none.alias("__to_id"), F.lit(False).alias("__revisit"))
     again = (F.col("__size") > 1) & (F.col("__n") >= smallest) & ~F.struct(F.col("__id").alias("id"), F.col("__url").alias("url")).eqNullSafe(F.col("__best"))
-    met = join_hot(looked.where("__maybe"), best.where("__size > 1"), "__key", F.col("__id")).select(
-        "__id", "__url", "__payload", F.col("__best.url").alias("__to_url"), F.col("__best.id").cast("string").alias("__to_id"), F.coalesce(again, F.lit(False)).alias("__revisit"))
+    met = join_hot(looked.where("__maybe"), best, "__key", F.col("__id")).select(
+        "__id", "__url", "__payload", "__n", F.col("__best.url").alias("__to_url"), F.col("__best.id").cast("string").alias("__to_id"), F.coalesce(again, F.lit(False)).alias("__revisit"))
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = 0
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 500):
-                rows = whole.slice(lo, 500).to_pylist()
-                records = []
-                for r in rows:
-                    html = r["__payload"]
-                    page = "" if r["__id"] is None else r["__id"]
-                    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(html)}\r\nX-Page-Id: {page}\r\n\r\n".encode()
-                    records.append({"url": r["__url"].replace("\n", "").replace("\r", ""), "date": DATE, "mime": "text/html", "block": head + html})
-                turn += 1
-                arc = write_arc(records, 1 + turn % 2)
-                out = [to_warc(x, (r["__to_url"], r["__to_id"]) if r["__revisit"] else None) for r, x in zip(rows, read_arc(arc))]
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
-
-    lines = alone.unionByName(met).mapInArrow(convert, "value binary")
-    # the text writer puts bytes as they are; the two line ends that close a record part the rows
-    lines.select(F.col("value").cast("string")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option(
-        "maxRecordsPerFile", records_per_file).text(path)
+        for batch, payloads in text_blocks(batches, 2, BLOCK_BYTES):
+            records, rows = [], batch.select([n for n in batch.schema.names if n != "__payload"]).to_pylist()
+            for r, html in zip(rows, payloads):
+                page = "" if r["__id"] is None else r["__id"]
+                head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(html)}\r\nX-Page-Id: {page}\r\n\r\n".encode()
+                records.append({"url": r["__url"].replace("\n", "").replace("\r", ""), "date": DATE, "mime": "text/html", "block": head + html})
+            turn += 1
+            arc = write_arc(records, 1 + turn % 2)
+            del records, payloads
+            out = [to_warc(x, (r["__to_url"], r["__to_id"]) if r["__revisit"] else None) for r, x in zip(rows, read_arc(arc))]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+
+    lines, longest, least = alone.unionByName(met), narrow.agg(F.max("__n")).first()[0], 0
+    for most, per_file in sizes:
+        if longest is not None and longest >= least:
+            mine = lines if longest <= most and not least else lines.where(F.col("__n").between(least, most))
+            archived(mine.mapInArrow(convert, "value binary"), path, per_file)
+        least = most + 1
 
 
 def warc_records(spark, path: str) -> DataFrame:
@@ -227,9 +259,12 @@ def warc_records(spark, path: str) -> DataFrame:
 
 def warc_digests(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, payload_bytes, payload_digest, record_type, refers_to) of each page, read back from archives
-    that :func:`pages_to_warc` wrote in the shared folder."""
+    that :func:`pages_to_warc` wrote in the shared folder; its cases are the same. No pages give no rows."""
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     pages_to_warc(pages, path, id_col, url_col, html_col)
     kind = pages.schema[id_col].dataType
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
+        return spark.createDataFrame([], f"`{id_col}` {kind.simpleString()}, payload_bytes bigint, payload_digest string, record_type string, refers_to {kind.simpleString()}")
     return warc_records(spark, path).select(F.col("page_id").cast(kind).alias(id_col), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))

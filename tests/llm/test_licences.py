@@ -61,3 +61,106 @@ def test_edited_copies_of_a_short_notice():
     whole, edited = "Licensed under CC BY 4.0.", "Licenced under CC BY 4.0."
     for said in ([edited] * 4, [whole, edited], [edited, whole, edited], [whole, edited, whole, edited, edited]):
         assert [round(c, 3) for *_, c in spans("\n".join(said))] == [1.0 if s == whole else 0.833 for s in said]
+
+
+SMALL = [("A", " ".join(f"a{i}" for i in range(12))), ("B", " ".join(f"b{i}" for i in range(30))), ("C", " ".join([f"a{i}" for i in range(6)] + [f"c{i}" for i in range(10)])), ("D", "d0 d1 d0 d1 d2 d0 d1 d3")]
+
+
+def plain_winnow(h):
+    if not h:
+        return []
+    w = min(licences.WINDOW, len(h))
+    return sorted({max(i for i in range(lo, lo + w) if h[i] == min(h[lo : lo + w])) for lo in range(len(h) - w + 1)})
+
+
+def test_winnowing_against_a_plain_version():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 3, 10, 200):
+        h = rng.integers(0, 8, n).astype(np.uint64)
+        assert licences.winnow(h).tolist() == plain_winnow(h.tolist())
+
+
+def plain_spans(index, ids):
+    """Every template aligned at every place, the best taken, its words blanked, and so on."""
+    ids, kept = ids.copy(), []
+    while True:
+        best = None
+        for k, template in enumerate(index.ids):
+            for start in range(-licences.BAND, len(ids)):
+                s = licences.align(template, ids, start)
+                if s and s[2] >= licences.COVERAGE and all(s[1] <= g[1] or s[0] >= g[2] for g in kept):
+                    key = (-round(s[2] * len(template)), -s[2], s[0], k)
+                    if best is None or key < best[0]:
+                        best = key, (index.names[k], *s)
+        if best is None:
+            return sorted(kept)
+        kept.append(best[1])
+        ids[best[1][1] : best[1][2]] = 0
+
+
+def plain_align(template, text, start):
+    """The alignment's score and matched share by trying all ways: words that match, or are passed over, within the band."""
+    from functools import lru_cache
+
+    n, band = len(template), licences.BAND
+
+    @lru_cache(None)
+    def best(i, j):  # best score of an alignment that ends before template word i and text word j
+        if i == 0 or abs(j - i - start) > band:
+            return 0.0
+        options = [0.0]
+        if 0 <= j - 1 < len(text) and text[j - 1] == template[i - 1]:
+            options.append(best(i - 1, j - 1) + 1)
+        options += [best(i - 1, j - 1) - 0.25] if abs(j - i - start) <= band else []
+        options += [best(i - 1, j) - 0.25] if abs(j - (i - 1) - start) <= band else []
+        options += [best(i, j - 1) - 0.25] if abs(j - 1 - i - start) <= band else []
+        return max(options)
+
+    return max((best(i, j) for i in range(1, n + 1) for j in range(start + i - band, start + i + band + 1)), default=0.0)
+
+
+def edited(rng, words, edits):
+    words = list(words)
+    for _ in range(edits):
+        i, what = int(rng.integers(0, len(words))), rng.integers(0, 3)
+        if what == 0:
+            words[i] = "x"
+        elif what == 1:
+            words.insert(i, "y")
+        elif len(words) > 1:
+            del words[i]
+    return words
+
+
+def test_alignment_against_all_ways():
+    rng = np.random.default_rng(3)
+    index = licences.Index(SMALL)
+    for trial in range(60):
+        k = int(rng.integers(0, 4))
+        words = ["z"] * int(rng.integers(0, 4)) + edited(rng, SMALL[k][1].split(), int(rng.integers(0, 4))) + ["z"] * 3
+        ids = np.array([index.vocab.get(w.encode(), 0) for w in words], dtype=np.int64)
+        start = int(rng.integers(-2, 5))
+        got = licences.align(index.ids[k], ids, start)
+        want = plain_align(tuple(index.ids[k].tolist()), tuple(ids.tolist()), start)
+        assert (got is None) == (want <= 0)
+        if got:
+            a, b, share = got
+            hits = share * len(index.ids[k])
+            assert hits == round(hits) and 0 <= a < b <= len(ids) and hits - want >= -1e-9
+
+
+def test_spans_against_aligning_everywhere():
+    """Edited notices in a text: the fingerprints miss none that keeps a run of five words, which each of these does."""
+    rng = np.random.default_rng(5)
+    index = licences.Index(SMALL)
+    found = 0
+    for trial in range(25):
+        words = []
+        for _ in range(int(rng.integers(1, 4))):
+            words += ["z"] * int(rng.integers(0, 12)) + edited(rng, SMALL[int(rng.integers(0, 3))][1].split(), int(rng.integers(0, 2)))
+        ids = np.array([index.vocab.get(w.encode(), 0) for w in words], dtype=np.int64)
+        got, want = index.spans(ids), plain_spans(index, ids)
+        assert [(n, round(c * 100)) for n, *_, c in got] == [(n, round(c * 100)) for n, *_, c in want]
+        assert all(min(g[2], w[2]) - max(g[1], w[1]) >= 0.8 * (w[2] - w[1]) for g, w in zip(got, want))
+        found += len(want)
+    assert found > 30
