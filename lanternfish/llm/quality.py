@@ -193,7 +193,8 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     picked = first_ids(known.where("__y = 0"), fit_most).unionByName(first_ids(known.where("__y = 1"), fit_most))
     none = F.lit(None).cast("int")
     rows = whole_rows(ready, picked, "__id", inputs, "__text", F.col("__y"), bytes_most).withColumn("__text_y", none).withColumn("__page_y", none)
-    free = ready.where(F.col("__id").isNotNull() & ~held_out(F.col("__id"))).join(labels.select(F.col(id_col).alias("__id")).distinct(), "__id", "left_anti")
+    free = ready.where(F.col("__id").isNotNull() & ~held_out(F.col("__id")))
+    marked = labels.select(F.col(id_col).alias("__id")).distinct()
 
     def in_one_task(more: list[DataFrame], made) -> bytes:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +213,8 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     fits = pickle.loads(views) is not None
     most = max(1, int(taught * rows.count() / 2))
     for turn in range(rounds if fits else 0):
-        sure = written(_sure(free, inputs, views), "sure")
+        # texts don't shuffle: rows with a label are scored too, and go when only ids and verdicts are left
+        sure = written(written(_sure(free, inputs, views), "sure").join(marked, "__id", "left_anti"), "sure")
         for t in more:
             sure = sure.join(F.broadcast(t.select("__id")), "__id", "left_anti")  # at most ``most`` ids a class, view and round
         drawn = None
