@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lanternfish.llm.store import written
+
 START, END = "<|im_start|>", "<|im_end|>"
 
 
@@ -46,7 +48,9 @@ def preference_pairs(chosen: DataFrame, rejected: DataFrame, id_col: str = "conv
     The longest common prefix of turns (equal role and text, whatever the turns' numbers) is rendered
     once, as the prompt; the rest of each conversation is its completion, with a mask of what is learnt.
     Equal conversations have empty completions. Null roles and texts are empty; turns of equal number
-    come in order of role and text; null ids make no pair; empty tables give an empty result.
+    come in order of role and text; repeated rows are turns of their own; null ids make no pair; empty tables give an
+    empty result. A very long conversation is one row, as one example is. Other columns are not read, whatever they
+    are called.
     """
     both = turns_of(chosen, id_col, turn_col, role_col, text_col, "chosen").join(turns_of(rejected, id_col, turn_col, role_col, text_col, "rejected"), "__id")
     return format_pairs(both).withColumnRenamed("__id", id_col)
@@ -55,8 +59,10 @@ def preference_pairs(chosen: DataFrame, rejected: DataFrame, id_col: str = "conv
 def swapped_replies(conversations: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """Preference pairs of conversations that have no rejected side: chosen is each conversation, rejected
     is the same with its last assistant's text taken from that of the conversation whose id is one more
-    (empty if there is none). A conversation without an assistant has itself on both sides."""
-    held = turns_of(conversations, id_col, turn_col, role_col, text_col, "chosen")
+    (empty if there is none). A conversation without an assistant has itself on both sides. Nulls, ties, repeats and
+    empty tables are as in :func:`preference_pairs`, but a conversation of a null id stays, with an empty reply; a
+    very long conversation is one row, as one example is. Other columns are not read, whatever they are called."""
+    held = written(turns_of(conversations, id_col, turn_col, role_col, text_col, "chosen"), "conversations")
     replies = F.filter("chosen", lambda t: t["role"] == "assistant")
     other = held.select((F.col("__id") - 1).alias("__id"), F.when(F.size(replies) > 0, F.element_at(replies, -1)["text"]).alias("reply"))
     # the place of the last assistant's turn, 0 if there is none

@@ -54,8 +54,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     points in the original text stays, then the one with the smallest id (a null id is smallest).
 
     A null text is an empty one; empty texts are equal to each other. Rows that repeat an id, text and
-    length share one verdict: all are kept or none. Columns called like a result are replaced by it. An
-    empty table gives an empty result. ``carry=False`` returns the id and the results only.
+    length share one verdict: all are kept or none. Columns called like a result are replaced by it. A very
+    long text is normalised and hashed whole, in its row. An empty table gives an empty result.
+    ``carry=False`` returns the id and the results only.
     """
     carried = replace_columns(docs, RESULT) if carry else None
     front = apart(carried)[1] if carry else [F.col("__id").alias(id_col)]

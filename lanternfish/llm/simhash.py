@@ -182,7 +182,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Fingerprints of up to two differing bits link. Texts are hashed once; equal fingerprints count once
     in the search, so groups of copies cost one row. A null or wordless text has fingerprint zero and is
     linked like any other. Rows that repeat an id get equal results each; null ids are passed over in
-    component_id, which is null only if the component has no other. An empty table gives an empty result.
+    component_id, which is null only if the component has no other. A very long text is hashed whole, in parts. Other
+    columns are not read, whatever they are called. An empty table gives an empty result.
     """
     hashed = written(fingerprints(docs, id_col, text_col, words), "simhash")
     fps = written(hashed.groupBy(F.col("__fp").alias("fp")).agg(F.min("__id").alias("first"), F.count(F.lit(1)).alias("size")), "simhash-distinct")
@@ -202,7 +203,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with one row of each near-duplicate component: that of the smallest id, a null id being smallest.
 
     Rows are told apart by id and text, so each is judged by its own text where ids repeat; of rows that
-    repeat both, one stays. Only rows of lost or repeated keys shuffle.
+    repeat both, one stays. Only rows of lost or repeated keys shuffle, with all their columns, whatever these are
+    called. Nulls, empty and long texts and empty tables are as in :func:`near_dedup`.
     """
     held, back = apart(docs.columns)
     number, text = F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
