@@ -1,4 +1,11 @@
-"""A corpus pipeline of five operators; each stage is written as Parquet and read again by the next."""
+"""A corpus pipeline of five operators; each stage is written as Parquet and read again by the next.
+
+Every stage judges each row by its own text, so rows that repeat an id, or have none, are judged apart; of equal rows
+the stages that deduplicate leave one. A null text is an empty one. Ties stay with the smallest id, a null id being
+smallest. Very long texts are judged whole. All but the last stage return the columns of their documents, whatever
+these are called beside ``doc_id`` and ``text``; the last returns the id and digests. An empty table passes through
+as an empty one; without labels no row is toxic beyond the prior, and without a benchmark none is contaminated.
+"""
 
 from __future__ import annotations
 
