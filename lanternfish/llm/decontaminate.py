@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanternfish.llm.batches import text_blocks
+from lanternfish.llm.batches import released, text_blocks
 from lanternfish.llm.store import place_of
 
 #: UTF-8 bytes of a word stay (0-9, a-z and all beyond ASCII), A-Z become a-z, the rest becomes a space.
@@ -22,7 +22,7 @@ WINDOW = 10
 #: Words of test items that a task holds at once; a larger benchmark is searched block by block.
 BLOCK_WORDS = 1_000_000
 #: Bytes of documents, in whole texts, that make one shard with its suffix array.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 RESULT = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, longest_match bigint, matches array<struct<item_id:string,item_word:bigint,doc_word:bigint,words:bigint>>"
 
 
@@ -216,7 +216,7 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
                                              names=[id_col, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match", "matches"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col).alias("__text")).mapInArrow(run, f"`{id_col}` {kind}, {RESULT}")
+    return docs.select(F.col(id_col), F.col(text_col).alias("__text")).mapInArrow(released(run), f"`{id_col}` {kind}, {RESULT}")
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
@@ -229,4 +229,4 @@ def drop_contaminated(docs: DataFrame, bench: DataFrame, text_col: str = "text",
         for batch, texts in text_blocks(batches, at, SHARD_BYTES):
             yield batch.filter(pa.array([not row[4] for row in scan_shard(texts, each())], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)

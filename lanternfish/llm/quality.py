@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanternfish.llm.batches import text_blocks
+from lanternfish.llm.batches import released, text_blocks
 from lanternfish.llm.decontaminate import words_of
 from lanternfish.llm.samples import FIT_BYTES, first_ids, held_out, labelled, whole_rows
 from lanternfish.llm.store import written
@@ -205,7 +205,7 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
         whole = rows
         for t in more:
             whole = whole.unionByName(t)
-        got = whole.repartition(1).mapInArrow(run, "model binary").first()
+        got = whole.repartition(1).mapInArrow(released(run), "model binary").first()
         return got[0] if got else pickle.dumps(None)
 
     more: list[DataFrame] = []  # what each round has taught
@@ -238,8 +238,7 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
                                              names=[id_col, "held_out", "score", "predicted", "text_score", "page_score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return ready.select(F.col("__id").alias(id_col), held_out(F.col("__id")).alias("held_out"), *inputs).mapInArrow(
-        run, f"`{id_col}` {kind}, held_out boolean, score double, predicted int, text_score double, page_score double")
+    return ready.select(F.col("__id").alias(id_col), held_out(F.col("__id")).alias("held_out"), *inputs).mapInArrow(released(run), f"`{id_col}` {kind}, held_out boolean, score double, predicted int, text_score double, page_score double")
 
 
 def _sure(free: DataFrame, inputs: list[str], views: bytes) -> DataFrame:
@@ -256,4 +255,4 @@ def _sure(free: DataFrame, inputs: list[str], views: bytes) -> DataFrame:
             yield out.filter(pc.or_(a.is_valid(), b.is_valid()))
 
     kind = free.schema["__id"].dataType.simpleString()
-    return free.select("__id", *inputs).mapInArrow(run, f"__id {kind}, text_says int, page_says int")
+    return free.select("__id", *inputs).mapInArrow(released(run), f"__id {kind}, text_says int, page_says int")

@@ -15,14 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanternfish.llm.batches import text_blocks
+from lanternfish.llm.batches import released, text_blocks
 
 SPACE = "▁"
 FINE = re.compile(f"[\\n\\t\\d]|{SPACE}*[^\\W\\d_²³¹¼½¾]+|{SPACE}*(?:[^\\w{SPACE}\\n\\t]|[_²³¹¼½¾])+|{SPACE}+")
 WHOLE = re.compile("(?s).+")
 #: Bytes of the units of a generation that a worker remembers with their encodings, and one generation more; longer
 #: units than these characters are encoded each time they are met. Speed and memory only.
-REMEMBERED_BYTES, LONGEST = 160 << 20, 64
+REMEMBERED_BYTES, LONGEST = 96 << 20, 64
 #: Bytes of text, in whole texts, whose units are held at once. Memory only.
 SLICE_BYTES = 1 << 20
 #: One text of so many is held against the library as a whole, beside every unit of every text; 1 holds all.
@@ -253,9 +253,10 @@ def token_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
             columns = list(zip(*vocab.digest_all([t.decode() for t in texts], check_every))) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.string())))],
                                              names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+        vocab.older = {}  # what the task's last units didn't need
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col).alias("__text")).mapInArrow(run, f"`{id_col}` {kind}, {RESULT}")
+    return docs.select(F.col(id_col), F.col(text_col).alias("__text")).mapInArrow(released(run), f"`{id_col}` {kind}, {RESULT}")
 
 
 def token_ids(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -270,4 +271,4 @@ def token_ids(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.string())], names=[id_col, "ids", "decoded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col).alias("__text")).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded string")
+    return docs.select(F.col(id_col), F.col(text_col).alias("__text")).mapInArrow(released(run), f"`{id_col}` {kind}, ids array<int>, decoded string")

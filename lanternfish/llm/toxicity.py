@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanternfish.llm.batches import text_blocks
+from lanternfish.llm.batches import released, text_blocks
 from lanternfish.llm.decontaminate import words_of
 from lanternfish.llm.samples import FIT_BYTES, first_ids, held_out, labelled, whole_rows
 from lanternfish.llm.store import place_of
@@ -290,7 +290,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         model = fit([t for *_, t in got], np.array([y for _, y, _ in got], dtype=np.int64), prior)
         yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
 
-    made = rows.select("__id", "__y", "__text").repartition(1).mapInArrow(run, "model binary").first()
+    made = rows.select("__id", "__y", "__text").repartition(1).mapInArrow(released(run), "model binary").first()
     return made[0] if made else fit([], np.zeros(0, dtype=np.int64), prior)  # no labelled row, no task
 
 
@@ -327,8 +327,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
                 names=[id_col, "held_out", "score", "predicted", "n_toxic", "spans"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("__text")).mapInArrow(
-        run, f"`{id_col}` {kind}, held_out boolean, score double, predicted int, n_toxic bigint, spans array<struct<start:bigint,end:bigint,p:double>>")
+    return docs.select(F.col(id_col), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("__text")).mapInArrow(released(run), f"`{id_col}` {kind}, held_out boolean, score double, predicted int, n_toxic bigint, spans array<struct<start:bigint,end:bigint,p:double>>")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic",
@@ -342,4 +341,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
         for batch, texts in text_blocks(batches, at, BLOCK_BYTES):
             yield batch.filter(pa.array(tagger.score(texts)[0] < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
