@@ -20,8 +20,9 @@ def normalised(text: Column) -> Column:
 
 
 def _judged(docs: DataFrame, id_col: str, text_col: str, carried: list[str] | None) -> DataFrame:
-    """(``carried`` columns of each row as ``apart`` names them, __id, keep_id, group_size, kept, __key). Without
-    ``carried`` columns the results come from the narrow table, so that texts are read once."""
+    """(``carried`` columns of each row as ``apart`` names them, __id, keep_id, group_size, kept, __key, and __same, the rows
+    of the group that repeat the id and length of the best). Without ``carried`` columns the results come from the
+    narrow table, so that texts are read once."""
     narrow = [F.col(id_col).alias("__id"), F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("__chars"),
               F.unhex(F.sha2(normalised(F.col(text_col)).cast("binary"), 256)).alias("__key")]
     counted = written(docs.select(*narrow), "dedup-keys")
@@ -29,8 +30,9 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, carried: list[str] | No
     words = words_for(counted.count())
     bitmap = bitmap_of(repeated_words(counted.select(hashed.alias("__h")), words))
 
-    groups = probe(counted, hashed, bitmap, words).where("__maybe").groupBy("__key").agg(
-        F.count(F.lit(1)).alias("__size"), F.min(F.struct((-F.col("__chars")).alias("c"), F.col("__id").alias("i"))).alias("__best")
+    each = probe(counted, hashed, bitmap, words).where("__maybe").groupBy("__key", "__id", "__chars").agg(F.count(F.lit(1)).alias("__n"))
+    groups = each.groupBy("__key").agg(
+        F.sum("__n").alias("__size"), F.min(F.struct((-F.col("__chars")).alias("c"), F.col("__id").alias("i"), F.col("__n").alias("n"))).alias("__best")
     )
     groups = written(groups.where("__size > 1"), "dedup-groups")
 
@@ -39,11 +41,11 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, carried: list[str] | No
     kept_columns = [*(f"__c{i}" for i in range(len(held))), "__id"]
     looked = probe(rows, hashed, bitmap, words)
     one = looked.where("not __maybe").select(
-        *kept_columns, F.col("__id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "__key")
+        *kept_columns, F.col("__id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "__key", F.lit(1).cast("long").alias("__same"))
     many = join_hot(looked.where("__maybe"), groups, "__key", F.col("__id")).select(
         *kept_columns, F.when(F.col("__best").isNull(), F.col("__id")).otherwise(F.col("__best.i")).alias("keep_id"),
         F.coalesce("__size", F.lit(1)).cast("long").alias("group_size"),
-        (F.col("__best").isNull() | (F.col("__id").eqNullSafe(F.col("__best.i")) & (F.col("__chars") == -F.col("__best.c")))).alias("kept"), "__key")
+        (F.col("__best").isNull() | (F.col("__id").eqNullSafe(F.col("__best.i")) & (F.col("__chars") == -F.col("__best.c")))).alias("kept"), "__key", F.coalesce("__best.n", F.lit(1)).alias("__same"))
     return one.unionByName(many)
 
 
@@ -66,7 +68,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_best(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of equal rows, with all its columns, whatever these are called: of the rows that
     :func:`exact_dedup` keeps, and if several repeat id and length, one of these."""
-    kept = _judged(docs, id_col, text_col, docs.columns).where("kept").withColumn("__alone", F.col("group_size") == 1)
+    kept = _judged(docs, id_col, text_col, docs.columns).where("kept")
     columns = [f"__c{i}" for i in range(len(docs.columns))]
-    one = one_of_each(kept.where("not __alone").select("__key", *columns), "__key")
-    return kept.where("__alone").select(*columns).unionByName(one.select(*columns)).select(*apart(docs.columns)[1])
+    one = one_of_each(kept.where("__same > 1").select("__key", *columns), "__key")
+    return kept.where("__same = 1").select(*columns).unionByName(one.select(*columns)).select(*apart(docs.columns)[1])

@@ -10,13 +10,14 @@ segments checked, the last of which is the full Hamming check.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lanternfish.llm.batches import released
 from lanternfish.llm.bloom import bitmap_of, probe, repeated_words, words_for, words_of
 from lanternfish.llm.store import apart, join_hot, one_of_each, written
 from lanternfish.operators.graph import components, spanning
@@ -57,7 +58,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int = 3) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, dtype=np.uint64).view(np.int64))], names=["__id", "__fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).mapInArrow(run, f"__id {kind}, __fp bigint")
+    return docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).mapInArrow(released(run), f"__id {kind}, __fp bigint")
 
 
 def _mask(first: int, count: int) -> int:
@@ -111,17 +112,17 @@ def link_chunk(cell: np.ndarray, fp: np.ndarray, start: np.ndarray) -> tuple[np.
     return spanning(np.concatenate(a), np.concatenate(b), n) if a else (np.array([], dtype=int), np.array([], dtype=int))
 
 
-def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b) links of (cell, high, start, fp), sorted by cell and high. Whole cells are paired within themselves,
-    many at once; a cell of two blocks pairs each row of the lower one with each of the higher one. Cells are
-    numbered by hashes: where two share a number, more pairs are put to the filter, and none is lost."""
+def _linker(side: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function of (cell, high, start, fp), sorted by cell and high, to links (a, b). Whole cells are paired within
+    themselves, many at once; a cell of two blocks pairs each row of the lower one with each of the higher one.
+    A cell of more than ``side`` rows is handed on: (a, cell, start) of each, with a null ``b``. Cells are numbered by
+    hashes: where two share a number, more pairs are put to the filter, and none is lost."""
     def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+        n = len(a)
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int8())], names=["a", "b", "cell", "start"])
 
-    def within(c: np.ndarray, s: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
-        a, b = link_chunk(c, f, s)
-        if len(a):
-            yield out(f[a], f[b])
+    def handed(c: np.ndarray, s: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.nulls(len(f), pa.int64()), pa.array(c), pa.array(s)], names=["a", "b", "cell", "start"])
 
     def between(low: np.ndarray, start: np.ndarray, high: np.ndarray) -> Iterator[pa.RecordBatch]:
         a, b = [], []
@@ -136,44 +137,67 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def done(c: np.ndarray, h: np.ndarray, s: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
         own = h == 0
-        yield from within(c[own], s[own], f[own])
+        if side and len(c) > side:
+            cells, n = np.unique(c, return_counts=True)
+            large = np.isin(c, cells[n > side])
+            if large.any():
+                yield handed(c[large], s[large], f[large])
+                own &= ~large
+        a, b = link_chunk(c[own], f[own], s[own])
+        if len(a):
+            yield out(f[own][a], f[own][b])
         for cell in np.unique(c[h == 2]):
             low, high = (c == cell) & (h == 1), (c == cell) & (h == 2)
             if low.any():
                 yield from between(f[low], s[low], f[high])
 
-    held = [np.array([], dtype=t) for t in (np.int64, np.int8, np.int8, np.uint64)]
-    for batch in batches:
-        new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-        held = [np.concatenate([old, x.astype(old.dtype) if i < 3 else x.view(np.uint64)]) for i, (old, x) in enumerate(zip(held, new))]
-        if len(held[0]):
-            cut = int(np.searchsorted(held[0], held[0][-1], "left"))  # the last cell may go on
-            yield from done(*(x[:cut] for x in held))
-            held = [x[cut:] for x in held]
-    yield from done(*held)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = [np.array([], dtype=t) for t in (np.int64, np.int8, np.int8, np.uint64)]
+        held, spilling = none, None
+        for batch in batches:
+            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            held = [np.concatenate([old, x.astype(old.dtype) if i < 3 else x.view(np.uint64)]) for i, (old, x) in enumerate(zip(held, new))]
+            if spilling is not None and len(held[0]):
+                n = int(np.searchsorted(held[0], spilling, "right"))
+                if n:
+                    yield handed(held[0][:n], held[2][:n], held[3][:n])
+                held = [x[n:] for x in held]
+                spilling = None if len(held[0]) else spilling
+            if len(held[0]):
+                cut = int(np.searchsorted(held[0], held[0][-1], "left"))  # the last cell may go on
+                yield from done(*(x[:cut] for x in held))
+                held = [x[cut:] for x in held]
+                if side and len(held[0]) > side:
+                    spilling = held[0][0]
+                    yield handed(held[0], held[2], held[3])
+                    held = none
+        yield from done(*held)
+
+    return released(run)
+
+
+LINKS = "a bigint, b bigint, cell bigint, start tinyint"
 
 
-def _cells(fps: DataFrame, side: int) -> DataFrame:
-    """(cell, high, start, fp) of every key of the distinct fingerprints ``fp``: a cell a key, and for a key of more
-    than ``side`` fingerprints a cell for each two of its blocks."""
+def near_links(fps: DataFrame, side: int = SIDE) -> DataFrame:
+    """Links (a, b) between the distinct fingerprints ``fp`` that span every set linked by two bits or fewer.
+
+    A key is a cell; a key of more than ``side`` fingerprints is dealt out in blocks of that many, and has a cell for
+    each two of its blocks and each block alone."""
     keys = fps.select(F.explode(chain_keys(F.col("fp"))).alias("key"), "fp")
-    hot = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > side), "simhash-hot")
     start = F.col("key").bitwiseAND(F.lit(7)).cast("tinyint").alias("start")
-    plain = [F.xxhash64("key").alias("cell"), F.lit(0).cast("tinyint").alias("high"), start, "fp"]
-    if hot.isEmpty():
-        return keys.select(*plain)
-    known = join_hot(keys, hot.select("key", F.ceil(F.col("n") / side).alias("blocks")), "key", F.col("fp"))
+    cells = keys.select(F.xxhash64("key").alias("cell"), F.lit(0).cast("tinyint").alias("high"), start, "fp")
+    found = written(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_linker(side), LINKS), "simhash-links")
+    links, handed = found.where("b is not null").select("a", "b"), found.where("b is null").select("cell", "start", F.col("a").alias("fp"))
+    if handed.isEmpty():
+        return links
+    sizes = handed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / side).alias("blocks"))
+    known = join_hot(handed, sizes, "cell", F.col("fp"), how="inner")
     blocks = known.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    side_of = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-    split = blocks.select(F.xxhash64("key", low, high).alias("cell"), side_of.cast("tinyint").alias("high"), start, "fp")
-    return known.where("blocks is null").select(*plain).unionByName(split)
-
-
-def near_links(fps: DataFrame, side: int = SIDE) -> DataFrame:
-    """Links (a, b) between the distinct fingerprints ``fp`` that span every set linked by two bits or fewer."""
-    dealt = _cells(fps, side).repartition("cell").sortWithinPartitions("cell", "high", "start", "fp")
-    return dealt.mapInArrow(_link, "a bigint, b bigint")
+    high = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    split = blocks.select(F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), high.cast("tinyint").alias("high"), "start", "fp")
+    more = split.repartition("cell").sortWithinPartitions("cell", "high").mapInArrow(_linker(None), LINKS)
+    return links.unionByName(more.select("a", "b"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
@@ -215,6 +239,10 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lost = hashed.where("lost")
     words = words_for(found.count())
     bitmap = bitmap_of(words_of(lost.select("__h"), words).unionByName(repeated_words(hashed.where("not lost").select("__h"), words)))
+    # of each key that is lost or repeats, which; the rest of the rows that the filter flags stay as they are
+    flagged = probe(hashed, F.col("__h"), bitmap, words).where("__maybe").groupBy("__key").agg(F.max("lost").alias("lost"), F.count(F.lit(1)).alias("n"))
+    facts = written(flagged.where("lost or n > 1").select("__key", "lost"), "simhash-facts")
     looked = probe(docs.select(key.alias("__key"), *held), F.xxhash64("__key"), bitmap, words)
-    one = one_of_each(looked.where("__maybe").drop("__maybe"), "__key").join(lost.select("__key").distinct(), "__key", "left_anti")
-    return looked.where("not __maybe").select(*back).unionByName(one.select(*back))
+    met = join_hot(looked.where("__maybe").drop("__maybe"), facts, "__key", F.spark_partition_id())
+    one = one_of_each(met.where("not lost").drop("lost"), "__key")
+    return looked.where("not __maybe").select(*back).unionByName(met.where("lost is null").select(*back)).unionByName(one.select(*back))

@@ -127,13 +127,18 @@ def test_simhash_batches_do_not_matter():
     out = []
     for size in (1, 10, 10_000):
         batches = [pa.RecordBatch.from_pydict({"cell": pa.array([c for c, _ in rows[i : i + size]]), "high": pa.array([0] * len(rows[i : i + size]), pa.int8()), "start": pa.array([0] * len(rows[i : i + size]), pa.int8()), "fp": pa.array([signed(x) for _, x in rows[i : i + size]])}) for i in range(0, len(rows), size)]
-        links = {(a, b) for r in simhash._link(iter(batches)) for a, b in zip(*(c.to_pylist() for c in r.columns))}
+        links = {(a, b) for r in simhash._linker(None)(iter(batches)) for a, b in zip(*(c.to_pylist() for c in r.columns[:2]))}
         label = {signed(x): signed(x) for _, x in rows}
         for a, b in links:
             x, y = label[a], label[b]
             label = {k: min(x, y) if v in (x, y) else v for k, v in label.items()}
         out.append(label)
     assert out[0] == out[1] == out[2]
+    for size in (1, 10, 10_000):  # a cell of more than 100 rows is handed on whole, the others are not
+        cells = [0] * 150 + [1] * 50 + [2] * 300 + [3] * 5
+        batches = [pa.RecordBatch.from_pydict({"cell": cells[i : i + size], "high": pa.array([0] * len(cells[i : i + size]), pa.int8()), "start": pa.array([1] * len(cells[i : i + size]), pa.int8()), "fp": list(range(i * 1000, (i + len(cells[i : i + size])) * 1000, 1000))}) for i in range(0, 505, size)]
+        handed = [(a, c) for r in simhash._linker(100)(iter(batches)) for a, b, c, _ in zip(*(x.to_pylist() for x in r.columns)) if b is None]
+        assert handed == [(i * 1000, 0 if i < 150 else 2) for i in [*range(150), *range(200, 500)]]
 
 
 def test_bloom_passes(spark):
