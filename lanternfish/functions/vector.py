@@ -39,3 +39,12 @@ def int8(a: Column, scale: Column) -> Column:
 
 def is_uncertain(distance: Column, cutoff: float = 0.45) -> Column:
     return F.coalesce(distance > cutoff, F.lit(False))
+
+
+def hashed_words(words: Column, dims: int) -> Column:
+    """A vector of ``dims`` of a text's words: each adds one, or takes it off, at a place that its MD5 names. A text
+    encoder without weights, for tests and where no model is loaded."""
+    hashes = F.transform(words, F.md5)
+    marks = F.transform(hashes, lambda h: F.struct(F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint"), F.lit(dims)).alias("at"), F.when(F.substring(h, 9, 1) < "8", 1.0).otherwise(-1.0).alias("sign")))
+    nothing = F.array_repeat(F.lit(0.0), dims)
+    return F.aggregate(marks, nothing, lambda v, m: F.transform(v, lambda x, i: x + F.when(i == m["at"], m["sign"]).otherwise(0.0)))

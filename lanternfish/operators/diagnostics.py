@@ -99,3 +99,24 @@ def disagreement(a: DataFrame, b: DataFrame, value: str, tolerance: float = 1e-6
     """One row (a, b, agree): whether the means of ``value`` of two runs that should be equal are within ``tolerance``."""
     one = a.agg(F.avg(value).alias("a")).join(F.broadcast(b.agg(F.avg(value).alias("b"))))
     return one.withColumn("agree", F.coalesce(F.abs(F.col("a") - F.col("b")) <= tolerance, F.lit(False)))
+
+
+def probe(found: DataFrame) -> DataFrame:
+    """(query_id, top1_distance, top1_caption, mean_topk_distance) of ranked candidates (query_id, rank, document, distance)."""
+    first = F.min_by(F.struct("distance", "document"), "rank")
+    got = found.groupBy("query_id").agg(first.alias("f"), F.avg("distance").alias("mean_topk_distance"))
+    return got.select("query_id", F.col("f.distance").alias("top1_distance"), F.col("f.document").alias("top1_caption"), "mean_topk_distance")
+
+
+def mean_siblings(index: DataFrame, queries: DataFrame) -> DataFrame:
+    """One row (queries, mean_excluded): how many rows of the index a query's own image has, which a search leaves out."""
+    own = index.groupBy(F.col("image_id").alias("query_id")).agg(F.count(F.lit(1)).alias("n"))
+    return queries.select("query_id").join(own, "query_id", "left").agg(F.count(F.lit(1)).alias("queries"), F.avg(F.coalesce("n", F.lit(0))).alias("mean_excluded"))
+
+
+def tie_ranks(found: DataFrame) -> DataFrame:
+    """(query_id, ties, other): of ranked images (query_id, image_id, cosine, rank) how many are as near as the first, and the
+    one of these with the greatest id, which a ranking that breaks ties the other way puts first."""
+    first = found.where("rank = 1").select("query_id", F.col("cosine").alias("top"), F.col("image_id").alias("first"))
+    met = found.join(first, "query_id").where("cosine = top")
+    return met.groupBy("query_id").agg(F.count(F.lit(1)).alias("ties"), F.max("image_id").alias("other"))

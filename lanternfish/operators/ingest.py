@@ -67,6 +67,30 @@ def first_of_each(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
+def scraped(listed: DataFrame, info: DataFrame, order: list[str], offset: int, target: int, load: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """((image_id, id, caption) of what is taken, (image_id, title, author, license, license_url, source_url, category)).
+
+    ``listed`` is (category, phrase, place, title, ...), ``info`` what the service says of each title. Titles that can be
+    photographs are taken in the ``order`` of categories and places, the first of each url, ``target`` at most; with
+    ``load`` (title, content) only those whose image came. Numbers from ``offset`` go to what is taken.
+    """
+    fit = is_photo(listed.join(info, "title"))
+    if load is not None:
+        fit = fit.join(load.where("content is not null").select("title").distinct(), "title", "left_semi")
+    first = first_of_each(fit, "url", order)
+    taken = numbered(captioned(first.withColumn("html", F.col("description"))), order, 0, "__n").where(F.col("__n") < target)
+    taken = written(taken.withColumn("image_id", F.col("__n") + offset).drop("__n"), "taken")
+    notes = taken.select("image_id", "title", F.col("artist").alias("author"), F.col("licence").alias("license"), F.col("licence_url").alias("license_url"), F.col("page_url").alias("source_url"), "category")
+    return taken.select("image_id", F.col("image_id").alias("id"), "caption"), notes
+
+
+def labelled_images(shards: DataFrame, templates: DataFrame, order: list[str], offset: int = 90_000_000) -> DataFrame:
+    """(image_id, id, caption, content) of rows (label, content, ...) of label shards: numbered in ``order`` from ``offset``
+    over all shards, each with the caption of its label; a label without a template is an error."""
+    rows = numbered(with_templates(shards, templates), order, offset)
+    return rows.select("image_id", F.col("image_id").alias("id"), "caption", "content")
+
+
 def captioned(rows: DataFrame) -> DataFrame:
     """``rows`` (html, phrase) with description and caption: the clean description, or one made of the phrase."""
     clean = T.clean_description(F.col("html"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanternfish.functions.text import tokens
+from lanternfish.operators.skew import join_hot
 
 
 def ngrams(words: Column, n: int) -> Column:
@@ -55,7 +56,7 @@ def cider(candidates: DataFrame, references: DataFrame, most: int = 4, sigma: fl
     rc, cc = _counted(ref, ["item", "r"], most), _counted(cand, ["item"], most)
     df = rc.groupBy("n", "gram").agg(F.countDistinct("item").alias("df"))
     idf = F.log(F.col("items").cast("double")) - F.log(F.greatest(F.coalesce("df", F.lit(0)), F.lit(1)).cast("double"))
-    weigh = lambda x: x.join(df, ["n", "gram"], "left").join(F.broadcast(items)).withColumn("w", F.col("c") * idf)
+    weigh = lambda x: join_hot(x, df, ["n", "gram"], F.col("item")).join(F.broadcast(items)).withColumn("w", F.col("c") * idf)
     rw, cw = weigh(rc), weigh(cc)
     square = F.sqrt(F.sum(F.col("w") * F.col("w")))
     rn, cn = rw.groupBy("item", "r", "n").agg(square.alias("rn")), cw.groupBy("item", "n").agg(square.alias("cn"))
@@ -120,23 +121,35 @@ def meteor_exact_of(candidate: list[str], references: list[list[str]]) -> float:
     return best
 
 
-def _scored(candidates: DataFrame, references: DataFrame, name: str, score) -> DataFrame:
-    refs = references.groupBy("item").agg(F.collect_list(tokens(F.col("reference"))).alias("refs"))
-    pairs = candidates.select("item", tokens(F.col("candidate")).alias("words")).join(refs, "item")
+def _scored(candidates: DataFrame, references: DataFrame, parts, kinds: list[str]) -> DataFrame:
+    """(item, parts): of each item the greatest of each of ``parts`` (candidate, reference). A pair of a candidate and a
+    reference is a row, so an item of many references is no one task's; Arrow batches hold the words."""
+    pairs = candidates.select("item", tokens(F.col("candidate")).alias("words")).join(references.select("item", tokens(F.col("reference")).alias("ref")), "item")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"item": b["item"], name: [float(score(list(c), [list(r) for r in rs])) for c, rs in zip(b["words"], b["refs"])]})
+            got = [parts(list(c), list(r)) for c, r in zip(b["words"], b["ref"])]
+            yield pd.DataFrame({"item": b["item"], **{k: [float(g[i]) for g in got] for i, k in enumerate(kinds)}})
 
-    return pairs.mapInPandas(run, f"item {candidates.schema['item'].dataType.simpleString()}, {name} double")
+    schema = f"item {candidates.schema['item'].dataType.simpleString()}, " + ", ".join(f"{k} double" for k in kinds)
+    return pairs.mapInPandas(run, schema).groupBy("item").agg(*[F.max(k).alias(k) for k in kinds])
 
 
-def rouge_l(candidates: DataFrame, references: DataFrame) -> DataFrame:
-    return _scored(candidates, references, "rouge_l", rouge_l_of)
+def _rouge_parts(candidate: list[str], reference: list[str]) -> tuple[float, float]:
+    n = lcs(candidate, reference) if candidate and reference else 0
+    return n / max(1, len(candidate)), n / max(1, len(reference))
+
+
+def rouge_l(candidates: DataFrame, references: DataFrame, beta: float = 1.2) -> DataFrame:
+    """(item, rouge_l): of the greatest precision and the greatest recall over the references."""
+    both = _scored(candidates, references, _rouge_parts, ["p", "r"])
+    value = F.try_divide((1 + beta**2) * F.col("p") * F.col("r"), F.col("r") + beta**2 * F.col("p"))
+    return both.select("item", F.coalesce(value, F.lit(0.0)).alias("rouge_l"))
 
 
 def meteor_exact(candidates: DataFrame, references: DataFrame) -> DataFrame:
-    return _scored(candidates, references, "meteor_exact", meteor_exact_of)
+    """(item, meteor_exact): that of the best reference."""
+    return _scored(candidates, references, lambda c, r: (meteor_exact_of(c, [r]),), ["meteor_exact"])
 
 
 def compared(before: DataFrame, after: DataFrame, references: DataFrame, score=cider, name: str = "cider") -> DataFrame:

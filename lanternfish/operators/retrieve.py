@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lanternfish.functions import vector as V
 from lanternfish.operators import knn, selection
+from lanternfish.sources.scratch import written
 
 TOP_K, PER_VARIANT = 5, 3
 FLOOR = "a photo of a scene"
@@ -55,6 +58,41 @@ def generate(retrieved: DataFrame, backend: str = "retrieval", model: Callable |
     return asked.withColumn("generated_caption", without_prompt(model("caption", "prompt"), F.col("prompt"))).drop("prompt")
 
 
+def timed(variants: DataFrame, index: DataFrame, mode: str = "medoid", images: DataFrame | None = None, vectors: DataFrame | None = None) -> tuple[DataFrame, dict[str, float]]:
+    """((query_id, caption, distance, mode, clip_score), seconds of each stage): each stage is written before the next
+    begins, so its wall time is its own. The score is of the caption's vector (``vectors``: document, embedding)
+    with that of variant 0, the whole image; null without vectors, and 0 for an empty caption."""
+    took, clock = {}, time.perf_counter
+    began = clock()
+    asked = written(variants, "variants")
+    took["variants"], began = clock() - began, clock()
+    pool = written(variant_pool(asked, index, 1 if mode == "top1" else PER_VARIANT, images=images), "pool")
+    took["search"], began = clock() - began, clock()
+    chosen = written(selection.choose(pool, mode, vectors=vectors), "chosen")
+    took["choose"], began = clock() - began, clock()
+    if vectors is None:
+        out = chosen.withColumn("clip_score", F.when(F.coalesce("caption", F.lit("")) == "", 0.0))
+    else:
+        said = vectors.select(F.col("document").alias("caption"), F.col("embedding").alias("__t")).dropDuplicates(["caption"])
+        whole = asked.where("variant_no = 0").select("query_id", F.col("embedding").alias("__i"))
+        cosine = V.dot(V.normalise(F.col("__t")), V.normalise(F.col("__i")))
+        out = chosen.join(whole, "query_id", "left").join(said, "caption", "left").withColumn("clip_score", V.clip_score(cosine, F.col("caption"))).drop("__t", "__i")
+    out = written(out.select("query_id", "caption", "distance", "mode", "clip_score"), "scored")
+    took["score"] = clock() - began
+    return out, took
+
+
+def query_latency(queries: DataFrame, index: DataFrame, images: DataFrame, k: int = TOP_K) -> DataFrame:
+    """(query_id, ms): wall time of each query asked alone, as a user would; for a few queries, as each is a job."""
+    rows = []
+    for r in queries.select("query_id", "embedding").toLocalIterator():
+        one = queries.sparkSession.createDataFrame([r], queries.select("query_id", "embedding").schema)
+        began = time.perf_counter()
+        knn.nearest_captions(one, index, k, images=images).write.format("noop").mode("overwrite").save()
+        rows.append((r["query_id"], (time.perf_counter() - began) * 1000))
+    return queries.sparkSession.createDataFrame(rows, "query_id bigint, ms double")
+
+
 #: Kinds of variants that each configuration of an ablation asks with, beside the original.
 CROPS = {"none": (), "segmentation": ("segment",), "object-detection": ("object",), "both": ("segment", "object"), "random": ("random",)}
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanternfish.functions import text as T
+from lanternfish.functions import vector as V
 
 MODES = ("top1", "medoid", "aggregated")
 
@@ -35,15 +36,23 @@ def token_weights(pool: DataFrame) -> DataFrame:
     return counts.select("query_id", "pos", "token", (F.col("n") / size).alias("weight"))
 
 
-def select_medoid(pool: DataFrame) -> DataFrame:
+def vector_weights(pool: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(query_id, pos, token, weight) of the texts' own ``vectors`` (document, embedding; see ``models.encoded``): a
+    token is a place in the unit vector, so what :func:`token_weights` is for words this is for an encoder."""
+    unit = vectors.select("document", V.normalise(F.col("embedding")).alias("__v"))
+    met = first_places(pool).join(unit, "document")
+    return met.select("query_id", "pos", F.posexplode("__v").alias("token", "weight"))
+
+
+def select_medoid(pool: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
     """(query_id, caption, distance, mean_similarity): the distinct document most like the others of its pool.
 
-    Similarity is the cosine of bags of words. The mean over the others needs no pairs: it is the
+    Similarity is the cosine of the documents' ``vectors`` (document, embedding), or of bags of words without. The mean over the others needs no pairs: it is the
     document's product with the pool's summed vector, less its own. Ties go to the first place; a single
     document is itself, with mean 0. The distance is that of the document's first place in the pool.
     """
     docs = first_places(pool)
-    w = token_weights(pool)
+    w = token_weights(pool) if vectors is None else vector_weights(pool, vectors)
     total = F.sum("weight").over(Window.partitionBy("query_id", "token"))
     dots = w.withColumn("total", total).groupBy("query_id", "pos").agg(F.sum(F.col("weight") * (F.col("total") - F.col("weight"))).alias("others"))
     n = F.count(F.lit(1)).over(Window.partitionBy("query_id"))
@@ -73,14 +82,14 @@ def aggregate_captions(blocks: DataFrame, most: int = 500, least: int = 4) -> Da
     return blocks.select("query_id").distinct().join(got, "query_id", "left").select("query_id", F.coalesce("caption", F.lit("")).alias("caption"))
 
 
-def choose(pool: DataFrame, mode: str = "medoid", aggregate: bool = True) -> DataFrame:
+def choose(pool: DataFrame, mode: str = "medoid", aggregate: bool = True, vectors: DataFrame | None = None) -> DataFrame:
     """(query_id, caption, distance, mode); an unknown mode is an error."""
     if mode not in MODES:
         raise ValueError(f"unknown selection mode {mode!r}; one of {MODES}")
     if mode == "top1":
         got = select_top1(pool)
     elif mode == "medoid":
-        got = select_medoid(pool).drop("mean_similarity")
+        got = select_medoid(pool, vectors).drop("mean_similarity")
     else:
         ranked = pool.withColumn("pos", F.struct("variant_no", "rank"))
         if aggregate:

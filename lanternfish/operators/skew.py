@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def join_hot(rows: DataFrame, facts: DataFrame, key: str, spread: Column, salts: int = 16, how: str = "left") -> DataFrame:
+def join_hot(rows: DataFrame, facts: DataFrame, key: str | list[str], spread: Column, salts: int = 16, how: str = "left") -> DataFrame:
     """Equi-join of ``rows`` to ``facts`` (one row a key) where a few keys may hold a third of the rows.
 
     Each key of ``rows`` is dealt over ``salts`` partitions by the hash of ``spread``; ``facts`` is
@@ -14,4 +14,4 @@ def join_hot(rows: DataFrame, facts: DataFrame, key: str, spread: Column, salts:
     """
     left = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     right = facts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [key, "__salt"], how).drop("__salt")
+    return left.join(right, [*([key] if isinstance(key, str) else key), "__salt"], how).drop("__salt")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanternfish.functions.models import encoded
+from lanternfish.functions.text import EMPTY_MESSAGE
 from lanternfish.operators import retrieve
 from lanternfish.sources import index as I
 
@@ -65,4 +66,4 @@ class Pipeline:
         """The one image at ``path``; an empty index gives an empty caption."""
         file = self.spark.read.format("binaryFile").load(path).select(F.lit(0).cast("bigint").alias("query_id"), "content")
         got = self.caption(file, top_k, advanced).first()
-        return got.asDict() if got else {"query_id": 0, "caption": "", "distance": None, "backend": self.settings.backend, "generated_caption": ""}
+        return got.asDict() if got else {"query_id": 0, "caption": "", "distance": None, "backend": self.settings.backend, "generated_caption": "", "message": EMPTY_MESSAGE}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lanternfish.functions import text as T
 from lanternfish.functions import vector as V
-from lanternfish.operators import diagnostics, geometry, graph, ingest, knn, metrics, quantize, retrieve, selection
+from lanternfish.operators import approximate, diagnostics, geometry, graph, ingest, knn, metrics, quantize, retrieve, selection
 from lanternfish.plans.oracles import ORACLE_SQL
 from lanternfish.sources import index as I
 from lanternfish.sources.scratch import written
@@ -321,9 +321,73 @@ def clip_score(spark, folder):
     return top.select("query_id", r(V.clip_score(1.0 - F.col("distance") / 2, F.col("document"))).alias("clip_score"))
 
 
+def said(text):
+    """The vector of a text's words, in place of a text encoder's."""
+    return V.hashed_words(T.tokens(text), 64)
+
+
 @query
 def generic_floor(spark, folder):
-    return asked(spark, folder).select("query_id", F.lit(retrieve.FLOOR).alias("caption"), r(V.clip_score(V.dot(V.normalise(F.col("embedding")), V.normalise(F.col("embedding"))), F.lit(retrieve.FLOOR))).alias("ceiling"))
+    """What one caption for all images scores against each of them."""
+    floor = spark.range(1).select(F.lit(retrieve.FLOOR).alias("caption"), V.normalise(said(F.lit(retrieve.FLOOR))).alias("floor"))
+    scored = V.clip_score(V.dot(V.normalise(F.col("embedding")), F.col("floor")), F.col("caption"))
+    return _images(spark, folder).join(F.broadcast(floor)).select("image_id", "caption", r(scored).alias("clip_score"))  # one row
+
+
+@query
+def medoid_vectors(spark, folder):
+    """The medoid by vectors of the candidates' texts."""
+    p = pool(spark, folder)
+    got = selection.select_medoid(p, p.select("document").distinct().withColumn("embedding", said(F.col("document"))))
+    return got.select("query_id", "caption", r("distance").alias("distance"), r("mean_similarity").alias("mean_similarity"))
+
+
+@query
+def probe_distances(spark, folder):
+    got = diagnostics.probe(pool(spark, folder))
+    return got.select("query_id", r("top1_distance").alias("top1_distance"), "top1_caption", r("mean_topk_distance").alias("mean_topk_distance"))
+
+
+@query
+def mean_siblings(spark, folder):
+    return diagnostics.mean_siblings(caption_index(spark, folder), asked(spark, folder)).select("queries", r("mean_excluded").alias("mean_excluded"))
+
+
+@query
+def median_first_hit(spark, folder):
+    return diagnostics.median_first_hit(first_hit_rank(spark, folder))
+
+
+@query
+def further_twins(spark, folder):
+    vectors = augmented(spark, folder)
+    return graph.further_twins(vectors.where("image_id % 50 = 0"), graph.clusters(knn.similar_links(vectors, TWIN)))
+
+
+@query
+def tie_ranks(spark, folder):
+    """How many of the ten nearest images are as near as the first."""
+    return diagnostics.tie_ranks(knn.top_images(asked(spark, folder), _images(spark, folder), 10, True))
+
+
+@query
+def approximate_recall(spark, folder):
+    """Whether a search of 24 of 32 lists finds nine of the ten nearest images, of all queries."""
+    i, q = _images(spark, folder), asked(spark, folder)
+    found = approximate.search(q, approximate.index_of(i, 32), 10, 24, True)
+    got = approximate.recall(found, knn.top_images(q, i, 10, True))
+    return got.select("queries", (F.col("recall") >= 0.9).alias("reached"))
+
+
+@query
+def scrape_ingest(spark, folder):
+    """Pages as a service's files: the first of each url that can be a photograph, numbered by category and place."""
+    p = _titles(spark, folder).withColumn("place", F.col("page_id"))
+    listed = p.select((F.col("page_id") % 7).alias("category"), F.concat(F.lit("kind "), (F.col("page_id") % 7).cast("string")).alias("phrase"), "place", F.concat(F.lit("file "), F.col("page_id").cast("string")).alias("title"))
+    told = p.select(F.concat(F.lit("file "), F.col("page_id").cast("string")).alias("title"), F.when(F.col("page_id") % 5 == 0, "image/gif").otherwise("image/jpeg").alias("mime"),
+                    (F.col("page_id") % 900).cast("int").alias("width"), F.lit(300).alias("height"), F.concat(F.lit("u"), (F.col("page_id") % 101).cast("string")).alias("url"), F.col("title").alias("description"),
+                    *[F.lit(None).cast("string").alias(c) for c in ("artist", "licence", "licence_url", "page_url")])
+    return ingest.scraped(listed, told, ["category", "place"], 100_000_000, 60)[0]
 
 
 @query

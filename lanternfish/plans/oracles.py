@@ -173,7 +173,6 @@ select queries, shared, round(shared::double / (select count(*) from a), 6) as o
     "cider": f"{POOL}, {MEDOID}, {cider('medoid', 'm')} select item, round(cider, 6) as cider from m_item",
     "metric_delta": f"{POOL}, {MEDOID}, {TOP1}, {cider('medoid', 'm')}, {cider('top1', 't')}, z as (select (select avg(cider) from m_item) as a, (select avg(cider) from t_item) as b) select round(a, 6) as medoid, round(b, 6) as top1, round(a - b, 6) as delta from z",
     "clip_score": f"with {INDEX}, {found(1, OTHERS)} select query_id, round(case when document = '' then 0 else 2.5 * greatest(1 - distance / 2, 0) end, 6) as clip_score from found",
-    "generic_floor": f"with {INDEX} select query_id, 'a photo of a scene' as caption, 2.5::double as ceiling from q",
     "latency_percentiles": "with s as (select event_type, value, row_number() over (partition by event_type order by value) - 1 as i, count(*) over (partition by event_type) as n from events where value is not null) select event_type, p, value as latency from s cross join (select unnest([0.5::double, 0.95::double, 0.99::double]) as p) where i = least(floor(n * p)::bigint, n - 1)",
     "stage_latency": "select event_type, round(avg(value), 2) as mean_ms, round(median(value), 2) as p50_ms, count(value) as calls from events group by 1",
     "clean_description": f"with {TITLES} select page_id, {described('html')} as description, {described('title')} as title_description from titles",
@@ -227,3 +226,33 @@ flat as (select query_id, variant_no * 1000 + rank as pos, document from pool),
 u as (select 'medoid' as mode, query_id, caption, distance from medoid union all select 'top1', query_id, caption, distance from top1 union all select 'aggregated', query_id, caption, null from whole)
 select mode, crops, count(*) as n, round(avg(distance), 6) as mean_distance, round(avg(length(caption)), 6) as mean_chars from u join grid on c = query_id % 5 group by 1, 2""",
 }
+
+
+def hashed(c: str) -> str:
+    """A unit vector of the words of a text: each adds one or takes it off at a place that its MD5 names."""
+    marks = f"list_transform({tokens(c)}, lambda w: {{'at': ('0x' || md5(w)[1:8])::bigint % 64, 'sign': case when md5(w)[9] < '8' then 1.0::double else -1.0::double end}})"
+    return f"list_transform(range(0, 64), lambda d: coalesce(list_sum(list_transform(list_filter({marks}, lambda x: x.at = d), lambda x: x.sign)), 0.0::double))"
+
+
+UNIT = "list_transform(v, lambda x: x / greatest(sqrt(list_dot_product(v, v)), 1e-8))"
+ORACLE_SQL |= {
+    "generic_floor": f"with f as (select {UNIT} as f from (select {hashed("'a photo of a scene'")} as v)), e as (select vec_id, {UNIT} as u from (select vec_id, embedding::double[] as v from embeddings)) select vec_id as image_id, 'a photo of a scene' as caption, round(2.5 * greatest(list_dot_product(u, f), 0.0), 6) as clip_score from e cross join f",
+    "medoid_vectors": f"""{POOL}, places as (select query_id, document, distance, row_number() over (partition by query_id order by variant_no, rank) as pos
+  from (select *, row_number() over (partition by query_id, document order by variant_no, rank) as k from pool) where k = 1),
+texts as (select *, {UNIT} as u from (select *, {hashed("document")} as v from places)),
+sums as (select a.query_id, a.pos, sum(list_dot_product(a.u, b.u)) as others from texts a join texts b on a.query_id = b.query_id and a.pos <> b.pos group by a.query_id, a.pos),
+means as (select p.*, round(coalesce(coalesce(others, 0) / nullif(count(*) over (partition by p.query_id) - 1, 0), 0), 9) as mean from places p left join sums s on s.query_id = p.query_id and s.pos = p.pos)
+select query_id, document as caption, round(distance, 6) as distance, round(mean, 6) as mean_similarity from (select *, row_number() over (partition by query_id order by mean desc, pos) as k from means) where k = 1""",
+    "probe_distances": f"{POOL} select query_id, round(min(distance) filter (where rank = 1), 6) as top1_distance, max(document) filter (where rank = 1) as top1_caption, round(avg(distance), 6) as mean_topk_distance from pool group by query_id",
+    "mean_siblings": f"with {INDEX}, s as (select query_id, (select count(*) from caption_index where image_id = query_id) as n from q) select count(*) as queries, round(avg(n), 6) as mean_excluded from s",
+    "median_first_hit": f"with {INDEX}, {found(10)}, h as (select query_id, min(rank) as f from found where image_id = query_id group by 1) select count(*) as found, median(f)::double as median from h",
+    "further_twins": f"""with recursive {INDEX}, {AUG}, {CLUSTERS}, s as (select image_id from aug where image_id % 50 = 0),
+t as (select image_id from clusters where cluster in (select cluster from clusters where image_id in (select image_id from s)))
+select (select count(*) from s) as sampled, (select count(*) from t) as twins, (select count(*) from t where image_id not in (select image_id from s)) as added""",
+    "tie_ranks": f"with {TEN}, r as (select query_id, image_id, round(list_dot_product(qn.v, un.v), 9) as c, row_number() over (partition by query_id order by round(list_dot_product(qn.v, un.v), 9) desc, image_id) as rank from qn join un on query_id <> image_id), t as (select * from r where rank <= 10) select query_id, count(*) as ties, max(image_id) as other from t where c = (select max(c) from t x where x.query_id = t.query_id) group by 1",
+    "approximate_recall": "select count(*) as queries, true as reached from embeddings where vec_id % 50 = 0",
+    "scrape_ingest": f"""with {TITLES}, p as (select page_id, page_id % 7 as category, {described('title')} as t from titles where page_id % 5 <> 0 and page_id % 900 >= 200),
+f as (select * from (select *, row_number() over (partition by page_id % 101 order by category, page_id) as k from p) where k = 1),
+n as (select *, row_number() over (order by category, page_id) - 1 as i from f)
+select 100000000 + i as image_id, 100000000 + i as id, case when t is null or regexp_matches(t, '{BLOCKED}') then 'A photograph of kind ' || category || '.' else t end as caption from n where i < 60""",
+}

@@ -43,10 +43,35 @@ def read_images(spark: SparkSession, folder: str, every_kind: bool = False) -> D
     files = spark.read.format("binaryFile").load(folder)
     name = F.element_at(F.split("path", "/"), -1)
     if every_kind:
-        return files.where(F.lower(name).rlike(r"\.(jpg|jpeg|png)$")).select("path", "content").orderBy("path")
+        return files.where(F.lower(name).rlike(r"\.(jpg|jpeg|png)$")).select("path", "content")  # whoever needs an order sorts paths
     return files.where(name.rlike(r"^\d+\.jpg$")).select(F.regexp_extract(name, r"^(\d+)", 1).cast("bigint").alias("image_id"), "path", "content")
 
 
+def read_templates(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """(label, caption) of a JSON object of label names to captions; ``names`` are the labels' names in the order of their
+    numbers, and one without a caption is an error."""
+    text = spark.read.text(path, wholetext=True)
+    told = text.select(F.explode(F.from_json("value", "map<string,string>")).alias("name", "caption"))
+    labels = spark.createDataFrame(list(enumerate(names)), "label int, name string")
+    got = labels.join(told, "name", "left").select("label", "name", "caption")
+    if missing := [r["name"] for r in got.where("caption is null").orderBy("label").take(20)]:
+        raise ValueError(f"no caption for the labels {missing}")
+    return got.select("label", "caption")
+
+
+def read_results(spark: SparkSession, path: str, groups: dict[str, str]) -> DataFrame:
+    """(sample, image_id, top1_distance, top1_caption, mean_topk_distance) of an earlier run's report, a JSON object whose
+    fields ``groups`` names hold records of the files asked: the same sample can then be asked again."""
+    record = "array<struct<file:string,top1_distance:double,top1_caption:string,mean_topk_distance:double>>"
+    raw = spark.read.schema(", ".join(f"`{c}` {record}" for c in groups.values())).option("multiLine", True).json(path)
+    out = None
+    for name, column in groups.items():
+        part = raw.select(F.lit(name).alias("sample"), F.explode(F.col(f"`{column}`")).alias("r"))
+        part = part.select("sample", F.regexp_extract("r.file", r"^(\d+)", 1).cast("bigint").alias("image_id"), "r.top1_distance", "r.top1_caption", "r.mean_topk_distance")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def read_label_shards(spark: SparkSession, *paths: str) -> DataFrame:
     """Rows of Parquet shards with their label, whichever of two names it has."""
     df = spark.read.parquet(*paths)
@@ -96,6 +121,19 @@ def write_report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_nested(df: DataFrame, path: str, **facts: DataFrame) -> None:
+    """A report of one JSON object: the rows of ``df``, few enough for a report, as ``records``, and each one-row table of ``facts`` as a field."""
+    whole = df.agg(F.collect_list(F.struct("*")).alias("records"))
+    for name, one in facts.items():
+        whole = whole.join(F.broadcast(one.select(F.struct("*").alias(name))))  # one row each
+    whole.write.mode("overwrite").json(path)
+
+
+def write_attributions(notes: DataFrame, path: str) -> None:
+    """A JSON line for each image that was taken; nulls are written, as every line has the same fields."""
+    notes.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
 def markdown(rows: list[dict]) -> str:
     """A table of a few result rows, for a report."""
     if not rows:
