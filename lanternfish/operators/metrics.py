@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -72,12 +73,17 @@ def cider(candidates: DataFrame, references: DataFrame, most: int = 4, sigma: fl
 
 
 def lcs(a: list[str], b: list[str]) -> int:
-    row = [0] * (len(b) + 1)
-    for x in a:
-        before = 0
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+    """Length of the longest common subsequence. One integer holds a bit for each word of ``b``, cleared where the
+    length grows by one, so a word of ``a`` costs a few operations on that integer and not a row of a table."""
+    at: dict[str, int] = {}
+    for j, w in enumerate(b):
+        at[w] = at.get(w, 0) | 1 << j
+    every = (1 << len(b)) - 1
+    row = every
+    for w in a:
+        if here := row & at.get(w, 0):
+            row = (row + here | row - here) & every
+    return len(b) - row.bit_count()
 
 
 def rouge_l_of(candidate: list[str], references: list[list[str]], beta: float = 1.2) -> float:
@@ -95,23 +101,28 @@ def _stem(word: str) -> str:
     return word
 
 
+def _take_nearest(places: list[int], at: int) -> int:
+    """Takes from sorted ``places`` the one nearest to ``at``, of two equally near the lower."""
+    k = bisect_left(places, at)
+    if k == len(places) or k and at - places[k - 1] <= places[k] - at:
+        k -= 1
+    return places.pop(k)
+
+
 def meteor_exact_of(candidate: list[str], references: list[list[str]]) -> float:
     """Exact and light-stem alignment, recall-weighted mean, fragmentation penalty; the best reference."""
     best = 0.0
     for ref in references:
-        free: dict[str, list[int]] = {}
-        for j, w in enumerate(ref):
-            free.setdefault(w, []).append(j)
         match: dict[int, int] = {}
         for stem in (lambda w: w, _stem):
+            taken = set(match.values())
             by: dict[str, list[int]] = {}
             for j, w in enumerate(ref):
-                if j not in match.values():
+                if j not in taken:
                     by.setdefault(stem(w), []).append(j)
             for i, w in enumerate(candidate):
                 if i not in match and (places := by.get(stem(w))):
-                    match[i] = min(places, key=lambda j: (abs(j - (match.get(i - 1, i - 1) + 1)), j))
-                    places.remove(match[i])
+                    match[i] = _take_nearest(places, match.get(i - 1, i - 1) + 1)
         m = len(match)
         if not m:
             continue

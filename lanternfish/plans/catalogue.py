@@ -30,15 +30,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def caption_index(spark: SparkSession, folder: str) -> DataFrame:
-    """Captions are first sentences of documents, dealt to images by id; images of labels 7 to 9 are augmented
-    and have one row, whose two numbers are the same."""
+    """Every document with an id as a caption, its whole text, dealt to images by id. Images of labels 7 to 9 are augmented: the two
+    numbers of their first row are the same. Further rows of any image are numbered by their document."""
     e, d = table(spark, folder, "embeddings"), table(spark, folder, "documents")
-    n = e.count()
-    caption = F.trim(F.substring(F.split_part(F.split_part("text", F.lit("\n"), F.lit(1)), F.lit(". "), F.lit(1)), 1, 200))
-    rows = d.select("doc_id", caption.alias("document"), F.pmod("doc_id", F.lit(n)).alias("vec_id")).join(e, "vec_id")
-    w = Window.partitionBy("vec_id").orderBy("doc_id")
-    rows = rows.withColumn("rn", F.row_number().over(w)).where("label < 7 or rn = 1")
-    ann = F.when(F.col("label") >= 7, F.col("vec_id")).otherwise(1000000 + F.col("doc_id"))
+    image = F.pmod("doc_id", F.lit(e.count())).alias("vec_id")
+    first = d.select("doc_id", image).groupBy("vec_id").agg(F.min("doc_id").alias("first"))
+    rows = d.select("doc_id", F.col("text").alias("document"), image).join(e.join(first, "vec_id"), "vec_id")
+    ann = F.when((F.col("label") >= 7) & (F.col("doc_id") == F.col("first")), F.col("vec_id")).otherwise(1000000 + F.col("doc_id"))
     return rows.select(I.compose_id(F.col("vec_id"), ann).alias("id"), F.col("vec_id").alias("image_id"), ann.alias("ann_id"), (F.col("label") >= 7).alias("is_augmented"), "document", "embedding")
 
 

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 INDEX = """n as (select count(*) as k from embeddings),
-j as (select e.vec_id as image_id, e.label, e.embedding, d.doc_id, trim(substring(split_part(split_part(d.text, chr(10), 1), '. ', 1), 1, 200)) as document,
-  row_number() over (partition by e.vec_id order by d.doc_id) as rn from documents d cross join n join embeddings e on e.vec_id = d.doc_id % n.k),
-caption_index as (select concat(image_id::varchar, '_', (case when label >= 7 then image_id else 1000000 + doc_id end)::varchar) as id, image_id,
-  case when label >= 7 then image_id else 1000000 + doc_id end as ann_id, label >= 7 as is_augmented, document, embedding from j where label < 7 or rn = 1),
+j as (select e.vec_id as image_id, e.label, e.embedding, d.doc_id, d.text as document, row_number() over (partition by e.vec_id order by d.doc_id) as rn
+  from documents d cross join n join embeddings e on e.vec_id = d.doc_id % n.k),
+dealt as (select *, case when label >= 7 and rn = 1 then image_id else 1000000 + doc_id end as ann_id from j),
+caption_index as (select concat(image_id::varchar, '_', ann_id::varchar) as id, image_id, ann_id, label >= 7 as is_augmented, document, embedding from dealt),
 q as (select vec_id as query_id, embedding::double[] as v from embeddings where vec_id % 50 = 0)"""
 
 
