@@ -252,16 +252,17 @@ def images_of(index: DataFrame) -> DataFrame:
 
 def nearest_captions(queries: DataFrame, index: DataFrame, k: int, exclude_self: bool = False, images: DataFrame | None = None,
                      keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
-    """(keys, rank, id, image_id, ann_id, document, distance): the ``k`` nearest rows of ``index``.
+    """(keys, rank, id, image_id, ann_id, document, distance): the ``k`` nearest rows of ``index``, whose ids are unique.
 
     Images are searched and captions joined afterwards: ``k`` images have ``k`` rows or more, and of each image
-    only the first ``k`` rows can be among them. Ties go by image_id and ann_id. ``exclude_self`` leaves out
+    only the first ``k`` rows can be among them. Rows are ranked by their numbers alone; texts, which may be long,
+    meet what was found by id and take no part before. Ties go by image_id and ann_id. ``exclude_self`` leaves out
     every row of the query's own image.
     """
     found = top_images(queries, images if images is not None else images_of(index), k, exclude_self, keys=keys)
     first = Window.partitionBy("image_id").orderBy("ann_id")
-    captions = index.select("id", "image_id", "ann_id", "document").withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= k).drop("__n")
+    rows = index.select("id", "image_id", "ann_id").withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= k).drop("__n")
     w = Window.partitionBy(*keys).orderBy(F.desc("cosine"), "image_id", "ann_id")
-    rows = found.drop("rank").join(captions, "image_id")
-    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(
+    near = found.drop("rank").join(rows, "image_id").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return near.join(index.select("id", "document"), "id").select(
         *keys, "rank", "id", "image_id", "ann_id", "document", (2.0 * (1.0 - F.col("cosine"))).alias("distance"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lanternfish.functions.text import tokens
 from lanternfish.operators.skew import join_hot
+from lanternfish.sources.scratch import written
 
 
 def ngrams(words: Column, n: int) -> Column:
@@ -28,11 +29,13 @@ def _counted(df: DataFrame, keys: list[str], most: int) -> DataFrame:
 
 
 def _pair(candidates: DataFrame, references: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Tokens of candidates and references (numbered) of the items that have both."""
-    cand = candidates.select("item", tokens(F.col("candidate")).alias("words"))
-    ref = references.join(candidates.select("item"), "item", "left_semi").select("item", "reference")
+    """Tokens of candidates and references (numbered) of the items that have both, each written once: what makes
+    candidates is a search, and the scores read both several times."""
+    made = written(candidates.select("item", tokens(F.col("candidate")).alias("words")), "candidates")
+    ref = references.join(made.select("item"), "item", "left_semi").select("item", "reference")
     ref = ref.withColumn("r", F.row_number().over(Window.partitionBy("item").orderBy("reference"))).select("item", "r", tokens(F.col("reference")).alias("words"))
-    return cand.join(ref.select("item"), "item", "left_semi"), ref
+    ref = written(ref, "references")
+    return made.join(ref.select("item"), "item", "left_semi"), ref
 
 
 def bleu(candidates: DataFrame, references: DataFrame, most: int = 4) -> DataFrame:
@@ -54,11 +57,12 @@ def cider(candidates: DataFrame, references: DataFrame, most: int = 4, sigma: fl
     """(item, cider): CIDEr-D, with document frequencies over the items scored."""
     cand, ref = _pair(candidates, references)
     items = ref.agg(F.countDistinct("item").alias("items"))
-    rc, cc = _counted(ref, ["item", "r"], most), _counted(cand, ["item"], most)
+    rc, cc = written(_counted(ref, ["item", "r"], most), "grams"), _counted(cand, ["item"], most)
     df = rc.groupBy("n", "gram").agg(F.countDistinct("item").alias("df"))
     idf = F.log(F.col("items").cast("double")) - F.log(F.greatest(F.coalesce("df", F.lit(0)), F.lit(1)).cast("double"))
-    weigh = lambda x: join_hot(x, df, ["n", "gram"], F.col("item")).join(F.broadcast(items)).withColumn("w", F.col("c") * idf)
-    rw, cw = weigh(rc), weigh(cc)
+    # a text has a gram once, so a gram is a small share of the rows, and few salts will do
+    weigh = lambda x: join_hot(x, df, ["n", "gram"], F.col("item"), salts=4).join(F.broadcast(items)).withColumn("w", F.col("c") * idf)
+    rw, cw = written(weigh(rc), "weights"), weigh(cc)
     square = F.sqrt(F.sum(F.col("w") * F.col("w")))
     rn, cn = rw.groupBy("item", "r", "n").agg(square.alias("rn")), cw.groupBy("item", "n").agg(square.alias("cn"))
     both = rw.select("item", "r", "n", "gram", F.col("w").alias("rw")).join(cw.select("item", "n", "gram", F.col("w").alias("cw")), ["item", "n", "gram"])

@@ -46,7 +46,8 @@ def asked(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pool(spark: SparkSession, folder: str, k: int = 5) -> DataFrame:
-    return retrieve.pool_of(asked(spark, folder), caption_index(spark, folder), k, exclude_self=True)
+    """The candidates of every query, written once: selections read them several times."""
+    return written(retrieve.pool_of(asked(spark, folder), caption_index(spark, folder), k, exclude_self=True), "pool")
 
 
 def r(c, n: int = 6):
@@ -324,6 +325,18 @@ def said(text):
     return V.hashed_words(T.tokens(text), 64)
 
 
+def said_by_each(texts, dims: int = 64):
+    """(document, embedding) of distinct ``texts`` (document), as :func:`said` makes it: words are counted as rows, so a
+    long text costs its words and not its words times ``dims``."""
+    keyed = texts.distinct().withColumn("__key", F.sha2("document", 256))
+    words = keyed.select("__key", F.explode(T.tokens(F.col("document"))).alias("word")).groupBy("__key", "word").agg(F.count(F.lit(1)).alias("n"))
+    h = F.md5("word")
+    marks = words.select("__key", F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint"), F.lit(dims)).cast("int").alias("at"), F.when(F.substring(h, 9, 1) < "8", F.col("n")).otherwise(-F.col("n")).alias("n"))
+    places = marks.groupBy("__key", "at").agg(F.sum("n").cast("double").alias("v")).groupBy("__key").agg(F.map_from_entries(F.collect_list(F.struct("at", "v"))).alias("m"))  # dims entries at most
+    vector = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
+    return keyed.join(places, "__key", "left").select("document", vector.alias("embedding"))
+
+
 @query
 def generic_floor(spark, folder):
     """What one caption for all images scores against each of them."""
@@ -336,7 +349,7 @@ def generic_floor(spark, folder):
 def medoid_vectors(spark, folder):
     """The medoid by vectors of the candidates' texts."""
     p = pool(spark, folder)
-    got = selection.select_medoid(p, p.select("document").distinct().withColumn("embedding", said(F.col("document"))))
+    got = selection.select_medoid(p, said_by_each(p.select("document")))
     return got.select("query_id", "caption", r("distance").alias("distance"), r("mean_similarity").alias("mean_similarity"))
 
 
