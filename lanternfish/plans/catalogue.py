@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lanternfish.functions import text as T
 from lanternfish.functions import vector as V
-from lanternfish.operators import approximate, diagnostics, geometry, graph, ingest, knn, metrics, quantize, retrieve, selection
+from lanternfish.operators import approximate, diagnostics, geometry, graph, ingest, knn, metrics, near_text, quantize, retrieve, selection
 from lanternfish.plans.oracles import ORACLE_SQL
 from lanternfish.sources import index as I
 from lanternfish.sources.scratch import written
@@ -649,3 +649,9 @@ def ablation_grid(spark, folder):
     p = retrieve.variant_pool(variants(spark, folder), caption_index(spark, folder)).withColumn("kind", F.explode(kinds))
     got = retrieve.ablation(p)
     return got.groupBy("crops", "mode").agg(F.count(F.lit(1)).alias("n"), r(F.avg("distance")).alias("mean_distance"), r(F.avg(F.char_length("caption"))).alias("mean_chars"))
+
+
+@query
+def text_near_dups(spark, folder):
+    """All documents, whole texts: those with the same word counts, and those whose cosine is 0.95 or more."""
+    return near_text.near_texts(table(spark, folder, "documents"))

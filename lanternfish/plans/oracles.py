@@ -256,3 +256,12 @@ f as (select * from (select *, row_number() over (partition by page_id % 101 ord
 n as (select *, row_number() over (order by category, page_id) - 1 as i from f)
 select 100000000 + i as image_id, 100000000 + i as id, case when t is null or regexp_matches(t, '{BLOCKED}') then 'A photograph of kind ' || category || '.' else t end as caption from n where i < 60""",
 }
+
+ORACLE_SQL["text_near_dups"] = f"""with recursive w as (select doc_id, token, count(*) as n from (select doc_id, unnest({tokens('text')}) as token from documents) group by all),
+t as (select doc_id, sum(n * n)::double as total, string_agg(token || ' ' || n, ' ' order by token) as bag from w group by doc_id),
+c as (select d.doc_id, coalesce(min(d.doc_id) over (partition by bag), d.doc_id) as least, bag, total from documents d left join t using (doc_id)),
+p as (select a.doc_id as a, b.doc_id as b, sum(a.n * b.n)::double as dot from w a join w b on a.token = b.token and a.doc_id <> b.doc_id group by 1, 2),
+l as (select a, b from p join t x on x.doc_id = a join t y on y.doc_id = b where round(dot / sqrt(x.total * y.total), 9) >= 0.95),
+reach(a, b) as (select a, a from l union select r.a, l.b from reach r join l on l.a = r.b),
+f as (select a, min(b) as root from reach group by a), k as (select a, count(*) as links from l group by a)
+select doc_id, case when bag is null then doc_id else least end as class_id, coalesce(root, doc_id) as cluster_id, coalesce(links, 0) as links from c left join f on f.a = doc_id left join k on k.a = doc_id"""
