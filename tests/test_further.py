@@ -1,12 +1,14 @@
 """Ingest, reports, approximate search, timed retrieval, and metrics against plain versions."""
 
 import json
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lanternfish.operators import approximate, diagnostics, geometry, ingest, knn, metrics, quantize, retrieve, selection
+from lanternfish.operators import approximate, diagnostics, geometry, ingest, knn, metrics, near_text, quantize, retrieve, selection
 from lanternfish.sources import index as I
 
 
@@ -134,3 +136,41 @@ def test_scores_of_many_references(spark):
         got = {r.item: r[name] for r in getattr(metrics, name)(c, ref).collect()}
         want = {i: score(words(t), [words(x) for j, x in refs if j == i]) for i, t in ((1, "a b c d"), (2, "x"))}
         assert got == pytest.approx(want)
+
+
+def test_scores_of_long_texts():
+    """Twenty thousand words a side, against plain forms on what those can do."""
+    rng = np.random.default_rng(6)
+    for size in (0, 1, 7, 60):
+        a, b = (list(rng.choice(list("abcdefgh"), size)) for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = _next_row(row, x, b)
+        assert metrics.lcs(a, b) == row[-1]
+    long = [f"w{i % 7001}" for i in range(20_000)]
+    assert metrics.lcs(long, long) == 20_000 and metrics.lcs(long, long[:5000]) == 5000
+    assert metrics.meteor_exact_of(long, [long]) == pytest.approx(1 - 0.5 / 20_000**3)
+
+
+def _next_row(row, x, b):
+    new = [0]
+    for j, y in enumerate(b):
+        new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+    return new
+
+
+def test_near_texts_against_all_pairs(spark):
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.choice(words, int(rng.integers(1, 30)))) for _ in range(60)]
+    texts += [t + " w1" for t in texts[:20]] + [" ".join(reversed(t.split())) for t in texts[:10]] + [None, "", " .,", "same", "same same", "Same!"] + ["copy of a text"] * 30
+    got = {r.doc_id: r[1:] for r in near_text.near_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    bags = [Counter(re.findall(r"\w+", (t or "").lower())) for t in texts]
+    near = lambda x, y: bool(x and y) and round(sum(n * y[w] for w, n in x.items()) / np.sqrt(float(sum(n * n for n in x.values()) * sum(n * n for n in y.values()))), 9) >= 0.95
+    linked = [[j for j in range(len(texts)) if j != i and near(bags[i], bags[j])] for i in range(len(texts))]
+    root = list(range(len(texts)))
+    while (new := [min([root[i], *(root[j] for j in linked[i])]) for i in range(len(texts))]) != root:
+        root = new
+    for i in range(len(texts)):
+        least = next(j for j in range(len(texts)) if bags[j] == bags[i]) if bags[i] else i
+        assert got[i] == (least, root[i], len(linked[i]))
