@@ -11,7 +11,7 @@ from pyspark.sql.types import AtomicType, VariantType
 from lanternfish.operators.skew import join_hot
 from lanternfish.sources.scratch import CHECKPOINT, delete_path, forget, new_path, shared_dir, written
 
-__all__ = ["CHECKPOINT", "apart", "delete_path", "forget", "join_hot", "new_path", "one_of_each", "place_of", "replace_columns", "shared_dir", "written"]
+__all__ = ["CHECKPOINT", "apart", "delete_path", "forget", "join_hot", "new_path", "one_of_each", "picked", "place_of", "replace_columns", "shared_dir", "written"]
 
 
 def apart(columns: Sequence[str]) -> tuple[list[Column], list[Column]]:
@@ -42,3 +42,9 @@ def place_of(df: DataFrame, name: str) -> int:
     if len(found) != 1:
         raise ValueError(f"{len(found)} columns are called {name!r}")
     return found[0]
+
+
+def picked(df: DataFrame, *names: str) -> DataFrame:
+    """The columns of ``df`` that Spark finds under ``names``, and no others."""
+    at = [place_of(df, n) for n in names]
+    return df.toDF(*[f"__c{i}" for i in range(len(df.columns))]).select(*[F.col(f"__c{i}").alias(n) for i, n in zip(at, names)])
