@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanternfish.llm import chat, decontaminate, exact_dedup, licences, quality, secrets, sentencepiece_bpe, simhash, toxicity, warc
+from lanternfish.llm import chat, codes, decontaminate, exact_dedup, licences, mtree, quality, secrets, sentencepiece_bpe, simhash, spelling, toxicity, warc
 
 PIECES = "piece_bpe_32k.model"
 
@@ -68,8 +68,23 @@ def op10_licences(spark: SparkSession, folder: str) -> DataFrame:
     return licences.licence_spans(_table(spark, folder, "documents"))
 
 
+def op11_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows whose id is divisible by 50 ask all others."""
+    rows = _table(spark, folder, "embeddings")
+    return mtree.top_products(rows.where("vec_id % 50 = 0"), rows, k=5, scale=256)
+
+
+def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, folder, "documents"), spoil=31)
+
+
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return codes.vector_codes(_table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_warc, op3_quality, op4_sentencepiece, op5_exact_dedup, op6_simhash, op7_toxicity, op8_secrets, op9_preferences, op10_licences)
+    f.__name__: f for f in (op1_decontamination, op2_warc, op3_quality, op4_sentencepiece, op5_exact_dedup, op6_simhash, op7_toxicity, op8_secrets, op9_preferences, op10_licences,
+                                op11_top_k, op12_spelling, op13_vector_codes)
 }
 
 WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -77,7 +92,48 @@ WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTU
 #: Base32 of the eight numbers of 20 bits in ``v``.
 BASE32 = "array_to_string(list_transform(range(0, 32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v[j // 4 + 1] >> (15 - 5 * (j % 4))) & 31)::int + 1, 1)), '')"
 
+#: Kept rows of embeddings (id, vector ``x``).
+FINITE = "embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"
+
+#: CRC-32 of the hexadecimal digits ``x`` of a string's bytes, half a byte at a time, the lower half first.
+CRC_HALVES = [0, 0x1DB71064, 0x3B6E20C8, 0x26D930AC, 0x76DC4190, 0x6B6B51F4, 0x4DB26158, 0x5005713C, 0xEDB88320, 0xF00F9344, 0xD6D6A3E8, 0xCB61B38C, 0x9B64C2B0, 0x86D3D2D4, 0xA00AE278, 0xBDBDF21C]
+CRC = f"""xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(range(0, length(x)), lambda i: (instr('0123456789ABCDEF', x[case when i % 2 = 0 then i + 2 else i end]) - 1)::bigint)),
+  lambda a, b: xor(a >> 4, {CRC_HALVES}[(xor(a, b) & 15) + 1])))"""
+
+#: Assignments of parts to the nearest entries of the books of round ``r``, and the books of the round after.
+ROUND = """a{r} as materialized (select vec_id, p, any_value(v) as v, min(struct_pack(d := list_inner_product(v, v) - 2 * list_inner_product(v, c) + list_inner_product(c, c), e := e)) as m from parts join b{r} using (p) group by vec_id, p),
+s{r} as (select p, e, i, cast(floor(sum(x) / count(*)) as bigint) as x from (select p, m.e as e, unnest(range(1, len(v) + 1)) as i, unnest(v) as x from a{r}) group by p, e, i),
+b{q} as materialized (select p, e, coalesce(n.c, o.c) as c from b{r} o left join (select p, e, list(x::double order by i) as c from s{r} group by p, e) n using (p, e))"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_top_k": f"""
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as x from embeddings where vec_id is not null and {FINITE}),
+s as (select q.vec_id as query_id, v.vec_id, list_inner_product(q.x, v.x)::bigint as score from v q join v on q.vec_id <> v.vec_id where q.vec_id % 50 = 0)
+select query_id, rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s) where rank <= 5""",
+    "op12_spelling": f"""
+with recursive runs as (select coalesce(doc_id::varchar, '') as d, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) as run from documents),
+k as (select run, count(*) as c, hex(encode(d || ':' || run)) as x from runs where length(run) >= 7 group by d, run),
+h as (select run, c, {CRC} as h from k),
+spoilt as (select case when h % 31 = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word, c from h),
+words as materialized (select word, sum(c)::bigint as n from spoilt where length(word) >= 7 group by word having sum(c) >= 2),
+cut as materialized (select word, n, i, substr(word, 1, i) || substr(word, i + 2) as v from (select word, n, unnest(range(0, length(word))) as i from words)),
+near as (select a.word, a.n, b.word as near, b.n as near_n from cut a join cut b on a.i = b.i and a.v = b.v and a.word <> b.word
+  union select a.word, a.n, b.word, b.n from cut a join words b on a.v = b.word union select b.word, b.n, a.word, a.n from cut a join words b on a.v = b.word),
+best as (select word, count(*) as n_near, min(struct_pack(n := -near_n, w := near)) as b from near group by word),
+judged as materialized (select word, n, coalesce(n_near, 0)::bigint as n_near, case when -b.n >= 10 * n then b.w end as form, case when -b.n >= 10 * n then -b.n end::bigint as form_n from words left join best using (word)),
+steps as (select word, word as now, 0 as i from judged union all select s.word, j.form, i + 1 from steps s join judged j on j.word = s.now where j.form is not null),
+roots as (select word, arg_max(now, i) as root from steps group by word)
+select word, form, root, n, n_near, form_n from judged join roots using (word)""",
+    "op13_vector_codes": f"""
+with kept as (select vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::double)) as x from embeddings where {FINITE}),
+parts as materialized (select vec_id, p, list_slice(x, p * (len(x) // 4) + 1, (p + 1) * (len(x) // 4)) as v from kept cross join (select unnest(range(0, 4)) as p)),
+first as (select vec_id, row_number() over (order by vec_id) - 1 as e from kept order by vec_id limit 256),
+b0 as materialized (select p, e, v as c from parts join first using (vec_id)),
+{", ".join(ROUND.format(r=r, q=r + 1) for r in range(4))},
+a as materialized (select vec_id, p, min(struct_pack(d := list_inner_product(v, v) - 2 * list_inner_product(v, c) + list_inner_product(c, c), e := e)) as m from parts join b4 using (p) group by vec_id, p),
+coded as (select vec_id, string_agg(printf('%02x', m.e), '' order by p) as code, sum(m.d)::bigint as error from a group by vec_id),
+books as (select sha256(string_agg(cast(x as bigint)::varchar, ',' order by p, e, i)) as codebooks_sha256 from (select p, e, unnest(range(1, len(c) + 1)) as i, unnest(c) as x from b4))
+select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error, codebooks_sha256 from coded join kept using (vec_id) cross join books""",
     "op1_decontamination": f"""
 with d as (select doc_id, {WORDS} as w from documents),
 b as (select item_id, {WORDS} as w from benchmark),
