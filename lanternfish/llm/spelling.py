@@ -20,9 +20,9 @@ from lanternfish.llm.store import forget, join_hot, picked, written
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LETTERS = "A-Za-zÀ-ÿ"
-#: Letters of the words that a task holds on average, words of one beginning or end that one cell holds, and keys of more words
-#: than that which are sent to every task. Memory and balance only.
-LETTERS_EACH, HELD, SENT = 150_000, 8192, 1_000_000
+#: Letters of the words that a task holds on average, words of one beginning or end that one cell holds, parts that such words
+#: ask in from one cell, and keys of more words than that which are sent to every task. Memory and balance only.
+LETTERS_EACH, HELD, ASKS, SENT = 150_000, 4096, 4, 1_000_000
 
 
 def counted_words(docs: DataFrame, least: int = 7, spoil: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -64,31 +64,45 @@ def _dealt(words: DataFrame) -> DataFrame:
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
-    out: list[tuple] = []
-    for backward in (False, True):
-        held = {(w[::-1] if backward else w): n for back, _, _, _, holds, w, n in rows if holds and back == backward}
-        order = sorted(held)
-        automaton = Automaton(order)
+    """Near words of (back, part, parts, asks, holds, word, n): rows that hold come first, and stay; the others stream."""
+    held: tuple[dict[str, int], dict[str, int]] = ({}, {})
+    automata: list[tuple[list[str], Automaton]] = []
+
+    def near(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if not automata:
+            for words in held:
+                order = sorted(words)
+                automata.append((order, Automaton(order)))
+        out: list[tuple] = []
         for back, part, parts, asks, _, word, n in rows:
-            if not asks or back != backward:
+            if not asks:
                 continue
+            order, automaton = automata[back]
             first = word[: len(word) // 2]
-            way, exact = (word[::-1], len(word) - len(first)) if backward else (word, len(first))
+            way, exact = (word[::-1], len(word) - len(first)) if back else (word, len(first))
             for number in automaton.one_error(way, exact):
-                near = order[number]
-                count = held[near]
-                if backward:
-                    near = near[::-1]
-                    if near.startswith(first):  # found forwards
+                count, other = held[back][order[number]], order[number]
+                if back:
+                    other = other[::-1]
+                    if other.startswith(first):  # found forwards
                         continue
-                if parts == 1 or crc32(near.encode()) % parts == part:  # else another cell of this key has it
-                    out.append((word, n, near, count))
-            if len(out) >= 1 << 15:
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, zip(*out))), names=["word", "n", "near", "near_n"])
-                out = []
-    if out:
-        yield pa.RecordBatch.from_arrays(list(map(pa.array, zip(*out))), names=["word", "n", "near", "near_n"])
+                if parts == 1 or crc32(other.encode()) % parts == part:  # else another cell of this key has it
+                    out.append((word, n, other, count))
+        if out:
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, zip(*out))), names=["word", "n", "near", "near_n"])
+
+    own: list[tuple] = []
+    for b in batches:
+        rows = list(zip(*(c.to_pylist() for c in b.columns)))
+        holding = [r for r in rows if r[4]]
+        for back, _, _, _, _, word, n in holding:
+            held[back][word[::-1] if back else word] = n
+        own += holding
+        if len(holding) < len(rows):
+            yield from near(own)
+            yield from near([r for r in rows if not r[4]])
+            own = []
+    yield from near(own)
 
 
 def near_words(words: DataFrame) -> DataFrame:
@@ -96,7 +110,8 @@ def near_words(words: DataFrame) -> DataFrame:
     point inserted, deleted or replaced, in both orders, once each.
 
     Words are dealt out by what they begin and end with, once or twice each way. A beginning or end of over HELD words
-    is several cells: each word lies in one of them and asks in all, so a task's memory is bounded and every pair is met.
+    is several parts: each word lies in one of them and asks in all; if ASKS times as many ask, they do so in several cells. So
+    no group is one task's, a task's memory is bounded, and every pair is met once.
     A task builds the two automata of the words it holds and reads them for those that ask. Null words and
     shorter ones are near to nothing.
     """
@@ -107,12 +122,14 @@ def near_words(words: DataFrame) -> DataFrame:
     few = hot.count()
     found = dealt.withColumn("parts", F.lit(None).cast("int")) if not few else dealt.join(F.broadcast(hot), "key", "left") if few <= SENT else join_hot(dealt, hot, "key", F.col("word"))
     own = F.pmod(F.crc32(F.col("word").cast("binary")), F.col("parts")).cast("int")
-    cell = lambda part, holds, asks: F.struct(part.cast("int").alias("part"), holds.alias("holds"), asks.alias("asks"))
-    every = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: cell(p, F.lit(False), F.lit(True)))
-    cells = F.when(F.col("parts").isNull(), F.array(cell(F.lit(0), F.lit(True), F.col("asks")))).otherwise(
-        F.concat(F.array(cell(own, F.lit(True), F.lit(False))), F.when(F.col("asks"), every).otherwise(F.filter(every, lambda _: F.lit(False)))))
-    rows = found.withColumn("c", F.explode(cells)).select("key", "back", F.col("c.part").alias("part"), F.coalesce("parts", F.lit(1)).alias("parts"), F.col("c.asks").alias("asks"), F.col("c.holds").alias("holds"), "word", "n")
-    rows = rows.repartition(max(1, -(-size // LETTERS_EACH)), "key", "part").drop("key")
+    crowds = F.ceil(F.col("parts") / ASKS).cast("int")
+    cell = lambda part, crowd, holds, asks: F.struct(part.cast("int").alias("part"), crowd.cast("int").alias("crowd"), holds.alias("holds"), asks.alias("asks"))
+    lies = F.transform(F.sequence(F.lit(0), crowds - 1), lambda c: cell(own, c, F.lit(True), F.lit(False)))
+    ask = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: cell(p, F.pmod(F.xxhash64("word"), crowds), F.lit(False), F.lit(True)))
+    alone = F.array(cell(F.lit(0), F.lit(0), F.lit(True), F.col("asks")))
+    cells = F.when(F.col("parts").isNull(), alone).when(F.col("asks"), F.concat(lies, ask)).otherwise(lies)
+    rows = found.withColumn("c", F.explode(cells)).select("key", "back", F.col("c.part").alias("part"), F.coalesce("parts", F.lit(1)).alias("parts"), F.col("c.asks").alias("asks"), F.col("c.holds").alias("holds"), "word", "n", F.col("c.crowd").alias("crowd"))
+    rows = rows.repartition(max(1, -(-size // LETTERS_EACH)), "key", "part", "crowd").sortWithinPartitions(F.desc("holds")).drop("key", "crowd")
     return rows.mapInArrow(released(_search), "word string, n bigint, near string, near_n bigint")
 
 
