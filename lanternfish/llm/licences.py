@@ -1,7 +1,8 @@
 """Licence scan: winnowed fingerprints of templates pick candidates, banded alignment confirms them.
 
-Whole licences of over LONG words are found by the chain of runs of GRAM words that occur once in them, so that
-edited lines, which move what follows by more than the band, don't end them."""
+The band follows the longest chain of runs of GRAM words that a template and the text around a candidate share, and is as wide
+as the chain leaps, so lines that were put in, taken out or edited don't end an alignment, in notices and whole licences alike.
+"""
 
 from __future__ import annotations
 
@@ -20,9 +21,14 @@ from pyspark.sql import functions as F
 from lanternfish.llm.decontaminate import words_of
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
-GRAM, WINDOW, BAND, COVERAGE = 3, 3, 6, 0.8
-#: Templates of up to so many words are notices: a span must hold all their numbers, which tell versions apart.
-NOTICE, LONG = 100, 400
+GRAM, WINDOW, COVERAGE = 3, 3, 0.8
+#: Words on each side of the chain that an alignment may leave it by.
+BAND = 16
+#: Templates of up to so many words are notices: a span must hold all their numbers, which tell versions apart. Of others the chain must
+#: hold this share of the words.
+NOTICE, CHAINED = 100, 0.4
+# Words that turn the name of one licence into that of another.
+MARKS = ("affero", "lesser", "library", "noncommercial", "sharealike", "noderivatives", "noderivs", "nc", "sa", "nd")
 
 MIT_GRANT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'
 BSD_FIRST = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
@@ -94,8 +100,13 @@ def winnow(h: np.ndarray) -> np.ndarray:
     return np.unique(np.arange(len(views)) + w - 1 - views[:, ::-1].argmin(axis=1))
 
 
+def room(n: int) -> int:
+    """Words that may lie between those of a template of ``n``, which a passed-over word makes dearer by 1 / room to match around."""
+    return max(6, n // 2)
+
+
 class Index:
-    """Inverted index of the templates' fingerprints."""
+    """Inverted index of the templates' fingerprints, and the runs of words of each."""
 
     def __init__(self, templates: list[tuple[str, str]]):
         self.names = [n for n, _ in templates]
@@ -104,14 +115,13 @@ class Index:
         self.ids = [np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in ws], dtype=np.int64) for ws in words]
         self.sizes = np.array([len(ids) for ids in self.ids], dtype=np.int64)
         self.numbers = [{i for w, i in zip(ws, ids.tolist()) if w.isdigit()} if len(ws) <= NOTICE else set() for ws, ids in zip(words, self.ids)]
+        self.marks = np.array(sorted(self.vocab[w] for m in MARKS if (w := m.encode()) in self.vocab), dtype=np.int64)
         at: dict[int, list[tuple[int, int]]] = {}
-        self.long: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.grams: list[tuple[np.ndarray, np.ndarray]] = []
         for k, ids in enumerate(self.ids):
             h = gram_hashes(ids)
-            if len(ids) > LONG:
-                keys, first, n = np.unique(h, return_index=True, return_counts=True)
-                self.long[k] = keys[n == 1], first[n == 1]
-                continue
+            order = np.argsort(h, kind="stable")
+            self.grams.append((h[order], order))
             for i in winnow(h):
                 at.setdefault(int(h[i]), []).append((k, int(i)))
         self.keys = np.array(sorted(at), dtype=np.uint64)
@@ -119,8 +129,8 @@ class Index:
         self.at = np.array([x for h in self.keys.tolist() for x in at[h]], dtype=np.int64).reshape(-1, 2)
 
     def candidates(self, ids: np.ndarray) -> list[tuple[int, int]]:
-        """(template, place in the text where the template would start), one for a few diagonals that meet.
-        Places around which the text has too few words of any template are none."""
+        """(template, place in the text where the template would start): of the diagonals that fingerprints name, the one that most do
+        of those that an alignment would cover together. Places around which the text has too few words of any template are none."""
         h = gram_hashes(ids)
         known = h != np.uint64(2**64 - 1)
         if not known.any():
@@ -135,134 +145,161 @@ class Index:
         n = self.first[key + 1] - self.first[key]
         k, i = self.at[np.arange(n.sum()) + np.repeat(self.first[key] - np.cumsum(n) + n, n)].T
         start, size = np.repeat(picked, n) - i, self.sizes[k]
+        free = np.maximum(6, size // 2)
         words = np.r_[0, np.cumsum(ids > 0)]
-        ok = words[np.clip(start + size + BAND, 0, len(ids))] - words[np.clip(start - BAND, 0, len(ids))] >= COVERAGE * size - 1e-6
-        seen: dict[tuple[int, int], None] = {}
-        for k, p, n in zip(k[ok].tolist(), start[ok].tolist(), size[ok].tolist()):
-            reach = min(BAND // 2, n - 1)
-            if not any((k, p + d) in seen for d in range(-reach, reach + 1)):
-                seen[(k, p)] = None
-        return list(seen)
-
-    def confirmed(self, k: int, ids: np.ndarray, start: int) -> tuple[int, int, float] | None:
-        """The alignment of template ``k`` at ``start``, if it covers enough of the template and holds a notice's numbers.
-        What can't do so, by the words and numbers in the band, is not aligned."""
+        ok = words[np.clip(start + size + free, 0, len(ids))] - words[np.clip(start - free, 0, len(ids))] >= COVERAGE * size - 1e-6
+        pairs, often = np.unique(np.stack([k[ok], start[ok]]), axis=1, return_counts=True)
+        out: list[tuple[int, int]] = []
+        for k in np.unique(pairs[0]).tolist():
+            own = pairs[0] == k
+            starts, counts = pairs[1][own], often[own]
+            n = int(self.sizes[k])
+            reach, taken = min(room(n) // 2, n - 1), []
+            for j in np.lexsort((starts, -counts)).tolist():
+                p, x = int(starts[j]), bisect_left(taken, int(starts[j]))
+                if (x == len(taken) or taken[x] - p > reach) and (not x or p - taken[x - 1] > reach):
+                    taken.insert(x, p)
+                    out.append((k, p))
+        return out
+
+    def chain(self, k: int, h: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places in template ``k``, places in the text) of the longest chain, in the order of both, of runs of GRAM words that they share,
+        near the diagonal at ``start``; ``h`` are the hashes of the text's runs."""
+        keys, place = self.grams[k]
+        lo, hi = np.searchsorted(keys, h, "left"), np.searchsorted(keys, h, "right")
+        n = np.where(h == np.uint64(2**64 - 1), 0, hi - lo)
+        p = np.repeat(np.arange(len(h)), n)
+        i = place[np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)]
+        near = np.abs(p - i - start) <= room(len(self.ids[k]))
+        p, i = p[near], i[near]
+        order = np.lexsort((-i, p))
+        p, i = p[order], i[order]
+        tails: list[int] = []
+        last, before = [], []
+        for j, x in enumerate(i.tolist()):
+            c = bisect_left(tails, x)
+            before.append(last[c - 1] if c else -1)
+            tails[c : c + 1], last[c : c + 1] = [x], [j]
+        found, j = [], last[-1] if last else -1
+        while j >= 0:
+            found.append(j)
+            j = before[j]
+        found.reverse()
+        return i[found], p[found]
+
+    def confirmed(self, k: int, ids: np.ndarray, h: np.ndarray, start: int, seen: dict[tuple, tuple | None]) -> tuple[int, int, float, int] | None:
+        """(first word, end word, coverage, matched words) of the alignment of template ``k`` around ``start``, if it covers enough, holds a
+        notice's numbers, and holds no words that make it another licence. What can't do so is not aligned. Coverage
+        is the matched share of the template and of a quarter of the words between. ``seen`` holds what the chains so far came to: several
+        candidates of a long template have one chain."""
         template, n = self.ids[k], len(self.ids[k])
-        lo, hi = max(0, start - BAND), max(0, start + n + BAND)
-        if not self.numbers[k] <= set(ids[lo:hi].tolist() if self.numbers[k] else ()):
-            return None
         if start >= 0 and np.array_equal(ids[start : start + n], template):
-            return start, start + n, 1.0
-        near = np.zeros(n + 2 * BAND, dtype=np.int64)
-        near[lo - start + BAND :][: len(ids[lo:hi])] = ids[lo:hi]
-        band = np.lib.stride_tricks.sliding_window_view(near, 2 * BAND + 1)
-        if np.count_nonzero((band == template[:, None]).any(axis=1)) / n < COVERAGE:
+            return start, start + n, 1.0, n
+        lo, hi = max(0, start - room(n)), max(0, start + n + room(n))
+        near = ids[lo:hi]
+        if not self.numbers[k] <= set(near.tolist() if self.numbers[k] else ()):
             return None
-        s = align(template, ids, start)
-        return s if s and s[2] >= COVERAGE and self.numbers[k] <= set(ids[s[0] : s[1]].tolist()) else None
-
-    def wholes(self, ids: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
-        """Spans of the long templates: of the runs of words that a template has once, the longest chain in the
-        order of both, among those that put the template's start within about a tenth of its length."""
-        if np.count_nonzero(ids) < COVERAGE * LONG:
-            return
-        h = gram_hashes(ids)
-        for k, (keys, at) in self.long.items():
-            template, n = self.ids[k], len(self.ids[k])
-            key = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            p = np.flatnonzero(keys[key] == h)
-            i = at[key[p]]
-            start = (p - i) // (n // 10)
-            left = np.ones(len(p), dtype=bool)
-            while left.sum() >= n // 20:
-                values, counts = np.unique(start[left], return_counts=True)
-                near = left & (abs(start - values[counts.argmax()]) <= 1)
-                left &= ~near
-                if near.sum() < n // 20:
-                    break
-                a, b, hits = chained(template, ids, i[near], p[near])
-                if hits / n >= COVERAGE:
-                    yield k, a, b, hits / n
+        if np.count_nonzero(np.isin(template, near)) < COVERAGE * n:
+            return None
+        i, p = self.chain(k, h[lo : max(lo, hi - GRAM + 1)], start - lo)
+        if not len(i) or n > NOTICE and GRAM + np.minimum(np.diff(i), GRAM).sum() < CHAINED * n:
+            return None
+        name = (k, len(i), lo + int(p[0]), lo + int(p[-1]))
+        if name not in seen:
+            seen[name] = self._judged(k, near, lo, i, p)
+        return seen[name]
+
+    def _judged(self, k: int, near: np.ndarray, lo: int, i: np.ndarray, p: np.ndarray) -> tuple[int, int, float, int] | None:
+        n, found = len(self.ids[k]), align(self.ids[k], near, i, p)
+        if found is None:
+            return None
+        at, between = found
+        a, b, hits = int(at[0]), int(at[-1]) + 1, len(at)
+        coverage = hits / (n + len(between) / 4)
+        if coverage < COVERAGE - 1e-9 or not self.numbers[k] <= set(near[a:b].tolist()):
+            return None
+        others = np.count_nonzero(np.isin(near[between], self.marks)) if len(between) else 0
+        own = np.count_nonzero(np.isin(near[at], self.marks)) if n > NOTICE else 0
+        return None if others > own else (lo + a, lo + b, coverage, hits)
 
     def spans(self, ids: np.ndarray) -> list[tuple[str, int, int, float]]:
-        """(licence, first word, end word, matched share of the template); of overlapping spans the one of the most
-        matched words, then of the greatest share. A candidate that found a span which another took, or one that
-        overlaps it, is aligned again to the words that are left."""
+        """(licence, first word, end word, coverage); of overlapping spans the one of the most matched words, then of the
+        greatest coverage. A candidate that found a span which another took, or one that overlaps it, is aligned again to the words that are left."""
         kept: list[tuple[int, int, int, float]] = []
-        found = [(k, *s, None) for k, *s in self.wholes(ids)]
         left, ids = self.candidates(ids), ids.copy()
-        while True:
-            found += [(k, *s, start) for k, start in left if (s := self.confirmed(k, ids, start))]
+        while left:
+            h = gram_hashes(ids)
+            seen: dict[tuple, tuple | None] = {}
+            found = [(k, *s, start) for k, start in left if (s := self.confirmed(k, ids, h, start, seen))]
             before, left = len(kept), []
-            for k, a, b, c, start in sorted(found, key=lambda f: (-round(f[3] * len(self.ids[f[0]])), -f[3], f[1], f[0])):
+            for k, a, b, c, hits, start in sorted(found, key=lambda f: (-f[4], -f[3], f[1], f[0])):
                 if all(b <= g[1] or a >= g[2] for g in kept):
                     kept.append((k, a, b, c))
-                elif start is not None:
+                else:
                     left.append((k, start))
-            if len(kept) == before or not left:
+            if len(kept) == before:
                 break
-            found = []
             for _, a, b, _ in kept[before:]:
                 ids[a:b] = 0
         return sorted((self.names[k], a, b, c) for k, a, b, c in kept)
 
 
-def chained(template: np.ndarray, text: np.ndarray, at: np.ndarray, places: np.ndarray) -> tuple[int, int, int]:
-    """(first word, end word, matched words) of the longest chain of the grams ``at`` of the template, met at the
-    ascending ``places`` of the text. Around each gram words match on as long as they are equal."""
-    tails: list[int] = []
-    last, before = [], []
-    for j, i in enumerate(at.tolist()):
-        c = bisect_left(tails, i)
-        before.append(last[c - 1] if c else -1)
-        tails[c : c + 1], last[c : c + 1] = [i], [j]
-    chain, j = [], last[-1]
-    while j >= 0:
-        chain.append(j)
-        j = before[j]
-    i_end = p_end = hits = 0
-    first = -1
-    for j in reversed(chain):
-        i, p = int(at[j]), int(places[j])
-        if i < i_end or p < p_end:  # inside what matched already, or met on another diagonal
-            if p - i != p_end - i_end:
-                continue
-            i, p = i_end, p_end
-        while i > i_end and p > p_end and template[i - 1] == text[p - 1]:
-            i, p = i - 1, p - 1
-        first = p if first < 0 else first
-        while i < len(template) and p < len(text) and template[i] == text[p]:
-            i, p, hits = i + 1, p + 1, hits + 1
-        i_end, p_end = i, p
-    return first, p_end, hits
-
-
-def align(template: np.ndarray, text: np.ndarray, start: int) -> tuple[int, int, float] | None:
-    """Banded alignment around the diagonal at ``start``: matched words count 1, each word passed over on
-    either side costs a quarter; of equal scores the one that ends nearest to the diagonal wins.
-    (first word, end word, matched share of the template), or None."""
-    n, m = len(template), 2 * BAND + 1
-    least = -1e9
-    score = np.zeros(m)
-    hits, begin = np.zeros(m), np.full(m, -1)
-    best, off, out = 0.0, 0, None
-    for i in range(n):
-        new, new_hits, new_begin = np.full(m, least), np.zeros(m), np.full(m, -1)
-        for d in range(m):
-            j = start + i + d - BAND
-            options = [(max(score[d], 0.0) - 0.25, hits[d] if score[d] > 0 else 0, begin[d] if score[d] > 0 else -1)]
-            if 0 <= j < len(text) and text[j] == template[i]:
-                live = score[d] > 0
-                options[0] = ((score[d] if live else 0.0) + 1, (hits[d] if live else 0) + 1, begin[d] if live and begin[d] >= 0 else j)
-            if d + 1 < m and score[d + 1] > 0:  # a word of the template has no counterpart
-                options.append((score[d + 1] - 0.25, hits[d + 1], begin[d + 1]))
-            if d and new[d - 1] > 0:  # a word of the text has none
-                options.append((new[d - 1] - 0.25, new_hits[d - 1], new_begin[d - 1]))
-            new[d], new_hits[d], new_begin[d] = max(options)
-            if new[d] > best or new[d] == best and abs(d - BAND) < off:
-                best, off, out = new[d], abs(d - BAND), (int(new_begin[d]), j + 1, float(new_hits[d]) / n)
-        score, hits, begin = new, new_hits, new_begin
-    return out
+def align(template: np.ndarray, text: np.ndarray, i: np.ndarray, p: np.ndarray, band: int = BAND) -> tuple[np.ndarray, np.ndarray] | None:
+    """(places of the matched words in the text, places of the words between them) of the best alignment along the chain of
+    places ``i`` of the template and ``p`` of the text; None if nothing matches.
+
+    A matched word counts 1, a word of the text between matched ones costs 1 / room, a word of the template without a
+    counterpart nothing. Between two links of the chain the band reaches from the diagonal of the one to that of the other, and
+    ``band`` words further; before the first and after the last it reaches as far as a matched word pays for. (Links stand at
+    the first word of their run, so both diagonals are open at a link as well.)"""
+    n, m, free = len(template), len(text), room(len(template))
+    cost = 1 / free
+    t = np.arange(n)
+    before, after = np.searchsorted(i, t, "left") - 1, np.searchsorted(i, t, "right")  # links before and after each word of the template
+    shift = p - i
+    here, there = shift[np.maximum(before, 0)], shift[np.minimum(after, len(i) - 1)]
+    own = np.where(after - before > 1, shift[np.minimum(before + 1, len(i) - 1)], np.where(before < 0, there, here))
+    low = np.minimum(own, np.where(before < 0, own - free, here))
+    low = np.minimum(low, np.where(after == len(i), own, there)) + t - band
+    high = np.maximum(own, np.where(before < 0, own, here))
+    high = np.maximum(high, np.where(after == len(i), own + free, there)) + t + band
+    low, high = np.clip(low, 0, m), np.clip(high + 1, 0, m)
+    score, at, steps = np.zeros(0), 0, []
+    for k in range(n):
+        lo, hi = int(low[k]), int(max(low[k], high[k]))
+        j = np.arange(lo, hi + 1)  # words of the text read so far
+        held = np.zeros(hi - lo + 2)  # scores of the row above, from lo - 1 on
+        a, b = max(at, lo - 1), min(at + len(score), hi + 1)
+        if a < b:
+            held[a - lo + 1 : b - lo + 1] = score[a - at : b - at]
+        same = np.zeros(len(j), dtype=bool)
+        same[int(lo == 0) :] = text[max(lo - 1, 0) : hi] == template[k]
+        up, across = held[1:], held[:-1] + 1
+        match = same & (across >= up)
+        best = np.where(match, across, up)
+        score, at = np.maximum.accumulate(best + cost * j) - cost * j, lo
+        step = np.where(score > best + 1e-9, 3, np.where(match, 2, 1)).astype(np.int8)
+        step[score <= 1e-9] = 0
+        score = np.maximum(score, 0.0)
+        steps.append(step)
+    if not len(score) or score.max() <= 1e-9:
+        return None
+    j, k = at + int(score.argmax()), n - 1
+    found, between = [], []
+    while k >= 0:
+        x = j - int(low[k])
+        step = steps[k][x] if 0 <= x < len(steps[k]) else 0
+        if step == 0:
+            break
+        if step == 3:
+            between.append(j - 1)
+            j -= 1
+            continue
+        if step == 2:
+            found.append(j - 1)
+            j -= 1
+        k -= 1
+    return np.array(found[::-1]), np.array(between[::-1], dtype=np.int64)
 
 
 _INDEX: dict[int, Index] = {}
@@ -280,7 +317,7 @@ def licence_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     key = zlib.crc32(repr(templates).encode())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _INDEX.setdefault(key, Index(templates))
+        index = _INDEX.get(key) or _INDEX.setdefault(key, Index(templates))
         for batch in batches:
             columns: list[list] = [[], [], [], []]
             for t in batch.column(1).cast(pa.large_binary()):

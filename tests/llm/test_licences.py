@@ -80,45 +80,51 @@ def test_winnowing_against_a_plain_version():
         assert licences.winnow(h).tolist() == plain_winnow(h.tolist())
 
 
+def plain_align(template, text):
+    """(places of matched words, words between) of the best alignment to the whole text, without a band: each matched word counts 1, and
+    each word between 1 / room less."""
+    n, m, cost = len(template), len(text), 1 / licences.room(len(template))
+    score, step = [[0.0] * (m + 1) for _ in range(n + 1)], [[0] * (m + 1) for _ in range(n + 1)]
+    for i in range(1, n + 1):
+        for j in range(m + 1):
+            best, way = score[i - 1][j], 1
+            if j and text[j - 1] == template[i - 1] and score[i - 1][j - 1] + 1 >= best:
+                best, way = score[i - 1][j - 1] + 1, 2
+            if j and score[i][j - 1] - cost > best + 1e-9:
+                best, way = score[i][j - 1] - cost, 3
+            score[i][j], step[i][j] = best, way if best > 1e-9 else 0
+    i, j = n, max(range(m + 1), key=lambda j: score[n][j])
+    at, between = [], []
+    while i and step[i][j]:
+        if step[i][j] == 3:
+            between.append(j - 1)
+            j -= 1
+            continue
+        if step[i][j] == 2:
+            at.append(j - 1)
+            j -= 1
+        i -= 1
+    return at[::-1], between
+
+
 def plain_spans(index, ids):
-    """Every template aligned at every place, the best taken, its words blanked, and so on."""
+    """Every template aligned to the whole text, the best taken, its words blanked, and so on."""
     ids, kept = ids.copy(), []
     while True:
         best = None
         for k, template in enumerate(index.ids):
-            for start in range(-licences.BAND, len(ids)):
-                s = licences.align(template, ids, start)
-                if s and s[2] >= licences.COVERAGE and all(s[1] <= g[1] or s[0] >= g[2] for g in kept):
-                    key = (-round(s[2] * len(template)), -s[2], s[0], k)
-                    if best is None or key < best[0]:
-                        best = key, (index.names[k], *s)
+            at, between = plain_align(template.tolist(), ids.tolist())
+            c = len(at) / (len(template) + len(between) / 4)
+            if at and c >= licences.COVERAGE - 1e-9 and all(at[-1] < g[1] or at[0] >= g[2] for g in kept):
+                key = (-len(at), -c, at[0], k)
+                if best is None or key < best[0]:
+                    best = key, (index.names[k], at[0], at[-1] + 1, c)
         if best is None:
             return sorted(kept)
         kept.append(best[1])
         ids[best[1][1] : best[1][2]] = 0
 
 
-def plain_align(template, text, start):
-    """The alignment's score and matched share by trying all ways: words that match, or are passed over, within the band."""
-    from functools import lru_cache
-
-    n, band = len(template), licences.BAND
-
-    @lru_cache(None)
-    def best(i, j):  # best score of an alignment that ends before template word i and text word j
-        if i == 0 or abs(j - i - start) > band:
-            return 0.0
-        options = [0.0]
-        if 0 <= j - 1 < len(text) and text[j - 1] == template[i - 1]:
-            options.append(best(i - 1, j - 1) + 1)
-        options += [best(i - 1, j - 1) - 0.25] if abs(j - i - start) <= band else []
-        options += [best(i - 1, j) - 0.25] if abs(j - (i - 1) - start) <= band else []
-        options += [best(i, j - 1) - 0.25] if abs(j - 1 - i - start) <= band else []
-        return max(options)
-
-    return max((best(i, j) for i in range(1, n + 1) for j in range(start + i - band, start + i + band + 1)), default=0.0)
-
-
 def edited(rng, words, edits):
     words = list(words)
     for _ in range(edits):
@@ -132,21 +138,50 @@ def edited(rng, words, edits):
     return words
 
 
-def test_alignment_against_all_ways():
+def test_alignment_along_a_chain():
+    """Along any chain of shared runs the alignment is as good as one without a band, also where many words were put in."""
     rng = np.random.default_rng(3)
     index = licences.Index(SMALL)
-    for trial in range(60):
+    for trial in range(150):
         k = int(rng.integers(0, 4))
-        words = ["z"] * int(rng.integers(0, 4)) + edited(rng, SMALL[k][1].split(), int(rng.integers(0, 4))) + ["z"] * 3
+        words = edited(rng, SMALL[k][1].split(), int(rng.integers(0, 4)))
+        at = int(rng.integers(0, len(words) + 1))
+        words = ["z"] * int(rng.integers(0, 4)) + words[:at] + ["y"] * int(rng.integers(0, 12)) + words[at:] + ["z"] * 3
         ids = np.array([index.vocab.get(w.encode(), 0) for w in words], dtype=np.int64)
-        start = int(rng.integers(-2, 5))
-        got = licences.align(index.ids[k], ids, start)
-        want = plain_align(tuple(index.ids[k].tolist()), tuple(ids.tolist()), start)
-        assert (got is None) == (want <= 0)
-        if got:
-            a, b, share = got
-            hits = share * len(index.ids[k])
-            assert hits == round(hits) and 0 <= a < b <= len(ids) and hits - want >= -1e-9
+        i, p = index.chain(k, licences.gram_hashes(ids), 0)
+        assert (np.diff(i) > 0).all() and (np.diff(p) > 0).all()
+        if len(i):
+            found, between = licences.align(index.ids[k], ids, i, p)
+            best, others = plain_align(index.ids[k].tolist(), ids.tolist())
+            cost = 1 / licences.room(len(index.ids[k]))
+            assert abs(len(found) - cost * len(between) - len(best) + cost * len(others)) < 1e-9
+
+
+@pytest.mark.parametrize("licence", ["BSD-2-Clause", "BSD-3-Clause", "MIT", "ISC"])
+@pytest.mark.parametrize("size", [1, 2, 7, 12, 25, 50])
+def test_inserted_words(licence, size):
+    """Words put into a licence at any place leave its name and its whole span."""
+    words = max((t for n, t in licences.TEMPLATES if n == licence), key=len).split()
+    for at in range(1, len(words), 1 if size == 12 else 5):
+        said = " ".join(words[:at] + ["foreign"] * size + words[at:])
+        (name, a, b, share), *more = spans(f"Some words before {said} and words after")
+        assert (name, more) == (licence, []) and b - a == len(words_of(said.encode())) and (share < 1 or size == 0)
+
+
+def test_a_second_copyright_line():
+    text = max((t for n, t in licences.TEMPLATES if n == "MIT"), key=len)
+    half = text.index("The above copyright notice")
+    assert names(text[:half] + "Copyright (c) 2011-2020 The Authors of Some Project and Others. All rights reserved. " + text[half:]) == ["MIT"]
+
+
+def test_names_that_a_word_changes():
+    """A licence whose name holds another word throughout is that other licence."""
+    told = re.sub("GNU General Public License", "GNU Affero General Public License", TEXTS["GPL-3.0"])
+    assert "GPL-3.0" not in names(told) and names(told)[0] == "AGPL-3.0"
+    assert names(TEXTS["AGPL-3.0"]) == ["AGPL-3.0"] and names(TEXTS["GPL-3.0"]) == ["GPL-3.0"]
+    notice = dict(licences.TEMPLATES)["GPL-3.0-or-later"]
+    assert names(notice) == ["GPL-3.0-or-later"] and "GPL-3.0-or-later" not in names(notice.replace("GNU General", "GNU Affero General"))
+    assert names("Licensed under CC BY-NC-SA 4.0 and so on") == ["CC-BY-NC-SA-4.0"]
 
 
 def test_spans_against_aligning_everywhere():
