@@ -1,4 +1,4 @@
-"""Exact nearest neighbours and similar pairs, in blocks, and rankings with a unique last key."""
+"""Exact nearest neighbours, in blocks, and rankings with a unique last key."""
 
 from __future__ import annotations
 
@@ -9,14 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanternfish.operators.graph import spanning
-from lanternfish.operators.skew import join_hot
-from lanternfish.sources.scratch import new_path, written
+from lanternfish.sources.scratch import new_path
 
 #: Query vectors that are multiplied at once, and bytes of query vectors that one scan of the images answers.
 BLOCK, ROUND_BYTES = 4096, 32 << 20
-#: Images of a block of the similarity join, and images that are multiplied at once. Memory only.
-SIDE, STEP = 8192, 1024
+#: Images that are multiplied at once. Memory only.
+STEP = 1024
 TINY = 1e-8
 #: Cosines are compared to so many decimals: the last bits depend on the order of summation.
 PLACES = 9
@@ -130,121 +128,6 @@ def top_images(queries: DataFrame, images: DataFrame, k: int, exclude_self: bool
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def classes(images: DataFrame) -> DataFrame:
-    """(image_id, least): the least id of the images with an equal vector, of images that have one and are not alone with it."""
-    # 128 bits: two hashes with different seeds
-    known = images.where("embedding is not null").select("image_id", F.struct(F.xxhash64("embedding").alias("h"), F.xxhash64(F.lit(7), "embedding").alias("i")).alias("vector"))
-    least = known.groupBy("vector").agg(F.min("image_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("vector", "least")
-    return join_hot(known, least, "vector", F.col("image_id"), how="inner").select("image_id", "least")
-
-
-def _cells(images: DataFrame, blocks: int) -> DataFrame:
-    """(cell, high, image_id, embedding) sorted by cell, the lower block of a cell first. Images are dealt over
-    ``blocks`` by a hash; each goes to the cells of its block with every block, itself included."""
-    block, last = F.pmod(F.xxhash64("image_id"), F.lit(blocks)), F.lit(blocks - 1).cast("long")
-    dealt = images.withColumn("__block", block).withColumn("__other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    cell = F.least("__block", "__other") * blocks + F.greatest("__block", "__other")
-    rows = dealt.select(cell.alias("cell"), (F.col("__block") > F.col("__other")).alias("high"), "image_id", "embedding")
-    return rows.repartition("cell").sortWithinPartitions("cell", "high")
-
-
-def _met(batches: Iterator[pa.RecordBatch], blocks: int, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(a, b, cosine), a < b, of the pairs of each cell's two blocks; the lower block is held, the other streams."""
-    cell, ids, held = None, [], []
-
-    def pairs(at: np.ndarray, m: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        low, q = np.concatenate(ids), np.concatenate(held)
-        for lo in range(0, len(at), STEP):
-            s = _rounded(q @ m[lo : lo + STEP].T)
-            x, y = np.nonzero(s >= threshold)
-            a, b, v = low[x], at[lo : lo + STEP][y], s[x, y]
-            keep = a < b if cell // blocks == cell % blocks else a != b
-            if keep.any():
-                yield np.minimum(a, b)[keep], np.maximum(a, b)[keep], v[keep]
-
-    def closed() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        if ids and cell // blocks == cell % blocks:  # a block with itself has no upper one
-            yield from pairs(np.concatenate(ids), np.concatenate(held))
-
-    for batch in batches:
-        cells, high, at = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        m = _unit(_matrix(batch.column(3)))
-        cut = np.flatnonzero(np.r_[True, (cells[1:] != cells[:-1]) | (high[1:] != high[:-1])]) if len(cells) else []
-        for lo, hi in zip(cut, [*cut[1:], len(cells)]):
-            if cells[lo] != cell:
-                yield from closed()
-                cell, ids, held = cells[lo], [], []
-            if not high[lo]:
-                ids.append(at[lo:hi])
-                held.append(m[lo:hi])
-            elif ids:
-                yield from pairs(at[lo:hi], m[lo:hi])
-    yield from closed()
-
-
-def _all(a: np.ndarray, b: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return a, b, v
-
-
-def _linking(a: np.ndarray, b: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links that join what the pairs join, one an image at most."""
-    nodes, at = np.unique(np.r_[a, b], return_inverse=True)
-    x, y = spanning(at[: len(a)], at[len(a) :], len(nodes))
-    return nodes[y], nodes[x], np.ones(len(x))
-
-
-def _nearest(a: np.ndarray, b: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each image its nearest partner, of equals the least id."""
-    a, b, v = np.r_[a, b], np.r_[b, a], np.r_[v, v]
-    order = np.lexsort((b, -v, a))
-    first = order[np.r_[True, a[order][1:] != a[order][:-1]]] if len(a) else order
-    return a[first], b[first], v[first]
-
-
-def _joined(images: DataFrame, threshold: float, side: int, shape) -> tuple[DataFrame, DataFrame]:
-    """((a, b, cosine) of what ``shape`` makes of the pairs of different vectors, (a, b, cosine) of the least
-    image with a vector and each other that has it too)."""
-    known = images.where("embedding is not null").select("image_id", "embedding")
-    copies = written(classes(known).where("image_id <> least"), "copies")
-    alone = written(known.join(copies, "image_id", "left_anti"), "vectors")
-    blocks = max(1, -(-alone.count() // side))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in _met(batches, blocks, threshold):
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, shape(*found))), names=["a", "b", "cosine"])
-
-    some = F.exists("embedding", lambda x: x != 0) & F.lit(threshold <= 1)  # the zero vector is like nothing
-    equal = copies.join(known.where(some).select("image_id"), "image_id", "left_semi").select(F.col("least").alias("a"), F.col("image_id").alias("b"), F.lit(1.0).alias("cosine"))
-    return _cells(alone, blocks).mapInArrow(run, "a bigint, b bigint, cosine double"), equal
-
-
-def similar_pairs(images: DataFrame, threshold: float, side: int = SIDE) -> DataFrame:
-    """(a, b, cosine), a < b, of all pairs of different vectors of at least ``threshold``, and of each image with a
-    vector that another has with the least id that has it.
-
-    Equal vectors count once, by their least id, so that copies are not all paired; :func:`classes` has their
-    members. The rest is exact: blocks of some ``side`` images meet in cells, a task holds one block and streams
-    the other, and nothing passes through the driver. The cost is the square of the different vectors.
-    """
-    pairs, equal = _joined(images, threshold, side, _all)
-    return pairs.unionByName(equal)
-
-
-def similar_links(images: DataFrame, threshold: float, side: int = SIDE) -> DataFrame:
-    """(a, b): links that join what :func:`similar_pairs` joins; of pairs among many near copies only a tree is made."""
-    links, equal = _joined(images, threshold, side, _linking)
-    return links.unionByName(equal).select("a", "b")
-
-
-def best_partners(images: DataFrame, threshold: float, side: int = SIDE) -> DataFrame:
-    """(image_id, partner, cosine): for each image with another of at least ``threshold`` the nearest, of equals the least id."""
-    nearest, equal = _joined(images, threshold, side, _nearest)
-    copies = equal.unionByName(equal.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
-    # what is nearest to the least image with a vector is as near to the others, but these have each other
-    best = nearest.unionByName(copies).groupBy("a").agg(F.max(F.struct("cosine", (-F.col("b")).alias("p"))).alias("m"))
-    return best.select(F.col("a").alias("image_id"), (-F.col("m.p")).alias("partner"), F.col("m.cosine").alias("cosine"))
-
-
 def images_of(index: DataFrame) -> DataFrame:
     """(image_id, embedding): rows of an image share one vector."""
     return index.groupBy("image_id").agg(F.first("embedding", ignorenulls=True).alias("embedding"))

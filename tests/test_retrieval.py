@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lanternfish.functions import text as T
-from lanternfish.operators import diagnostics, geometry, graph, ingest, knn, metrics, quantize, retrieve, selection
+from lanternfish.operators import diagnostics, geometry, graph, ingest, knn, metrics, quantize, retrieve, selection, similar
 from lanternfish.plans import catalogue
 from lanternfish.sources import index as I
 
@@ -269,20 +269,20 @@ def test_similar_pairs(spark, side):
     cosine = {(a, b): round(float(unit[a] @ unit[b]), 9) for a in unit for b in unit if a < b}
     least = {50: 3, 51: 3, 52: 7}
     want = {p: c for p, c in cosine.items() if c >= 0.9 and not least.keys() & set(p)} | {(r, m): 1.0 for m, r in least.items()}
-    got = {(r.a, r.b): r.cosine for r in knn.similar_pairs(df, 0.9, side).collect()}
+    got = {(r.a, r.b): r.cosine for r in similar.similar_pairs(df, 0.9, side).collect()}
     assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-8 for p in got)
-    assert {(r.image_id, r.least) for r in knn.classes(df).collect()} == {(3, 3), (50, 3), (51, 3), (7, 7), (52, 7), (60, 60), (61, 60)}
+    assert {(r.image_id, r.least) for r in similar.classes(df).collect()} == {(3, 3), (50, 3), (51, 3), (7, 7), (52, 7), (60, 60), (61, 60)}
     label = {i: i for i in unit}
     for a, b in (p for p, c in cosine.items() if c >= 0.9):
         x, y = label[a], label[b]
         label = {k: min(x, y) if l in (x, y) else l for k, l in label.items()}
-    members = {r.image_id: r.cluster for r in graph.clusters(knn.similar_links(df, 0.9, side)).collect()}
+    members = {r.image_id: r.cluster for r in graph.clusters(similar.similar_links(df, 0.9, side)).collect()}
     assert members == {i: l for i, l in label.items() if list(label.values()).count(l) > 1}
-    best = {r.image_id: (r.partner, r.cosine) for r in knn.best_partners(df, 0.9, side).collect()}
+    best = {r.image_id: (r.partner, r.cosine) for r in similar.best_partners(df, 0.9, side).collect()}
     assert best.keys() == members.keys()
     for i, (p, c) in best.items():
         assert abs(c - max(x for q, x in cosine.items() if i in q)) < 1e-8 and abs(cosine[min(i, p), max(i, p)] - c) < 1e-8
-    assert knn.similar_pairs(df.where("false"), 0.9).count() == 0
+    assert similar.similar_pairs(df.where("false"), 0.9).count() == 0
 
 
 def test_rounds_and_batches_give_one_ranking(spark):
