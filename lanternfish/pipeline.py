@@ -42,14 +42,13 @@ class Pipeline:
         return I.stats(I.open_or_create(self.spark, self.settings.index), self.settings.index.rstrip("/").rsplit("/", 1)[-1])
 
     def build_index(self) -> bool:
-        """Append a row for each caption whose image is there; each image is encoded once. False without data."""
+        """Put in a row for each caption whose image is there, in place of one that was there; each image is encoded once. False without data."""
         s = self.settings
         if not (exists(self.spark, s.images) and exists(self.spark, s.annotations)):
             return False
-        I.open_or_create(self.spark, s.index)
         captions = I.read_annotations(self.spark, s.annotations)
         images = I.read_images(self.spark, s.images).join(captions.select("image_id"), "image_id", "left_semi")
-        I.append(I.build_index(captions, encoded(images.select("image_id", "content"), "content", self.encoder)), s.index)
+        I.upsert(I.build_index(captions, encoded(images.select("image_id", "content"), "content", self.encoder)), s.index)
         return True
 
     def caption(self, images: DataFrame, top_k: int | None = None, advanced: bool = True) -> DataFrame:

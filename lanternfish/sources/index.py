@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lanternfish.sources.snapshots import Table
+
 SCHEMA = T.StructType([
     T.StructField("id", T.StringType(), False), T.StructField("image_id", T.LongType()), T.StructField("ann_id", T.LongType()),
     T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("document", T.StringType()),
@@ -90,16 +92,19 @@ def build_index(annotations: DataFrame, embedded: DataFrame) -> DataFrame:
     return rows.select(compose_id(F.col("image_id"), F.col("ann_id")).alias("id"), "image_id", "ann_id", "embedding", F.col("caption").alias("document"))
 
 
+def table(spark: SparkSession, path: str) -> Table:
+    """The index at ``path``, keyed by id and read by snapshots; an empty one is made if there is none."""
+    return Table(spark, path, SCHEMA)
+
+
 def open_or_create(spark: SparkSession, path: str) -> DataFrame:
-    """The index at ``path``; an empty one is written if there is none."""
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
-        spark.createDataFrame([], SCHEMA).write.parquet(path)
-    return spark.read.schema(SCHEMA).parquet(path)
+    """The rows of the index at ``path`` as they are now; what is committed later doesn't change them."""
+    return table(spark, path).snapshot().read()
 
 
-def append(index: DataFrame, path: str) -> None:
-    index.select(*[F.col(f.name).cast(f.dataType) for f in SCHEMA]).write.mode("append").parquet(path)
+def upsert(index: DataFrame, path: str) -> int:
+    """The version of the index at ``path`` in which the rows of ``index`` are, in place of those that had their ids."""
+    return table(index.sparkSession, path).upsert(index)
 
 
 def stats(index: DataFrame, name: str) -> DataFrame:
