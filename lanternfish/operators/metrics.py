@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanternfish.functions.text import tokens
+from lanternfish.operators import meteor
 from lanternfish.operators.skew import join_hot
 from lanternfish.sources.scratch import written
 
@@ -98,42 +98,9 @@ def rouge_l_of(candidate: list[str], references: list[list[str]], beta: float =
     return (1 + beta**2) * p * r / (r + beta**2 * p) if p and r else 0.0
 
 
-def _stem(word: str) -> str:
-    for end in ("ing", "ed", "es", "s"):
-        if word.endswith(end) and len(word) - len(end) >= 3:
-            return word[: -len(end)]
-    return word
-
-
-def _take_nearest(places: list[int], at: int) -> int:
-    """Takes from sorted ``places`` the one nearest to ``at``, of two equally near the lower."""
-    k = bisect_left(places, at)
-    if k == len(places) or k and at - places[k - 1] <= places[k] - at:
-        k -= 1
-    return places.pop(k)
-
-
 def meteor_exact_of(candidate: list[str], references: list[list[str]]) -> float:
-    """Exact and light-stem alignment, recall-weighted mean, fragmentation penalty; the best reference."""
-    best = 0.0
-    for ref in references:
-        match: dict[int, int] = {}
-        for stem in (lambda w: w, _stem):
-            taken = set(match.values())
-            by: dict[str, list[int]] = {}
-            for j, w in enumerate(ref):
-                if j not in taken:
-                    by.setdefault(stem(w), []).append(j)
-            for i, w in enumerate(candidate):
-                if i not in match and (places := by.get(stem(w))):
-                    match[i] = _take_nearest(places, match.get(i - 1, i - 1) + 1)
-        m = len(match)
-        if not m:
-            continue
-        chunks = sum(match.get(i - 1, -9) + 1 != j for i, j in match.items())
-        p, r = m / len(candidate), m / len(ref)
-        best = max(best, 10 * p * r / (r + 9 * p) * (1 - 0.5 * (chunks / m) ** 3))
-    return best
+    """That of the best reference."""
+    return max((meteor.score(candidate, r) for r in references), default=0.0)
 
 
 def _scored(candidates: DataFrame, references: DataFrame, parts, kinds: list[str]) -> DataFrame:

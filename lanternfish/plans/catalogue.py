@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from lanternfish.functions import text as T
 from lanternfish.functions import vector as V
-from lanternfish.operators import approximate, diagnostics, geometry, graph, ingest, knn, metrics, near_text, quantize, retrieve, selection
+from lanternfish.operators import approximate, diagnostics, geometry, graph, ingest, knn, metrics, near_text, pq, quantize, retrieve, selection, similar
 from lanternfish.plans.oracles import ORACLE_SQL
 from lanternfish.sources import index as I
-from lanternfish.sources.scratch import written
+from lanternfish.sources import snapshots
+from lanternfish.sources.scratch import new_path, written
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,6 +90,37 @@ def holdout_counts(spark, folder):
     return before.join(F.broadcast(after)).withColumn("deleted", F.col("before") - F.col("after"))
 
 
+def _narrow(spark, folder):
+    return caption_index(spark, folder).select("id", "image_id", F.md5("document").alias("digest"))
+
+
+def _revised(spark, folder):
+    """The index as a keyed table: built twice, a third of its rows changed, and every tenth image's rows deleted."""
+    rows = written(_narrow(spark, folder), "rows")
+    t = snapshots.Table(spark, new_path(spark, "index"), rows.schema)
+    for _ in range(2):
+        t.upsert(rows)
+    t.upsert(rows.where("image_id % 3 = 0").withColumn("digest", F.md5("digest")))
+    t.delete(rows.where("image_id % 10 = 0").select("id"))
+    return t
+
+
+@query
+def index_upsert(spark, folder):
+    """The rows as they are at last, without what a view holds out."""
+    return _revised(spark, folder).hold_out("asked", asked(spark, folder).select((F.col("query_id") + 1).alias("image_id"))).read()
+
+
+@query
+def index_versions(spark, folder):
+    """Rows and ids of each version; every version stays as it was."""
+    t, out = _revised(spark, folder), None
+    for v in t.versions():
+        part = t.snapshot(v).read().agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"), F.countDistinct("digest").alias("digests")).select(F.lit(v).alias("version"), "n", "ids", "digests")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query
 def vector_norms(spark, folder):
     return table(spark, folder, "embeddings").select("vec_id", r(V.norm(F.col("embedding"))).alias("norm"), r(V.normalise(F.col("embedding"))[0]).alias("dim0"))
@@ -179,17 +211,17 @@ def augmented(spark, folder):
 
 @query
 def near_dup_pairs(spark, folder):
-    return knn.similar_pairs(augmented(spark, folder), TWIN).select("a", "b", r("cosine").alias("cosine"))
+    return similar.similar_pairs(augmented(spark, folder), TWIN).select("a", "b", r("cosine").alias("cosine"))
 
 
 @query
 def max_sim_partner(spark, folder):
-    return knn.best_partners(augmented(spark, folder), TWIN).select("image_id", "partner", r("cosine").alias("cosine"))
+    return similar.best_partners(augmented(spark, folder), TWIN).select("image_id", "partner", r("cosine").alias("cosine"))
 
 
 @query
 def near_dup_clusters(spark, folder):
-    return graph.clusters(knn.similar_links(augmented(spark, folder), TWIN))
+    return graph.clusters(similar.similar_links(augmented(spark, folder), TWIN))
 
 
 @query
@@ -205,7 +237,7 @@ def shift_summary(spark, folder):
     vectors = written(i.groupBy("image_id").agg(F.first("embedding").alias("embedding"), F.first("is_augmented").alias("is_augmented")), "vectors")
     sample = vectors.where("image_id % 50 = 0").select("image_id", "is_augmented")
     base, aug = sample.where("not is_augmented"), sample.where("is_augmented")
-    members = graph.clusters(knn.similar_links(vectors.where("is_augmented"), TWIN))
+    members = graph.clusters(similar.similar_links(vectors.where("is_augmented"), TWIN))
     twins = graph.twins(aug, members).unionByName(aug.select("image_id")).distinct()
     held_base = I.hold_out(vectors.where("not is_augmented"), base)
     after = I.hold_out(vectors, sample)
@@ -372,7 +404,7 @@ def median_first_hit(spark, folder):
 @query
 def further_twins(spark, folder):
     vectors = augmented(spark, folder)
-    return graph.further_twins(vectors.where("image_id % 50 = 0"), graph.clusters(knn.similar_links(vectors, TWIN)))
+    return graph.further_twins(vectors.where("image_id % 50 = 0"), graph.clusters(similar.similar_links(vectors, TWIN)))
 
 
 @query
@@ -383,11 +415,18 @@ def tie_ranks(spark, folder):
 
 @query
 def approximate_recall(spark, folder):
-    """Whether a search of 24 of 32 lists finds nine of the ten nearest images, of all queries."""
+    """Whether a search of 24 of 32 lists finds nine of the ten nearest images, of all queries; and how many those are."""
+    i, q = _images(spark, folder), asked(spark, folder)
+    exact = written(knn.top_images(q, i, 10, True), "exact")
+    got = approximate.recall(approximate.search(q, approximate.index_of(i, 32), 10, 24, True), exact)
+    return got.join(F.broadcast(exact.agg(F.count(F.lit(1)).alias("nearest"), F.sum("image_id").alias("ids")))).select("queries", "nearest", "ids", (F.col("recall") >= 0.9).alias("reached"))
+
+
+@query
+def pq_neighbours(spark, folder):
+    """The ten nearest images by bounds of quantised vectors."""
     i, q = _images(spark, folder), asked(spark, folder)
-    found = approximate.search(q, approximate.index_of(i, 32), 10, 24, True)
-    got = approximate.recall(found, knn.top_images(q, i, 10, True))
-    return got.select("queries", (F.col("recall") >= 0.9).alias("reached"))
+    return pq.exact_search(q, i, pq.build(i, lists=32), 10, exclude_self=True).select("query_id", "rank", "image_id", r("cosine").alias("cosine"))
 
 
 @query
@@ -549,7 +588,7 @@ def near_dup_audit(spark, folder):
     i = caption_index(spark, folder)
     vectors = written(augmented(spark, folder), "augmented")
     sample = i.where("image_id % 50 = 0 and is_augmented").select("image_id")
-    got = graph.audit(written(knn.best_partners(vectors, TWIN), "partners"), graph.clusters(knn.similar_links(vectors, TWIN)), sample, near_exact=0.40)
+    got = graph.audit(written(similar.best_partners(vectors, TWIN), "partners"), graph.clusters(similar.similar_links(vectors, TWIN)), sample, near_exact=0.40)
     return got.withColumn("flagged_pct", r("flagged_pct"))
 
 

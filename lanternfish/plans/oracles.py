@@ -194,7 +194,7 @@ select mode, case when query_id % 2 = 0 then 'none' else 'both' end as crops, co
     "stride_sample": "select image_id from (select vec_id as image_id, row_number() over (order by vec_id) - 1 as i, count(*) over () as n from embeddings) where i % greatest(1, n // 50) = 0 order by i limit 50",
     "hash_sample": "select vec_id as image_id from embeddings order by md5(concat_ws('-', vec_id::varchar, '42')), vec_id limit 50",
     "tie_census": f"with {INDEX}, {found(2, OTHERS)}, t as (select query_id, round(max(distance) - min(distance), 9) as gap, count(*) as n from found group by 1) select count(*) filter (where n = 2 and gap = 0) as ties, count(*) as queries from t",
-    "k_dependence": "select 0::bigint as query_id, '' as k1, '' as k3 where false",
+    "k_dependence": f"with {INDEX}, {found(1, OTHERS, 'one')}, {found(3, OTHERS, 'three')} select query_id, one.id as k1, three.id as k3 from one join three using (query_id) where one.rank = 1 and three.rank = 1 and one.id <> three.id",
 }
 
 #: Crop configurations of the grid: number, name, variants.
@@ -250,13 +250,21 @@ select query_id, document as caption, round(distance, 6) as distance, round(mean
 t as (select image_id from clusters where cluster in (select cluster from clusters where image_id in (select image_id from s)))
 select (select count(*) from s) as sampled, (select count(*) from t) as twins, (select count(*) from t where image_id not in (select image_id from s)) as added""",
     "tie_ranks": f"with {TEN}, r as (select query_id, image_id, round(list_dot_product(qn.v, un.v), 9) as c, row_number() over (partition by query_id order by round(list_dot_product(qn.v, un.v), 9) desc, image_id) as rank from qn join un on query_id <> image_id), t as (select * from r where rank <= 10) select query_id, count(*) as ties, max(image_id) as other from t where c = (select max(c) from t x where x.query_id = t.query_id) group by 1",
-    "approximate_recall": "select count(*) as queries, true as reached from embeddings where vec_id % 50 = 0",
+    "approximate_recall": f"with {TEN}, {ranked('a', 'qn', 'un')} select count(distinct query_id) as queries, count(*) as nearest, sum(id)::bigint as ids, count(*) >= 9 * count(distinct query_id) as reached from a",
+    "pq_neighbours": f"with {TEN}, c as (select query_id, image_id, round(list_dot_product(qn.v, un.v), 9) as cosine from qn join un on query_id <> image_id) select query_id, rank::int as rank, image_id, round(cosine, 6) as cosine from (select *, row_number() over (partition by query_id order by cosine desc, image_id) as rank from c) where rank <= 10",
     "scrape_ingest": f"""with {TITLES}, p as (select page_id, page_id % 7 as category, {described('title')} as t from titles where page_id % 5 <> 0 and page_id % 900 >= 200),
 f as (select * from (select *, row_number() over (partition by page_id % 101 order by category, page_id) as k from p) where k = 1),
 n as (select *, row_number() over (order by category, page_id) - 1 as i from f)
 select 100000000 + i as image_id, 100000000 + i as id, case when t is null or regexp_matches(t, '{BLOCKED}') then 'A photograph of kind ' || category || '.' else t end as caption from n where i < 60""",
 }
 
+REVISED = f"""with {INDEX}, first as (select id, image_id, md5(document) as digest from caption_index), changed as (select id, image_id, case when image_id % 3 = 0 then md5(digest) else digest end as digest from first)"""
+ORACLE_SQL |= {
+    "index_upsert": f"{REVISED} select * from changed where image_id % 10 <> 0 and image_id % 50 <> 1",
+    "index_versions": f"""{REVISED}, told as (select 0 as version, * from first where false union all select unnest([1, 2]), * from first union all select 3, * from changed union all select 4, * from changed where image_id % 10 <> 0)
+select v::int as version, count(id) as n, count(distinct id) as ids, count(distinct digest) as digests from (select unnest(range(0, 5)) as v) left join told on version = v group by v""",
+}
+
 ORACLE_SQL["text_near_dups"] = f"""with recursive w as (select doc_id, token, count(*) as n from (select doc_id, unnest({tokens('text')}) as token from documents) group by all),
 t as (select doc_id, sum(n * n)::double as total, string_agg(token || ' ' || n, ' ' order by token) as bag from w group by doc_id),
 c as (select d.doc_id, coalesce(min(d.doc_id) over (partition by bag), d.doc_id) as least, bag, total from documents d left join t using (doc_id)),
