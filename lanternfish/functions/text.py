@@ -65,5 +65,33 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(plain, " "), lambda w: w != "")
 
 
+# The rules of the Penn Treebank's tokenisation, as (pattern, replacement), in the order in which they apply. Quotes open
+# at a text's start and after space or a bracket; clitics come apart; words that are run together are split.
+PTB_RULES = [
+    (r"^[\"\u201C]", "`` "), (r"([ (\[{<])[\"\u201C]", "$1 `` "), (r"\.\.\.|\u2026", " ... "), (r"([:,])(?![0-9])", " $1 "), (r"[;@#$%&]", " $0 "),
+    (r"([^.])(\.)([\])}>\"'\u201D\u2019]*)\s*$", "$1 $2$3 "), (r"([?!])", " $1 "), (r"([\]\[(){}<>])", " $1 "), (r"(--|\u2014|\u2013)", " -- "),
+    (r"[\"\u201D]", " '' "), (r"\u2019", "'"), (r"([^' ])('s|'m|'d) ", "$1 $2 "), (r"([^' ])('ll|'re|'ve|n't) ", "$1 $2 "), (r"([^'])' ", "$1 ' "),
+    (r"\b(can)(not)\b", "$1 $2"), (r"\b(gim|lem)(me)\b", "$1 $2"), (r"\b(gon|wan)(na)\b", "$1 $2"), (r"\b(got)(ta)\b", "$1 $2"), (r"\b(d)('ye)\b", "$1 $2"), (r"\b(more)('n)\b", "$1 $2"), (r" '(t)(is|was)\b", " '$1 $2"),
+]
+# Tokens that scorers of captions leave out, as the tokeniser writes them.
+PUNCTUATION = ["''", "'", "``", "`", "-LRB-", "-RRB-", "-LCB-", "-RCB-", ".", "?", "!", ",", ":", "-", "--", "...", ";"]
+BRACKETS = {"(": "-LRB-", ")": "-RRB-", "{": "-LCB-", "}": "-RCB-", "[": "-LSB-", "]": "-RSB-"}
+
+
+def ptb_tokens(text: Column, lower: bool = True, keep_punctuation: bool = False) -> Column:
+    """Tokens of ``text`` by the Penn Treebank's rules, one cascade of replacements; in lower case and without punctuation, as scorers of
+    captions take them, unless asked otherwise. Null and empty texts have none."""
+    out = F.concat(F.lit(" "), F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), r"\s+", " "), F.lit(" "))
+    out = F.regexp_replace(out, "^ ", "")
+    for pattern, by in PTB_RULES:
+        out = F.regexp_replace(out, f"(?i){pattern}" if "\\b" in pattern or "'s" in pattern or "n't" in pattern else pattern, by)
+    found = F.filter(F.split(out, r"\s+"), lambda w: w != "")
+    names = F.create_map(*[F.lit(x) for pair in BRACKETS.items() for x in pair])
+    found = F.transform(found, lambda w: F.coalesce(F.try_element_at(names, w), w))
+    if not keep_punctuation:
+        found = F.filter(found, lambda w: ~w.isin(PUNCTUATION))
+    return F.transform(found, lambda w: F.when(w.rlike("^-[LR][RCS]B-$"), w).otherwise(F.lower(w))) if lower else found
+
+
 def title_without_prefix(title: Column, prefix: str = "Category:") -> Column:
     return F.regexp_replace(title, f"^{prefix}", "")

@@ -9,12 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanternfish.sources.scratch import new_path
+from lanternfish.sources.scratch import new_path, written
 
 #: Query vectors that are multiplied at once, and bytes of query vectors that one scan of the images answers.
 BLOCK, ROUND_BYTES = 4096, 32 << 20
-#: Images that are multiplied at once. Memory only.
-STEP = 1024
+#: Images that are multiplied at once, and found rows (ids and numbers) that are sent to every task at most. Memory only.
+STEP, SENT = 1024, 200_000
 TINY = 1e-8
 #: Cosines are compared to so many decimals: the last bits depend on the order of summation.
 PLACES = 9
@@ -146,6 +146,8 @@ def nearest_captions(queries: DataFrame, index: DataFrame, k: int, exclude_self:
     first = Window.partitionBy("image_id").orderBy("ann_id")
     rows = index.select("id", "image_id", "ann_id").withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= k).drop("__n")
     w = Window.partitionBy(*keys).orderBy(F.desc("cosine"), "image_id", "ann_id")
-    near = found.drop("rank").join(rows, "image_id").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return near.join(index.select("id", "document"), "id").select(
+    near = written(found.drop("rank").join(rows, "image_id").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k), "near")
+    # texts are scanned where they lie: what was found goes to them, if it is as little as a round of queries finds
+    asked = F.broadcast(near) if near.count() <= SENT else near
+    return index.select("id", "document").join(asked, "id").select(
         *keys, "rank", "id", "image_id", "ann_id", "document", (2.0 * (1.0 - F.col("cosine"))).alias("distance"))

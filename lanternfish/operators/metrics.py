@@ -1,11 +1,12 @@
-"""Text metrics of a candidate against references, from their papers: (item, candidate), (item, reference)."""
+"""Text metrics of a candidate against references, from their papers: (item, candidate), (item, reference). Texts are split by ``split``: into
+runs of letters and digits, or as scorers of captions do (``text.ptb_tokens``)."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanternfish.functions.text import tokens
@@ -28,19 +29,19 @@ def _counted(df: DataFrame, keys: list[str], most: int) -> DataFrame:
     return df.select(*keys, F.explode(grams).alias("g")).groupBy(*keys, "g.n", "g.gram").agg(F.count(F.lit(1)).alias("c"))
 
 
-def _pair(candidates: DataFrame, references: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _pair(candidates: DataFrame, references: DataFrame, split: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
     """Tokens of candidates and references (numbered) of the items that have both, each written once: what makes
     candidates is a search, and the scores read both several times."""
-    made = written(candidates.select("item", tokens(F.col("candidate")).alias("words")), "candidates")
+    made = written(candidates.select("item", split(F.col("candidate")).alias("words")), "candidates")
     ref = references.join(made.select("item"), "item", "left_semi").select("item", "reference")
-    ref = ref.withColumn("r", F.row_number().over(Window.partitionBy("item").orderBy("reference"))).select("item", "r", tokens(F.col("reference")).alias("words"))
-    ref = written(ref, "references")
+    # a number for each row, which stays as it is once it is written
+    ref = written(ref.select("item", F.monotonically_increasing_id().alias("r"), split(F.col("reference")).alias("words")), "references")
     return made.join(ref.select("item"), "item", "left_semi"), ref
 
 
-def bleu(candidates: DataFrame, references: DataFrame, most: int = 4) -> DataFrame:
+def bleu(candidates: DataFrame, references: DataFrame, most: int = 4, split: Callable[[Column], Column] = tokens) -> DataFrame:
     """One row (bleu, n): corpus BLEU with clipped n-grams and the closest reference's length."""
-    cand, ref = _pair(candidates, references)
+    cand, ref = _pair(candidates, references, split)
     sizes = cand.select("item", F.size("words").alias("c")).join(ref.select("item", F.size("words").alias("k")), "item")
     length = sizes.groupBy("item", "c").agg(F.min(F.struct(F.abs(F.col("k") - F.col("c")).alias("gap"), "k")).alias("m"))
     out = length.agg(F.sum("c").alias("c"), F.sum("m.k").alias("r"), F.count(F.lit(1)).alias("n"))
@@ -53,12 +54,34 @@ def bleu(candidates: DataFrame, references: DataFrame, most: int = 4) -> DataFra
     return out.join(F.broadcast(mean)).select(F.coalesce(value, F.lit(0.0)).alias("bleu"), "n")  # one row each
 
 
-def cider(candidates: DataFrame, references: DataFrame, most: int = 4, sigma: float = 6.0) -> DataFrame:
-    """(item, cider): CIDEr-D, with document frequencies over the items scored."""
-    cand, ref = _pair(candidates, references)
-    items = ref.agg(F.countDistinct("item").alias("items"))
+def gram_frequencies(references: DataFrame, most: int = 4, split: Callable[[Column], Column] = tokens) -> DataFrame:
+    """(n, gram, df): in how many items of ``references`` (item, reference) each n-gram occurs; the row of n = 0 has the
+    number of items. Tables of disjoint sets of items add up (:func:`merged_frequencies`), so a corpus is counted once, as it comes in."""
+    words = references.select("item", split(F.col("reference")).alias("words"))
+    df = _counted(words, ["item"], most).groupBy("n", "gram").agg(F.count(F.lit(1)).alias("df"))
+    whole = references.agg(F.countDistinct("item").alias("df")).select(F.lit(0).alias("n"), F.lit(None).cast("string").alias("gram"), "df")
+    return df.unionByName(whole)
+
+
+def merged_frequencies(*tables: DataFrame) -> DataFrame:
+    """The frequencies of all items of several disjoint sets."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out.groupBy("n", "gram").agg(F.sum("df").alias("df"))
+
+
+def cider(candidates: DataFrame, references: DataFrame, most: int = 4, sigma: float = 6.0, frequencies: DataFrame | None = None,
+          split: Callable[[Column], Column] = tokens) -> DataFrame:
+    """(item, cider): CIDEr-D, with document frequencies over the items scored, or those of ``frequencies`` (:func:`gram_frequencies`), which
+    then are not counted again."""
+    cand, ref = _pair(candidates, references, split)
     rc, cc = written(_counted(ref, ["item", "r"], most), "grams"), _counted(cand, ["item"], most)
-    df = rc.groupBy("n", "gram").agg(F.countDistinct("item").alias("df"))
+    if frequencies is None:
+        items = ref.agg(F.countDistinct("item").alias("items"))
+        df = rc.groupBy("n", "gram").agg(F.countDistinct("item").alias("df"))
+    else:
+        items, df = frequencies.where("n = 0").agg(F.sum("df").alias("items")), frequencies.where("n > 0")
     idf = F.log(F.col("items").cast("double")) - F.log(F.greatest(F.coalesce("df", F.lit(0)), F.lit(1)).cast("double"))
     # a text has a gram once, so a gram is a small share of the rows, and few salts will do
     weigh = lambda x: join_hot(x, df, ["n", "gram"], F.col("item"), salts=4).join(F.broadcast(items)).withColumn("w", F.col("c") * idf)
@@ -103,10 +126,10 @@ def meteor_exact_of(candidate: list[str], references: list[list[str]]) -> float:
     return max((meteor.score(candidate, r) for r in references), default=0.0)
 
 
-def _scored(candidates: DataFrame, references: DataFrame, parts, kinds: list[str]) -> DataFrame:
+def _scored(candidates: DataFrame, references: DataFrame, parts, kinds: list[str], split: Callable[[Column], Column]) -> DataFrame:
     """(item, parts): of each item the greatest of each of ``parts`` (candidate, reference). A pair of a candidate and a
     reference is a row, so an item of many references is no one task's; Arrow batches hold the words."""
-    pairs = candidates.select("item", tokens(F.col("candidate")).alias("words")).join(references.select("item", tokens(F.col("reference")).alias("ref")), "item")
+    pairs = candidates.select("item", split(F.col("candidate")).alias("words")).join(references.select("item", split(F.col("reference")).alias("ref")), "item")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -122,16 +145,16 @@ def _rouge_parts(candidate: list[str], reference: list[str]) -> tuple[float, flo
     return n / max(1, len(candidate)), n / max(1, len(reference))
 
 
-def rouge_l(candidates: DataFrame, references: DataFrame, beta: float = 1.2) -> DataFrame:
+def rouge_l(candidates: DataFrame, references: DataFrame, beta: float = 1.2, split: Callable[[Column], Column] = tokens) -> DataFrame:
     """(item, rouge_l): of the greatest precision and the greatest recall over the references."""
-    both = _scored(candidates, references, _rouge_parts, ["p", "r"])
+    both = _scored(candidates, references, _rouge_parts, ["p", "r"], split)
     value = F.try_divide((1 + beta**2) * F.col("p") * F.col("r"), F.col("r") + beta**2 * F.col("p"))
     return both.select("item", F.coalesce(value, F.lit(0.0)).alias("rouge_l"))
 
 
-def meteor_exact(candidates: DataFrame, references: DataFrame) -> DataFrame:
+def meteor_exact(candidates: DataFrame, references: DataFrame, split: Callable[[Column], Column] = tokens) -> DataFrame:
     """(item, meteor_exact): that of the best reference."""
-    return _scored(candidates, references, lambda c, r: (meteor_exact_of(c, [r]),), ["meteor_exact"])
+    return _scored(candidates, references, lambda c, r: (meteor_exact_of(c, [r]),), ["meteor_exact"], split)
 
 
 def compared(before: DataFrame, after: DataFrame, references: DataFrame, score=cider, name: str = "cider") -> DataFrame:

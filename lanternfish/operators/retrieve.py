@@ -36,9 +36,9 @@ def variant_pool(variants: DataFrame, index: DataFrame, k: int = PER_VARIANT, ex
     return knn.nearest_captions(variants, index, k, exclude_self, images, keys=("query_id", "variant_no"))
 
 
-def advanced(variants: DataFrame, index: DataFrame, mode: str = "medoid") -> DataFrame:
+def advanced(variants: DataFrame, index: DataFrame, mode: str = "medoid", images: DataFrame | None = None) -> DataFrame:
     """(query_id, caption, distance, mode, variants) from all variants, PER_VARIANT rows each (one if top1)."""
-    got = selection.choose(variant_pool(variants, index, 1 if mode == "top1" else PER_VARIANT), mode)
+    got = selection.choose(variant_pool(variants, index, 1 if mode == "top1" else PER_VARIANT, images=images), mode)
     n = variants.groupBy("query_id").agg(F.count(F.lit(1)).alias("variants"))
     return got.join(n, "query_id")
 

@@ -46,9 +46,16 @@ def asked(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "label")
 
 
+def dealt_images(spark: SparkSession, folder: str) -> DataFrame:
+    """The images of the index with their vectors, from the table that has each once."""
+    e, d = table(spark, folder, "embeddings"), table(spark, folder, "documents")
+    used = d.where("doc_id is not null").select(F.pmod("doc_id", F.lit(e.count())).alias("image_id")).distinct()
+    return e.select(F.col("vec_id").alias("image_id"), "embedding").join(used, "image_id", "left_semi")
+
+
 def pool(spark: SparkSession, folder: str, k: int = 5) -> DataFrame:
     """The candidates of every query, written once: selections read them several times."""
-    return written(retrieve.pool_of(asked(spark, folder), caption_index(spark, folder), k, exclude_self=True), "pool")
+    return written(retrieve.pool_of(asked(spark, folder), caption_index(spark, folder), k, True, dealt_images(spark, folder)), "pool")
 
 
 def r(c, n: int = 6):
@@ -140,12 +147,12 @@ def _found(df):
 
 @query
 def knn_top10_sibling_excluded(spark, folder):
-    return _found(knn.nearest_captions(asked(spark, folder), caption_index(spark, folder), 10, exclude_self=True))
+    return _found(knn.nearest_captions(asked(spark, folder), caption_index(spark, folder), 10, True, dealt_images(spark, folder)))
 
 
 @query
 def knn_top1(spark, folder):
-    return _found(knn.nearest_captions(asked(spark, folder), caption_index(spark, folder), 1))
+    return _found(knn.nearest_captions(asked(spark, folder), caption_index(spark, folder), 1, images=dealt_images(spark, folder)))
 
 
 @query
@@ -153,7 +160,7 @@ def knn_id_excluded(spark, folder):
     """Only the query's first row is left out, so its siblings come first, at distance 0."""
     i = caption_index(spark, folder)
     own = i.groupBy(F.col("image_id").alias("query_id")).agg(F.min("ann_id").alias("own"))
-    found = knn.nearest_captions(asked(spark, folder), i, 6).join(own, "query_id", "left").where("not (image_id = query_id and ann_id = own)")
+    found = knn.nearest_captions(asked(spark, folder), i, 6, images=dealt_images(spark, folder)).join(own, "query_id", "left").where("not (image_id = query_id and ann_id = own)")
     w = Window.partitionBy("query_id").orderBy("rank")
     return _found(found.withColumn("rank", F.row_number().over(w)).where("rank <= 5"))
 
@@ -201,7 +208,7 @@ def variants(spark, folder):
 
 @query
 def advanced_retrieve(spark, folder):
-    got = retrieve.advanced(variants(spark, folder), caption_index(spark, folder))
+    got = retrieve.advanced(variants(spark, folder), caption_index(spark, folder), images=dealt_images(spark, folder))
     return got.select("query_id", "caption", r("distance").alias("distance"), "variants")
 
 
@@ -254,7 +261,7 @@ def shift_summary(spark, folder):
 @query
 def recall_unheld(spark, folder):
     q = asked(spark, folder)
-    hits = diagnostics.first_hits(knn.nearest_captions(q, caption_index(spark, folder), 10))
+    hits = diagnostics.first_hits(knn.nearest_captions(q, caption_index(spark, folder), 10, images=dealt_images(spark, folder)))
     return diagnostics.recall_at(hits, q, (1, 5, 10))
 
 
@@ -267,7 +274,7 @@ def recall_heldout(spark, folder):
 
 @query
 def first_hit_rank(spark, folder):
-    return diagnostics.first_hits(knn.nearest_captions(asked(spark, folder), caption_index(spark, folder), 10))
+    return diagnostics.first_hits(knn.nearest_captions(asked(spark, folder), caption_index(spark, folder), 10, images=dealt_images(spark, folder)))
 
 
 def _images(spark, folder):
@@ -348,7 +355,7 @@ def metric_delta(spark, folder):
 
 @query
 def clip_score(spark, folder):
-    top = knn.nearest_captions(asked(spark, folder), caption_index(spark, folder), 1, True)
+    top = knn.nearest_captions(asked(spark, folder), caption_index(spark, folder), 1, True, dealt_images(spark, folder))
     return top.select("query_id", r(V.clip_score(1.0 - F.col("distance") / 2, F.col("document"))).alias("clip_score"))
 
 
@@ -549,7 +556,7 @@ def gallery_entries(spark, folder):
 
 @query
 def ablation_table(spark, folder):
-    p, v = pool(spark, folder), retrieve.variant_pool(variants(spark, folder), caption_index(spark, folder))
+    p, v = pool(spark, folder), retrieve.variant_pool(variants(spark, folder), caption_index(spark, folder), images=dealt_images(spark, folder))
     out = None
     for crops, candidates in (("none", p), ("both", v)):
         for mode in ("top1", "medoid"):
@@ -570,7 +577,7 @@ def hash_sample(spark, folder):
 
 @query
 def tie_census(spark, folder):
-    found = knn.nearest_captions(asked(spark, folder), caption_index(spark, folder), 2, True)
+    found = knn.nearest_captions(asked(spark, folder), caption_index(spark, folder), 2, True, dealt_images(spark, folder))
     two = found.groupBy("query_id").agg(r(F.max("distance") - F.min("distance"), 9).alias("gap"), F.count(F.lit(1)).alias("n"))
     return two.agg(F.count_if((F.col("n") == 2) & (F.col("gap") == 0)).alias("ties"), F.count(F.lit(1)).alias("queries"))
 
@@ -578,8 +585,8 @@ def tie_census(spark, folder):
 @query
 def k_dependence(spark, folder):
     """Queries whose first row is another if three are asked for: none."""
-    q, i = asked(spark, folder), caption_index(spark, folder)
-    one, three = (knn.nearest_captions(q, i, k, True).where("rank = 1").select("query_id", F.col("id").alias(f"k{k}")) for k in (1, 3))
+    q, i, images = asked(spark, folder), caption_index(spark, folder), dealt_images(spark, folder)
+    one, three = (knn.nearest_captions(q, i, k, True, images).where("rank = 1").select("query_id", F.col("id").alias(f"k{k}")) for k in (1, 3))
     return one.join(three, "query_id").where(~F.col("k1").eqNullSafe(F.col("k3")))
 
 
@@ -602,7 +609,7 @@ def shift_percent(spark, folder):
 @query
 def recall_random(spark, folder):
     q = asked(spark, folder)
-    found = knn.nearest_captions(diagnostics.random_vectors(q.select("query_id"), 64), caption_index(spark, folder), 10)
+    found = knn.nearest_captions(diagnostics.random_vectors(q.select("query_id"), 64), caption_index(spark, folder), 10, images=dealt_images(spark, folder))
     return diagnostics.recall_at(diagnostics.first_hits(found), q, (1, 5, 10))
 
 
@@ -685,7 +692,7 @@ def gallery_lookup(spark, folder):
 def ablation_grid(spark, folder):
     """Every crop configuration and selection mode at once: variants 1 and 2 stand for segments, 3 for an object, the last two for random crops."""
     kinds = F.expr("case variant_no when 0 then array('original') when 1 then array('segment') when 2 then array('segment', 'random') else array('object', 'random') end")
-    p = retrieve.variant_pool(variants(spark, folder), caption_index(spark, folder)).withColumn("kind", F.explode(kinds))
+    p = retrieve.variant_pool(variants(spark, folder), caption_index(spark, folder), images=dealt_images(spark, folder)).withColumn("kind", F.explode(kinds))
     got = retrieve.ablation(p)
     return got.groupBy("crops", "mode").agg(F.count(F.lit(1)).alias("n"), r(F.avg("distance")).alias("mean_distance"), r(F.avg(F.char_length("caption"))).alias("mean_chars"))
 
