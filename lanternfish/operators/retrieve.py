@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,6 +95,38 @@ def query_latency(queries: DataFrame, index: DataFrame, images: DataFrame, k: in
     return queries.sparkSession.createDataFrame(rows, "query_id bigint, ms double")
 
 
+def search_latency(queries: DataFrame, images: DataFrame, k: int = TOP_K, round_bytes: int = knn.ROUND_BYTES) -> DataFrame:
+    """(query_id, ms, work_ms, tasks) of ``queries`` (query_id, embedding): how long each query, asked alone, takes the slowest task of a
+    scan of ``images`` (image_id, embedding), which is what it waits for on a cluster where all run at once, and all tasks together.
+
+    Every task times every query on its part, one after another and vectors being read already, so many queries are one job for each round of
+    ``round_bytes`` of them, and times hold no planning. What was found is dropped."""
+    spark = images.sparkSession
+    known, out = images.where("embedding is not null").select("embedding"), None
+    for ids, q in knn._rounds(queries.where("embedding is not null"), ["query_id"], round_bytes):
+        sent = spark.sparkContext.broadcast(([i[0] for i in ids], knn._unit(q)))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            ids, q = sent.value
+            took, best, read = np.zeros(len(ids)), [np.zeros(0)] * len(ids), False
+            for b in batches:
+                for lo in range(0, b.num_rows, knn.STEP):
+                    m, read = knn._unit(knn._matrix(b.column(0).slice(lo, knn.STEP))), True
+                    for i in range(len(ids)):
+                        began = time.perf_counter()
+                        s = np.concatenate([best[i], m @ q[i]])
+                        best[i] = np.partition(s, -k)[-k:] if len(s) > k else s
+                        took[i] += time.perf_counter() - began
+            if read:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(took * 1000)], names=["query_id", "ms"])
+
+        part = known.mapInArrow(run, "query_id bigint, ms double")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return spark.createDataFrame([], "query_id bigint, ms double, work_ms double, tasks bigint")
+    return out.groupBy("query_id").agg(F.max("ms").alias("ms"), F.sum("ms").alias("work_ms"), F.count(F.lit(1)).alias("tasks"))
+
+
 #: Kinds of variants that each configuration of an ablation asks with, beside the original.
 CROPS = {"none": (), "segmentation": ("segment",), "object-detection": ("object",), "both": ("segment", "object"), "random": ("random",)}
 

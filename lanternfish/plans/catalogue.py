@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lanternfish.functions import text as T
 from lanternfish.functions import vector as V
-from lanternfish.operators import approximate, diagnostics, geometry, graph, ingest, knn, metrics, near_text, pq, quantize, retrieve, selection, similar
+from lanternfish.operators import approximate, diagnostics, folded, geometry, graph, ingest, knn, metrics, near_text, pq, quantize, retrieve, selection, similar, spaces
 from lanternfish.plans.oracles import ORACLE_SQL
 from lanternfish.sources import index as I
 from lanternfish.sources import snapshots
@@ -231,6 +231,21 @@ def near_dup_clusters(spark, folder):
     return graph.clusters(similar.similar_links(augmented(spark, folder), TWIN))
 
 
+@query
+def near_dup_links(spark, folder):
+    """One row an image: its cluster, and how many others are similar to it."""
+    return similar.similar_classes(augmented(spark, folder), TWIN)
+
+
+@query
+def folded_clusters(spark, folder):
+    """The clusters again, links coming in three batches."""
+    links, f = written(similar.similar_links(augmented(spark, folder), TWIN), "links"), folded.Folded(spark, new_path(spark, "folded"))
+    for batch in range(3):
+        f.fold(links.where(F.pmod(F.xxhash64("a", "b"), F.lit(3)) == batch))
+    return f.labels().select(F.col("node").alias("image_id"), F.col("root").alias("cluster"))
+
+
 @query
 def cluster_stats(spark, folder):
     sizes = graph.cluster_sizes(near_dup_clusters(spark, folder))
@@ -304,7 +319,7 @@ def fp16_overlap(spark, folder):
     q, i = asked(spark, folder), _images(spark, folder)
     plain = _ranked(knn.top_images(q, i, 10, True))
     half = _ranked(knn.top_images(quantize.fp16_round_trip(q), quantize.fp16_round_trip(i), 10, True, unit=False))
-    return quantize.overlap(plain, half, 10)
+    return quantize.overlap(plain, half, 10).select("queries", "shared", r("overlap").alias("overlap"), "flips", r("flip_rate").alias("flip_rate"))
 
 
 @query
@@ -333,6 +348,26 @@ def cider(spark, folder):
     return metrics.cider(*_scored(spark, folder)).select("item", r("cider").alias("cider"))
 
 
+@query
+def cider_stored(spark, folder):
+    """CIDEr by document frequencies that were counted before, in two parts."""
+    cand, refs = _scored(spark, folder)
+    cand = written(cand, "medoids")
+    mine = written(refs.join(cand.select("item"), "item", "left_semi"), "references")
+    parts = [metrics.gram_frequencies(mine.where(F.col("item") % 100 == part)) for part in (0, 50)]
+    stored = written(metrics.merged_frequencies(*parts), "frequencies")
+    return metrics.cider(cand, mine, frequencies=stored).select("item", r("cider").alias("cider"))
+
+
+@query
+def caption_space(spark, folder):
+    """Where the images of held-out captions come among each other by the captions' vectors, fitted to all other captions."""
+    i, images = caption_index(spark, folder).select("id", "image_id", "document"), dealt_images(spark, folder)
+    held = F.col("image_id") % 50 == 0
+    space = spaces.fit(i.where(~held), images.where(~held))
+    return spaces.own_rank(space, i.where(held), images.where(held)).select("image_id", F.md5("document").alias("caption"), "rank", "of")
+
+
 @query
 def rouge_l(spark, folder):
     return metrics.rouge_l(*_scored(spark, folder)).select("item", r("rouge_l").alias("rouge_l"))

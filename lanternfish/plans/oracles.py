@@ -258,6 +258,18 @@ n as (select *, row_number() over (order by category, page_id) - 1 as i from f)
 select 100000000 + i as image_id, 100000000 + i as id, case when t is null or regexp_matches(t, '{BLOCKED}') then 'A photograph of kind ' || category || '.' else t end as caption from n where i < 60""",
 }
 
+#: Half precision: eleven significant bits, of which numbers below 2^-14 keep those above 2^-24.
+HALF = "list_transform(v, lambda x: case when x = 0 then 0.0::double else round_even(x::float::double * pow(2, 10 - greatest(floor(log2(abs(x::float::double))), -14)), 0) / pow(2, 10 - greatest(floor(log2(abs(x::float::double))), -14)) end)"
+ORACLE_SQL |= {
+    "near_dup_links": f"with recursive {INDEX}, {AUG}, {CLUSTERS} select c.image_id, c.cluster, count(*) as links from clusters c join both_ways on a = c.image_id group by all",
+    "folded_clusters": ORACLE_SQL["near_dup_clusters"],
+    "cider_stored": ORACLE_SQL["cider"],
+    "fp16_overlap": f"""with {TEN}, hz as (select image_id, {HALF} as v from un), hq as (select image_id as query_id, v from hz where image_id % 50 = 0), {ranked('a', 'qn', 'un')}, {ranked('b', 'hq', 'hz')},
+x as (select count(*) as shared from a join b using (query_id, id)), y as (select count(*) as queries, count(*) filter (where a.id <> b.id) as flips from a join b using (query_id) where a.rank = 1 and b.rank = 1)
+select queries, shared, round(shared::double / (select count(*) from a), 6) as overlap, flips, round(flips::double / queries, 6) as flip_rate from x cross join y""",
+    "recall_heldout": f"with {INDEX}, held as (select * from caption_index where image_id not in (select query_id from q)), {found(10, 'true', 'found', 'held')}, h as (select query_id, min(rank) as f from found where image_id = query_id group by 1), k as (select unnest([1, 5, 10]) as k) select k, count(*) filter (where f <= k) as hits, avg((coalesce(f, 99) <= k)::int::double) as recall from q left join h using (query_id) cross join k group by k",
+}
+
 REVISED = f"""with {INDEX}, first as (select id, image_id, md5(document) as digest from caption_index), changed as (select id, image_id, case when image_id % 3 = 0 then md5(digest) else digest end as digest from first)"""
 ORACLE_SQL |= {
     "index_upsert": f"{REVISED} select * from changed where image_id % 10 <> 0 and image_id % 50 <> 1",

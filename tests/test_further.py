@@ -174,3 +174,13 @@ def test_near_texts_against_all_pairs(spark):
     for i in range(len(texts)):
         least = next(j for j in range(len(texts)) if bags[j] == bags[i]) if bags[i] else i
         assert got[i] == (least, root[i], len(linked[i]))
+
+
+def test_search_latency(spark):
+    """Every query is timed by every task that holds vectors, in rounds or at once."""
+    images = spark.range(400).select(F.col("id").alias("image_id"), F.array(*[F.rand(i).cast("float") for i in range(8)]).alias("embedding")).repartition(3)
+    queries = images.where("image_id < 12").withColumnRenamed("image_id", "query_id")
+    for size in (1 << 20, 3 * 64):
+        got = retrieve.search_latency(queries, images, 5, size).collect()
+        assert sorted(r.query_id for r in got) == list(range(12)) and all(0 < r.ms <= r.work_ms and r.tasks == 3 for r in got)
+    assert retrieve.search_latency(queries.where("false"), images).count() == 0
