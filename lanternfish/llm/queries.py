@@ -82,9 +82,14 @@ def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
     return codes.vector_codes(_table(spark, folder, "embeddings"))
 
 
+def secrets_base(spark: SparkSession, folder: str) -> DataFrame:
+    """The base columns of op8, which SQL can say."""
+    return op8_secrets(spark, folder).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_decontamination, op2_warc, op3_quality, op4_sentencepiece, op5_exact_dedup, op6_simhash, op7_toxicity, op8_secrets, op9_preferences, op10_licences,
-                                op11_top_k, op12_spelling, op13_vector_codes)
+                                op11_top_k, op12_spelling, op13_vector_codes, secrets_base)
 }
 
 WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -187,7 +192,7 @@ def _pieces(kind: str, pattern: str, check: str) -> str:
 
 
 #: DuckDB SQL of the base columns of op8; the spans of the kinds with a checksum (CRC-32, Luhn and mod 97) are beyond
-#: it, and the query has them all in one column, so this serves a test and is no oracle of the whole query.
+#: it, and the query has them all in one column, so this is the SQL of its base columns.
 ASSIGN = "(?i:password|passwd|secret|token|api_?key)[\"'']?\\x20*[:=]\\x20*[\"'']?[A-Za-z0-9+/_.=-]+"
 OP8_BASE = f"""with texts as (select doc_id, coalesce(text, '') as t from documents),
 {_pieces("assign", ASSIGN, "length(regexp_extract(m, '^(?i:password|passwd|secret|token|api_?key)[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)$', 1)) >= 8")},
@@ -196,3 +201,5 @@ OP8_BASE = f"""with texts as (select doc_id, coalesce(text, '') as t from docume
 k as (select *, 1 as place from assign_k union all select *, 2 from access_k union all select *, 3 from hex_k)
 select d.doc_id, count(*) filter (where kind = 'assign') as n_assign, count(*) filter (where kind = 'access') as n_access, count(*) filter (where kind = 'hex') as n_hex,
   sha256(coalesce(string_agg(kind || ':' || a || ':' || b, ',' order by a, place), '')) as base_sha256 from documents d left join k using (doc_id) group by d.doc_id"""
+
+ORACLE_SQL["secrets_base"] = OP8_BASE
