@@ -120,3 +120,23 @@ def tie_ranks(found: DataFrame) -> DataFrame:
     first = found.where("rank = 1").select("query_id", F.col("cosine").alias("top"), F.col("image_id").alias("first"))
     met = found.join(first, "query_id").where("cosine = top")
     return met.groupBy("query_id").agg(F.count(F.lit(1)).alias("ties"), F.max("image_id").alias("other"))
+
+
+def chain_disagreement(found: DataFrame) -> DataFrame:
+    """One row (queries, disagreements, share, deepest): of ranked rows (query_id, image_id, ann_id, distance) of one search, queries whose
+    first row is another if ties go to the last row of equal distance in place of the first, as in a chain that selects before it sorts; and how
+    far down such a row is ranked, the first being 0. Distances are equal if they agree to nine decimals."""
+    near = found.select("query_id", F.round("distance", 9).alias("d"), F.struct("image_id", "ann_id").alias("row"))
+    least = near.groupBy("query_id").agg(F.min(F.struct("d", "row")).alias("first"))
+    tied = near.join(least, "query_id").where(F.col("d") == F.col("first.d")).groupBy("query_id").agg(F.max("row").alias("last"), F.first("first.row").alias("first"), F.count(F.lit(1)).alias("ties"))
+    other = F.col("last") != F.col("first")
+    got = tied.agg(F.count(F.lit(1)).alias("queries"), F.count_if(other).alias("disagreements"), F.coalesce(F.max(F.when(other, F.col("ties") - 1)), F.lit(0)).alias("deepest"))
+    return got.select("queries", "disagreements", F.try_divide(F.col("disagreements").cast("double"), "queries").alias("share"), "deepest")
+
+
+def source_shift(records: DataFrame, base: str) -> DataFrame:
+    """(source, mean, median, least, most, n, shift_pct) of nearest distances (source, top1_distance) of several sources that were asked in one
+    run: by how much each mean is above that of the source ``base``; null if there is none."""
+    told = summary(records, ["source"], "top1_distance")
+    first = told.where(F.col("source") == base).agg(F.max("mean").alias("__base"))
+    return told.join(F.broadcast(first)).withColumn("shift_pct", percent_shift(F.col("mean"), F.col("__base"))).drop("__base")  # one row

@@ -67,16 +67,19 @@ def first_of_each(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
-def scraped(listed: DataFrame, info: DataFrame, order: list[str], offset: int, target: int, load: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def scraped(listed: DataFrame, info: DataFrame, order: list[str], offset: int, target: int, load: DataFrame | None = None,
+            seen: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """((image_id, id, caption) of what is taken, (image_id, title, author, license, license_url, source_url, category)).
 
     ``listed`` is (category, phrase, place, title, ...), ``info`` what the service says of each title. Titles that can be
     photographs are taken in the ``order`` of categories and places, the first of each url, ``target`` at most; with
-    ``load`` (title, content) only those whose image came. Numbers from ``offset`` go to what is taken.
+    ``load`` (title, content) only those whose image came, with ``seen`` (url) none that an earlier run took. Numbers from ``offset`` go to what is taken.
     """
     fit = is_photo(listed.join(info, "title"))
     if load is not None:
         fit = fit.join(load.where("content is not null").select("title").distinct(), "title", "left_semi")
+    if seen is not None:
+        fit = fit.join(seen.select("url").distinct(), "url", "left_anti")
     first = first_of_each(fit, "url", order)
     taken = numbered(captioned(first.withColumn("html", F.col("description"))), order, 0, "__n").where(F.col("__n") < target)
     taken = written(taken.withColumn("image_id", F.col("__n") + offset).drop("__n"), "taken")

@@ -37,6 +37,12 @@ def overlap(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
     return one.select("queries", "shared", F.try_divide(F.col("shared").cast("double"), "ranked").alias("overlap"), "flips", F.try_divide(F.col("flips").cast("double"), "queries").alias("flip_rate"))
 
 
+def flip_examples(a: DataFrame, b: DataFrame, most: int = 10) -> DataFrame:
+    """(query_id, before, after) of the first ``most`` queries, by id, whose first row is another in ``b``: a report of that length."""
+    first = lambda df, name: df.where("rank = 1").select("query_id", F.col("id").alias(name))
+    return first(a, "before").join(first(b, "after"), "query_id").where("before <> after").orderBy("query_id").limit(most)
+
+
 def memory_table(vectors: DataFrame) -> DataFrame:
     """(precision, bytes, megabytes, saved_pct): array sizes, which no store promises."""
     size = vectors.agg(F.sum(F.size("embedding").cast("bigint")).alias("values"))

@@ -60,6 +60,16 @@ def generate(retrieved: DataFrame, backend: str = "retrieval", model: Callable |
     return asked.withColumn("generated_caption", without_prompt(model("caption", "prompt"), F.col("prompt"))).drop("prompt")
 
 
+def generation_probe(retrieved: DataFrame, model: Callable) -> DataFrame:
+    """(query_id, prompt, prompted, bare, echoed) of retrieved captions (query_id, caption): what ``model`` (see :func:`generate`) writes with the prompt and
+    without any, as it comes, and whether the first one begins with the prompt."""
+    from lanternfish.functions.text import prompt
+
+    asked = retrieved.select("query_id", "caption", prompt(F.col("caption")).alias("prompt"), F.lit("").alias("__none"))
+    told = asked.withColumn("prompted", model("caption", "prompt")).withColumn("bare", model("caption", "__none"))
+    return told.select("query_id", "prompt", "prompted", "bare", F.coalesce(F.startswith(F.lower("prompted"), F.lower("prompt")), F.lit(False)).alias("echoed"))
+
+
 def timed(variants: DataFrame, index: DataFrame, mode: str = "medoid", images: DataFrame | None = None, vectors: DataFrame | None = None) -> tuple[DataFrame, dict[str, float]]:
     """((query_id, caption, distance, mode, clip_score), seconds of each stage): each stage is written before the next
     begins, so its wall time is its own. The score is of the caption's vector (``vectors``: document, embedding)

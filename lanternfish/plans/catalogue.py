@@ -589,6 +589,26 @@ def gallery_entries(spark, folder):
     return got.select("image_id", F.coalesce(F.array_join("references", " | "), F.lit("")).alias("refs"), F.element_at("configs", "medoid__none")["caption"].alias("medoid"), F.element_at("configs", "top1__none")["caption"].alias("top1"))
 
 
+#: What stands for the crops of an image: variants 1 and 2 for segments, 3 for an object, the last two for random crops.
+KINDS = "case variant_no when 0 then array('original') when 1 then array('segment') when 2 then array('segment', 'random') else array('object', 'random') end"
+
+
+def _cropped_pool(spark, folder):
+    found = retrieve.variant_pool(variants(spark, folder), caption_index(spark, folder), images=dealt_images(spark, folder))
+    return written(found, "pool").withColumn("kind", F.explode(F.expr(KINDS)))
+
+
+@query
+def gallery_grid(spark, folder):
+    """The whole gallery: two modes and four crop configurations of every image."""
+    runs = retrieve.ablation(_cropped_pool(spark, folder), ("none", "segmentation", "object-detection", "both"), ("top1", "medoid"))
+    runs = runs.select(F.concat_ws("__", "mode", "crops").alias("config"), F.col("query_id").alias("image_id"), "caption", r("distance").alias("score"))
+    refs = caption_index(spark, folder).select("image_id", "ann_id", F.col("document").alias("caption"))
+    got = ingest.gallery(written(runs, "runs"), refs)
+    said = F.transform(F.array_sort(F.map_entries("configs")), lambda e: F.concat(e["key"], F.lit("="), e["value"]["caption"]))
+    return got.select("image_id", F.size("configs").alias("n"), F.md5(F.array_join(said, " ## ")).alias("captions"), F.coalesce(F.array_join("references", " | "), F.lit("")).alias("refs"))
+
+
 @query
 def ablation_table(spark, folder):
     p, v = pool(spark, folder), retrieve.variant_pool(variants(spark, folder), caption_index(spark, folder), images=dealt_images(spark, folder))
@@ -625,6 +645,33 @@ def k_dependence(spark, folder):
     return one.join(three, "query_id").where(~F.col("k1").eqNullSafe(F.col("k3")))
 
 
+@query
+def chain_disagreement(spark, folder):
+    """Rows of an image have one vector: how often the first of ten is another if ties go the other way."""
+    got = diagnostics.chain_disagreement(knn.nearest_captions(asked(spark, folder), caption_index(spark, folder), 10, True, dealt_images(spark, folder)))
+    return got.select("queries", "disagreements", r("share").alias("share"), "deepest")
+
+
+@query
+def source_shift(spark, folder):
+    """Base images and three augmented sources, asked in one run of an index that holds none of them."""
+    e = table(spark, folder, "embeddings")
+    q = asked(spark, folder)
+    held = _images(spark, folder).join(e.where("label < 7").select(F.col("vec_id").alias("image_id")), "image_id", "left_semi").join(q.select(F.col("query_id").alias("image_id")), "image_id", "left_anti")
+    found = knn.top_images(q, held, 1).select("query_id", (2.0 * (1.0 - F.col("cosine"))).alias("top1_distance"))
+    source = F.when(F.col("label") < 7, "base").otherwise(F.concat(F.lit("source "), F.col("label").cast("string")))
+    got = diagnostics.source_shift(written(found.join(q.select("query_id", source.alias("source")), "query_id"), "records"), "base")
+    return got.select("source", *[r(c).alias(c) for c in ("mean", "median", "least", "most")], "n", r("shift_pct", 3).alias("shift_pct"))
+
+
+@query
+def flip_examples(spark, folder):
+    """The first ten queries whose nearest image is another when vectors are bytes."""
+    q, i = asked(spark, folder), _images(spark, folder)
+    coarse = knn.top_images(quantize.int8_round_trip(q), quantize.int8_round_trip(i), 10, True, unit=False)
+    return quantize.flip_examples(_ranked(knn.top_images(q, i, 10, True)), _ranked(coarse))
+
+
 @query
 def near_dup_audit(spark, folder):
     i = caption_index(spark, folder)
@@ -725,9 +772,8 @@ def gallery_lookup(spark, folder):
 
 @query
 def ablation_grid(spark, folder):
-    """Every crop configuration and selection mode at once: variants 1 and 2 stand for segments, 3 for an object, the last two for random crops."""
-    kinds = F.expr("case variant_no when 0 then array('original') when 1 then array('segment') when 2 then array('segment', 'random') else array('object', 'random') end")
-    p = retrieve.variant_pool(variants(spark, folder), caption_index(spark, folder), images=dealt_images(spark, folder)).withColumn("kind", F.explode(kinds))
+    """Every crop configuration and selection mode at once."""
+    p = _cropped_pool(spark, folder)
     got = retrieve.ablation(p)
     return got.groupBy("crops", "mode").agg(F.count(F.lit(1)).alias("n"), r(F.avg("distance")).alias("mean_distance"), r(F.avg(F.char_length("caption"))).alias("mean_chars"))
 

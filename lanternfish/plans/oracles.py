@@ -270,6 +270,24 @@ select queries, shared, round(shared::double / (select count(*) from a), 6) as o
     "recall_heldout": f"with {INDEX}, held as (select * from caption_index where image_id not in (select query_id from q)), {found(10, 'true', 'found', 'held')}, h as (select query_id, min(rank) as f from found where image_id = query_id group by 1), k as (select unnest([1, 5, 10]) as k) select k, count(*) filter (where f <= k) as hits, avg((coalesce(f, 99) <= k)::int::double) as recall from q left join h using (query_id) cross join k group by k",
 }
 
+ORACLE_SQL |= {
+    "gallery_grid": f"""with {INDEX}, {VARIANTS}, {GRID}, pool as (select query_id * 5 + c as query_id, variant_no, rank, document, distance from vpool join grid on list_contains(vs, variant_no)), {MEDOID}, {TOP1},
+u as (select 'medoid' as mode, query_id, caption from medoid union all select 'top1', query_id, caption from top1),
+e as (select query_id // 5 as image_id, mode || '__' || crops as config, caption from u join grid on c = query_id % 5 where crops <> 'random'),
+r as (select image_id, string_agg(document, ' | ' order by ann_id) as refs from (select *, row_number() over (partition by image_id order by ann_id) as k from caption_index) where k <= 3 group by 1)
+select e.image_id, count(*)::int as n, md5(string_agg(config || '=' || caption, ' ## ' order by config)) as captions, coalesce(any_value(refs), '') as refs from e left join r using (image_id) group by 1""",
+    "chain_disagreement": f"""with {INDEX}, {found(10, OTHERS)}, nd as (select *, round(distance, 9) as d, min(round(distance, 9)) over (partition by query_id) as least from found),
+t as (select query_id, min((image_id, ann_id)) as first, max((image_id, ann_id)) as last, count(*) as ties from nd where d = least group by 1)
+select count(*) as queries, count(*) filter (where first <> last) as disagreements, round(count(*) filter (where first <> last)::double / count(*), 6) as share, coalesce(max(case when first <> last then ties - 1 end), 0)::bigint as deepest from t""",
+    "source_shift": f"""with {INDEX}, im as (select vec_id as image_id, embedding from embeddings where label < 7 and vec_id % 50 <> 0),
+f as (select query_id, min(2 * (1 - round(list_cosine_similarity(q.v, im.embedding::double[]), 9))) as d from q cross join im group by 1),
+s as (select case when label < 7 then 'base' else 'source ' || label end as source, d from f join embeddings on vec_id = query_id),
+g as (select source, avg(d) as m, median(d) as median, min(d) as least, max(d) as most, count(*) as n from s group by 1)
+select source, round(m, 6) as mean, round(median, 6) as median, round(least, 6) as least, round(most, 6) as most, n, round((m / (select m from g where source = 'base') - 1) * 100, 3) as shift_pct from g""",
+    "flip_examples": f"""with {TEN}, {coded('qz', 'qn', 'query_id')}, {coded('z', 'un', 'image_id')}, {ranked('a', 'qn', 'un')}, {ranked('b', 'qz', 'z')}
+select query_id, a.id as before, b.id as after from a join b using (query_id) where a.rank = 1 and b.rank = 1 and a.id <> b.id order by query_id limit 10""",
+}
+
 REVISED = f"""with {INDEX}, first as (select id, image_id, md5(document) as digest from caption_index), changed as (select id, image_id, case when image_id % 3 = 0 then md5(digest) else digest end as digest from first)"""
 ORACLE_SQL |= {
     "index_upsert": f"{REVISED} select * from changed where image_id % 10 <> 0 and image_id % 50 <> 1",

@@ -52,8 +52,8 @@ class Scrape:
         """(failure, n) of the titles that are listed and have no answer."""
         return remote.failures(self.said.snapshot().read())
 
-    def taken(self, phrases: DataFrame, offset: int, target: int, load: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-        """Annotations and notes of what the scrape has so far (``ingest.scraped``): each url once, in the order of categories and
-        places. ``phrases`` is (category, phrase)."""
+    def taken(self, phrases: DataFrame, offset: int, target: int, load: DataFrame | None = None, seen: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """Annotations and notes of what the scrape has so far (``ingest.scraped``): each url once, and none of ``seen`` (url), in the order of
+        categories and places. ``phrases`` is (category, phrase)."""
         rows = self.listed.snapshot().read().select("category", "title", F.struct("level", "pos").alias("place")).join(phrases, "category")
-        return ingest.scraped(rows, self.said.snapshot().read().drop("failure"), ["category", "place"], offset, target, load)
+        return ingest.scraped(rows, self.said.snapshot().read().drop("failure"), ["category", "place"], offset, target, load, seen)

@@ -184,3 +184,32 @@ def test_search_latency(spark):
         got = retrieve.search_latency(queries, images, 5, size).collect()
         assert sorted(r.query_id for r in got) == list(range(12)) and all(0 < r.ms <= r.work_ms and r.tasks == 3 for r in got)
     assert retrieve.search_latency(queries.where("false"), images).count() == 0
+
+
+def test_ties_that_go_the_other_way(spark):
+    rows = [(1, 5, 1, 0.2), (1, 5, 2, 0.2), (1, 6, 1, 0.2 + 1e-12), (1, 7, 1, 0.3), (2, 5, 1, 0.1), (2, 6, 1, 0.4), (3, 9, 4, 0.0), (3, 9, 5, 0.0)]
+    got = diagnostics.chain_disagreement(spark.createDataFrame(rows, "query_id long, image_id long, ann_id long, distance double")).first()
+    assert tuple(got) == (3, 2, 2 / 3, 2)
+    assert tuple(diagnostics.chain_disagreement(spark.createDataFrame([], "query_id long, image_id long, ann_id long, distance double")).first()) == (0, 0, None, 0)
+
+
+def test_several_sources_in_one_run(spark):
+    rows = [("base", 0.2), ("base", 0.4), ("x", 0.6), ("y", 0.3), ("y", None)]
+    got = {r.source: (round(r["mean"], 9), r.n, round(r.shift_pct, 6)) for r in diagnostics.source_shift(spark.createDataFrame(rows, "source string, top1_distance double"), "base").collect()}
+    assert got == {"base": (0.3, 2, 0.0), "x": (0.6, 1, 100.0), "y": (0.3, 1, 0.0)}
+    assert all(r.shift_pct is None for r in diagnostics.source_shift(spark.createDataFrame(rows, "source string, top1_distance double"), "none").collect())
+
+
+def test_generation_with_and_without_a_prompt(spark):
+    model = F.pandas_udf(lambda context, prompt: prompt + " a picture", "string")
+    got = {r.query_id: r for r in retrieve.generation_probe(spark.createDataFrame([(1, "A cat. More."), (2, "")], "query_id long, caption string"), model).collect()}
+    assert got[1].prompted == "a photo related to: A cat a picture" and got[1].bare == " a picture" and got[1].echoed and not got[2].echoed
+
+
+def test_urls_of_an_earlier_run(spark):
+    listed = spark.createDataFrame([("c", "p", i, f"t{i}") for i in range(4)], "category string, phrase string, place int, title string")
+    info = spark.createDataFrame([(f"t{i}", "image/png", 300, 300, f"u{i % 3}", "", None, None, None, None) for i in range(4)],
+                                 "title string, mime string, width int, height int, url string, description string, artist string, licence string, licence_url string, page_url string")
+    seen = spark.createDataFrame([("u1",), ("u1",), (None,)], "url string")
+    taken = lambda **more: [r.title for r in ingest.scraped(listed, info, ["category", "place"], 10, 9, **more)[1].orderBy("image_id").collect()]
+    assert taken() == ["t0", "t1", "t2"] and taken(seen=seen) == ["t0", "t2"]
