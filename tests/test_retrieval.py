@@ -21,7 +21,7 @@ def small_index(spark):
 def test_index_round_trip_and_hold_out(spark, tmp_path):
     path = f"file://{tmp_path}/index"
     assert I.open_or_create(spark, path).count() == 0
-    I.append(small_index(spark), path)
+    I.upsert(small_index(spark), path)
     back = I.open_or_create(spark, path)
     assert I.stats(back, "c").first()[:2] == (3, "c")
     held = I.hold_out(back, spark.createDataFrame([(1,)], "image_id bigint"))
