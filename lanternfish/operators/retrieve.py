@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanternfish.functions import vector as V
@@ -23,6 +23,12 @@ def variant_name(kind: str, number: int) -> str:
     return kind if kind == "original" else f"{kind}_{number}"
 
 
+def variant_names(variants: DataFrame) -> DataFrame:
+    """(query_id, variant_no, name) of variants (query_id, variant_no, kind): :func:`variant_name` by the place among the query's variants of the kind."""
+    number = F.row_number().over(Window.partitionBy("query_id", "kind").orderBy("variant_no"))
+    return variants.select("query_id", "variant_no", F.when(F.col("kind") == "original", F.col("kind")).otherwise(F.concat_ws("_", "kind", number.cast("string"))).alias("name"))
+
+
 def pool_of(queries: DataFrame, index: DataFrame, k: int, exclude_self: bool = False, images: DataFrame | None = None) -> DataFrame:
     found = knn.nearest_captions(queries, index, k, exclude_self, images)
     return found.withColumn("variant_no", F.lit(0))

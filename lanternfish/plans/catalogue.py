@@ -782,3 +782,78 @@ def ablation_grid(spark, folder):
 def text_near_dups(spark, folder):
     """All documents, whole texts: those with the same word counts, and those whose cosine is 0.95 or more."""
     return near_text.near_texts(table(spark, folder, "documents"))
+
+
+def _annotations(spark, folder):
+    """(image_id, id, caption) of all documents, dealt to images of which the last fifty have no vector."""
+    n = table(spark, folder, "embeddings").count()
+    return table(spark, folder, "documents").where("doc_id is not null").select(F.pmod("doc_id", F.lit(n + 50)).alias("image_id"), F.col("doc_id").alias("id"), F.md5(F.coalesce("text", F.lit(""))).alias("caption"))
+
+
+@query
+def annotation_scan(spark, folder):
+    """Annotation files of 500 rows each, written and read."""
+    rows = _annotations(spark, folder).groupBy(F.expr("id div 500").alias("part")).agg(F.collect_list(F.struct("image_id", "id", "caption")).alias("annotations"))
+    path = new_path(spark, "annotations")
+    rows.write.partitionBy("part").json(path)  # a file is one object
+    return I.read_annotations(spark, path)
+
+
+@query
+def built_index(spark, folder):
+    """Rows of annotations whose image has a vector."""
+    notes = _annotations(spark, folder).select("image_id", F.col("id").alias("ann_id"), "caption")
+    images = _images(spark, folder).join(notes.select("image_id"), "image_id", "left_semi")
+    got = I.build_index(notes, images)
+    return got.select("id", "image_id", "ann_id", "document", r(F.col("embedding")[0].cast("double")).alias("first"))
+
+
+@query
+def bounded_fetch(spark, folder):
+    """The first hundred rows of the index by id."""
+    return I.bounded(caption_index(spark, folder).select("id", "image_id", F.md5("document").alias("digest")), 100)
+
+
+@query
+def label_shards(spark, folder):
+    """Shards that call the label by either name."""
+    e, paths = table(spark, folder, "embeddings").select("vec_id", "label"), [new_path(spark, "shard") for _ in range(2)]
+    e.where("vec_id % 2 = 0").write.parquet(paths[0])
+    e.where("vec_id % 2 = 1").withColumnRenamed("label", "target").write.parquet(paths[1])
+    parts = [I.read_label_shards(spark, p).select("vec_id", "label") for p in paths]
+    return ingest.with_templates(parts[0].unionByName(parts[1]), spark.range(10).select(F.col("id").cast("int").alias("label"), F.format_string("a photo of kind %d", "id").alias("caption")))
+
+
+@query
+def hand_labels(spark, folder):
+    """Hand labels of the asked images, as one small JSON object, written and read."""
+    path = new_path(spark, "labels")
+    few = asked(spark, folder).groupBy().agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("query_id").cast("string"), F.concat(F.lit("label "), F.col("label").cast("string")))))).alias("value"))
+    few.write.text(path)
+    return I.read_hand_labels(spark, path)
+
+
+@query
+def prior_results(spark, folder):
+    """A report of an earlier run, written and read: its sample can be asked again."""
+    p, path = pool(spark, folder), new_path(spark, "report")
+    records = diagnostics.probe(p).select(F.concat(F.col("query_id").cast("string"), F.lit(".jpg")).alias("file"), "top1_distance", F.md5("top1_caption").alias("top1_caption"), "mean_topk_distance")
+    I.write_nested(records, path, index=I.stats(caption_index(spark, folder), "captions"))
+    got = I.read_results(spark, path, {"base": "records"})
+    return got.select("sample", "image_id", r("top1_distance").alias("top1_distance"), "top1_caption", r("mean_topk_distance").alias("mean_topk_distance"))
+
+
+@query
+def attribution_lines(spark, folder):
+    """A line of JSON for each page, with nulls."""
+    path = new_path(spark, "notes")
+    notes = _titles(spark, folder).select(F.col("page_id").alias("image_id"), T.title_without_prefix(F.concat(F.when(F.col("page_id") % 2 == 0, "Category:").otherwise(""), F.col("title"))).alias("title"), F.when(F.col("page_id") % 3 == 0, "CC0").alias("license"))
+    I.write_attributions(notes, path)
+    return spark.read.schema("image_id bigint, title string, license string").json(path)
+
+
+@query
+def variant_names(spark, folder):
+    """The names of each query's variants: the original, then segments and objects by number."""
+    kind = F.expr("case variant_no when 0 then 'original' when 3 then 'object' else 'segment' end")
+    return retrieve.variant_names(variants(spark, folder).select("query_id", "variant_no", kind.alias("kind")))

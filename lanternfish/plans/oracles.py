@@ -303,3 +303,16 @@ l as (select a, b from p join t x on x.doc_id = a join t y on y.doc_id = b where
 reach(a, b) as (select a, a from l union select r.a, l.b from reach r join l on l.a = r.b),
 f as (select a, min(b) as root from reach group by a), k as (select a, count(*) as links from l group by a)
 select doc_id, case when bag is null then doc_id else least end as class_id, coalesce(root, doc_id) as cluster_id, coalesce(links, 0) as links from c left join f on f.a = doc_id left join k on k.a = doc_id"""
+
+NOTES = "notes as (select doc_id % ((select count(*) from embeddings) + 50) as image_id, doc_id as id, md5(coalesce(text, '')) as caption from documents where doc_id is not null)"
+ORACLE_SQL |= {
+    "annotation_scan": f"with {NOTES} select image_id, id as ann_id, caption from notes",
+    "built_index": f"with {NOTES} select concat(image_id, '_', id) as id, image_id, id as ann_id, caption as document, round(embedding[1]::double, 6) as first from notes join embeddings on vec_id = image_id",
+    "bounded_fetch": f"with {INDEX} select id, image_id, md5(document) as digest from caption_index order by id limit 100",
+    "label_shards": "select vec_id, label, 'a photo of kind ' || label as caption from embeddings",
+    "hand_labels": "select vec_id as image_id, 'label ' || label as caption from embeddings where vec_id % 50 = 0",
+    "prior_results": f"with p as ({ORACLE_SQL['probe_distances']}) select 'base' as sample, query_id as image_id, top1_distance, md5(top1_caption) as top1_caption, mean_topk_distance from p",
+    "attribution_lines": f"with {TITLES} select page_id as image_id, title, case when page_id % 3 = 0 then 'CC0' end as license from titles",
+    "variant_names": f"""with {INDEX}, v as (select q.query_id, t.i as variant_no, case t.i when 0 then 'original' when 3 then 'object' else 'segment' end as kind from q cross join (select unnest(range(4)) as i) t join embeddings e on e.vec_id = q.query_id + t.i)
+select query_id, variant_no::int as variant_no, case when kind = 'original' then kind else kind || '_' || row_number() over (partition by query_id, kind order by variant_no) end as name from v""",
+}
