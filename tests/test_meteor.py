@@ -55,4 +55,4 @@ def test_scores():
     # a greedy choice of the nearest "the" would break the run
     assert meteor.alignment(say("the big cat saw the small dog"), say("the small dog the big cat")) == (6, 2)
     long = [f"w{i % 50}" for i in range(3000)]
-    assert meteor.alignment(long, long) == (3000, 1)
+    assert meteor.alignment(long, long) == (3000, 1)  # words of many places
