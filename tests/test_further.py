@@ -176,6 +176,37 @@ def test_near_texts_against_all_pairs(spark):
         assert got[i] == (least, root[i], len(linked[i]))
 
 
+def test_near_texts_shuffle_less_than_four_times_their_text(spark):
+    """Words follow few frequencies, so bounds prune little: what goes to other blocks is to be few and short rows."""
+    rng = np.random.default_rng(9)
+    share = 1 / np.arange(1, 3001)
+    texts = [" ".join(f"word{i}" for i in rng.choice(3000, 80, p=share / share.sum())) for _ in range(5000)]
+    texts += [f"{t} word1" for t in texts[:50]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sent = lambda: (spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000), spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite())[1]
+    before = sent()
+    near = near_text.near_texts(docs).where("links > 0").count()
+    assert near >= 100 and 0 < sent() - before < 4 * sum(map(len, texts))
+
+
+def test_near_texts_in_several_blocks(spark, monkeypatch):
+    """Any number of blocks, and of words with numbers, and counts of any width find the same links and values."""
+    rng = np.random.default_rng(10)
+    share = 1 / np.arange(1, 61)
+    texts = [" ".join(f"w{i}" for i in rng.choice(60, int(rng.integers(1, 200)), p=share / share.sum())) for _ in range(300)] + ["often " * n for n in (1, 300, 70_000)] + ["often " * 70_000 + "w1"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bags = [Counter(t.split()) for t in texts]
+    cosine = lambda x, y: round(sum(n * y[w] for w, n in x.items()) / np.sqrt(float(sum(n * n for n in x.values()) * sum(n * n for n in y.values()))), 9)
+    want = {(i, j): c for i in range(len(texts)) for j in range(i + 1, len(texts)) if (c := cosine(bags[i], bags[j])) >= 0.95 and bags[i] != bags[j]}
+    assert len(want) > 100
+    for side, numbers in ((1 << 16, 1 << 16), (20, 16), (50, 0)):
+        monkeypatch.setattr(near_text, "NUMBERS", numbers)
+        got = {(r.a, r.b): r.cosine for r in near_text.similar_texts(docs, side=side).collect()}
+        assert {k: c for k, c in got.items() if bags[k[0]] != bags[k[1]]} == want
+        links = {r.doc_id: r.links for r in near_text.near_texts(docs, side=side).collect()}
+        assert all(links[i] == sum(j != i and (bags[i] == bags[j] or cosine(bags[i], bags[j]) >= 0.95) for j in range(len(texts))) for i in range(0, len(texts), 7))
+
+
 def test_search_latency(spark):
     """Every query is timed by every task that holds vectors, in rounds or at once."""
     images = spark.range(400).select(F.col("id").alias("image_id"), F.array(*[F.rand(i).cast("float") for i in range(8)]).alias("embedding")).repartition(3)
